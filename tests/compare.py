@@ -1,0 +1,51 @@
+"""Compare a Spark result with DuckDB, regardless of row order."""
+
+import glob
+import os
+
+import duckdb
+
+
+def duck(sf_dir):
+    connection = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.basename(path).removesuffix(".parquet")
+        connection.execute(f"create view {name} as select * from read_parquet('{path}')")
+    return connection
+
+
+def _key(row):
+    return [(value is None, str(value)) for value in row]
+
+
+def rows_of(frame):
+    names = sorted(frame.columns)
+    return names, sorted((tuple(row) for row in frame.select(names).collect()), key=_key)
+
+
+def rows_of_sql(connection, sql):
+    result = connection.execute(sql)
+    names = [column[0] for column in result.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rows = [tuple(row[i] for i in order) for row in result.fetchall()]
+    return sorted(names), sorted(rows, key=_key)
+
+
+# DuckDB's name for each Spark type that results may have.
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def types_of(frame):
+    return {name: TYPES[kind] for name, kind in frame.dtypes}
+
+
+def types_of_sql(connection, sql):
+    described = connection.execute(f"describe {sql}").fetchall()
+    return {row[0]: row[1] for row in described}
