@@ -65,9 +65,14 @@ def weekday_name(day_of_week: Column) -> Column:
     return F.get(F.array(*[F.lit(name) for name in WEEKDAYS]), day_of_week - 1)
 
 
-def category_part(code: Column, index: int) -> Column:
-    """One segment of a dotted category code; NULL where the code is too short."""
-    return F.get(F.split(code, r"\."), F.lit(index))
+def main_category(code: Column) -> Column:
+    """First segment of a dotted category code."""
+    return F.substring_index(code, ".", 1)
+
+
+def sub_category(code: Column) -> Column:
+    """Second segment of a dotted category code; NULL where there is only one."""
+    return F.get(F.split(code, r"\."), F.lit(1))
 
 
 def price_bracket_number(cents: Column) -> Column:

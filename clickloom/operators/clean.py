@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.clickstream import (
-    category_part,
+    main_category,
     parsed_time,
+    sub_category,
     wall_clock,
     weekday_name,
 )
@@ -40,8 +41,8 @@ def clean(events: DataFrame, zone: str = "UTC") -> DataFrame:
             "hour": F.hour(clock),
             "date": F.to_date(clock),
             "day_name": weekday_name(F.dayofweek(clock)),
-            "category_main": category_part(F.col("category_code"), 0),
-            "category_sub": category_part(F.col("category_code"), 1),
+            "category_main": main_category(F.col("category_code")),
+            "category_sub": sub_category(F.col("category_code")),
         }
     )
 

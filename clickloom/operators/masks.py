@@ -26,11 +26,9 @@ def has_slot(mask: Column, slot: int) -> Column:
 
 def members_per_slot(masks: DataFrame, mask: str, slots: int, weight: str, name: str) -> DataFrame:
     """(slot, members) for every slot; ``weight`` is how many members a row stands for."""
-    totals = masks.agg(
-        *[
-            F.coalesce(F.sum(F.when(has_slot(F.col(mask), i), F.col(weight))), F.lit(0)).alias(f"s{i}")
-            for i in range(slots)
-        ]
+    listed = ", ".join(
+        f"coalesce(sum(if({mask} & {1 << slot} != 0, {weight}, 0)), 0)" for slot in range(slots)
+    )
+    return masks.agg(F.expr(f"array({listed})").alias("members")).select(
+        F.posexplode("members").alias("slot", name)
     )
-    listed = F.array(*[F.col(f"s{i}") for i in range(slots)])
-    return totals.select(F.posexplode(listed).alias("slot", name))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import logging
 import traceback
 import uuid
 from collections.abc import Callable
@@ -39,6 +41,8 @@ from clickloom.session import delete_folder, fresh_folder, pin
 from clickloom.sources.events import stage_events
 from clickloom.sources.sinks import Sink
 
+log = logging.getLogger(__name__)
+
 STAGES = ("none", "table", "memory")
 
 
@@ -80,6 +84,14 @@ def _store(spark: SparkSession, frame: DataFrame, folder: str) -> tuple[DataFram
     return spark.read.schema(frame.schema).parquet(folder), written.get["rows"]
 
 
+@contextlib.contextmanager
+def _warning(message: str):
+    try:
+        yield
+    except Exception:
+        log.warning(message, exc_info=True)
+
+
 def run_pipeline(
     spark: SparkSession,
     source: DataFrame,
@@ -93,9 +105,12 @@ def run_pipeline(
     ``stage`` says how events are shared between the analyses:
 
     * ``none``: each reads the columns it needs from the source; best for Parquet.
-    * ``table``: the cleaned events are written once to the shared folder; best for CSV.
+    * ``table``: events are written once as Parquet to the shared folder; best for CSV.
     * ``memory``: they are cached; only for input that fits the executors.
 
+    Up to ``parallel`` tables are computed, then loaded, side by side, so that the last tasks of
+    one do not leave the cluster idle.
+
     The sink is touched only after every result has been computed and stored, and every table
     is counted after loading. Each table's outcome is appended to the run log, a failure with
     its traceback.
@@ -112,43 +127,54 @@ def run_pipeline(
         now = datetime.datetime.now(datetime.timezone.utc)
         entries.append((run_id, table, status, rows, error, now))
 
+    def write_log() -> None:
+        sink.write(spark.createDataFrame(entries, RUN_LOG_SCHEMA), RUN_LOG, "append")
+
+    def each(work: Callable[[str], object], tables: list[str]) -> dict:
+        """Do one step for all tables; stops at the first one that failed."""
+        nonlocal current
+        done = {}
+        with ThreadPoolExecutor(parallel) as pool:
+            running = {table: pool.submit(work, table) for table in tables}
+            for current, step in running.items():
+                done[current] = step.result()
+        return done
+
     try:
-        events = clean(source, zone)
         if stage == "table":
-            events, folder = stage_events(events)
+            source, folder = stage_events(source)
             folders.append(folder)
         elif stage == "memory":
-            cached = events.persist(StorageLevel.MEMORY_AND_DISK)
-            events = cached
-        analyses = _analyses(events)
+            source = cached = source.persist(StorageLevel.MEMORY_AND_DISK)
+        analyses = _analyses(clean(source, zone))
         results = fresh_folder(spark, "results")
         folders.append(results)
-        with ThreadPoolExecutor(parallel) as pool:
-            running = {
-                table: pool.submit(
-                    lambda table=table, build=build: _store(spark, build(), f"{results}/{table}")
-                )
-                for table, build in analyses.items()
-            }
-        stored = {}
-        for current, result in running.items():
-            stored[current] = result.result()
-        for current, (frame, rows) in stored.items():
-            sink.write(frame, current)
-            loaded = sink.count(spark, current)
+        stored = each(
+            lambda table: _store(spark, analyses[table](), f"{results}/{table}"), list(analyses)
+        )
+
+        def load(table: str) -> None:
+            frame, rows = stored[table]
+            sink.write(frame, table)
+            loaded = sink.count(spark, table)
             if loaded != rows:
-                raise RuntimeError(f"{current}: {rows} rows computed, {loaded} loaded")
-            note(current, "loaded", rows)
+                raise RuntimeError(f"{table}: {rows} rows computed, {loaded} loaded")
+            note(table, "loaded", rows)
+
+        each(load, list(analyses))
+        current = RUN_LOG
+        write_log()
     except Exception:
         note(current, "failed", None, traceback.format_exc())
+        # Neither a failing log nor a failing clean-up may hide what went wrong.
+        with _warning("the run log was not written"):
+            write_log()
         raise
     finally:
-        try:
-            sink.write(spark.createDataFrame(entries, RUN_LOG_SCHEMA), RUN_LOG, "append")
-        finally:
-            if cached is not None:
-                cached.unpersist()
-            for folder in folders:
+        if cached is not None:
+            cached.unpersist()
+        for folder in folders:
+            with _warning(f"{folder} was not deleted"):
                 delete_folder(spark, folder)
     return {table: sink.read(spark, table) for table in stored}
 

@@ -34,7 +34,8 @@ def stage_events(events: DataFrame) -> tuple[DataFrame, str]:
     """Write events once as Parquet in the shared folder; returns the table and its path.
 
     Worth it for CSV input: the file is parsed once, and each analysis then reads only its own
-    columns. Unlike a cache the table survives the loss of executors.
+    columns. Unlike a cache the table survives the loss of executors. Stage events as read:
+    derived columns would double the table and are cheap to add.
     """
     spark = events.sparkSession
     folder = fresh_folder(spark, "events")

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Declared, so that reading needs no look into the files first.
+EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string"
+)
+PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int"
+
 PRODUCTS = 100  # product numbers in the events run from 0 to 99
 
 
@@ -14,56 +21,51 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     The grouping tells Spark that keys are unique, so that it drops the join from queries that
     use no product column.
     """
-    kind = F.lower("p_type")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    named = part.filter(F.col("p_partkey").between(0, PRODUCTS - 1)).select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_size").cast("bigint").alias("category_id"),
+    part = spark.read.schema(PART).parquet(f"{sf_dir}/part.parquet")
+    named = part.filter(f"p_partkey between 0 and {PRODUCTS - 1}").selectExpr(
+        "p_partkey as product_id",
+        "cast(p_size as bigint) as category_id",
         "p_brand",
-        kind.alias("kind"),
-        F.concat(kind, F.lit("."), F.get(F.split("p_name", " "), F.lit(1))).alias("full_code"),
+        "lower(p_type) as kind",
+        "get(split(p_name, ' '), 1) as word",
     )
     return named.dropDuplicates(["product_id"])
 
 
 def read_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw events of the test data, with planted NULLs, zero prices and short category codes."""
-    def every(n: int):
-        return F.col("event_id") % n == 0
+    """Raw events of the test data, with planted NULLs, zero prices and short category codes.
 
-    number = F.regexp_extract("props", r'"k":\s*(\d+)', 1).try_cast("bigint")
-    value = F.col("value").cast("decimal(12,2)")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id",
-        F.when(~every(211), F.col("ts")).alias("event_time"),
-        F.when(F.col("event_type") == "click", "cart")
-        .otherwise(F.col("event_type"))
-        .alias("event_type"),
-        F.when(number < PRODUCTS, number)
-        .when(number.isNotNull(), F.raise_error(F.lit("product number outside the catalogue")))
-        .alias("product_id"),
-        F.when(every(97), F.lit(None))
-        .when(every(50), F.lit(0))
-        .otherwise(value * 3)
-        .cast("decimal(18,2)")
-        .alias("price"),
-        "user_id",
-        F.when(
-            ~every(101), F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd"))
-        ).alias("user_session"),
+    A product number outside the catalogue stops the query.
+    """
+    events = (
+        spark.read.schema(EVENTS)
+        .parquet(f"{sf_dir}/events.parquet")
+        .withColumn("k", F.expr(r"""try_cast(regexp_extract(props, r'"k":\s*(\d+)', 1) as bigint)"""))
+        .selectExpr(
+            "event_id",
+            "if(event_id % 211 = 0, null, ts) as event_time",
+            # As an "if", so that filters on it reach the scan.
+            "if(event_type = 'click', 'cart', event_type) as event_type",
+            f"if(k >= {PRODUCTS}, raise_error('unknown product'), k) as product_id",
+            """cast(case when event_id % 97 = 0 then null
+                         when event_id % 50 = 0 then 0
+                         else cast(value as decimal(12,2)) * 3 end as decimal(18,2)) as price""",
+            "user_id",
+            """if(event_id % 101 = 0, null,
+                  concat(user_id, '-', date_format(ts, 'yyyyMMdd'))) as user_session""",
+        )
     )
-    k = F.col("product_id")
-    return events.join(F.broadcast(_catalogue(spark, sf_dir)), "product_id", "left").select(
+    catalogue = F.broadcast(_catalogue(spark, sf_dir))
+    return events.join(catalogue, "product_id", "left").selectExpr(
         "event_id",
         "event_time",
         "event_type",
         "product_id",
         "category_id",
-        F.when(k % 7 == 0, F.lit(None))
-        .when(k % 5 == 0, F.col("kind"))
-        .otherwise(F.col("full_code"))
-        .alias("category_code"),
-        F.when(k % 10 != 3, F.col("p_brand")).alias("brand"),
+        """case when product_id % 7 = 0 then null
+                when product_id % 5 = 0 then kind
+                else concat(kind, '.', word) end as category_code""",
+        "if(product_id % 10 = 3, null, p_brand) as brand",
         "price",
         "user_id",
         "user_session",

@@ -1,0 +1,107 @@
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickloom.functions import clickstream, exact
+
+
+def test_percent_is_exact(spark):
+    pairs = [(a, b) for a in range(0, 200, 3) for b in range(0, 400, 7)] + [(23, 160), (41, 160)]
+    frame = spark.createDataFrame(pairs, "a bigint, b bigint")
+    rows = frame.select("a", "b", exact.percent(F.col("a"), F.col("b")).alias("p")).collect()
+    assert len(rows) == len(pairs)
+    for a, b, found in rows:
+        if b == 0:
+            assert found is None
+        else:
+            expected = (Decimal(100 * a) / b).quantize(Decimal("0.01"), ROUND_HALF_UP)
+            assert found == float(expected), (a, b)
+
+
+def test_percent_near_ties(spark):
+    frame = spark.createDataFrame([(23, 160), (41, 160), (1, 160)], "a bigint, b bigint")
+    found = [row[0] for row in frame.select(exact.percent(F.col("a"), F.col("b"))).collect()]
+    assert found == [14.38, 25.63, 0.63]
+
+
+def test_percent_or_zero(spark):
+    frame = spark.createDataFrame([(2, 0), (1, 2)], "a bigint, b bigint")
+    found = [r[0] for r in frame.select(exact.percent_or_zero(F.col("a"), F.col("b"))).collect()]
+    assert found == [0.0, 50.0]
+
+
+def test_mean_money_rounds_away_from_zero(spark):
+    sums = [(c, n) for c in range(-60, 61, 5) for n in (1, 2, 3, 8, 160)] + [(5, 0), (None, 0)]
+    frame = spark.createDataFrame(sums, "c bigint, n bigint")
+    for c, n, found in frame.select("c", "n", exact.mean_money(F.col("c"), F.col("n"))).collect():
+        if not n:
+            assert found is None
+        else:
+            cents = (Decimal(c) / n).quantize(Decimal(1), ROUND_HALF_UP)
+            assert found == float(cents / 100), (c, n)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(18,2)"])
+def test_to_cents(spark, kind):
+    frame = spark.createDataFrame([("0.29",), ("174.76",), ("-1.05",), (None,)], "p string")
+    found = frame.select(exact.to_cents(F.col("p").cast(kind))).collect()
+    assert [row[0] for row in found] == [29, 17476, -105, None]
+
+
+def test_to_cents_of_text_that_is_no_number(spark):
+    frame = spark.createDataFrame([("oops",), ("",)], "p string")
+    assert [row[0] for row in frame.select(exact.to_cents(F.col("p"))).collect()] == [None, None]
+
+
+def test_price_brackets(spark):
+    expected = {
+        1: "Budget (<$50)",
+        4999: "Budget (<$50)",
+        5000: "Mid ($50-$200)",
+        19999: "Mid ($50-$200)",
+        20000: "Premium ($200-$500)",
+        50000: "Luxury ($500-$1000)",
+        99999: "Luxury ($500-$1000)",
+        100000: "Ultra Luxury (>$1000)",
+    }
+    frame = spark.createDataFrame([(c,) for c in expected], "cents bigint")
+    number = clickstream.price_bracket_number(F.col("cents"))
+    rows = frame.select("cents", clickstream.price_bracket_label(number)).collect()
+    assert dict(tuple(row) for row in rows) == expected
+
+
+def test_weekday_names(spark):
+    frame = spark.createDataFrame([(1,), (7,), (None,)], "d int")
+    found = frame.select(clickstream.weekday_name(F.col("d"))).collect()
+    assert [row[0] for row in found] == ["Sunday", "Saturday", None]
+
+
+def test_segments(spark):
+    scores = {
+        (5, 5, 5): "Champion",
+        (5, 5, 4): "Loyal Customer",
+        (4, 4, 1): "Loyal Customer",
+        (3, 3, 1): "Potential Loyalist",
+        (5, 3, 5): "Potential Loyalist",
+        (2, 3, 5): "At Risk",
+        (1, 5, 5): "At Risk",
+        (1, 1, 1): "Lost",
+        (2, 2, 5): "Lost",
+        (5, 1, 5): "Window Shopper",
+        (3, 2, 1): "Window Shopper",
+    }
+    frame = spark.createDataFrame(list(scores), "r int, f int, m int")
+    label = clickstream.segment_label(F.col("r"), F.col("f"), F.col("m"))
+    found = {tuple(row)[:3]: row[3] for row in frame.select("*", label).collect()}
+    assert found == scores
+
+
+def test_every_score_has_a_segment(spark):
+    grid = spark.range(125).selectExpr(
+        "cast(id div 25 + 1 as int) as r",
+        "cast(id div 5 % 5 + 1 as int) as f",
+        "cast(id % 5 + 1 as int) as m",
+    )
+    label = clickstream.segment_label(F.col("r"), F.col("f"), F.col("m"))
+    assert grid.filter(label.isNull()).count() == 0
