@@ -36,20 +36,17 @@ def _as_day(as_of: datetime.date) -> Column:
 def rfm_base(events: DataFrame, as_of: datetime.date | None = None) -> DataFrame:
     """The three measures before scoring.
 
-    Recency counts from ``as_of`` or else from the last purchase in the data, which the same
-    plan finds as a one-row table.
+    Recency counts from ``as_of`` or else from the last purchase in the data, which is a scalar
+    subquery of the same plan.
     """
-    customers = _customers(events)
     if as_of is None:
-        latest = events.filter(is_event(PURCHASE)).agg(
-            F.max(F.unix_date("date")).alias("reference_day")
-        )
-        customers = customers.crossJoin(F.broadcast(latest))
+        purchases = events.filter(is_event(PURCHASE))
+        reference_day = purchases.agg(F.max(F.unix_date("date"))).scalar()
     else:
-        customers = customers.withColumn("reference_day", _as_day(as_of))
-    return customers.select(
+        reference_day = _as_day(as_of)
+    return _customers(events).select(
         "user_id",
-        _recency(F.col("last_day"), F.col("reference_day")),
+        _recency(F.col("last_day"), reference_day),
         "frequency",
         money(F.col("cents")).alias("monetary"),
     )
@@ -59,11 +56,12 @@ def rfm_segments(events: DataFrame, as_of: datetime.date | None = None) -> DataF
     """Scores 1 to 5 per measure and the customer's segment. Ties are settled by user_id.
 
     The last purchase day orders customers just as recency does, so scoring does not wait for
-    the reference date; that comes out of the ranking, and events are read once. Customers
-    without a known purchase day, or without any price, score lowest on that measure.
+    the reference date; that is taken from the scored customers, and events are read once.
+    Customers without a known purchase day, or without any price, score lowest on that measure.
     """
     scored = rank_tiles(_customers(events), "user_id", ["last_day", "frequency", "cents"])
-    reference_day = F.col("last_day_top") if as_of is None else _as_day(as_of)
+    latest = scored.agg(F.max("last_day")).scalar()
+    reference_day = latest if as_of is None else _as_day(as_of)
     r, f, m = F.col("last_day_tile"), F.col("frequency_tile"), F.col("cents_tile")
     return scored.select(
         "user_id",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +13,49 @@ from clickloom.session import pin
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def _tile(rank: Column, rows: Column, tiles: int) -> Column:
-    """Tile of a zero-based rank. The first ``rows % tiles`` tiles hold one row more."""
-    small = F.call_function("div", rows, F.lit(tiles))
-    wide = rows % tiles
-    in_wide = wide * (small + 1)
-    return F.when(rank < in_wide, F.call_function("div", rank, small + 1) + 1).otherwise(
-        wide + F.call_function("div", rank - in_wide, F.greatest(small, F.lit(1))) + 1
+def _start_rank(tile: int, rows: Column, tiles: int) -> Column:
+    """Zero-based rank at which a tile starts. The first ``rows % tiles`` tiles hold one more."""
+    earlier = F.lit(tile - 1)
+    return earlier * F.call_function("div", rows, F.lit(tiles)) + F.least(earlier, rows % tiles)
+
+
+def _start_places(placed: DataFrame, measures: int, tiles: int) -> DataFrame:
+    """(tile, place) of the row that each tile of each measure starts with.
+
+    A row's rank is the size of the sort partitions before its own plus its position there.
+    After the first aggregate there is one row per sort partition.
+    """
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    parts = (
+        placed.groupBy(F.shiftright("place", _ROW_BITS).alias("part"))
+        .agg(F.count("*").alias("size"))
+        .select(
+            "part",
+            "size",
+            F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"),
+            F.call_function("div", F.sum("size").over(every), F.lit(measures)).alias("rows"),
+        )
+    )
+    rows = F.col("rows")
+    starts = [
+        F.when(
+            _start_rank(tile, rows, tiles) < rows,
+            F.struct(
+                (rows * i + _start_rank(tile, rows, tiles) - F.col("before")).alias("position"),
+                F.lit(tile).alias("tile"),
+            ),
+        )
+        for i in range(measures)
+        for tile in range(1, tiles + 1)
+    ]
+    return (
+        parts.select("part", "size", F.explode(F.array(*starts)).alias("start"))
+        .filter((F.col("start.position") >= 0) & (F.col("start.position") < F.col("size")))
+        .select(
+            "start.tile",
+            (F.shiftleft("part", _ROW_BITS) + F.col("start.position")).alias("place"),
+        )
     )
 
 
@@ -24,52 +63,46 @@ def rank_tiles(rows: DataFrame, key: str, measures: list[str], tiles: int = 5) -
     """Per measure, ntile over (measure ascending, NULLs first, then key ascending).
 
     ``rows`` holds one row per ``key`` and integer measures. The result has the key and, per
-    measure ``m``, the columns ``m``, ``m_tile`` and ``m_top`` (the largest value of all rows).
+    measure ``m``, the columns ``m`` and ``m_tile``.
 
     All measures go through a single distributed sort of narrow (measure, value, key) rows. Keys
-    are unique, so the sort splits evenly however many values tie. The sorted rows are pinned:
-    range bounds come from a sample and a second run could place rows elsewhere. A row's rank is
-    then the size of the partitions before its own plus its position in its own.
+    are unique, so the sort splits evenly however many values tie. Partition sizes tell where
+    each tile starts, and the tile of a row is the number of starts it does not precede: scoring
+    is one projection over ``rows``, with the starts as a one-row subquery.
+
+    Rows are pinned so that what they come from is computed once; placed rows also because the
+    sort's range bounds come from a sample and a second run could place rows elsewhere.
     """
-    listed = F.array(*[F.col(name).cast("bigint") for name in measures])
-    ordered = (
-        rows.select(key, F.posexplode(listed).alias("measure", "value"))
-        .orderBy("measure", F.asc_nulls_first("value"), F.asc_nulls_first(key))
+    held = pin(rows.select(key, *[F.col(name).cast("bigint").alias(name) for name in measures]))
+    placed = pin(
+        held.select(F.col(key).alias("key"), F.posexplode(F.array(*measures)).alias("m", "value"))
+        .orderBy("m", F.asc_nulls_first("value"), F.asc_nulls_first("key"))
         .withColumn("place", F.monotonically_increasing_id())
     )
-    pinned = pin(ordered).withColumn("part", F.shiftright("place", _ROW_BITS))
+    # One row per measure and tile, so the broadcast side does not grow with the data.
+    firsts = placed.join(F.broadcast(_start_places(placed, len(measures), tiles)), "place")
 
-    # One row per sort partition, so the window and the broadcast stay small at any data size.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    offsets = (
-        pinned.groupBy("part")
-        .agg(
-            F.count("*").alias("held"),
-            *[
-                F.max(F.when(F.col("measure") == i, F.col("value"))).alias(f"{name}_top")
-                for i, name in enumerate(measures)
-            ],
-        )
-        .select(
-            "part",
-            F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"),
-            F.call_function("div", F.sum("held").over(every), F.lit(len(measures))).alias("keys"),
-            *[F.max(f"{name}_top").over(every).alias(f"{name}_top") for name in measures],
-        )
-    )
-    position = F.col("place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    rank = F.col("before") + position - F.col("measure") * F.col("keys")
-    tops = [f"{name}_top" for name in measures]
-    tiled = pinned.join(F.broadcast(offsets), "part").select(
-        key, "measure", "value", *tops, _tile(rank, F.col("keys"), tiles).cast("int").alias("tile")
-    )
+    def start(i: int, tile: int) -> str:
+        return f"start_{i}_{tile}"
+
+    slots = [(i, tile) for i in range(len(measures)) for tile in range(1, tiles + 1)]
+    starts = firsts.agg(
+        *[
+            F.max(F.when((F.col("m") == i) & (F.col("tile") == tile), F.struct("value", "key")))
+            .alias(start(i, tile))
+            for i, tile in slots
+        ]
+    ).select(F.struct(*[start(i, tile) for i, tile in slots]))
 
-    def of(index: int, name: str) -> Column:
-        return F.max(F.when(F.col("measure") == index, F.col(name)))
+    def tile_of(i: int, name: str) -> Column:
+        # Structs compare field by field with NULL as the smallest, which is the sort's order.
+        row = F.struct(F.col(name).alias("value"), F.col(key).alias("key"))
+        reached = [
+            F.coalesce((row >= F.col(f"starts.{start(i, tile)}")).cast("int"), F.lit(0))
+            for tile in range(1, tiles + 1)
+        ]
+        return reduce(add, reached).alias(f"{name}_tile")
 
-    return tiled.groupBy(key).agg(
-        *[of(i, "value").alias(name) for i, name in enumerate(measures)],
-        *[of(i, "tile").alias(f"{name}_tile") for i, name in enumerate(measures)],
-        *[F.max(name).alias(name) for name in tops],
+    return held.withColumn("starts", starts.scalar()).select(
+        key, *measures, *[tile_of(i, name) for i, name in enumerate(measures)]
     )

@@ -49,6 +49,7 @@ def create_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
     }
     if input_bytes is not None:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions_for(input_bytes))

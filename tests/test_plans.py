@@ -80,12 +80,16 @@ def test_rows_are_combined_before_every_shuffle(spark, name):
 
 
 def test_customers_are_never_in_one_task(spark):
-    """The only single-partition step of scoring works on one row per sort partition."""
+    """Single-partition steps of scoring see partial results, or one row per sort partition."""
     lines = plan(driver.queries()["rfm_segments"](spark, SF_DIR)).split("\n")
     single = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
-    assert len(single) == 1
-    assert re.search(r"HashAggregate\(keys=\[part#", lines[single[0] + 1])
-    assert all("part#" in lines[i - 1] for i in single if "Sort" in lines[i - 1])
+    below = [lines[i + 1] for i in single]
+    assert len(single) == 3
+    assert sum("functions=[partial_max" in line for line in below) == 2
+    # The third is the list of sort partitions: one row per value of place >> 33.
+    (parts,) = [i + 1 for i, line in zip(single, below) if "partial_max" not in line]
+    assert re.search(r"HashAggregate\(keys=\[_groupingexpression#\d+L\], functions=\[count", lines[parts])
+    assert any("shiftright(place#" in line for line in lines[parts : parts + 4])
 
 
 def test_top_brands_sorts_only_what_it_keeps(spark):

@@ -1,0 +1,207 @@
+"""Results against plain Python on events where one key holds a third of all rows."""
+
+import datetime
+from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+from rows import by, events, one
+
+from clickloom import (
+    brand_category_insight,
+    clean,
+    daily_revenue,
+    funnel_summary,
+    hourly_activity,
+    price_sensitivity,
+    rfm_segments,
+    session_flags,
+    weekday_activity,
+)
+
+KINDS = ("view", "cart", "purchase", "search")
+NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+
+
+def generated(n=3000):
+    """A third of the rows share user, session, brand, category, product and hour."""
+    rows = []
+    for i in range(n):
+        hot = i % 3 == 0
+        spread = (i * 2654435761) % 2**32
+        day = 1 + (0 if hot else spread % 31)
+        hour = 9 if hot else spread // 31 % 24
+        rows.append(
+            {
+                "event_time": None
+                if i % 41 == 0
+                else datetime.datetime(2024, 3, day, hour, tzinfo=datetime.timezone.utc),
+                "event_type": KINDS[spread // 7 % 4],
+                "product_id": 1 if hot else spread % 57,
+                "category_code": None if i % 29 == 0 else "hot.x" if hot else f"c{spread % 5}.y",
+                "brand": None if i % 31 == 0 else "hot" if hot else f"b{spread % 11}",
+                "price": None if i % 23 == 0 else f"{spread % 150000 / 100:.2f}",
+                "user_id": 0 if hot else spread % 97,
+                "user_session": None if i % 37 == 0 else "hot" if hot else f"s{spread % 401}",
+            }
+        )
+    return rows
+
+
+ROWS = generated()
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    return clean(events(spark, *ROWS)).repartition(5)
+
+
+def rate(part, whole, otherwise=None):
+    if not whole:
+        return otherwise
+    return float((Decimal(100 * part) / whole).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def price_of(row):
+    return None if row["price"] is None else Decimal(row["price"])
+
+
+def mean(prices):
+    if not prices:
+        return None
+    return float((sum(prices) / len(prices)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def grouped(rows, key):
+    groups = defaultdict(list)
+    for row in rows:
+        groups[key(row)].append(row)
+    return groups
+
+
+def kinds(rows):
+    return [sum(row["event_type"] == kind for row in rows) for kind in KINDS[:3]]
+
+
+def test_sessions(frame):
+    sessions = grouped([r for r in ROWS if r["user_session"]], lambda r: r["user_session"])
+    flags = {
+        name: [
+            *[int(n > 0) for n in kinds(rows)],
+            len({r["user_id"] for r in rows}),
+            len(rows),
+        ]
+        for name, rows in sessions.items()
+    }
+    found = {row[0]: list(row)[1:] for row in session_flags(frame).collect()}
+    assert found == flags
+    view, cart, bought = (sum(f[i] for f in flags.values()) for i in range(3))
+    assert one(funnel_summary(frame)) == {
+        "total_sessions": len(flags),
+        "sessions_with_view": view,
+        "sessions_with_cart": cart,
+        "sessions_with_purchase": bought,
+        "view_to_cart_rate": rate(cart, view),
+        "cart_to_purchase_rate": rate(bought, cart),
+        "overall_conversion_rate": rate(bought, len(flags)),
+    }
+
+
+def test_customers(frame):
+    customers = grouped([r for r in ROWS if r["event_type"] == "purchase"], lambda r: r["user_id"])
+    days = {
+        u: max((r["event_time"].date() for r in rows if r["event_time"]), default=None)
+        for u, rows in customers.items()
+    }
+    spent = {
+        u: sum(p) if (p := [price_of(r) for r in rows if r["price"]]) else None
+        for u, rows in customers.items()
+    }
+    last = max(day for day in days.values() if day)
+
+    def scores(worth):
+        ranked = sorted(customers, key=lambda u: (worth(u) is not None, worth(u) or 0, u))
+        small, wide = divmod(len(ranked), 5)
+        sizes = [small + (tile < wide) for tile in range(5)]
+        tiles = [tile + 1 for tile, size in enumerate(sizes) for _ in range(size)]
+        return dict(zip(ranked, tiles))
+
+    r = scores(lambda u: days[u] and days[u].toordinal())
+    f = scores(lambda u: len(customers[u]))
+    m = scores(lambda u: spent[u])
+    found = by(rfm_segments(frame), "user_id")
+    assert set(found) == set(customers)
+    for u, row in found.items():
+        assert row["recency_days"] == (days[u] and (last - days[u]).days)
+        assert row["frequency"] == len(customers[u])
+        assert row["monetary"] == (None if spent[u] is None else float(spent[u]))
+        assert (row["r_score"], row["f_score"], row["m_score"]) == (r[u], f[u], m[u])
+        assert row["rfm_score"] == 100 * r[u] + 10 * f[u] + m[u]
+
+
+def test_brands(frame):
+    rows = [r for r in ROWS if r["brand"] and r["category_code"]]
+    groups = grouped(rows, lambda r: (r["brand"], r["category_code"].split(".")[0]))
+    found = {tuple(row)[:2]: list(row)[2:] for row in brand_category_insight(frame).collect()}
+    expected = {}
+    for key, members in groups.items():
+        view, cart, bought = kinds(members)
+        sold = [price_of(r) for r in members if r["event_type"] == "purchase" and r["price"]]
+        expected[key] = [
+            view,
+            cart,
+            bought,
+            float(sum(sold)),
+            mean([price_of(r) for r in members if r["price"]]),
+            len({r["user_id"] for r in members}),
+            rate(bought, view, 0.0),
+        ]
+    assert found == expected
+
+
+def test_prices(frame):
+    rows = [r for r in ROWS if r["brand"] and r["category_code"] and r["price"]]
+    rows = [r for r in rows if price_of(r) > 0]
+    groups = grouped(rows, lambda r: sum(price_of(r) >= b for b in (50, 200, 500, 1000)))
+    expected = sorted(
+        [
+            len(members),
+            kinds(members)[0],
+            kinds(members)[2],
+            mean([price_of(r) for r in members]),
+            len({r["product_id"] for r in members}),
+            rate(kinds(members)[2], kinds(members)[0], 0.0),
+        ]
+        for members in groups.values()
+    )
+    assert len(expected) == 5
+    assert sorted(list(row)[1:] for row in price_sensitivity(frame).collect()) == expected
+
+
+def test_activity(frame):
+    hours = grouped(ROWS, lambda r: r["event_time"] and r["event_time"].hour)
+    found = {row[0]: list(row)[1:] for row in hourly_activity(frame).collect()}
+    assert found == {
+        hour: [len(rows), *kinds(rows), len({r["user_id"] for r in rows})]
+        for hour, rows in hours.items()
+    }
+    weekdays = grouped(ROWS, lambda r: r["event_time"] and NAMES[r["event_time"].isoweekday() % 7])
+    found = {row[1]: list(row)[2:] for row in weekday_activity(frame).collect()}
+    assert found == {
+        name: [len(rows), *kinds(rows), len({r["user_session"] for r in rows} - {None})]
+        for name, rows in weekdays.items()
+    }
+
+
+def test_revenue(frame):
+    sold = [r for r in ROWS if r["event_type"] == "purchase" and r["price"] and price_of(r) > 0]
+    found = {row[0]: list(row)[1:] for row in daily_revenue(frame).collect()}
+    assert found == {
+        date: [
+            float(sum(price_of(r) for r in rows)),
+            len(rows),
+            len({r["user_id"] for r in rows}),
+            mean([price_of(r) for r in rows]),
+        ]
+        for date, rows in grouped(sold, lambda r: r["event_time"] and r["event_time"].date()).items()
+    }

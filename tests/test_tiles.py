@@ -47,9 +47,3 @@ def test_one_value_for_all(spark):
 def test_null_key_is_a_row_like_others(spark):
     frame = spark.createDataFrame([(None, 1), (1, 1), (2, None), (3, 0)], "id bigint, m bigint")
     check(frame, ["m"], 4)
-
-
-def test_tops(spark):
-    frame = spark.createDataFrame([(1, 5, None), (2, 9, None)], "id bigint, a bigint, b bigint")
-    rows = rank_tiles(frame, "id", ["a", "b"]).collect()
-    assert {(row["a_top"], row["b_top"]) for row in rows} == {(9, None)}
