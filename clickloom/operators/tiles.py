@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.session import pin
@@ -13,49 +10,35 @@ from clickloom.session import pin
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def _start_rank(tile: int, rows: Column, tiles: int) -> Column:
-    """Zero-based rank at which a tile starts. The first ``rows % tiles`` tiles hold one more."""
-    earlier = F.lit(tile - 1)
-    return earlier * F.call_function("div", rows, F.lit(tiles)) + F.least(earlier, rows % tiles)
-
-
 def _start_places(placed: DataFrame, measures: int, tiles: int) -> DataFrame:
-    """(tile, place) of the row that each tile of each measure starts with.
+    """(slot, place) of the row that each tile of each measure starts with.
 
-    A row's rank is the size of the sort partitions before its own plus its position there.
-    After the first aggregate there is one row per sort partition.
+    Slots number the tiles of the first measure, then those of the second, and so on. A row's
+    rank is the size of the sort partitions before its own plus its position there. After the
+    first aggregate there is one row per sort partition.
     """
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    parts = (
-        placed.groupBy(F.shiftright("place", _ROW_BITS).alias("part"))
-        .agg(F.count("*").alias("size"))
-        .select(
+    parts = placed.groupBy(F.expr(f"shiftright(place, {_ROW_BITS})").alias("part")).agg(
+        F.count("*").alias("size")
+    )
+    return (
+        parts.selectExpr(
             "part",
             "size",
-            F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"),
-            F.call_function("div", F.sum("size").over(every), F.lit(measures)).alias("rows"),
+            """ifnull(sum(size) over (order by part rows between unbounded preceding
+                                      and 1 preceding), 0) as before""",
+            f"sum(size) over () div {measures} as rows",
         )
-    )
-    rows = F.col("rows")
-    starts = [
-        F.when(
-            _start_rank(tile, rows, tiles) < rows,
-            F.struct(
-                (rows * i + _start_rank(tile, rows, tiles) - F.col("before")).alias("position"),
-                F.lit(tile).alias("tile"),
+        .withColumn("slot", F.expr(f"explode(sequence(0, {measures * tiles - 1}))"))
+        # The first (rows % tiles) tiles hold one row more than the others.
+        .withColumn(
+            "start",
+            F.expr(
+                f"(slot % {tiles}) * (rows div {tiles}) + least(slot % {tiles}, rows % {tiles})"
             ),
         )
-        for i in range(measures)
-        for tile in range(1, tiles + 1)
-    ]
-    return (
-        parts.select("part", "size", F.explode(F.array(*starts)).alias("start"))
-        .filter((F.col("start.position") >= 0) & (F.col("start.position") < F.col("size")))
-        .select(
-            "start.tile",
-            (F.shiftleft("part", _ROW_BITS) + F.col("start.position")).alias("place"),
-        )
+        .withColumn("position", F.expr(f"(slot div {tiles}) * rows + start - before"))
+        .filter("start < rows and position >= 0 and position < size")
+        .selectExpr("slot", f"shiftleft(part, {_ROW_BITS}) + position as place")
     )
 
 
@@ -81,28 +64,19 @@ def rank_tiles(rows: DataFrame, key: str, measures: list[str], tiles: int = 5) -
     )
     # One row per measure and tile, so the broadcast side does not grow with the data.
     firsts = placed.join(F.broadcast(_start_places(placed, len(measures), tiles)), "place")
+    slots = range(len(measures) * tiles)
+    starts = firsts.selectExpr(
+        *[f"max(if(slot = {slot}, struct(value, key), null)) as slot_{slot}" for slot in slots]
+    )
 
-    def start(i: int, tile: int) -> str:
-        return f"start_{i}_{tile}"
-
-    slots = [(i, tile) for i in range(len(measures)) for tile in range(1, tiles + 1)]
-    starts = firsts.agg(
-        *[
-            F.max(F.when((F.col("m") == i) & (F.col("tile") == tile), F.struct("value", "key")))
-            .alias(start(i, tile))
-            for i, tile in slots
-        ]
-    ).select(F.struct(*[start(i, tile) for i, tile in slots]))
-
-    def tile_of(i: int, name: str) -> Column:
+    def tile_of(i: int, name: str) -> str:
         # Structs compare field by field with NULL as the smallest, which is the sort's order.
-        row = F.struct(F.col(name).alias("value"), F.col(key).alias("key"))
-        reached = [
-            F.coalesce((row >= F.col(f"starts.{start(i, tile)}")).cast("int"), F.lit(0))
-            for tile in range(1, tiles + 1)
-        ]
-        return reduce(add, reached).alias(f"{name}_tile")
-
-    return held.withColumn("starts", starts.scalar()).select(
-        key, *measures, *[tile_of(i, name) for i, name in enumerate(measures)]
+        row = f"struct(`{name}` as value, `{key}` as key)"
+        reached = [f"ifnull(int({row} >= starts.slot_{i * tiles + t}), 0)" for t in range(tiles)]
+        return f"{' + '.join(reached)} as `{name}_tile`"
+
+    return held.withColumn("starts", starts.select(F.struct("*")).scalar()).selectExpr(
+        f"`{key}`",
+        *[f"`{name}`" for name in measures],
+        *[tile_of(i, name) for i, name in enumerate(measures)],
     )
