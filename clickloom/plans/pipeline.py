@@ -8,7 +8,7 @@ import logging
 import traceback
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -57,23 +57,24 @@ def _audit(grid: DataFrame) -> DataFrame:
     )
 
 
-def _analyses(events: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+def _analyses(events: DataFrame, pool: ThreadPoolExecutor) -> dict[str, Callable[[], DataFrame]]:
     """What to run for each result table.
 
     Two pinned tables of at most a few thousand rows feed several results, so events are
-    scanned and sessions shuffled once for all of these.
+    scanned and sessions shuffled once for all of these. They are started first; the analyses
+    that need neither do not wait for them.
     """
-    grid = pin(activity_grid(events, AUDITED))
-    sessions = pin(session_profile(events))
+    grid = pool.submit(lambda: pin(activity_grid(events, AUDITED)))
+    sessions = pool.submit(lambda: pin(session_profile(events)))
     return {
-        AUDIT: lambda: _audit(grid),
-        FUNNEL: lambda: funnel_summary(events, sessions),
         RFM: lambda: rfm_segments(events),
         BRANDS: lambda: brand_category_insight(events),
         PRICES: lambda: price_sensitivity(events),
-        HOURS: lambda: hourly_activity(events, grid),
-        WEEKDAYS: lambda: weekday_activity(events, grid, sessions),
         REVENUE: lambda: daily_revenue(events),
+        HOURS: lambda: hourly_activity(events, grid.result()),
+        WEEKDAYS: lambda: weekday_activity(events, grid.result(), sessions.result()),
+        FUNNEL: lambda: funnel_summary(events, sessions.result()),
+        AUDIT: lambda: _audit(grid.result()),
     }
 
 
@@ -130,14 +131,18 @@ def run_pipeline(
     def write_log() -> None:
         sink.write(spark.createDataFrame(entries, RUN_LOG_SCHEMA), RUN_LOG, "append")
 
-    def each(work: Callable[[str], object], tables: list[str]) -> dict:
-        """Do one step for all tables; stops at the first one that failed."""
+    def each(pool: ThreadPoolExecutor, work: Callable[[str], object], tables: list[str]) -> dict:
+        """Do one step for all tables. When one fails, those not yet started are left out."""
         nonlocal current
+        running = {pool.submit(work, table): table for table in tables}
         done = {}
-        with ThreadPoolExecutor(parallel) as pool:
-            running = {table: pool.submit(work, table) for table in tables}
-            for current, step in running.items():
+        try:
+            for step in as_completed(running):
+                current = running[step]
                 done[current] = step.result()
+        finally:
+            for step in running:
+                step.cancel()
         return done
 
     try:
@@ -146,22 +151,25 @@ def run_pipeline(
             folders.append(folder)
         elif stage == "memory":
             source = cached = source.persist(StorageLevel.MEMORY_AND_DISK)
-        analyses = _analyses(clean(source, zone))
         results = fresh_folder(spark, "results")
         folders.append(results)
-        stored = each(
-            lambda table: _store(spark, analyses[table](), f"{results}/{table}"), list(analyses)
-        )
-
-        def load(table: str) -> None:
-            frame, rows = stored[table]
-            sink.write(frame, table)
-            loaded = sink.count(spark, table)
-            if loaded != rows:
-                raise RuntimeError(f"{table}: {rows} rows computed, {loaded} loaded")
-            note(table, "loaded", rows)
-
-        each(load, list(analyses))
+        with ThreadPoolExecutor(parallel) as pool:
+            analyses = _analyses(clean(source, zone), pool)
+
+            def compute(table: str) -> tuple[DataFrame, int]:
+                return _store(spark, analyses[table](), f"{results}/{table}")
+
+            stored = each(pool, compute, list(analyses))
+
+            def load(table: str) -> None:
+                frame, rows = stored[table]
+                sink.write(frame, table)
+                loaded = sink.count(spark, table)
+                if loaded != rows:
+                    raise RuntimeError(f"{table}: {rows} rows computed, {loaded} loaded")
+                note(table, "loaded", rows)
+
+            each(pool, load, list(analyses))
         current = RUN_LOG
         write_log()
     except Exception:
@@ -176,7 +184,7 @@ def run_pipeline(
         for folder in folders:
             with _warning(f"{folder} was not deleted"):
                 delete_folder(spark, folder)
-    return {table: sink.read(spark, table) for table in stored}
+    return {table: sink.read(spark, table) for table in analyses}
 
 
 def in_order(table: str, frame: DataFrame) -> DataFrame:

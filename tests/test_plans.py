@@ -58,11 +58,11 @@ def test_only_needed_columns_are_read(stored):
     assert {"event_type", "event_time"} in columns_read(plan(rfm_base(stored)))
 
 
-@pytest.mark.parametrize("name", LAZY)
+@pytest.mark.parametrize("name", [*LAZY, "rfm_segments"])
 def test_no_python_and_no_cartesian_product(spark, name):
     text = plan(driver.queries()[name](spark, SF_DIR))
     assert "Python" not in text and "Pandas" not in text
-    assert "CartesianProduct" not in text
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
 @pytest.mark.parametrize("name", WITHOUT_PRODUCTS)
