@@ -16,11 +16,18 @@ from clickloom.operators import activity, funnel, merchandise, rfm  # noqa: E402
 from clickloom.operators.clean import clean, null_audit, row_counts  # noqa: E402
 from clickloom.plans.pipeline import run_pipeline  # noqa: E402
 from clickloom.schema import EVENT_SCHEMA, RUN_LOG, TIME_PATTERN  # noqa: E402
-from clickloom.session import fresh_folder  # noqa: E402
+from clickloom.session import fresh_folder, set_folder_if_unset  # noqa: E402
 from clickloom.sources.events import read_events  # noqa: E402
 from clickloom.sources.fixture import read_fixture  # noqa: E402
 from clickloom.sources.sinks import ParquetSink  # noqa: E402
 
+try:
+    from clickloom.llm import queries as llm  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("clickloom.llm", "corpus_pipeline"):
+        raise
+    llm = None  # the subpackage is not there; everything else works without it
+
 CLEAN_COLUMNS = (
     "event_id",
     "event_time",
@@ -85,7 +92,20 @@ def _pipeline(stage: str, table: str | None = None):
     return run
 
 
+def _with_folder(query: Callable[[SparkSession, str], DataFrame]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        set_folder_if_unset(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    registered = _analyses() | (llm.queries() if llm else {})
+    return {name: _with_folder(query) for name, query in registered.items()}
+
+
+def _analyses() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "events_clean": _on(lambda e: e.select(*CLEAN_COLUMNS)),
         "null_audit": _on(null_audit),
@@ -284,6 +304,10 @@ def _logged(table: str, rows: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _analyses_sql() | (llm.oracle_sql() if llm else {})
+
+
+def _analyses_sql() -> dict[str, str]:
     columns = ", ".join(CLEAN_COLUMNS).replace("price,", "cast(price as double) as price,")
     return {
         "events_clean": f"{_EVENTS} select {columns} from clean",

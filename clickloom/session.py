@@ -65,18 +65,28 @@ def create_session(
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which every executor must be able to reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and
-    executors are one process, gets a temporary folder of its own when none is set.
+    ``spark.checkpoint.dir`` names it. There is no fallback: see ``set_folder_if_unset``.
     """
     context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder is None:
+    if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
+        if configured is None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="clickloom-"))
-        folder = context.getCheckpointDir()
-    return folder
+        context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def set_folder_if_unset(spark: SparkSession) -> None:
+    """For tests and trial runs in one process: a temporary folder where none is configured.
+
+    Refused where executors are processes of their own, since they could not see the folder.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="clickloom-"))
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
