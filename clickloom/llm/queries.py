@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm.line_dedup import LINES_SQL, dedup_lines
+from clickloom.llm.packing import pack
 from clickloom.llm.radix_dedup import RADIX_SQL, radix_groups
+from clickloom.llm.warc import WARC_SQL, read_archives, write_archives
+from clickloom.session import fresh_folder
+
+PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +31,39 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_groups(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file()).select(PACKED)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_archives(_table(spark, sf_dir, "pages"), fresh_folder(spark, "archives"))
+
+    def page(record: str):
+        return F.regexp_extract(record, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
+
+    return read_archives(manifest, with_payload=False).select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_packing": op6_packing,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op3_exact_dedup": RADIX_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op3_exact_dedup": RADIX_SQL, "op10_warc": WARC_SQL}
