@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm.line_dedup import LINES_SQL, dedup_lines
+from clickloom.llm.ngram_join import near_duplicates
 from clickloom.llm.packing import pack
 from clickloom.llm.radix_dedup import RADIX_SQL, radix_groups
 from clickloom.llm.warc import WARC_SQL, read_archives, write_archives
@@ -41,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file()).select(PACKED)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(_table(spark, sf_dir, "pages"), fresh_folder(spark, "archives"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op6_packing": op6_packing,
+        "op8_ngram_join": op8_ngram_join,
         "op10_warc": op10_warc,
     }
 
