@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.llm import cotraining, quality_rules
 from clickloom.llm.line_dedup import LINES_SQL, dedup_lines
 from clickloom.llm.ngram_join import near_duplicates
 from clickloom.llm.packing import pack
 from clickloom.llm.radix_dedup import RADIX_SQL, radix_groups
+from clickloom.llm.text import stored
 from clickloom.llm.warc import WARC_SQL, read_archives, write_archives
 from clickloom.session import fresh_folder
 
@@ -28,6 +30,29 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = stored(quality_rules.measure(documents).drop("text"), "measured")
+    cutoffs = quality_rules.fit_cutoffs(measured, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(measured, cutoffs).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = cotraining.fit(documents, _table(spark, sf_dir, "labels"))
+    scored = cotraining.score(documents, model)
+    return scored.select("doc_id", "p_text", "p_page", "p_quality", "kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_groups(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +89,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_quality_rules": op2_quality_rules,
+        "op5_quality_classifier": op5_quality_classifier,
         "op3_exact_dedup": op3_exact_dedup,
         "op6_packing": op6_packing,
         "op8_ngram_join": op8_ngram_join,
