@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import cotraining, quality_rules
+from clickloom.llm import cotraining, language_model, quality_rules
 from clickloom.llm.line_dedup import LINES_SQL, dedup_lines
 from clickloom.llm.ngram_join import near_duplicates
 from clickloom.llm.packing import pack
@@ -71,6 +71,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return language_model.score(documents, language_model.file_blocks())
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(_table(spark, sf_dir, "pages"), fresh_folder(spark, "archives"))
 
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op6_packing": op6_packing,
         "op8_ngram_join": op8_ngram_join,
+        "op9_language_model": op9_language_model,
         "op10_warc": op10_warc,
     }
 
