@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import cotraining, language_model, quality_rules
+from clickloom.llm import cotraining, language_model, pieces, quality_rules
 from clickloom.llm.line_dedup import LINES_SQL, dedup_lines
 from clickloom.llm.ngram_join import near_duplicates
 from clickloom.llm.packing import pack
+from clickloom.llm.quotes import link_quotes
 from clickloom.llm.radix_dedup import RADIX_SQL, radix_groups
 from clickloom.llm.text import stored
 from clickloom.llm.warc import WARC_SQL, read_archives, write_archives
@@ -63,6 +64,24 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tokenizer_file("piece_bpe_32k.model")
+    spoken = pieces.decoded(F.col("ids"), model)
+    return pieces.encode(documents, model).select(
+        "doc_id",
+        "ids",
+        "n_pieces",
+        "n_byte_pieces",
+        "log_score",
+        F.sha2(spoken, 256).alias("decoded_sha256"),
+    )
+
+
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file()).select(PACKED)
 
@@ -97,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op5_quality_classifier": op5_quality_classifier,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op7_quotation_linking": op7_quotation_linking,
         "op6_packing": op6_packing,
         "op8_ngram_join": op8_ngram_join,
         "op9_language_model": op9_language_model,
