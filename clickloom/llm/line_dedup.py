@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.text import LOWER, SPACES, UPPER, ascii_lower, shuffle_width, whole_text
+from clickloom.llm.text import LOWER, SPACES, UPPER, ascii_lower, whole_text
 from clickloom.session import fresh_folder
 
 HASH = ["h1", "h2"]
@@ -73,7 +73,8 @@ class LineRuns:
     def _write(self, rows: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
         writer = rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).format("parquet")
-        writer.option("path", f"{self.folder}/{name}").saveAsTable(name)
+        # Hashes do not compress.
+        writer.option("compression", "none").option("path", f"{self.folder}/{name}").saveAsTable(name)
         self.levels[level].append(name)
 
     def _compact(self, level: int) -> None:
@@ -112,7 +113,12 @@ def _without(lines: Column, gone: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 6, fanout: int = 4
+    docs: DataFrame,
+    min_chars: int = 20,
+    min_docs: int = 3,
+    batches: int = 6,
+    fanout: int = 4,
+    bucket_lines: int = 250_000,
 ) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) plus n_lines, n_dropped and kept_text.
 
@@ -126,7 +132,8 @@ def dedup_lines(
     Batches are ranges of doc_id, largest first, so that the first batch that has a key also has
     its keeper. Keys are compared by 128 bits of hash. Counts are aggregated before each shuffle; the
     join of lines with dropped keys may be split by Spark at a key that many lines share. Whole
-    texts move once, to meet the numbers of their dropped lines.
+    texts move once, to meet the numbers of their dropped lines. Runs have one bucket per
+    ``bucket_lines`` lines of the corpus.
     """
     spark = docs.sparkSession
     rows = docs.withColumns(
@@ -153,10 +160,11 @@ def dedup_lines(
         )
     )
     folder = fresh_folder(spark, "line-hashes")
-    keyed.write.partitionBy("batch").parquet(folder)
+    keyed.write.partitionBy("batch").option("compression", "none").parquet(folder)
     lines = spark.read.schema(keyed.schema).parquet(folder)
 
-    runs = LineRuns(spark, shuffle_width(docs), fanout, min_docs)
+    buckets = 1 + lines.count() // bucket_lines
+    runs = LineRuns(spark, buckets, fanout, min_docs)
     for batch in range(len(set(cuts or [])) + 1):
         runs.add(lines.filter(F.col("batch") == batch))
     dropped = runs.totals().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper")
