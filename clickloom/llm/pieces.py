@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.text import Memo, as_bytes
+from clickloom.llm.text import Memo, as_bytes, kept_by_worker
 
 # Fixed values of the format.
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0  # below the lowest score of a piece
 UNKNOWN_TEXT = " ⁇ ".encode()
 
-RUN = re.compile(rb" *[^ ]+| +")  # white space stays with what follows it
+# White space stays with what follows it, unless that is a newline, which no usual piece has.
+RUN = re.compile(rb"\n| *[^ \n]+| +")
+TAIL = b".,!?;:|*$%&#"
 
 
 class DoubleArray:
@@ -113,8 +116,13 @@ class Pieces:
         self.lowest = min(scores[at] for at in normal) - UNKNOWN_PENALTY
         self.trie = DoubleArray({names[at]: at for at in normal})
         self.has_bytes = len(bytes_) == 256
-        # Then the best path never crosses from other characters into white space.
-        self.splits = not any(MARK in names[at].replace(MARK, b" ").strip(b" ").replace(b" ", MARK) for at in normal)
+        marks = TAIL.decode()
+        inner = [names[at].decode().replace("▁", " ").lstrip(" ") for at in normal]
+        # Then the best path never crosses into white space, over a newline, or from a letter to a mark.
+        self.splits = not any(
+            " " in name or "\n" in name or any(a.isalpha() and b in marks for a, b in pairwise(name))
+            for name in inner
+        )
         self.spoken = [
             bytes([bytes_[at]])
             if at in bytes_
@@ -170,6 +178,14 @@ class Pieces:
             at = start
         return np.array(ids[::-1], "<i4").tobytes(), score[end], n_bytes
 
+    def best_of_run(self, run: bytes, known: Memo) -> tuple[bytes, float, int]:
+        """Like ``best`` for one of ``runs``; a word and the marks after it are looked up apart."""
+        stem = run.rstrip(TAIL)
+        if self.splits and len(stem) < len(run) and stem[-4:].decode(errors="ignore")[-1:].isalpha():
+            one, two = known[stem], known[run[len(stem) :]]
+            return one[0] + two[0], one[1] + two[1], one[2] + two[2]
+        return self.best(run.replace(b" ", MARK))
+
     def runs(self, text: bytes) -> list[bytes]:
         """Parts of a text that are segmented each for itself."""
         if not text:
@@ -188,15 +204,17 @@ def encode(docs: DataFrame, model_file: str, scores: list[float] | None = None)
 
     NULL and empty texts have no pieces and score 0. Columns of the same names are replaced. The
     text is taken as it is: a space becomes the marker, one marker goes in front. A character that is the marker
-    itself counts as a space. Words are segmented once per task and looked up after that; the vocabulary travels with the tasks and
+    itself counts as a space. Words are segmented once per worker and looked up after that; the vocabulary travels with the tasks and
     does not grow with the data.
     """
     names = ["ids", "n_pieces", "n_byte_pieces", "log_score"]
     kept = docs.drop(*names)
     pieces = Pieces(model_file, scores)
+    vocabulary = ("pieces", model_file, scores and tuple(scores))
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(lambda run: pieces.best(run.replace(b" ", MARK)), 1 << 19)
+        known = kept_by_worker(vocabulary, lambda: Memo(None))
+        known.of = lambda run: pieces.best_of_run(run, known)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)

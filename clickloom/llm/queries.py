@@ -7,18 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clickloom.llm import cotraining, language_model, pieces, quality_rules
 from clickloom.llm.line_dedup import LINES_SQL, dedup_lines
 from clickloom.llm.ngram_join import near_duplicates
-from clickloom.llm.packing import pack
+from clickloom.llm.packing import PACKED, pack
 from clickloom.llm.quotes import link_quotes
 from clickloom.llm.radix_dedup import RADIX_SQL, radix_groups
-from clickloom.llm.text import stored
+from clickloom.llm.text import stored, tokenizer_file
 from clickloom.llm.warc import WARC_SQL, read_archives, write_archives
 from clickloom.session import fresh_folder
 
-PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,12 +57,6 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_groups(_table(spark, sf_dir, "documents"))
 
 
-def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_file("piece_bpe_32k.model")
@@ -83,7 +76,7 @@ def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), tokenizer_file()).select(PACKED)
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).select(PACKED)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_language_model": op9_language_model,
         "op10_warc": op10_warc,
+        "pipeline": corpus_pipeline.run,
     }
 
 

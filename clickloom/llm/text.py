@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import string
+import sys
+import types
+from collections.abc import Callable, Hashable
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,13 @@ SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is, on the driver and on all workers alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def whole_text(text: str = "text") -> Column:
     """The text of a row; NULL counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))
@@ -51,6 +61,17 @@ class Memo(dict):
             self.clear()
 
 
+def kept_by_worker(name: Hashable, make: Callable[[], object]):
+    """Made once per Python worker and used by all tasks that it runs.
+
+    Globals of this package would not do: tasks bring copies of their own.
+    """
+    home = sys.modules.setdefault("_clickloom_worker", types.ModuleType("_clickloom_worker"))
+    if name not in home.__dict__:
+        home.__dict__[name] = make()
+    return home.__dict__[name]
+
+
 def word_hashes() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
