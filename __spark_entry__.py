@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 import sys
 from collections.abc import Callable
@@ -15,10 +16,22 @@ from clickloom.functions.clickstream import wall_clock  # noqa: E402
 from clickloom.operators import activity, funnel, merchandise, rfm  # noqa: E402
 from clickloom.operators.clean import clean, null_audit, row_counts  # noqa: E402
 from clickloom.plans.pipeline import run_pipeline  # noqa: E402
-from clickloom.schema import EVENT_SCHEMA, RUN_LOG, TIME_PATTERN  # noqa: E402
+from clickloom.schema import (  # noqa: E402
+    AUDIT,
+    BRANDS,
+    EVENT_SCHEMA,
+    FUNNEL,
+    HOURS,
+    PRICES,
+    REVENUE,
+    RFM,
+    RUN_LOG,
+    SEGMENTS,
+    WEEKDAYS,
+)
 from clickloom.session import fresh_folder, set_folder_if_unset  # noqa: E402
 from clickloom.sources.events import read_events  # noqa: E402
-from clickloom.sources.fixture import read_fixture  # noqa: E402
+from clickloom.sources.fixture import FINE_PRICE, PRICE, read_fixture  # noqa: E402
 from clickloom.sources.sinks import ParquetSink  # noqa: E402
 
 try:
@@ -50,18 +63,66 @@ CLEAN_COLUMNS = (
 )
 
 
-def _on(analysis: Callable[[DataFrame], DataFrame]):
+# Fixed value: the day of the one-day query.
+ONE_DAY = datetime.date(2024, 1, 15)
+
+
+def _on(analysis: Callable[[DataFrame], DataFrame], price: str = PRICE):
     """A query that runs one analysis on the cleaned test events."""
-    return lambda spark, sf_dir: analysis(clean(read_fixture(spark, sf_dir)))
+    return lambda spark, sf_dir: analysis(clean(read_fixture(spark, sf_dir, price)))
 
 
-def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the test events as CSV the way shops export them, read them back and clean them."""
-    folder = fresh_folder(spark, "csv")
-    events = read_fixture(spark, sf_dir).select(EVENT_SCHEMA.names)
+def _as_text(events: DataFrame) -> DataFrame:
+    """Events with times as shops export them, to the whole second: the layout has no more."""
     written = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss 'UTC'")
-    events.withColumn("event_time", written).write.option("header", "true").csv(folder)
-    scanned = read_events(spark, folder)
+    return events.withColumns({"event_time": written, "_index": F.col("event_id")})
+
+
+def _exported(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Events written as CSV, columns in another order and one more, and read back."""
+    folder = fresh_folder(spark, "csv")
+    events.select("_index", *sorted(EVENT_SCHEMA.names)).write.option("header", "true").csv(folder)
+    return read_events(spark, folder)
+
+
+def _csv_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a CSV file in which some times, prices and users are not what they should be."""
+    events = _as_text(read_fixture(spark, sf_dir))
+    planted = {
+        "event_time": F.expr("if(event_id % 13 = 0, 'soon', event_time)"),
+        "price": F.expr("if(event_id % 17 = 0, 'oops', cast(price as string))"),
+        "user_id": F.expr("if(event_id % 19 = 0, concat('u', user_id), cast(user_id as string))"),
+    }
+    return null_audit(clean(_exported(spark, events.withColumns(planted))))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test events as other jobs leave them: Parquet, instants, prices as doubles, more columns."""
+    folder = fresh_folder(spark, "parquet")
+    events = read_fixture(spark, sf_dir).withColumns(
+        {"event_time": F.col("event_time").cast("timestamp"), "price": F.col("price").cast("double")}
+    )
+    events.write.parquet(folder)
+    return clean(read_events(spark, folder, "parquet"))
+
+
+def _parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers from stored events; the purchase filter reaches the scan."""
+    return rfm.rfm_base(_stored(spark, sf_dir))
+
+
+def _revenue_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day of stored events; its range of instants reaches the scan."""
+    events = _stored(spark, sf_dir)
+    return activity.daily_revenue(events.filter(F.col("date") == F.lit(ONE_DAY)))
+
+
+def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the test events as CSV, read them back by their header and clean them.
+
+    Without event_id, which the layout does not have.
+    """
+    scanned = _exported(spark, _as_text(read_fixture(spark, sf_dir)))
     kind = scanned.schema["event_time"].dataType
     return (
         clean(scanned)
@@ -79,7 +140,7 @@ def _parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.read(spark, "daily_revenue")
 
 
-def _pipeline(stage: str, table: str | None = None):
+def _pipeline(stage: str | None, table: str | None = None):
     """The whole run on the test events; returns one of its tables, or its log."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +189,22 @@ def _analyses() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "daily_revenue": _on(activity.daily_revenue),
         "csv_scan": _csv_scan,
         "parquet_round_trip": _parquet_round_trip,
-        "run_log": _pipeline("none"),
-        "pipeline_weekdays": _pipeline("table", "tbl_daily_activity"),
+        "price_brackets_fine": _on(merchandise.price_sensitivity, FINE_PRICE),
+        "daily_revenue_fine": _on(activity.daily_revenue, FINE_PRICE),
+        "rfm_as_of": _on(lambda e: rfm.rfm_segments(e, ONE_DAY)),
+        "csv_bad_lines": _csv_bad_lines,
+        "parquet_scan": _parquet_scan,
+        "revenue_of_day": _revenue_of_day,
+        "run_log": _pipeline(None),
+        "pipeline_weekdays": _pipeline("table", WEEKDAYS),
+        "pipeline_hours": _pipeline("memory", HOURS),
+        "pipeline_funnel": _pipeline("none", FUNNEL),
+        "pipeline_audit": _pipeline("table", AUDIT),
+        "pipeline_rfm": _pipeline("none", RFM),
+        "pipeline_segments": _pipeline("memory", SEGMENTS),
+        "pipeline_brands": _pipeline("memory", BRANDS),
+        "pipeline_prices": _pipeline("table", PRICES),
+        "pipeline_revenue": _pipeline("none", REVENUE),
     }
 
 
@@ -139,7 +214,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 # --- SQL side -----------------------------------------------------------------------------
 
-_EVENTS = """
+# Weekday, bracket and segment labels and their bounds, as in
+# clickloom/functions/clickstream.py.
+
+
+def _fixture(price: str) -> str:
+    return f"""
 with keyed as (
   select e.*, cast(regexp_extract(props, '"k":\\s*(\\d+)', 1) as bigint) as k from events e
 ),
@@ -153,16 +233,16 @@ raw as (
          when k % 5 = 0 then lower(p_type)
          else lower(p_type) || '.' || split_part(p_name, ' ', 2) end as category_code,
     case when k % 10 = 3 then null else p_brand end as brand,
-    cast(case when event_id % 97 = 0 then null
-              when event_id % 50 = 0 then 0
-              else cast(value as decimal(12,2)) * 3 end as decimal(18,2)) as price,
+    case when event_id % 97 = 0 then null
+         when event_id % 50 = 0 then 0
+         else {price} end as price,
     user_id,
     case when event_id % 101 = 0 then null
          else cast(user_id as varchar) || '-' || strftime(ts, '%Y%m%d') end as user_session
   from keyed left join part on p_partkey = k
 ),
 clean as (
-  select *, cast(price * 100 as bigint) as cents,
+  select *, cast(price * 1000000 as bigint) as micros,
     cast(year(event_time) as integer) as year,
     cast(month(event_time) as integer) as month,
     cast(dayofweek(event_time) + 1 as integer) as day_of_week,
@@ -171,13 +251,17 @@ clean as (
     case dayofweek(event_time) when 0 then 'Sunday' when 1 then 'Monday' when 2 then 'Tuesday'
       when 3 then 'Wednesday' when 4 then 'Thursday' when 5 then 'Friday' when 6 then 'Saturday'
       end as day_name,
-    nullif(split_part(category_code, '.', 1), '') as category_main,
-    nullif(split_part(category_code, '.', 2), '') as category_sub
+    split_part(category_code, '.', 1) as category_main,
+    case when category_code like '%.%' then split_part(category_code, '.', 2) end as category_sub
   from raw
 )
 """
 
 
+_EVENTS = _fixture(PRICE)
+_FINE_EVENTS = _fixture(FINE_PRICE)
+
+
 def _half_up(numerator: str, denominator: str) -> str:
     n, d = numerator, denominator
     return f"((2 * cast({n} as bigint) + cast({d} as bigint)) // (2 * nullif({d}, 0))) / 100.0"
@@ -187,12 +271,12 @@ def _percent(part: str, whole: str) -> str:
     return f"cast({_half_up(f'10000 * ({part})', whole)} as double)"
 
 
-def _money(cents: str) -> str:
-    return f"cast({cents} as bigint) / cast(100.0 as double)"
+def _money(micros: str) -> str:
+    return f"cast({_half_up(micros, '10000')} as double)"
 
 
-def _mean(cents: str, count: str) -> str:
-    return f"cast({_half_up(cents, count)} as double)"
+def _mean(micros: str, count: str) -> str:
+    return f"cast({_half_up(micros, f'10000 * {count}')} as double)"
 
 
 def _events(kind: str) -> str:
@@ -232,18 +316,29 @@ base as (
     cast((select max(date) from clean where event_type = 'purchase') - max(date) as integer)
       as recency_days,
     count(*) as frequency,
-    cast(sum(cents) as bigint) as cents
+    cast(sum(micros) as bigint) as micros
   from clean where event_type = 'purchase' group by user_id
 )
 """
 
-_SEGMENTS = f""",
+_CUSTOMERS_AS_OF = f""",
+base as (
+  select user_id, cast(date '{ONE_DAY}' - max(date) as integer) as recency_days,
+    count(*) as frequency, cast(sum(micros) as bigint) as micros
+  from clean
+  where event_type = 'purchase' and (date is null or date <= date '{ONE_DAY}')
+  group by user_id
+)
+"""
+
+_SCORED = f""",
 scored as (
-  select user_id, recency_days, frequency, {_money("cents")} as monetary,
+  select user_id, recency_days, frequency, {_money("micros")} as monetary,
     cast(ntile(5) over (order by recency_days desc nulls first, user_id nulls first) as integer)
       as r_score,
     cast(ntile(5) over (order by frequency, user_id nulls first) as integer) as f_score,
-    cast(ntile(5) over (order by cents nulls first, user_id nulls first) as integer) as m_score
+    cast(ntile(5) over (order by {_money("micros")} nulls first, user_id nulls first) as integer)
+      as m_score
   from base
 ),
 segments as (
@@ -262,8 +357,8 @@ _BRANDS = f""",
 brands as (
   select brand, category_main, {_events("view")} as total_views,
     {_events("cart")} as total_carts, {_events("purchase")} as total_purchases,
-    {_money("sum(case when event_type = 'purchase' then cents else 0 end)")} as total_revenue,
-    {_mean("sum(cents)", "count(cents)")} as avg_price,
+    {_money("sum(case when event_type = 'purchase' then micros else 0 end)")} as total_revenue,
+    {_mean("sum(micros)", "count(micros)")} as avg_price,
     count(distinct user_id) as unique_users,
     coalesce({_percent(_events("purchase"), _events("view"))}, 0) as view_to_purchase_rate
   from clean where brand is not null and category_code is not null
@@ -287,13 +382,37 @@ _ACTIVITY = f"""count(*) as total_events, {_events("view")} as views,
 
 _REVENUE = f""",
 revenue as (
-  select date, {_money("sum(cents)")} as daily_revenue, count(*) as total_purchases,
-    count(distinct user_id) as unique_buyers, {_mean("sum(cents)", "count(*)")} as avg_order_value
+  select date, {_money("sum(micros)")} as daily_revenue, count(*) as total_purchases,
+    count(distinct user_id) as unique_buyers, {_mean("sum(micros)", "count(*)")} as avg_order_value
   from clean where event_type = 'purchase' and price > 0 group by date
 )
 """
 
-_WEEKDAYS = f"""
+_BY_BRACKET = f"""
+select price_bracket, count(*) as total_events, {_events("view")} as views,
+  {_events("purchase")} as purchases, {_mean("sum(micros)", "count(*)")} as avg_price,
+  count(distinct product_id) as distinct_products,
+  coalesce({_percent(_events("purchase"), _events("view"))}, 0) as purchase_rate_pct
+from priced group by price_bracket
+"""
+
+_BY_HOUR = f"""
+select hour, {_ACTIVITY}, count(distinct user_id) as unique_users from clean group by hour
+"""
+
+
+def _audit(table: str, bad_lines: str) -> str:
+    nulls = ", ".join(
+        f"count(*) filter (where {name} is null) as null_{name}" for name in EVENT_SCHEMA.names
+    )
+    return f"select count(*) as row_count, {nulls}, {bad_lines} as bad_lines from {table}"
+
+
+_AUDIT = _audit("clean", "cast(0 as bigint)")
+
+_DISTRIBUTION = "select segment, count(*) as count from segments group by segment"
+
+_BY_WEEKDAY = f"""
 select day_of_week, day_name, {_ACTIVITY}, count(distinct user_session) as unique_sessions
 from clean group by day_of_week, day_name
 """
@@ -311,38 +430,38 @@ def _analyses_sql() -> dict[str, str]:
     columns = ", ".join(CLEAN_COLUMNS).replace("price,", "cast(price as double) as price,")
     return {
         "events_clean": f"{_EVENTS} select {columns} from clean",
-        "null_audit": f"""{_EVENTS}
-            select count(*) as row_count,
-              count(*) filter (where event_time is null) as null_event_time,
-              count(*) filter (where category_code is null) as null_category_code,
-              count(*) filter (where brand is null) as null_brand,
-              count(*) filter (where price is null) as null_price,
-              count(*) filter (where user_session is null) as null_user_session
-            from clean""",
+        "null_audit": f"{_EVENTS} {_AUDIT}",
         "row_counts": f"{_EVENTS} select event_type, count(*) as total_events from clean group by 1",
         "session_flags": f"{_EVENTS}{_FLAGS} select * from flags",
         "funnel_summary": f"{_EVENTS}{_FLAGS}{_FUNNEL}",
         "rfm_base": f"""{_EVENTS}{_CUSTOMERS}
-            select user_id, recency_days, frequency, {_money("cents")} as monetary from base""",
-        "rfm_segments": f"{_EVENTS}{_CUSTOMERS}{_SEGMENTS} select * from segments",
-        "rfm_segment_distribution": f"""{_EVENTS}{_CUSTOMERS}{_SEGMENTS}
-            select segment, count(*) as count from segments group by segment""",
+            select user_id, recency_days, frequency, {_money("micros")} as monetary from base""",
+        "rfm_segments": f"{_EVENTS}{_CUSTOMERS}{_SCORED} select * from segments",
+        "rfm_segment_distribution": f"{_EVENTS}{_CUSTOMERS}{_SCORED} {_DISTRIBUTION}",
+        "rfm_as_of": f"{_EVENTS}{_CUSTOMERS_AS_OF}{_SCORED} select * from segments",
+        "parquet_scan": f"""{_EVENTS}{_CUSTOMERS}
+            select user_id, recency_days, frequency, {_money("micros")} as monetary from base""",
+        "revenue_of_day": f"{_EVENTS}{_REVENUE} select * from revenue where date = date '{ONE_DAY}'",
+        "csv_bad_lines": f"""{_EVENTS},
+            planted as (
+              select * replace (
+                if(event_id % 13 = 0, null, event_time) as event_time,
+                if(event_id % 17 = 0, null, price) as price,
+                if(event_id % 19 = 0, null, user_id) as user_id),
+                event_id % 13 = 0 or event_id % 17 = 0 or event_id % 19 = 0 as bad
+              from clean)
+            {_audit("planted", "count(*) filter (where bad)")}""",
         "brand_category_insight": f"{_EVENTS}{_BRANDS} select * from brands",
         "top_brands": f"""{_EVENTS}{_BRANDS}
             select * from brands order by total_revenue desc nulls last, brand, category_main
             limit 10""",
         "price_bracketed": f"""{_EVENTS}{_BRACKETS}
             select event_id, cast(price as double) as price, price_bracket from priced""",
-        "price_sensitivity": f"""{_EVENTS}{_BRACKETS}
-            select price_bracket, count(*) as total_events, {_events("view")} as views,
-              {_events("purchase")} as purchases, {_mean("sum(cents)", "count(*)")} as avg_price,
-              count(distinct product_id) as distinct_products,
-              coalesce({_percent(_events("purchase"), _events("view"))}, 0) as purchase_rate_pct
-            from priced group by price_bracket""",
-        "hourly_activity": f"""{_EVENTS}
-            select hour, {_ACTIVITY}, count(distinct user_id) as unique_users
-            from clean group by hour""",
-        "weekday_activity": f"{_EVENTS}{_WEEKDAYS}",
+        "price_sensitivity": f"{_EVENTS}{_BRACKETS}{_BY_BRACKET}",
+        "price_brackets_fine": f"{_FINE_EVENTS}{_BRACKETS}{_BY_BRACKET}",
+        "daily_revenue_fine": f"{_FINE_EVENTS}{_REVENUE} select * from revenue",
+        "hourly_activity": f"{_EVENTS}{_BY_HOUR}",
+        "weekday_activity": f"{_EVENTS}{_BY_WEEKDAY}",
         "daily_revenue": f"{_EVENTS}{_REVENUE} select * from revenue",
         "csv_scan": f"""{_EVENTS}
             select date_trunc('second', event_time) as event_time, event_type, product_id,
@@ -352,8 +471,11 @@ def _analyses_sql() -> dict[str, str]:
         "parquet_round_trip": f"{_EVENTS}{_REVENUE} select * from revenue",
         "run_log": " union all ".join(
             [
-                f"{_EVENTS}{_CUSTOMERS}{_BRANDS}{_BRACKETS}{_REVENUE}"
+                f"{_EVENTS}{_CUSTOMERS}{_SCORED}{_BRANDS}{_BRACKETS}{_REVENUE}"
                 + _logged("tbl_event_audit", "1"),
+                _logged(
+                    "tbl_rfm_segment_distribution", "select count(distinct segment) from segments"
+                ),
                 _logged("tbl_funnel_analysis", "1"),
                 _logged("tbl_rfm_segments", "select count(*) from base"),
                 _logged("tbl_brand_category_insight", "select count(*) from brands"),
@@ -371,5 +493,13 @@ def _analyses_sql() -> dict[str, str]:
                 _logged("tbl_daily_revenue", "select count(*) from revenue"),
             ]
         ),
-        "pipeline_weekdays": f"{_EVENTS}{_WEEKDAYS}",
+        "pipeline_weekdays": f"{_EVENTS}{_BY_WEEKDAY}",
+        "pipeline_hours": f"{_EVENTS}{_BY_HOUR}",
+        "pipeline_funnel": f"{_EVENTS}{_FLAGS}{_FUNNEL}",
+        "pipeline_audit": f"{_EVENTS} {_AUDIT}",
+        "pipeline_rfm": f"{_EVENTS}{_CUSTOMERS}{_SCORED} select * from segments",
+        "pipeline_segments": f"{_EVENTS}{_CUSTOMERS}{_SCORED} {_DISTRIBUTION}",
+        "pipeline_brands": f"{_EVENTS}{_BRANDS} select * from brands",
+        "pipeline_prices": f"{_EVENTS}{_BRACKETS}{_BY_BRACKET}",
+        "pipeline_revenue": f"{_EVENTS}{_REVENUE} select * from revenue",
     }

@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame
 
 from clickloom.plans.pipeline import STAGES, preview, run_pipeline
-from clickloom.session import create_session
+from clickloom.session import create_session, input_size, size_shuffles
 from clickloom.sources.events import read_events
 from clickloom.sources.sinks import JdbcSink, ParquetSink, Sink
 
@@ -26,9 +26,9 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--jdbc-driver", help="class name of the database driver")
     parser.add_argument("--jdbc-user")
     parser.add_argument("--jdbc-password-from", help="environment variable with the password")
-    parser.add_argument("--stage", choices=STAGES, help="default: table for csv, none for parquet")
+    parser.add_argument("--stage", choices=STAGES, help="default: table for csv, none for other input")
     parser.add_argument("--zone", default="UTC", help="time zone of hours and dates")
-    parser.add_argument("--input-bytes", type=int, help="size of the input, to size shuffles")
+    parser.add_argument("--input-bytes", type=int, help="size of the input, to size shuffles; else from the listing")
     parser.add_argument("--preview", action="store_true", help="print the tables")
     return parser.parse_args(argv)
 
@@ -46,12 +46,13 @@ def _sink(args: argparse.Namespace) -> Sink:
 
 def main(argv: list[str] | None = None) -> dict[str, DataFrame]:
     args = _arguments(argv)
-    spark = create_session(input_bytes=args.input_bytes)
+    spark = create_session()
+    size_shuffles(spark, args.input_bytes or input_size(spark, args.input))
     tables = run_pipeline(
         spark,
         read_events(spark, args.input, args.format),
         _sink(args),
-        stage=args.stage or ("table" if args.format == "csv" else "none"),
+        stage=args.stage,
         zone=args.zone,
     )
     if args.preview:

@@ -50,9 +50,13 @@ def parsed_time(time: Column, kind: T.DataType) -> Column:
     return F.try_to_timestamp(time, F.lit(TIME_PATTERN)) if kind == T.StringType() else time
 
 
-def wall_clock(time: Column, kind: T.DataType, zone: str) -> Column:
-    """The clock reading of an instant in ``zone``, whatever the session's own zone is."""
-    if kind == T.TimestampNTZType():
+def wall_clock(time: Column, kind: T.DataType, zone: str, session_zone: str | None = None) -> Column:
+    """The clock reading of an instant in ``zone``, whatever the session's own zone is.
+
+    Where that is the same zone the instant itself will do: Spark reads its calendar in the
+    zone that the session has when the expression is made, and dates reach the scan.
+    """
+    if kind == T.TimestampNTZType() or zone == session_zone:
         return time
     utc = F.timestamp_add(
         "MICROSECOND", F.unix_micros(time), F.expr("timestamp_ntz'1970-01-01 00:00:00'")
@@ -75,9 +79,9 @@ def sub_category(code: Column) -> Column:
     return F.get(F.split(code, r"\."), F.lit(1))
 
 
-def price_bracket_number(cents: Column) -> Column:
+def price_bracket_number(price: Column) -> Column:
     """0 for the cheapest bracket; each holds its lower bound and not its upper one."""
-    steps = [(cents >= bound * 100).cast("int") for _, bound in PRICE_BRACKETS[1:]]
+    steps = [(price >= bound).cast("int") for _, bound in PRICE_BRACKETS[1:]]
     return reduce(add, steps)
 
 

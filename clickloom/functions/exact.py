@@ -1,13 +1,18 @@
 """Money, means and percentages on integers, so that results do not depend on row order.
 
-Money is whole cents in a bigint: integer sums are exact and need no decimal buffers. Doubles
-appear only in the last step, when a finished number is divided by 100.
+Sums of money are counted in millionths, in a bigint: integer sums are exact and need no decimal
+buffers. Filters and brackets look at the price as it is. Results are rounded to cents, and doubles
+appear only in the last step, when a finished number of cents is divided by 100.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MICROS = 1_000_000
+CENT = MICROS // 100
 
 
 def _half_up(numerator: Column, denominator: Column) -> Column:
@@ -17,19 +22,35 @@ def _half_up(numerator: Column, denominator: Column) -> Column:
     )
 
 
-def to_cents(price: Column) -> Column:
-    """Price in any input form to whole cents; NULL where it is no number."""
-    return (price.try_cast("decimal(18,2)") * 100).cast("bigint")
+def number(price: Column, kind: T.DataType) -> Column:
+    """A price as it was read, text as an exact decimal; NULL where it is no number."""
+    return price.try_cast("decimal(38,18)") if kind == T.StringType() else price
+
+
+def to_micros(price: Column) -> Column:
+    """A price in whole millionths, to add up; the 7th decimal is rounded."""
+    return (price.try_cast("decimal(18,6)") * MICROS).cast("bigint")
+
 
+def to_cents(micros: Column) -> Column:
+    """Millionths in whole cents, ties away from zero."""
+    size = _half_up(F.abs(micros), F.lit(CENT))
+    return F.when(micros < 0, -size).otherwise(size)
 
-def money(cents: Column) -> Column:
+
+def in_cents(cents: Column) -> Column:
     return cents / F.lit(100.0)
 
 
-def mean_money(total_cents: Column, count: Column) -> Column:
+def money(micros: Column) -> Column:
+    """Millionths as a double of two decimals."""
+    return in_cents(to_cents(micros))
+
+
+def mean_money(total_micros: Column, count: Column) -> Column:
     """Mean price to two decimals, ties away from zero; NULL when nothing was counted."""
-    size = _half_up(F.abs(total_cents), count)
-    return money(F.when(total_cents < 0, -size).otherwise(size))
+    size = _half_up(F.abs(total_micros), count * CENT)
+    return in_cents(F.when(total_micros < 0, -size).otherwise(size))
 
 
 def percent(part: Column, whole: Column) -> Column:

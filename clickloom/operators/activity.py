@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.clickstream import CART, PURCHASE, VIEW, count_events, is_event, weekday_name
 from clickloom.functions.exact import mean_money, money
-from clickloom.operators.clean import null_counts
+from clickloom.operators.clean import bad_lines, null_counts
 from clickloom.operators.funnel import session_masks
 from clickloom.operators.masks import members_per_slot, seen_slots
 
@@ -19,14 +19,15 @@ MEASURES = ("total_events", "views", "carts", "purchases")
 def activity_grid(events: DataFrame, audited: tuple[str, ...] = ()) -> DataFrame:
     """Event counts per hour and weekday: 25 x 8 rows at most, in one pass.
 
-    Adds the NULLs of ``audited`` columns, so that the audit needs no pass of its own.
+    Adds the NULLs of ``audited`` columns and bad lines, so that the audit needs no pass of its own.
     """
+    audit = [*null_counts(audited), bad_lines(events)] if audited else []
     return events.groupBy("hour", "day_of_week").agg(
         F.count("*").alias("total_events"),
         count_events(VIEW).alias("views"),
         count_events(CART).alias("carts"),
         count_events(PURCHASE).alias("purchases"),
-        *null_counts(audited),
+        *audit,
     )
 
 
@@ -36,18 +37,44 @@ def _totals(grid: DataFrame, slot: str, missing: int) -> DataFrame:
     )
 
 
-def hourly_activity(events: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+def _hours() -> Column:
+    return seen_slots(F.coalesce(F.col("hour"), F.lit(NO_HOUR)))
+
+
+def user_days(events: DataFrame) -> DataFrame:
+    """What users did: one row per user for all other events, and one per day with purchases.
+
+    Hourly users, customers and daily revenue can all start from it, so that events are scanned
+    and shuffled by user once for the three. Purchases without a time have a NULL date.
+    """
+    paid = F.col("price_read") > 0
+    bought = F.coalesce(is_event(PURCHASE), F.lit(False))
+    return events.groupBy(
+        "user_id", bought.alias("bought"), F.when(bought, F.col("date")).alias("date")
+    ).agg(
+        _hours().alias("hours"),
+        F.count("*").alias("events"),
+        F.sum("price_micros").alias("micros"),
+        F.count_if(paid).alias("paid"),
+        F.sum(F.when(paid, F.col("price_micros"))).alias("paid_micros"),
+    )
+
+
+def hourly_activity(
+    events: DataFrame, grid: DataFrame | None = None, days: DataFrame | None = None
+) -> DataFrame:
     """Events and distinct users per hour of day; events without a time form a NULL hour.
 
-    Distinct within an hour, so hours do not add up to the number of users. ``grid`` takes a
-    ready ``activity_grid``.
+    Distinct within an hour, so hours do not add up to the number of users. ``grid`` and ``days``
+    take a ready ``activity_grid`` and ``user_days``.
     """
     if grid is None:
         grid = activity_grid(events)
+    seen = events if days is None else days
     users = (
-        events.filter(F.col("user_id").isNotNull())
+        seen.filter(F.col("user_id").isNotNull())
         .groupBy("user_id")
-        .agg(seen_slots(F.coalesce(F.col("hour"), F.lit(NO_HOUR))).alias("hours"))
+        .agg((_hours() if days is None else F.bit_or("hours")).alias("hours"))
         .withColumn("users", F.lit(1).cast("bigint"))
     )
     per_hour = members_per_slot(users, "hours", NO_HOUR + 1, "users", "unique_users")
@@ -83,21 +110,32 @@ def weekday_activity(
     )
 
 
-def daily_revenue(events: DataFrame) -> DataFrame:
-    """Revenue, purchases and buyers per date, from purchases with a price above zero."""
-    sold = events.filter(is_event(PURCHASE) & (F.col("price_cents") > 0))
-    return (
-        sold.groupBy("date")
-        .agg(
-            F.sum("price_cents").alias("cents"),
+def daily_revenue(events: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Revenue, purchases and buyers per date, from purchases with a price above zero.
+
+    ``days`` takes a ready ``user_days``, which has one row per buyer and date.
+    """
+    if days is None:
+        sold = events.filter(is_event(PURCHASE) & (F.col("price_read") > 0))
+        totals = sold.groupBy("date").agg(
+            F.sum("price_micros").alias("micros"),
             F.count("*").alias("total_purchases"),
             F.countDistinct("user_id").alias("unique_buyers"),
         )
-        .select(
-            "date",
-            money(F.col("cents")).alias("daily_revenue"),
-            "total_purchases",
-            "unique_buyers",
-            mean_money(F.col("cents"), F.col("total_purchases")).alias("avg_order_value"),
+    else:
+        totals = (
+            days.filter(F.col("bought") & (F.col("paid") > 0))
+            .groupBy("date")
+            .agg(
+                F.sum("paid_micros").alias("micros"),
+                F.sum("paid").alias("total_purchases"),
+                F.count("user_id").alias("unique_buyers"),
+            )
         )
+    return totals.select(
+        "date",
+        money(F.col("micros")).alias("daily_revenue"),
+        "total_purchases",
+        "unique_buyers",
+        mean_money(F.col("micros"), F.col("total_purchases")).alias("avg_order_value"),
     )

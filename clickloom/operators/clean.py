@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.functions.clickstream import (
     main_category,
@@ -12,29 +13,37 @@ from clickloom.functions.clickstream import (
     wall_clock,
     weekday_name,
 )
-from clickloom.functions.exact import money, to_cents
+from clickloom.functions.exact import number, to_micros
+from clickloom.schema import BAD_LINE, EVENT_SCHEMA
 
-AUDITED = ("event_time", "category_code", "brand", "price", "user_session")
+AUDITED = tuple(EVENT_SCHEMA.names)
+KEYS = ("product_id", "category_id", "user_id")
 
 
 def clean(events: DataFrame, zone: str = "UTC") -> DataFrame:
     """Add calendar, category and money columns; the calendar is read in ``zone``.
 
     One projection: each analysis reads only the columns it names, so unused ones cost nothing.
-    Values that do not parse become NULL. ``price_cents`` is the exact price, ``price`` the
-    same as a double for display.
+    Values that do not parse become NULL. ``price_read`` is the price as it was read, which
+    filters and brackets use, ``price_micros`` what sums use, ``price`` a double for display.
+    Times may be text, instants or clock readings, prices text or numbers, keys text or integers.
     """
-    read_as = events.schema["event_time"].dataType
+    kinds = {field.name: field.dataType for field in events.schema}
+    keys = [name for name in KEYS if kinds[name] != T.LongType()]
     typed = events.withColumns(
         {
-            "event_time": parsed_time(F.col("event_time"), read_as),
-            "price_cents": to_cents(F.col("price")),
+            "event_time": parsed_time(F.col("event_time"), kinds["event_time"]),
+            "price_read": number(F.col("price"), kinds["price"]),
+            "price_micros": to_micros(F.col("price")),
+            **{name: F.col(name).try_cast("bigint") for name in keys},
         }
     )
-    clock = wall_clock(F.col("event_time"), typed.schema["event_time"].dataType, zone)
+    session_zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    kind = typed.schema["event_time"].dataType
+    clock = wall_clock(F.col("event_time"), kind, zone, session_zone)
     return typed.withColumns(
         {
-            "price": money(F.col("price_cents")),
+            "price": F.col("price_read").cast("double"),
             "year": F.year(clock),
             "month": F.month(clock),
             "day_of_week": F.dayofweek(clock),
@@ -51,9 +60,18 @@ def null_counts(columns: tuple[str, ...]) -> list:
     return [F.count_if(F.col(name).isNull()).alias(f"null_{name}") for name in columns]
 
 
+def bad_lines(events: DataFrame) -> Column:
+    """Lines that did not parse in full; 0 for input that does not come as lines."""
+    bad = F.col(BAD_LINE).isNotNull() if BAD_LINE in events.columns else F.lit(False)
+    return F.count_if(bad).alias("bad_lines")
+
+
 def null_audit(events: DataFrame, columns: tuple[str, ...] = AUDITED) -> DataFrame:
-    """Row count and NULLs per column, in one pass."""
-    return events.agg(F.count("*").alias("row_count"), *null_counts(columns))
+    """Row count, NULLs per column and bad lines, in one pass.
+
+    A value that does not parse is a NULL after ``clean`` and counts as one.
+    """
+    return events.agg(F.count("*").alias("row_count"), *null_counts(columns), bad_lines(events))
 
 
 def row_counts(events: DataFrame) -> DataFrame:

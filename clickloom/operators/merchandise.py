@@ -26,7 +26,7 @@ def brand_category_insight(events: DataFrame) -> DataFrame:
 
     ``avg_price`` is over all events of the group, views included; revenue over purchases only.
     """
-    cents = F.col("price_cents")
+    micros = F.col("price_micros")
     return (
         _catalogued(events)
         .groupBy("brand", "category_main")
@@ -34,9 +34,9 @@ def brand_category_insight(events: DataFrame) -> DataFrame:
             count_events(VIEW).alias("total_views"),
             count_events(CART).alias("total_carts"),
             count_events(PURCHASE).alias("total_purchases"),
-            F.sum(F.when(is_event(PURCHASE), cents).otherwise(0)).alias("sold_cents"),
-            F.sum(cents).alias("cents"),
-            F.count(cents).alias("priced"),
+            F.sum(F.when(is_event(PURCHASE), micros).otherwise(0)).alias("sold_micros"),
+            F.sum(micros).alias("micros"),
+            F.count(micros).alias("priced"),
             F.countDistinct("user_id").alias("unique_users"),
         )
         .select(
@@ -45,8 +45,8 @@ def brand_category_insight(events: DataFrame) -> DataFrame:
             "total_views",
             "total_carts",
             "total_purchases",
-            money(F.col("sold_cents")).alias("total_revenue"),
-            mean_money(F.col("cents"), F.col("priced")).alias("avg_price"),
+            money(F.col("sold_micros")).alias("total_revenue"),
+            mean_money(F.col("micros"), F.col("priced")).alias("avg_price"),
             "unique_users",
             percent_or_zero(F.col("total_purchases"), F.col("total_views")).alias(
                 "view_to_purchase_rate"
@@ -66,8 +66,8 @@ def top_brands(events: DataFrame, k: int = 10) -> DataFrame:
 
 def price_bracketed(events: DataFrame) -> DataFrame:
     """Catalogued events with a price above zero, and the bracket of each."""
-    priced = _catalogued(events).filter(F.col("price_cents") > 0)
-    return priced.withColumn("bracket", price_bracket_number(F.col("price_cents"))).withColumn(
+    priced = _catalogued(events).filter(F.col("price_read") > 0)
+    return priced.withColumn("bracket", price_bracket_number(F.col("price_read"))).withColumn(
         "price_bracket", price_bracket_label(F.col("bracket"))
     )
 
@@ -84,7 +84,7 @@ def price_sensitivity(events: DataFrame) -> DataFrame:
             F.count("*").alias("total_events"),
             count_events(VIEW).alias("views"),
             count_events(PURCHASE).alias("purchases"),
-            F.sum("price_cents").alias("cents"),
+            F.sum("price_micros").alias("micros"),
             F.countDistinct("product_id").alias("distinct_products"),
         )
         .select(
@@ -92,7 +92,7 @@ def price_sensitivity(events: DataFrame) -> DataFrame:
             "total_events",
             "views",
             "purchases",
-            mean_money(F.col("cents"), F.col("total_events")).alias("avg_price"),
+            mean_money(F.col("micros"), F.col("total_events")).alias("avg_price"),
             "distinct_products",
             percent_or_zero(F.col("purchases"), F.col("views")).alias("purchase_rate_pct"),
         )

@@ -8,20 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.clickstream import PURCHASE, is_event, segment_label
-from clickloom.functions.exact import money
+from clickloom.functions.exact import in_cents, money, to_cents
 from clickloom.operators.tiles import rank_tiles
 
 
-def _customers(events: DataFrame) -> DataFrame:
-    """Per purchasing user: last purchase as a day number, purchase rows, cents spent."""
-    return (
-        events.filter(is_event(PURCHASE))
-        .groupBy("user_id")
-        .agg(
-            F.max(F.unix_date("date")).alias("last_day"),
-            F.count("*").alias("frequency"),
-            F.sum("price_cents").alias("cents"),
-        )
+def _customers(
+    events: DataFrame, as_of: datetime.date | None, days: DataFrame | None = None
+) -> DataFrame:
+    """Per purchasing user: last purchase as a day number, purchase rows, millionths spent."""
+    if days is None:
+        purchases, counted = events.filter(is_event(PURCHASE)), F.count("*")
+        spent = F.sum("price_micros")
+    else:
+        purchases, counted, spent = days.filter("bought"), F.sum("events"), F.sum("micros")
+    if as_of is not None:
+        purchases = purchases.filter(F.col("date").isNull() | (F.col("date") <= F.lit(as_of)))
+    return purchases.groupBy("user_id").agg(
+        F.max(F.unix_date("date")).alias("last_day"),
+        counted.alias("frequency"),
+        spent.alias("micros"),
     )
 
 
@@ -33,33 +38,46 @@ def _as_day(as_of: datetime.date) -> Column:
     return F.unix_date(F.lit(as_of))
 
 
-def rfm_base(events: DataFrame, as_of: datetime.date | None = None) -> DataFrame:
+def rfm_base(
+    events: DataFrame, as_of: datetime.date | None = None, days: DataFrame | None = None
+) -> DataFrame:
     """The three measures before scoring.
 
-    Recency counts from ``as_of`` or else from the last purchase in the data, which is a scalar
-    subquery of the same plan.
+    Recency counts from ``as_of``, and purchases after that day are left out, or else from the
+    last purchase in the data, a scalar subquery over the same customers. ``days`` takes a ready
+    ``user_days``.
     """
+    customers = _customers(events, as_of, days)
     if as_of is None:
-        purchases = events.filter(is_event(PURCHASE))
-        reference_day = purchases.agg(F.max(F.unix_date("date"))).scalar()
+        reference_day = customers.agg(F.max("last_day")).scalar()
     else:
         reference_day = _as_day(as_of)
-    return _customers(events).select(
+    return customers.select(
         "user_id",
         _recency(F.col("last_day"), reference_day),
         "frequency",
-        money(F.col("cents")).alias("monetary"),
+        money(F.col("micros")).alias("monetary"),
     )
 
 
-def rfm_segments(events: DataFrame, as_of: datetime.date | None = None) -> DataFrame:
+def rfm_segments(
+    events: DataFrame,
+    as_of: datetime.date | None = None,
+    days: DataFrame | None = None,
+    folder: str | None = None,
+) -> DataFrame:
     """Scores 1 to 5 per measure and the customer's segment. Ties are settled by user_id.
 
-    The last purchase day orders customers just as recency does, so scoring does not wait for
-    the reference date; that is taken from the scored customers, and events are read once.
-    Customers without a known purchase day, or without any price, score lowest on that measure.
+    ``as_of`` and ``days`` as in ``rfm_base``. Calling this runs jobs: customers are stored and
+    sorted in ``folder`` (see ``rank_tiles``), and the result reads them there. The last purchase
+    day orders customers just as recency does, so scoring does not wait for the reference date; that is
+    taken from the stored customers, and events are read once. Customers without a known
+    purchase day, or without any price, score lowest on that measure.
     """
-    scored = rank_tiles(_customers(events), "user_id", ["last_day", "frequency", "cents"])
+    customers = _customers(events, as_of, days).select(
+        "user_id", "last_day", "frequency", to_cents(F.col("micros")).alias("cents")
+    )
+    scored = rank_tiles(customers, "user_id", ["last_day", "frequency", "cents"], folder=folder)
     latest = scored.agg(F.max("last_day")).scalar()
     reference_day = latest if as_of is None else _as_day(as_of)
     r, f, m = F.col("last_day_tile"), F.col("frequency_tile"), F.col("cents_tile")
@@ -67,7 +85,7 @@ def rfm_segments(events: DataFrame, as_of: datetime.date | None = None) -> DataF
         "user_id",
         _recency(F.col("last_day"), reference_day),
         "frequency",
-        money(F.col("cents")).alias("monetary"),
+        in_cents(F.col("cents")).alias("monetary"),
         r.alias("r_score"),
         f.alias("f_score"),
         m.alias("m_score"),

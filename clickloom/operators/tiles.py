@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.session import pin
+from clickloom.session import fresh_folder
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -42,7 +42,14 @@ def _start_places(placed: DataFrame, measures: int, tiles: int) -> DataFrame:
     )
 
 
-def rank_tiles(rows: DataFrame, key: str, measures: list[str], tiles: int = 5) -> DataFrame:
+def _kept(frame: DataFrame, folder: str) -> DataFrame:
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
+def rank_tiles(
+    rows: DataFrame, key: str, measures: list[str], tiles: int = 5, folder: str | None = None
+) -> DataFrame:
     """Per measure, ntile over (measure ascending, NULLs first, then key ascending).
 
     ``rows`` holds one row per ``key`` and integer measures. The result has the key and, per
@@ -53,20 +60,35 @@ def rank_tiles(rows: DataFrame, key: str, measures: list[str], tiles: int = 5) -
     each tile starts, and the tile of a row is the number of starts it does not precede: scoring
     is one projection over ``rows``, with the starts as a one-row subquery.
 
-    Rows are pinned so that what they come from is computed once; placed rows also because the
-    sort's range bounds come from a sample and a second run could place rows elsewhere.
+    Calling this runs jobs. Rows are stored so that what they come from is computed once; placed
+    rows also because the sort's range bounds come from a sample and a second run could
+    place rows elsewhere. Both are Parquet tables in ``folder``, by default a fresh one in the shared
+    folder; the result reads them, so whoever gives the folder deletes it when the result has been used.
     """
-    held = pin(rows.select(key, *[F.col(name).cast("bigint").alias(name) for name in measures]))
-    placed = pin(
+    spark = rows.sparkSession
+    folder = folder or fresh_folder(spark, "tiles")
+    held = _kept(
+        rows.select(key, *[F.col(name).cast("bigint").alias(name) for name in measures]),
+        f"{folder}/rows",
+    )
+    placed = _kept(
         held.select(F.col(key).alias("key"), F.posexplode(F.array(*measures)).alias("m", "value"))
         .orderBy("m", F.asc_nulls_first("value"), F.asc_nulls_first("key"))
-        .withColumn("place", F.monotonically_increasing_id())
+        .withColumn("place", F.monotonically_increasing_id()),
+        f"{folder}/placed",
     )
-    # One row per measure and tile, so the broadcast side does not grow with the data.
-    firsts = placed.join(F.broadcast(_start_places(placed, len(measures), tiles)), "place")
+    # One number per measure and tile, whatever the input; as literals they reach the scan, which
+    # skips row groups that hold none of them.
+    places = {slot: place for slot, place in _start_places(placed, len(measures), tiles).collect()}
+    firsts = placed.filter(F.col("place").isin(list(places.values())))
     slots = range(len(measures) * tiles)
-    starts = firsts.selectExpr(
-        *[f"max(if(slot = {slot}, struct(value, key), null)) as slot_{slot}" for slot in slots]
+    starts = firsts.select(
+        *[
+            F.max(
+                F.when(F.col("place") == places.get(slot), F.struct("value", "key"))
+            ).alias(f"slot_{slot}")
+            for slot in slots
+        ]
     )
 
     def tile_of(i: int, name: str) -> str:

@@ -19,14 +19,16 @@ from clickloom.operators.activity import (
     activity_grid,
     daily_revenue,
     hourly_activity,
+    user_days,
     weekday_activity,
 )
 from clickloom.operators.clean import AUDITED, clean
 from clickloom.operators.funnel import funnel_summary, session_profile
 from clickloom.operators.merchandise import brand_category_insight, price_sensitivity
-from clickloom.operators.rfm import rfm_segments
+from clickloom.operators.rfm import rfm_segment_distribution, rfm_segments
 from clickloom.schema import (
     AUDIT,
+    BAD_LINE,
     BRANDS,
     FUNNEL,
     HOURS,
@@ -35,9 +37,10 @@ from clickloom.schema import (
     RFM,
     RUN_LOG,
     RUN_LOG_SCHEMA,
+    SEGMENTS,
     WEEKDAYS,
 )
-from clickloom.session import delete_folder, fresh_folder, pin
+from clickloom.session import delete_folder, fresh_folder
 from clickloom.sources.events import stage_events
 from clickloom.sources.sinks import Sink
 
@@ -47,33 +50,41 @@ STAGES = ("none", "table", "memory")
 
 
 def _audit(grid: DataFrame) -> DataFrame:
-    """Row and NULL counts of the whole input, added up from the activity grid."""
+    """Rows, NULLs and bad lines of the whole input, added up from the activity grid."""
+    counted = {"row_count": MEASURES[0]} | {f"null_{name}": f"null_{name}" for name in AUDITED}
+    counted["bad_lines"] = "bad_lines"
     return grid.agg(
-        F.coalesce(F.sum(MEASURES[0]), F.lit(0)).alias("row_count"),
-        *[
-            F.coalesce(F.sum(f"null_{name}"), F.lit(0)).alias(f"null_{name}")
-            for name in AUDITED
-        ],
+        *[F.coalesce(F.sum(of), F.lit(0)).alias(name) for name, of in counted.items()]
     )
 
 
-def _analyses(events: DataFrame, pool: ThreadPoolExecutor) -> dict[str, Callable[[], DataFrame]]:
+def _analyses(
+    events: DataFrame, pool: ThreadPoolExecutor, folder: str
+) -> dict[str, Callable[[], DataFrame]]:
     """What to run for each result table.
 
-    Two pinned tables of at most a few thousand rows feed several results, so events are
-    scanned and sessions shuffled once for all of these. They are started first; the analyses
-    that need neither do not wait for them.
+    Three stored tables feed most results: counts per hour and weekday, sessions per combination of
+    steps and weekdays, and users per day of purchase. With brands and prices that makes five
+    scans of the events, one shuffle by session and one by user. Shared tables are started first;
+    analyses that need none do not wait for them.
     """
-    grid = pool.submit(lambda: pin(activity_grid(events, AUDITED)))
-    sessions = pool.submit(lambda: pin(session_profile(events)))
+
+    def shared(name: str, frame: DataFrame):
+        return pool.submit(lambda: _store(events.sparkSession, frame, f"{folder}/{name}")[0])
+
+    grid = shared("grid", activity_grid(events, AUDITED))
+    sessions = shared("sessions", session_profile(events))
+    days = shared("days", user_days(events))
+    segments = pool.submit(lambda: rfm_segments(events, None, days.result(), f"{folder}/tiles"))
     return {
-        RFM: lambda: rfm_segments(events),
+        RFM: lambda: segments.result(),
         BRANDS: lambda: brand_category_insight(events),
         PRICES: lambda: price_sensitivity(events),
-        REVENUE: lambda: daily_revenue(events),
-        HOURS: lambda: hourly_activity(events, grid.result()),
+        REVENUE: lambda: daily_revenue(events, days.result()),
+        HOURS: lambda: hourly_activity(events, grid.result(), days.result()),
         WEEKDAYS: lambda: weekday_activity(events, grid.result(), sessions.result()),
         FUNNEL: lambda: funnel_summary(events, sessions.result()),
+        SEGMENTS: lambda: rfm_segment_distribution(segments.result()),
         AUDIT: lambda: _audit(grid.result()),
     }
 
@@ -97,7 +108,7 @@ def run_pipeline(
     spark: SparkSession,
     source: DataFrame,
     sink: Sink,
-    stage: str = "none",
+    stage: str | None = None,
     zone: str = "UTC",
     parallel: int = 4,
 ) -> dict[str, DataFrame]:
@@ -105,8 +116,9 @@ def run_pipeline(
 
     ``stage`` says how events are shared between the analyses:
 
-    * ``none``: each reads the columns it needs from the source; best for Parquet.
-    * ``table``: events are written once as Parquet to the shared folder; best for CSV.
+    * ``none``: each reads the columns it needs from the source; the default, for Parquet.
+    * ``table``: events are written once as Parquet to the shared folder; the default for events
+      that ``read_events`` has read from CSV.
     * ``memory``: they are cached; only for input that fits the executors.
 
     Up to ``parallel`` tables are computed, then loaded, side by side, so that the last tasks of
@@ -116,6 +128,8 @@ def run_pipeline(
     is counted after loading. Each table's outcome is appended to the run log, a failure with
     its traceback.
     """
+    if stage is None:
+        stage = "table" if BAD_LINE in source.columns else "none"
     if stage not in STAGES:
         raise ValueError(f"stage is one of {STAGES}")
     run_id = uuid.uuid4().hex
@@ -154,7 +168,7 @@ def run_pipeline(
         results = fresh_folder(spark, "results")
         folders.append(results)
         with ThreadPoolExecutor(parallel) as pool:
-            analyses = _analyses(clean(source, zone), pool)
+            analyses = _analyses(clean(source, zone), pool, f"{results}/shared")
 
             def compute(table: str) -> tuple[DataFrame, int]:
                 return _store(spark, analyses[table](), f"{results}/{table}")
@@ -191,6 +205,7 @@ def in_order(table: str, frame: DataFrame) -> DataFrame:
     """A result in its reading order; stored tables have none."""
     orders = {
         RFM: ["user_id"],
+        SEGMENTS: [F.desc("count"), "segment"],
         BRANDS: [F.desc_nulls_last("total_revenue"), "brand", "category_main"],
         PRICES: ["avg_price", "price_bracket"],
         HOURS: ["hour"],

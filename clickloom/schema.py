@@ -11,7 +11,7 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("category_id", T.LongType()),
         T.StructField("category_code", T.StringType()),
         T.StructField("brand", T.StringType()),
-        T.StructField("price", T.DecimalType(18, 2)),
+        T.StructField("price", T.DecimalType(38, 18)),
         T.StructField("user_id", T.LongType()),
         T.StructField("user_session", T.StringType()),
     ]
@@ -25,6 +25,7 @@ TIME_PATTERN = "yyyy-MM-dd HH:mm:ss z"
 
 # Names of the result tables.
 FUNNEL = "tbl_funnel_analysis"
+SEGMENTS = "tbl_rfm_segment_distribution"
 RFM = "tbl_rfm_segments"
 BRANDS = "tbl_brand_category_insight"
 PRICES = "tbl_price_sensitivity"

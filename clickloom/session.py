@@ -1,11 +1,11 @@
-"""Spark session and the shared folder that jobs pin intermediate tables in."""
+"""Spark session and the shared folder that jobs keep intermediate tables in."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 GIB = 1024**3
 
@@ -14,16 +14,30 @@ def shuffle_partitions_for(input_bytes: int, per_partition: int = 2 * GIB) -> in
     """Starting number of shuffle partitions for an input of this size.
 
     The aggregates here shuffle far less than they read; two GiB read per shuffle
-    partition leaves each at a size that fits an executor. Adaptive execution merges
-    the partitions that turn out small.
+    partition leaves each at a size that fits an executor, however large the input. Adaptive
+    execution merges the partitions that turn out small.
     """
-    return min(max(-(-input_bytes // per_partition), 8), 50_000)
+    return max(-(-input_bytes // per_partition), 8)
+
+
+def input_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files at a path, from the file system's listing."""
+    places = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = places.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(places) or []
+    return sum(system.getContentSummary(status.getPath()).getLength() for status in found)
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Set the session's shuffle partitions for an input of this size."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions_for(input_bytes)))
 
 
 def s3a_settings(
     endpoint: str, access_key: str, secret_key: str, path_style: bool = True, ssl: bool = True
 ) -> dict[str, str]:
     """Session settings for reading from an S3-compatible object store."""
+    # The names that Hadoop gives these settings.
     return {
         "spark.hadoop.fs.s3a.impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
         "spark.hadoop.fs.s3a.endpoint": endpoint,
@@ -48,8 +62,6 @@ def create_session(
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-        "spark.checkpoint.compress": "true",
     }
     if input_bytes is not None:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions_for(input_bytes))
@@ -94,12 +106,6 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def pin(frame: DataFrame) -> DataFrame:
-    """Compute once and store reliably, so that later readers all see the same rows."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder made by ``fresh_folder``, on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

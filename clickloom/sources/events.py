@@ -9,24 +9,41 @@ from clickloom.schema import BAD_LINE, EVENT_SCHEMA, TIME_PATTERN
 from clickloom.session import fresh_folder
 
 
+def _checked(names: list[str], path: str) -> None:
+    missing = [name for name in EVENT_SCHEMA.names if names.count(name) != 1]
+    if missing:
+        raise ValueError(f"{path}: no single column for each of {', '.join(missing)}")
+
+
 def read_events(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
-    """Events at any path Spark can reach, with the declared schema.
+    """Events at any path Spark can reach: the nine columns, found by name.
+
+    CSV columns are bound by the header, whatever their order; columns besides the nine are left
+    out. One line is read to find the header, and each file is checked against it while
+    reading, so a folder of files with differing headers fails. Lines that do not parse are kept:
+    the bad values are NULL and the line's text is in ``_corrupt_record``.
 
-    CSV lines that do not parse are kept: the bad values are NULL and the line's text is in
-    ``_corrupt_record``.
+    Parquet keeps the types that its files have; ``clean`` accepts text, numbers and all kinds of time.
     """
     if file_format == "parquet":
-        return spark.read.schema(EVENT_SCHEMA).parquet(path)
+        found = spark.read.parquet(path)
+        _checked(found.columns, path)
+        return found.select(EVENT_SCHEMA.names)
     if file_format != "csv":
         raise ValueError(f"no such event format: {file_format}")
-    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField(BAD_LINE, T.StringType())])
+    header = spark.read.option("header", "true").csv(path).columns
+    _checked(header, path)
+    declared = {field.name: field for field in EVENT_SCHEMA}
+    columns = [declared.get(name, T.StructField(name, T.StringType())) for name in header]
     return (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType([*columns, T.StructField(BAD_LINE, T.StringType())]))
         .option("header", "true")
+        .option("enforceSchema", "false")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_LINE)
         .option("timestampFormat", TIME_PATTERN)
         .csv(path)
+        .select(*EVENT_SCHEMA.names, BAD_LINE)
     )
 
 

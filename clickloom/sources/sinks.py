@@ -6,6 +6,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickloom.schema import RFM
+
+
+# The tables that are not bounded by hours, days or products, and an integer column of each.
+SPLIT_BY = {RFM: "user_id"}
+
 
 @dataclass(frozen=True)
 class ParquetSink:
@@ -47,11 +53,28 @@ class JdbcSink:
         )
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.jdbc(self.url, table, properties=self.properties)
+        """A table; one that grows with the customers is read in ranges of ``SPLIT_BY``'s column."""
+        column = SPLIT_BY.get(table)
+        bounds = column and self._one(spark, f"min({column}), max({column})", table)
+        if not bounds or bounds[0] is None:
+            return spark.read.jdbc(self.url, table, properties=self.properties)
+        return spark.read.jdbc(
+            self.url,
+            table,
+            column=column,
+            lowerBound=int(bounds[0]),
+            upperBound=int(bounds[1]) + 1,
+            numPartitions=self.connections,
+            properties=self.properties,
+        )
 
     def count(self, spark: SparkSession, table: str) -> int:
-        counted = f"(select count(*) as n from {table}) counted"
-        return int(spark.read.jdbc(self.url, counted, properties=self.properties).first()[0])
+        return int(self._one(spark, "count(*)", table)[0])
+
+    def _one(self, spark: SparkSession, values: str, table: str):
+        """A row that the database works out."""
+        query = f"(select {values} from {table}) found"
+        return spark.read.jdbc(self.url, query, properties=self.properties).first()
 
 
 Sink = ParquetSink | JdbcSink
