@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.text import Memo, as_bytes, stored
+from clickloom.llm.text import Memo, as_bytes, kept_by_worker, stored
 
 PIECES = pa.schema(
     [
@@ -127,29 +127,55 @@ class Windows:
             offset += length
 
 
+# Never part of one token with a letter or digit before them, by the pattern that splits words.
+TAIL = b".,!?;:|*$%&#"
+
+
+def stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
+    """Two parts of a word that are encoded alike and each for itself.
+
+    A-Z become lower case, as they do in the tokenizer, but where a special token could arise.
+    """
+    if b"<|" in word:
+        return word, b""
+    word = word.lower()
+    stem = word.rstrip(TAIL)
+    last = stem[-4:].decode(errors="ignore")[-1:]
+    return (stem, word[len(stem) :]) if last.isalpha() else (word, b"")
+
+
 def word_encoder(tokenizer_file: str):
     """A function from texts (bytes) to their ids, 4 bytes each.
 
-    For tokenizers that never join text across white space: words are encoded once per task and
-    looked up after that. Adding special tokens is left to the caller.
+    For lower-casing tokenizers that split at white space and between letters and punctuation.
+    Words are encoded once per worker and looked up after that, special tokens are not added.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    known = Memo(None, 1 << 19)
+    tokenizer, known, stems = kept_by_worker(
+        ("tokenizer", tokenizer_file),
+        lambda: (Tokenizer.from_file(tokenizer_file), Memo(None), Memo(None)),
+    )
 
     def encode(texts: list[bytes]) -> list[bytes]:
         known.trim()
+        stems.trim()
         split = [text.split() for text in texts]
-        new = list({word for words in split for word in words}.difference(known))
+        parts = {
+            word: stem_and_tail(word)
+            for word in {word for words in split for word in words}.difference(known)
+        }
+        new = list({part for both in parts.values() for part in both}.difference(stems))
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             found = tokenizer.encode_batch_fast(
-                [word.decode() for word in some], add_special_tokens=False
+                [part.decode() for part in some], add_special_tokens=False
             )
-            for word, encoding in zip(some, found, strict=True):
-                known[word] = np.array(encoding.ids, "<u4").tobytes()
+            for part, encoding in zip(some, found, strict=True):
+                stems[part] = np.array(encoding.ids, "<u4").tobytes()
+        for word, (stem, tail) in parts.items():
+            known[word] = stems[stem] + stems[tail]
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     return encode
