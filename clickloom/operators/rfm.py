@@ -44,12 +44,13 @@ def rfm_base(
     """The three measures before scoring.
 
     Recency counts from ``as_of``, and purchases after that day are left out, or else from the
-    last purchase in the data, a scalar subquery over the same customers. ``days`` takes a ready
-    ``user_days``.
+    last purchase in the data. That is a scalar subquery: a second scan of two columns without a
+    shuffle, or none if ``days`` gives a stored ``user_days``.
     """
     customers = _customers(events, as_of, days)
     if as_of is None:
-        reference_day = customers.agg(F.max("last_day")).scalar()
+        purchases = events.filter(is_event(PURCHASE)) if days is None else days.filter("bought")
+        reference_day = purchases.agg(F.max(F.unix_date("date"))).scalar()
     else:
         reference_day = _as_day(as_of)
     return customers.select(

@@ -16,7 +16,7 @@ from clickloom import (
     top_brands,
     weekday_activity,
 )
-from clickloom.operators.activity import activity_grid
+from clickloom.operators.activity import activity_grid, user_days
 from clickloom.operators.funnel import session_profile
 
 
@@ -68,7 +68,13 @@ def test_ready_tables_give_the_same_result(spark):
         events(
             spark,
             *[
-                act(kind, f"s{i % 5}" if i % 4 else None, i % 3, event_time=at(1 + i % 9, i % 24))
+                act(
+                    kind,
+                    f"s{i % 5}" if i % 4 else None,
+                    None if i % 13 == 0 else i % 3,
+                    event_time=None if i % 11 == 0 else at(1 + i % 9, i % 24),
+                    price=[None, "0.00", "1.005", "49.996"][i % 4],
+                )
                 for i, kind in enumerate(["view", "cart", "purchase", "other", "view"] * 12)
             ],
             act("view", "s1"),
@@ -80,6 +86,11 @@ def test_ready_tables_give_the_same_result(spark):
         weekday_activity(frame), "day_of_week"
     )
     assert by(hourly_activity(frame, grid), "hour") == by(hourly_activity(frame), "hour")
+    days = user_days(frame)
+    assert by(hourly_activity(frame, grid, days), "hour") == by(hourly_activity(frame), "hour")
+    assert by(daily_revenue(frame, days), "date") == by(daily_revenue(frame), "date")
+    assert by(rfm_segments(frame, days=days), "user_id") == by(rfm_segments(frame), "user_id")
+    assert by(rfm_base(frame, days=days), "user_id") == by(rfm_base(frame), "user_id")
 
 
 # Customers
@@ -113,6 +124,9 @@ def test_reference_date(spark):
     assert by(rfm_base(frame), "user_id")[1]["recency_days"] == 0
     segments = by(rfm_segments(frame), "user_id")
     assert (segments[1]["recency_days"], segments[2]["recency_days"]) == (0, 29)
+    before = datetime.date(2024, 1, 10)
+    assert by(rfm_base(frame, before), "user_id").keys() == {2}
+    assert by(rfm_segments(frame, before), "user_id")[2]["recency_days"] == 9
     later = datetime.date(2024, 2, 9)
     assert by(rfm_base(frame, later), "user_id")[1]["recency_days"] == 10
     assert by(rfm_segments(frame, later), "user_id")[1]["recency_days"] == 10
@@ -181,6 +195,17 @@ def test_price_sensitivity_ignores_free_and_unpriced(spark):
     assert (row["total_events"], row["distinct_products"], row["avg_price"]) == (2, 2, 5.5)
 
 
+def test_prices_are_not_cut(spark):
+    rows = [item("purchase", p) for p in ("49.996", "0.004", "199.995")]
+    frame = clean(events(spark, *rows))
+    assert {r["price_bracket"]: r["total_events"] for r in price_sensitivity(frame).collect()} == {
+        "Budget (<$50)": 2,
+        "Mid ($50-$200)": 1,
+    }
+    row = one(daily_revenue(frame))
+    assert (row["total_purchases"], row["daily_revenue"]) == (3, 250.0)
+
+
 # Activity
 
 

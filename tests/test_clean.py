@@ -27,6 +27,7 @@ def test_unknown_time_has_no_weekday(spark):
         ("a.b", "a", "b"),
         ("a.b.c", "a", "b"),
         ("a.", "a", ""),
+        (".x", "", "x"),
         (None, None, None),
     ],
 )
@@ -43,7 +44,7 @@ def test_text_columns_are_parsed(spark):
         }
     )
     good, bad = clean(raw).orderBy("user_id").collect()
-    assert (good["hour"], good["price"], good["price_cents"]) == (7, 174.76, 17476)
+    assert (good["hour"], good["price"], good["price_micros"]) == (7, 174.76, 174_760_000)
     assert (bad["event_time"], bad["hour"], bad["price"]) == (None, None, None)
 
 
@@ -64,16 +65,25 @@ def test_calendar_zone_does_not_depend_on_the_session(spark, session_zone, zone,
 
 def test_null_audit(spark):
     frame = clean(events(spark, {"brand": "x"}, {"price": "1.00"}, {"event_time": at(1)}))
-    assert one(null_audit(frame)) == {
-        "row_count": 3,
-        "null_event_time": 2,
-        "null_category_code": 3,
-        "null_brand": 2,
-        "null_price": 2,
-        "null_user_session": 3,
+    others = dict.fromkeys(("event_type", "product_id", "category_id", "user_id"), 3)
+    known = {"event_time": 2, "category_code": 3, "brand": 2, "price": 2, "user_session": 3}
+    assert one(null_audit(frame)) == {"row_count": 3, "bad_lines": 0} | {
+        f"null_{name}": count for name, count in (others | known).items()
     }
 
 
+def test_keys_may_be_text_and_prices_doubles(spark):
+    raw = spark.createDataFrame(
+        [("2019-12-01 07:30:00 UTC", "view", "5", "6", "a.b", "x", 49.996, "u77", "s")],
+        "event_time string, event_type string, product_id string, category_id string, "
+        "category_code string, brand string, price double, user_id string, user_session string",
+    )
+    row = one(clean(raw))
+    assert (row["product_id"], row["user_id"]) == (5, None)
+    assert (row["price"], row["price_read"], row["price_micros"]) == (49.996, 49.996, 49_996_000)
+    assert one(null_audit(clean(raw)))["null_user_id"] == 1
+
+
 def test_row_counts(spark):
     frame = events(spark, {"event_type": "view"}, {"event_type": "view"}, {"event_type": None})
     assert {tuple(row) for row in row_counts(frame).collect()} == {("view", 2), (None, 1)}

@@ -32,42 +32,50 @@ def test_percent_or_zero(spark):
 
 
 def test_mean_money_rounds_away_from_zero(spark):
-    sums = [(c, n) for c in range(-60, 61, 5) for n in (1, 2, 3, 8, 160)] + [(5, 0), (None, 0)]
+    totals = [*range(-60, 61, 5), 4999, 5000, 5001, 14999, 15000, -15000, 123_456_789]
+    sums = [(c, n) for c in totals for n in (1, 2, 3, 8, 160)] + [(5, 0), (None, 0)]
     frame = spark.createDataFrame(sums, "c bigint, n bigint")
     for c, n, found in frame.select("c", "n", exact.mean_money(F.col("c"), F.col("n"))).collect():
         if not n:
             assert found is None
         else:
-            cents = (Decimal(c) / n).quantize(Decimal(1), ROUND_HALF_UP)
+            cents = (Decimal(c) / 10_000 / n).quantize(Decimal(1), ROUND_HALF_UP)
             assert found == float(cents / 100), (c, n)
 
 
 @pytest.mark.parametrize("kind", ["string", "double", "decimal(18,2)"])
-def test_to_cents(spark, kind):
+def test_to_micros(spark, kind):
     frame = spark.createDataFrame([("0.29",), ("174.76",), ("-1.05",), (None,)], "p string")
-    found = frame.select(exact.to_cents(F.col("p").cast(kind))).collect()
-    assert [row[0] for row in found] == [29, 17476, -105, None]
+    found = frame.select(exact.to_micros(F.col("p").cast(kind))).collect()
+    assert [row[0] for row in found] == [290_000, 174_760_000, -1_050_000, None]
 
 
-def test_to_cents_of_text_that_is_no_number(spark):
-    frame = spark.createDataFrame([("oops",), ("",)], "p string")
-    assert [row[0] for row in frame.select(exact.to_cents(F.col("p"))).collect()] == [None, None]
+def test_to_micros_of_text(spark):
+    frame = spark.createDataFrame([("oops",), ("",), ("49.996",), ("0.0000004",)], "p string")
+    found = [row[0] for row in frame.select(exact.to_micros(F.col("p"))).collect()]
+    assert found == [None, None, 49_996_000, 0]
+
+
+def test_money_rounds_half_away_from_zero(spark):
+    frame = spark.createDataFrame([(4999,), (5000,), (-5000,), (None,)], "m bigint")
+    found = [row[0] for row in frame.select(exact.money(F.col("m"))).collect()]
+    assert found == [0.0, 0.01, -0.01, None]
 
 
 def test_price_brackets(spark):
     expected = {
-        1: "Budget (<$50)",
-        4999: "Budget (<$50)",
-        5000: "Mid ($50-$200)",
-        19999: "Mid ($50-$200)",
-        20000: "Premium ($200-$500)",
-        50000: "Luxury ($500-$1000)",
-        99999: "Luxury ($500-$1000)",
-        100000: "Ultra Luxury (>$1000)",
+        0.004: "Budget (<$50)",
+        49.996: "Budget (<$50)",
+        50.0: "Mid ($50-$200)",
+        199.995: "Mid ($50-$200)",
+        200.0: "Premium ($200-$500)",
+        500.0: "Luxury ($500-$1000)",
+        999.9999999: "Luxury ($500-$1000)",
+        1000.0: "Ultra Luxury (>$1000)",
     }
-    frame = spark.createDataFrame([(c,) for c in expected], "cents bigint")
-    number = clickstream.price_bracket_number(F.col("cents"))
-    rows = frame.select("cents", clickstream.price_bracket_label(number)).collect()
+    frame = spark.createDataFrame([(p,) for p in expected], "price double")
+    number = clickstream.price_bracket_number(F.col("price"))
+    rows = frame.select("price", clickstream.price_bracket_label(number)).collect()
     assert dict(tuple(row) for row in rows) == expected
 
 

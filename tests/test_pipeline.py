@@ -5,12 +5,24 @@ from rows import events
 from clickloom import ParquetSink, in_order, preview, run_pipeline
 from clickloom.operators.rfm import rfm_segment_distribution
 from clickloom.plans import pipeline
-from clickloom.schema import AUDIT, BRANDS, FUNNEL, HOURS, PRICES, REVENUE, RFM, RUN_LOG, WEEKDAYS
+from clickloom.schema import (
+    AUDIT,
+    BAD_LINE,
+    BRANDS,
+    FUNNEL,
+    HOURS,
+    PRICES,
+    REVENUE,
+    RFM,
+    RUN_LOG,
+    SEGMENTS,
+    WEEKDAYS,
+)
 from clickloom.session import shared_folder
 from clickloom.sources.fixture import read_fixture
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = {AUDIT, FUNNEL, RFM, BRANDS, PRICES, HOURS, WEEKDAYS, REVENUE}
+TABLES = {AUDIT, FUNNEL, RFM, SEGMENTS, BRANDS, PRICES, HOURS, WEEKDAYS, REVENUE}
 
 
 def contents(tables):
@@ -110,14 +122,42 @@ def test_nothing_is_left_behind(spark, tmp_path):
     def folders():
         path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
         system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = {status.getPath().getName() for status in system.listStatus(path)}
-        return {name for name in names if name.startswith(("events-", "results-"))}
+        return {status.getPath().getName() for status in system.listStatus(path)}
 
     before = folders()
-    run_pipeline(spark, read_fixture(spark, SF_DIR), ParquetSink(str(tmp_path)), stage="table")
+    for stage in pipeline.STAGES:
+        run_pipeline(spark, read_fixture(spark, SF_DIR), ParquetSink(str(tmp_path)), stage=stage)
     assert folders() == before
 
 
+def test_csv_is_staged_unless_told_otherwise(spark, tmp_path, monkeypatch):
+    staged = []
+    stage_events = pipeline.stage_events
+    monkeypatch.setattr(pipeline, "stage_events", lambda e: staged.append(1) or stage_events(e))
+    source = events(spark, {"event_type": "view"})
+    run_pipeline(spark, source, ParquetSink(str(tmp_path)))
+    assert not staged
+    lines = source.withColumn(BAD_LINE, F.lit(None).cast("string"))
+    run_pipeline(spark, lines, ParquetSink(str(tmp_path)))
+    assert staged
+    run_pipeline(spark, lines, ParquetSink(str(tmp_path)), stage="none")
+    assert len(staged) == 1
+
+
+def test_events_are_scanned_five_times(spark, tmp_path, monkeypatch):
+    path, scans = str(tmp_path / "events"), []
+    read_fixture(spark, SF_DIR).write.parquet(path)
+    store = pipeline._store
+
+    def counting(spark, frame, folder):
+        scans.append(frame._jdf.queryExecution().executedPlan().toString().count(f"{path}]"))
+        return store(spark, frame, folder)
+
+    monkeypatch.setattr(pipeline, "_store", counting)
+    run_pipeline(spark, spark.read.parquet(path), ParquetSink(str(tmp_path / "out")))
+    assert sum(scans) == 5
+
+
 def test_unknown_stage(spark, tmp_path):
     with pytest.raises(ValueError):
         run_pipeline(spark, events(spark), ParquetSink(str(tmp_path)), stage="disk")
@@ -129,6 +169,8 @@ def test_reading_order_and_preview(spark, tmp_path, capsys):
     assert revenue == sorted(revenue, reverse=True)
     days = [row["day_of_week"] for row in in_order(WEEKDAYS, found[WEEKDAYS]).collect()]
     assert days == [None, *range(1, 8)]
+    sizes = [row["count"] for row in in_order(SEGMENTS, found[SEGMENTS]).collect()]
+    assert sizes == sorted(sizes, reverse=True)
     preview(found, 24)
     printed = capsys.readouterr().out
     assert all(name in printed for name in TABLES)

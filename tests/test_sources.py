@@ -5,14 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 from rows import at, by, events, one
 
-from clickloom import JdbcSink, ParquetSink, clean, read_events
-from clickloom.schema import BAD_LINE, EVENT_SCHEMA
+from clickloom import JdbcSink, ParquetSink, clean, null_audit, read_events
+from clickloom.schema import BAD_LINE, EVENT_SCHEMA, RFM
 from clickloom.session import (
     delete_folder,
     fresh_folder,
+    input_size,
     s3a_settings,
+    set_folder_if_unset,
     shared_folder,
     shuffle_partitions_for,
+    size_shuffles,
 )
 from clickloom.sources.events import stage_events
 
@@ -29,6 +32,7 @@ def test_csv_has_the_declared_types(spark, tmp_path):
     path = csv(tmp_path, "2019-12-01 00:00:00 UTC,view,1004,20530135,a.b,apple,174.76,551,aa-bb")
     frame = read_events(spark, path)
     assert frame.schema.fields[:-1] == EVENT_SCHEMA.fields
+    assert frame.columns[-1] == BAD_LINE
     row = one(clean(frame))
     assert (row["hour"], row["price"], row["brand"]) == (0, 174.76, "apple")
     assert row["date"] == datetime.date(2019, 12, 1)
@@ -55,15 +59,58 @@ def test_csv_keeps_quoted_commas(spark, tmp_path):
     assert row["brand"] == "x, y"
 
 
-def test_csv_needs_no_job_to_find_its_schema(spark, tmp_path):
-    path = csv(tmp_path, ",view,1,2,a,b,1.00,7,s")
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("csv-schema", "csv-schema")
-    try:
-        read_events(spark, path)
-        assert list(tracker.getJobIdsForGroup("csv-schema")) == []
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    """Swapped columns, and one that is not ours, do not shift values."""
+    names = ["_c0", "category_id", "product_id", "brand", "category_code", "event_time"]
+    names += ["event_type", "price", "user_session", "user_id"]
+    (tmp_path / "e.csv").write_text(
+        ",".join(names) + "\n0,22,11,acme,a.b,2019-12-01 00:00:00 UTC,view,49.996,s,7\n"
+    )
+    frame = read_events(spark, str(tmp_path / "e.csv"))
+    assert frame.columns == [*EVENT_SCHEMA.names, BAD_LINE]
+    row = one(clean(frame))
+    assert (row["product_id"], row["category_id"]) == (11, 22)
+    assert (row["brand"], row["category_code"], row["user_id"]) == ("acme", "a.b", 7)
+    assert (row["price"], row[BAD_LINE]) == (49.996, None)
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    line = "2019-12-01 00:00:00 UTC,view,1,2,a.b,x,1.00,7,s"
+    (tmp_path / "a.csv").write_text(f"{HEADER}\n{line}\n")
+    swapped = HEADER.replace("product_id,category_id", "category_id,product_id")
+    (tmp_path / "b.csv").write_text(f"{swapped}\n{line}\n")
+    with pytest.raises(Exception, match="header does not conform"):
+        read_events(spark, str(tmp_path)).collect()
+
+
+def test_missing_columns_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("event_time,brand\n,x\n")
+    with pytest.raises(ValueError, match="user_id"):
+        read_events(spark, str(tmp_path / "a.csv"))
+    spark.range(1).write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="user_id"):
+        read_events(spark, str(tmp_path / "p"), "parquet")
+
+
+def test_bad_lines_are_counted(spark, tmp_path):
+    path = csv(
+        tmp_path,
+        "2019-12-01 00:00:00 UTC,purchase,1,2,a.b,x,1.00,u77,s",
+        "2019-12-01 00:00:00 UTC,purchase,1,2,a.b,x,1.00,u78,s",
+        "2019-12-01 00:00:00 UTC,purchase,1,2,a.b,x,1.00,78,s",
+    )
+    found = one(null_audit(clean(read_events(spark, path))))
+    assert (found["row_count"], found["bad_lines"], found["null_user_id"]) == (3, 2, 2)
+
+
+def test_parquet_keeps_the_types_of_its_files(spark, tmp_path):
+    path = str(tmp_path / "e")
+    frame = events(spark, {"event_time": at(3), "price": "1.25", "user_id": 4, "event_type": "view"})
+    frame.selectExpr("'x' as more", "* except (price)", "double(price) as price").write.parquet(path)
+    read = read_events(spark, path, "parquet")
+    assert read.columns == EVENT_SCHEMA.names
+    assert dict(read.dtypes)["price"] == "double"
+    assert one(clean(read))["price_micros"] == 1_250_000
 
 
 def test_unknown_format(spark):
@@ -112,6 +159,17 @@ def test_jdbc_sink_counts_in_the_database():
     assert "select count(*)" in spark.read.jdbc.call_args.args[1]
 
 
+def test_jdbc_sink_reads_customers_in_ranges():
+    spark = MagicMock()
+    spark.read.jdbc.return_value.first.return_value = (3, 900)
+    JdbcSink("jdbc:x", connections=4).read(spark, RFM)
+    settings = spark.read.jdbc.call_args.kwargs
+    assert (settings["column"], settings["numPartitions"]) == ("user_id", 4)
+    assert (settings["lowerBound"], settings["upperBound"]) == (3, 901)
+    JdbcSink("jdbc:x").read(spark, "other")
+    assert "column" not in spark.read.jdbc.call_args.kwargs
+
+
 def test_object_store_settings():
     settings = s3a_settings("https://host", "k", "s")
     assert all(key.startswith("spark.hadoop.fs.s3a.") for key in settings)
@@ -122,7 +180,22 @@ def test_shuffle_partitions_grow_with_the_input():
     tib = 1024**4
     assert shuffle_partitions_for(1) == 8
     assert shuffle_partitions_for(tib) == 512
-    assert shuffle_partitions_for(100 * tib) == 50_000
+    assert shuffle_partitions_for(100 * tib) == 51_200
+    assert shuffle_partitions_for(1000 * tib) == 512_000
+
+
+def test_input_size_is_listed(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text("x" * 1000)
+    assert input_size(spark, str(tmp_path)) == 2000
+    assert input_size(spark, f"{tmp_path}/a*") == 1000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        size_shuffles(spark, 100 * 1024**3)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_shared_folder_is_the_configured_one(spark):
@@ -132,10 +205,15 @@ def test_shared_folder_is_the_configured_one(spark):
 def test_a_cluster_must_name_its_shared_folder():
     session = MagicMock()
     session.sparkContext.getCheckpointDir.return_value = None
-    session.sparkContext.master = "yarn"
     session.conf.get.return_value = None
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session)
+    session.sparkContext._jsc.sc().isLocal.return_value = False
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        set_folder_if_unset(session)
+    session.sparkContext._jsc.sc().isLocal.return_value = True
+    set_folder_if_unset(session)
+    session.sparkContext.setCheckpointDir.assert_called_once()
 
 
 def test_fresh_folder_can_be_deleted(spark):
