@@ -179,9 +179,9 @@ def fit_cutoffs(
             for name, step, count in zip(*(table.column(n).to_pylist() for n in names), strict=True):
                 if name == rule:
                     found[step] += count
-            # A document on step s exceeds the first s cutoffs.
+            # A document on step s exceeds the last s cutoffs, which are the tightest.
             for place, cutoff in enumerate(LADDER):
-                rejected = int(found[place + 1 :].sum())
+                rejected = int(found[len(LADDER) - place :].sum())
                 if binomial_tail(rejected, int(found.sum()), limit) > level:
                     break
                 row[rule] = cutoff
