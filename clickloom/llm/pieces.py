@@ -199,25 +199,32 @@ class Pieces:
         return text.removeprefix(b" ").decode(errors="replace")
 
 
-def encode(docs: DataFrame, model_file: str, scores: list[float] | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    model_file: str,
+    scores: list[float] | None = None,
+    with_decoded: bool = False,
+    most_known: int = 1 << 18,
+) -> DataFrame:
     """``docs`` with ids (array<int>), n_pieces, n_byte_pieces and log_score of the whole text.
 
-    NULL and empty texts have no pieces and score 0. Columns of the same names are replaced. The
+    With ``with_decoded`` also the text that the ids stand for, made from them in the same pass. NULL
+    and empty texts have no pieces and score 0. Columns of the same names are replaced. The
     text is taken as it is: a space becomes the marker, one marker goes in front. A character that is the marker
-    itself counts as a space. Words are segmented once per worker and looked up after that; the vocabulary travels with the tasks and
+    itself counts as a space. Words are segmented once per worker and looked up after that, ``most_known`` of them; the vocabulary travels with the tasks and
     does not grow with the data.
     """
-    names = ["ids", "n_pieces", "n_byte_pieces", "log_score"]
+    names = ["ids", "n_pieces", "n_byte_pieces", "log_score"] + ["decoded"] * with_decoded
     kept = docs.drop(*names)
     pieces = Pieces(model_file, scores)
     vocabulary = ("pieces", model_file, scores and tuple(scores))
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept_by_worker(vocabulary, lambda: Memo(None))
+        known = kept_by_worker(vocabulary, lambda: Memo(None, most_known))
         known.of = lambda run: pieces.best_of_run(run, known)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
                 known.trim()
                 ids, totals, n_bytes = [], [], []
                 for text in as_bytes(some.column("text")):
@@ -228,19 +235,20 @@ def encode(docs: DataFrame, model_file: str, scores: list[float] | None = None)
                 lengths = np.array([len(i) // 4 for i in ids], np.int64)
                 offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *some.columns,
-                        pa.ListArray.from_arrays(pa.array(offsets), values),
-                        pa.array(lengths),
-                        pa.array(n_bytes, pa.int64()),
-                        pa.array(totals, pa.float64()),
-                    ],
-                    [*some.schema.names, *names],
-                )
-
-    kinds = (T.ArrayType(T.IntegerType()), T.LongType(), T.LongType(), T.DoubleType())
-    added = [T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True)]
+                columns = [
+                    *some.columns,
+                    pa.ListArray.from_arrays(pa.array(offsets), values),
+                    pa.array(lengths),
+                    pa.array(n_bytes, pa.int64()),
+                    pa.array(totals, pa.float64()),
+                ]
+                if with_decoded:
+                    said = [pieces.speak(np.frombuffer(i, "<i4").tolist()) for i in ids]
+                    columns.append(pa.array(said, pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*some.schema.names, *names])
+
+    kinds = (T.ArrayType(T.IntegerType()), T.LongType(), T.LongType(), T.DoubleType(), T.StringType())
+    added = [T.StructField(name, kind) for name, kind in zip(names, kinds)]
     return kept.mapInArrow(segment, T.StructType([*kept.schema.fields, *added]))
 
 
@@ -254,6 +262,7 @@ def decoded(ids: Column, model_file: str) -> Column:
 
     @F.arrow_udf("string")
     def speak(column: pa.Array) -> pa.Array:
-        return pa.array([None if i is None else pieces.speak(i) for i in column.to_pylist()], pa.string())
+        rows = (row.as_py() for row in column)
+        return pa.array([None if ids is None else pieces.speak(ids) for ids in rows], pa.string())
 
     return speak(ids)

@@ -60,14 +60,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_file("piece_bpe_32k.model")
-    spoken = pieces.decoded(F.col("ids"), model)
-    return pieces.encode(documents, model).select(
+    return pieces.encode(documents, model, with_decoded=True).select(
         "doc_id",
         "ids",
         "n_pieces",
         "n_byte_pieces",
         "log_score",
-        F.sha2(spoken, 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

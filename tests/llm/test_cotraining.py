@@ -1,0 +1,71 @@
+import pytest
+from pyspark.sql import functions as F
+from texts import collected, odd_documents
+
+from clickloom.llm import cotraining
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return [spark.read.parquet(f"{SF_DIR}/{name}.parquet") for name in ("documents", "labels")]
+
+
+def test_held_out_accuracy(spark, tables):
+    """Learns from two thirds of the labels, is judged on the rest."""
+    documents, labels = tables
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    model = cotraining.fit(documents, labels.filter(~held))
+    assert set(model) == {"text", "page", "text_scale", "page_scale", "combine", "pseudo"}
+    assert min(model["pseudo"]) >= 0 and sum(model["pseudo"]) > 0
+    judged = cotraining.score(documents.join(labels.filter(held), "doc_id"), model)
+    rows = judged.select("quality", "kept", "p_quality").collect()
+    assert len(rows) > 100
+    assert sum(row["kept"] == (row["quality"] == 1) for row in rows) / len(rows) > 0.93
+    good = [row["kept"] for row in rows if row["quality"] == 1]
+    assert sum(good) / len(good) > 0.97
+    bad = [row["kept"] for row in rows if row["quality"] == 0]
+    assert sum(bad) / len(bad) < 0.3
+    assert all(0 <= row["p_quality"] <= 1 for row in rows)
+
+
+def test_the_sample_is_bounded_and_the_model_repeatable(spark, tables):
+    documents, labels = tables
+    first = cotraining.fit(documents, labels, most_labelled=200, most_pool=50)
+    again = cotraining.fit(documents.repartition(7), labels.repartition(3), most_labelled=200, most_pool=50)
+    assert all((first[part] == again[part]).all() for part in first)
+    scored = [collected(cotraining.score(documents, m), "doc_id", "p_quality", "kept") for m in (first, again)]
+    assert scored[0] == scored[1] and len(scored[0]) == documents.count()
+
+
+def test_odd_documents(spark, tables):
+    model = cotraining.fit(*tables)
+    docs = odd_documents(spark)
+    found = cotraining.score(docs, model)
+    assert set(found.columns) == {*docs.columns, "p_text", "p_page", "p_quality"}
+    rows = found.collect()
+    assert len(rows) == docs.count()
+    assert all(row["kept"] == (row["p_quality"] >= 0.5) for row in rows)
+
+
+def test_odd_labels(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame(
+        [(None, 1), (3, None), (6, 7), (9, 1), (9, 0), (12, 0)], "doc_id bigint, quality int"
+    )
+    model = cotraining.fit(docs, labels)
+    if model is not None:
+        assert cotraining.score(docs, model).count() == docs.count()
+
+
+def test_nothing_to_learn_from(spark):
+    docs = odd_documents(spark)
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    one = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id bigint, quality int")
+    for labels in (none, one):
+        assert cotraining.fit(docs, labels) is None
+    scored = cotraining.score(docs, None)
+    assert scored.filter("kept and p_quality is null").count() == docs.count()
+    assert cotraining.fit(docs.limit(0), one) is None
+    assert cotraining.score(docs.limit(0), None).collect() == []

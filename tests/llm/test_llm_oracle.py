@@ -1,0 +1,27 @@
+"""Registered queries against their SQL, on the test tables."""
+
+import pytest
+from compare import duck, rows_of, rows_of_sql, types_of, types_of_sql
+
+import __spark_entry__ as driver
+from clickloom.llm import queries
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    connection, sql = duck(SF_DIR), queries.oracle_sql()[name]
+    frame = driver.queries()[name](spark, SF_DIR)
+    known = {"boolean": "BOOLEAN"}
+    types = types_of(frame.drop(*[c for c, kind in frame.dtypes if kind in known]))
+    types |= {c: known[kind] for c, kind in frame.dtypes if kind in known}
+    assert types == types_of_sql(connection, sql)
+    assert rows_of(frame) == rows_of_sql(connection, sql)
+
+
+def test_all_are_registered():
+    numbers = {int(name[2:].split("_")[0]) for name in queries.queries() if name.startswith("op")}
+    assert numbers == set(range(1, 11))
+    assert "pipeline" in queries.queries()
+    assert set(queries.queries()) <= set(driver.queries())

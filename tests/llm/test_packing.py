@@ -1,0 +1,102 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from texts import odd_documents, texts_of
+from tokenizers import Tokenizer
+
+from clickloom.llm.packing import Windows, pack, word_encoder
+from clickloom.llm.text import tokenizer_file
+
+FILE = tokenizer_file("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(FILE)
+
+
+def expected(tokenizer, rows):
+    for doc_id, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        yield doc_id, np.array(ids, "<u4").tobytes()
+
+
+def check(pieces, documents, window, with_ids):
+    """Every id in one piece, sequences without gaps and none too long."""
+    left = defaultdict(list)
+    for doc_id, ids in documents:
+        left[doc_id].append(ids)
+    by_sequence = defaultdict(list)
+    covered = defaultdict(int)
+    for piece in pieces:
+        start, length = piece["start"], piece["length"]
+        sources = [ids for ids in left[piece["doc_id"]] if len(ids) // 4 == piece["doc_tokens"]]
+        parts = [ids[4 * start : 4 * (start + length)] for ids in sources]
+        assert piece["ids_crc32"] in [zlib.crc32(part) for part in parts]
+        assert bytes(piece["ids"]) in parts if with_ids else piece["ids"] is None
+        covered[piece["doc_id"]] += length
+        by_sequence[piece["sequence_id"]].append((piece["offset"], length))
+    assert covered == {doc_id: sum(map(len, ids)) // 4 for doc_id, ids in left.items()}
+    sizes = []
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at <= window
+        sizes.append(at)
+    return sizes
+
+
+@pytest.mark.parametrize("window, opened, merged, with_ids", [(2048, 64, 32, False), (64, 4, 2, True), (7, 2, 2, False)])
+def test_odd_documents(spark, tokenizer, window, opened, merged, with_ids):
+    docs = odd_documents(spark)
+    pieces = pack(docs, FILE, window=window, open_windows=opened, merged_tasks=merged, with_ids=with_ids)
+    sizes = check(pieces.collect(), list(expected(tokenizer, texts_of(docs))), window, with_ids)
+    total = sum(sizes)
+    assert total > 60_000
+    # Windows that were emitted when nothing fitted are the only ones that are not full.
+    assert sum(window - size for size in sizes) < 0.12 * total
+
+
+def test_test_table(spark, tokenizer):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(9)
+    pieces = pack(docs, FILE, open_windows=8, merged_tasks=3).collect()
+    sizes = check(pieces, list(expected(tokenizer, texts_of(docs))), 2048, False)
+    assert sum(2048 - size for size in sizes) < 0.06 * sum(sizes)  # with 64 windows, under 0.01
+
+
+def test_encoder_is_the_tokenizer(tokenizer):
+    texts = [
+        "Don't stop... NOW!!! (he said),", "é É É. ΑΣ Σ. x²! 3.14, 1,000;", "<|endoftext|> <|ENDOFTEXT|>a<|x",
+        " nbsp em\x85\x1cfs ab́. 梦。!", "a'S 'll. we're, 𝒳. ʰ, ..&%", "", " \n",
+    ]
+    found = word_encoder(FILE)([text.encode() for text in texts])
+    for text, ids in zip(texts, found, strict=True):
+        expected_ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == expected_ids, text
+
+
+def test_best_fit_in_bounded_space():
+    windows = Windows(10, 2, 0, 0, True)
+
+    def add(length):
+        windows.add(length, 0, bytes(4 * length), length)
+
+    add(6)
+    add(7)
+    add(3)  # fills the window of 7, though that of 6 has room as well
+    assert [row[0] for row in windows.rows] == [7, 3]
+    add(8)
+    add(5)  # fits none: the fullest, of 8, goes
+    assert [row[0] for row in windows.rows] == [7, 3, 8]
+    assert len(windows.free) == 2
+    windows.pour()
+    assert [(row[0], row[2]) for row in windows.rows[3:]] == [(6, 6), (5, 4), (5, 1)]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert pack(docs, FILE).collect() == []

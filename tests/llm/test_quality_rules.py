@@ -1,0 +1,105 @@
+import re
+from fractions import Fraction
+from math import comb
+
+import pytest
+from pyspark.sql import functions as F
+from texts import odd_documents
+
+from clickloom.llm import quality_rules as rules
+
+
+def brute(text):
+    text = text or ""
+    found = re.findall(r"[^\x20\x09-\x0d]+", text)
+    windows = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+    covered = {
+        i + shift for i, window in enumerate(windows) if windows.count(window) > 1 for shift in range(3)
+    }
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0d]", line):
+            dup += line in seen
+            seen.add(line)
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    return (len(found), sum(map(len, found)), symbols, dup, len(covered))
+
+
+def test_counts(spark):
+    docs = odd_documents(spark).filter("n_chars is null or n_chars < 5000")
+    extra = spark.createDataFrame(
+        [(900, "a b c a b c d # <x> a b"), (901, "a a a a"), (902, "l\nl\n\n\nl "), (903, "a b c")],
+        "doc_id bigint, text string",
+    )
+    docs = docs.unionByName(extra, allowMissingColumns=True)
+    names = ["text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rows = rules.measure(docs).select(names).collect()
+    assert len(rows) == docs.count()
+    for text, *counts in rows:
+        assert tuple(counts) == brute(text), text
+
+
+def test_long_text_and_kept_columns(spark):
+    docs = odd_documents(spark)
+    measured = rules.measure(docs)
+    assert set(docs.columns) | set(rules.COUNTS) == set(measured.columns)
+    assert measured.agg(F.max("n_words")).first()[0] == 30_000
+
+
+@pytest.mark.parametrize("good, share", [(10, 0.1), (500, 0.01), (3000, 0.02)])
+def test_binomial_tail_is_exact(good, share):
+    p = Fraction(share)
+    for rejected in {0, 1, 3, good // 50}:
+        exact = sum(comb(good, k) * p**k * (1 - p) ** (good - k) for k in range(rejected + 1))
+        assert rules.binomial_tail(rejected, good, share) == pytest.approx(float(exact), rel=1e-9)
+    assert rules.binomial_tail(good, good, share) == 1
+
+
+def _measured(spark, rows):
+    """rows: (doc_id, lang, symbols per 1000 characters)"""
+    zeros = {name: F.lit(0).cast("bigint") for name in rules.COUNTS}
+    frame = spark.createDataFrame(rows, "doc_id bigint, lang string, n_symbols bigint")
+    zeros.pop("n_symbols")
+    return frame.withColumns(
+        zeros | {"word_chars": F.lit(1000).cast("bigint"), "n_words": F.lit(200).cast("bigint")}
+    )
+
+
+def test_cutoffs_keep_their_promise(spark):
+    rows = [(i, "en", 5 if i % 400 else 300) for i in range(4000)]  # 1 in 400 good ones is odd
+    rows += [(10_000 + i, None, 5) for i in range(2000)] + [(20_000 + i, "de", 5) for i in range(30)]
+    measured = _measured(spark, rows)
+    labels = measured.select("doc_id", F.lit(1).alias("quality"))
+    found = {r["stratum"]: r.asDict() for r in rules.fit_cutoffs(measured, labels).collect()}
+    assert set(found) == {"en", None, "de"}
+    assert found["de"]["symbols"] is None  # too few to be sure of anything
+    limit, level = 0.05 / len(rules.RULES), 0.05 / (3 * len(rules.RULES))
+    chosen = found["en"]["symbols"]
+    rejected = sum(symbols / 1000 > chosen for _, lang, symbols in rows if lang == "en")
+    assert rules.binomial_tail(rejected, 4000, limit) <= level
+    tighter = rules.LADDER[rules.LADDER.index(chosen) + 1] if chosen != rules.LADDER[-1] else 0
+    again = sum(symbols / 1000 > tighter for _, lang, symbols in rows if lang == "en")
+    assert chosen == rules.LADDER[-1] or rules.binomial_tail(again, 4000, limit) > level
+    # Bad documents of all strata, judged by their own stratum's cutoff.
+    bad = _measured(spark, [(1, "en", 900), (2, None, 900), (3, "de", 900), (4, "fr", 900), (5, "en", 1)])
+    cutoffs = rules.fit_cutoffs(measured, labels)
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(bad, cutoffs).collect()}
+    assert kept == {1: False, 2: False, 3: True, 4: True, 5: True}
+
+
+def test_labels_that_do_not_count(spark):
+    measured = _measured(spark, [(i, "en", 5) for i in range(2000)])
+    labels = spark.createDataFrame(
+        [(i, None if i % 2 else 0) for i in range(2000)] + [(None, 1), (5_000_000, 1)],
+        "doc_id bigint, quality int",
+    )
+    assert rules.fit_cutoffs(measured, labels).collect() == []
+    judged = rules.judge(measured, rules.fit_cutoffs(measured, labels))
+    assert judged.filter("not kept").isEmpty()
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    measured = rules.measure(docs)
+    assert rules.judge(measured, rules.fit_cutoffs(measured, labels)).collect() == []

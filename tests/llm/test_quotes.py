@@ -1,0 +1,103 @@
+import pytest
+from pyspark.sql import functions as F
+
+from clickloom.llm.quotes import link_quotes, parse, quote_level
+
+FIRST = "Hello there, this is the first message of all.\nIt has two lines, both are long enough."
+REPLY = "I reply to this one with my own long text."
+
+
+def rows(spark, *messages, extra=""):
+    return spark.createDataFrame(list(messages), f"conv_id long, turn long, role string, text string{extra}")
+
+
+def found(frame):
+    return {(r["conv_id"], r["turn"]): r.asDict() for r in link_quotes(frame).collect()}
+
+
+@pytest.mark.parametrize(
+    "line, level, said",
+    [
+        (b"> a", 1, b"a"), (b">> a", 2, b"a"), (b"> > a", 2, b"a"), (b" >a", 1, b"a"), (b">", 1, b""),
+        (b"a > b", 0, b"a > b"), (b"", 0, b""), (b">>>  x", 3, b" x"),
+    ],
+)
+def test_levels(line, level, said):
+    assert quote_level(line) == (level, said)
+
+
+def test_passages():
+    own, deepest, passages = parse(b"On Monday X wrote:\n> One\n> two\n>\n>> three\nFour")
+    assert (own, deepest) == (b"Four", 2)
+    said = {(level, text) for level, text in passages}
+    assert {(1, b"one two"), (1, b"one"), (1, b"two"), (2, b"three"), (0, b"four")} <= said
+    assert parse(b"") == (b"", 0, [])
+    assert parse(b" no quotes \n")[0] == b" no quotes \n"
+
+
+def test_links_and_threads(spark):
+    frame = rows(
+        spark,
+        (1, 0, "u", FIRST),
+        (1, 1, "a", f"On Monday X wrote:\n> hello there, this is   the first\n> message of all.\n{REPLY}"),
+        (1, 2, "u", "Unrelated message without any quotes at all."),
+        (1, 3, "u", f"> {REPLY}\n>> Hello there, this is the first message of all.\nThanks."),
+        (1, 4, "a", f"> {REPLY}\n\nAn answer to the same message, later on."),
+        (2, 0, "u", "> It has two lines, both are long enough.\nother conversation"),
+        (2, 1, "u", "> nobody has ever said anything like this before\nreally"),
+        (3, 0, "u", f"> {REPLY}\nquoted before it is said here"),
+        (3, 1, "u", REPLY),
+    )
+    by = found(frame)
+    assert {place: row["thread"] for place, row in by.items() if place[0] == 1} == {
+        (1, 0): [0], (1, 1): [0, 1], (1, 2): [2], (1, 3): [0, 1, 3], (1, 4): [0, 1, 4],
+    }
+    assert by[1, 1]["own_text"] == REPLY
+    assert (by[1, 3]["parent_turn"], by[1, 3]["n_quoted"], by[1, 3]["n_linked"]) == (1, 2, 2)
+    assert (by[2, 0]["parent_conv"], by[2, 0]["parent_turn"], by[2, 0]["thread"]) == (1, 0, [0])
+    assert (by[2, 1]["n_quoted"], by[2, 1]["n_linked"], by[2, 1]["parent_turn"]) == (1, 0, None)
+    assert (by[3, 0]["parent_conv"], by[3, 0]["parent_turn"]) == (1, 1)  # said later here, earlier there
+    assert ">" not in "".join(row["own_text"] for row in by.values())
+
+
+def test_long_chains(spark):
+    said = [f"This is what was said in message number {i}, at some length." for i in range(40)]
+    messages = [(7, i, "u", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(40)]
+    by = found(rows(spark, *messages).repartition(5))
+    assert by[7, 39]["thread"] == list(range(40))
+    assert all(by[7, i]["own_text"] == said[i] for i in range(40))
+
+
+def test_a_passage_that_everybody_quotes(spark):
+    said = "A passage that all of these messages quote at once."
+    messages = [(c, 0, "u", said) for c in range(50)] + [(c, 1, "a", f"> {said}\nreply {c}") for c in range(50)]
+    by = found(rows(spark, *messages).repartition(4))
+    assert len(by) == 100
+    assert all(by[c, 1]["thread"] == [0, 1] and by[c, 1]["parent_conv"] is None for c in range(50))
+
+
+def test_odd_messages(spark):
+    frame = rows(
+        spark,
+        (None, None, None, None, "x", 1), (None, None, None, None, "x", 1), (1, 1, "u", "", "x", 1),
+        (1, 1, "u", "> " * 3000, "x", 1), (1, None, "u", "> q\n" * 3000, "x", 1), (2, 0, "u", "w " * 50_000, "x", 1),
+        extra=", parent string, message int",
+    )
+    result = link_quotes(frame)
+    assert result.count() == 6
+    assert result.columns.count("parent_turn") == 1
+    assert result.agg(F.max("max_level")).first()[0] == 3000
+
+
+def test_empty_table(spark):
+    assert link_quotes(rows(spark)).collect() == []
+
+
+def test_whole_table(spark):
+    conversations = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    result = link_quotes(conversations)
+    assert result.count() == conversations.count()
+    same = result.alias("a").join(
+        conversations.alias("b"), ["conv_id", "turn"]
+    ).filter("a.own_text = coalesce(b.text, '') or max_level > 0")
+    assert same.count() == conversations.count()
