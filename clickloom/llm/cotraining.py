@@ -96,12 +96,17 @@ def _features(docs: DataFrame) -> DataFrame:
 class View:
     """Naive Bayes over the buckets of one view; its margin is the mean evidence per token."""
 
-    def __init__(self, size: int, buckets: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, size: int, buckets: pa.ListArray, counts: pa.ListArray | None):
         self.size = size
-        self.row = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
-        self.bucket = np.concatenate([*buckets, np.zeros(0, np.int64)]).astype(np.int64)
-        self.count = np.concatenate([*counts, np.zeros(0)]).astype(np.float64)
-        self.total = np.bincount(self.row, self.count, len(buckets)).clip(1)
+        lengths = np.diff(buckets.offsets.to_numpy())
+        self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.bucket = buckets.flatten().to_numpy()
+        self.count = (
+            np.ones(len(self.bucket), np.float32)
+            if counts is None
+            else counts.flatten().to_numpy().astype(np.float32)
+        )
+        self.total = np.bincount(self.row, self.count, len(lengths)).clip(1)
 
     def fit(self, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of each bucket, good to bad, every document weighing the same."""
@@ -133,49 +138,18 @@ def logistic(inputs: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> n
     return weights
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    most_labelled: int = 8000,
-    most_pool: int = 8000,
-    rounds: int = 4,
-    handed: float = 0.05,
-    sure: float = 0.95,
-) -> dict | None:
-    """The model, or None if the labelled documents do not hold both classes.
-
-    ``labels`` has doc_id and quality (1 good, 0 bad; other values do not count). Learns from
-    at most ``most_labelled`` labelled documents and, for pseudo-labels, ``most_pool`` unlabelled
-    ones, both chosen by a hash of doc_id; these two bounds also bound what reaches the driver. A third of the labelled documents calibrates and is never
-    trained on. In each of ``rounds`` rounds each view hands the other its surest documents,
-    up to the share ``handed`` of the pool for each class and only those it gives a calibrated
-    probability of ``sure``.
-    """
-    chosen = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(
-        F.max("quality").cast("bigint").alias("label")
-    )
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
-    labelled = known.join(ids, "doc_id", "left_semi").orderBy(chosen, "doc_id").limit(most_labelled)
-    pool = (
-        ids.join(known, "doc_id", "left_anti")
-        .orderBy(chosen, "doc_id")
-        .limit(most_pool)
-        .withColumn("label", F.lit(None).cast("bigint"))
-    )
-    # At most most_labelled + most_pool rows of two numbers.
-    sample = docs.select("doc_id", "lang", "source", "n_chars", "text").join(
-        F.broadcast(labelled.unionByName(pool)), "doc_id"
-    )
-    rows = _features(sample).toPandas().sort_values("doc_id", kind="stable")
-    label = rows["label"].to_numpy(np.float64, na_value=-1).astype(int)
-    ones = [np.ones(len(page)) for page in rows["page"]]
+def learn(table: pa.Table, rounds: int, handed: float, sure: float) -> dict[str, np.ndarray] | None:
+    """Co-train on (doc_id, label, words, counts, page); NULL labels are the pool."""
+    table = table.sort_by("doc_id").combine_chunks()
+    column = {name: table.column(name).combine_chunks() for name in table.column_names}
+    label = column["label"].fill_null(-1).to_numpy(zero_copy_only=False)
     views = [
-        View(TEXT_SIZE, list(rows["words"]), list(rows["counts"])),
-        View(PAGE_SIZE, list(rows["page"]), ones),
+        View(TEXT_SIZE, column["words"], column["counts"]),
+        View(PAGE_SIZE, column["page"], None),
     ]
     apart = np.array(
-        [xxhash.xxh3_64_intdigest(str(doc_id)) % 3 == 0 for doc_id in rows["doc_id"]], bool
+        [xxhash.xxh3_64_intdigest(str(doc_id)) % 3 == 0 for doc_id in column["doc_id"].to_pylist()],
+        bool,
     )
     hold = np.flatnonzero(apart & (label >= 0))
     train = np.flatnonzero(~apart & (label >= 0))
@@ -184,35 +158,92 @@ def fit(
         return None
     given = [dict(zip(train.tolist(), label[train].tolist(), strict=True)) for _ in views]
 
-    def learn(view: View, known: dict[int, int]):
+    def taught(view: View, known: dict[int, int]):
         evidence = view.fit(np.array(list(known)), np.array(list(known.values())))
         margins = view.margins(evidence)
         return evidence, margins, logistic(margins[hold], label[hold])
 
     for _ in range(rounds):
         pseudo = []
-        for view, taught in zip(views, given, strict=True):
-            _, margins, scale = learn(view, taught)
+        for view, known in zip(views, given, strict=True):
+            _, margins, scale = taught(view, known)
             p = 1 / (1 + np.exp(-np.clip(margins[free] * scale[0] + scale[1], -30, 30)))
-            share = {1: (label[hold] == 1).mean(), 0: (label[hold] == 0).mean()}
             new: dict[int, int] = {}
             for value, certainty in ((1, p), (0, 1 - p)):
-                most = int(handed * share[value] * len(free))
+                most = int(handed * (label[hold] == value).mean() * len(free))
                 surest = np.argsort(-certainty, kind="stable")[:most]
                 new |= {int(free[at]): value for at in surest if certainty[at] >= sure}
             pseudo.append(new)
-        for at, taught in enumerate(given):
-            taught |= pseudo[1 - at]
-    learned = [learn(view, taught) for view, taught in zip(views, given, strict=True)]
+        for at, known in enumerate(given):
+            known |= pseudo[1 - at]
+    learned = [taught(view, known) for view, known in zip(views, given, strict=True)]
     odds = np.column_stack([margins * scale[0] + scale[1] for _, margins, scale in learned])
     return {
-        "evidence": [evidence for evidence, _, _ in learned],
-        "scale": [scale for _, _, scale in learned],
+        "text": learned[0][0],
+        "page": learned[1][0],
+        "text_scale": learned[0][2],
+        "page_scale": learned[1][2],
         "combine": logistic(odds[hold], label[hold]),
-        "pseudo": [len(taught) - len(train) for taught in given],
+        "pseudo": np.array([len(known) - len(train) for known in given], float),
     }
 
 
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    most_labelled: int = 8000,
+    most_pool: int = 8000,
+    rounds: int = 4,
+    handed: float = 0.05,
+    sure: float = 0.95,
+) -> dict[str, np.ndarray] | None:
+    """The model, or None if the labelled documents do not hold both classes.
+
+    ``labels`` has doc_id and quality (1 good, 0 bad; other values do not count; of a doc_id that
+    is labelled more than once the better label). Learns from at most ``most_labelled`` labelled
+    documents and, for pseudo-labels, ``most_pool`` unlabelled ones, both chosen by a hash of
+    doc_id. These two bounds also bound the one task that learns; the driver gets the model, which is
+    of fixed size. A third of the labelled documents calibrates and is never trained on. In each
+    of ``rounds`` rounds each view hands the other its surest documents, up to the share
+    ``handed`` of the pool, and only those it gives a calibrated probability of ``sure``.
+    """
+    chosen = F.xxhash64(F.col("doc_id"), F.lit("sample"))
+    known = (
+        labels.filter("quality in (0, 1)")
+        .groupBy("doc_id")
+        .agg(F.max("quality").cast("bigint").alias("label"))
+    )
+    ids = (
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+        .filter("doc_id is not null")
+        .distinct()
+    )
+    labelled = known.join(ids, "doc_id", "left_semi").orderBy(chosen, "doc_id").limit(most_labelled)
+    pool = (
+        ids.join(known, "doc_id", "left_anti")
+        .orderBy(chosen, "doc_id")
+        .limit(most_pool)
+        .withColumn("label", F.lit(None).cast("bigint"))
+    )
+    # At most most_labelled + most_pool rows of two numbers.
+    sample = docs.select("doc_id", "lang", "source", "n_chars", "text").join(
+        F.broadcast(labelled.unionByName(pool)), "doc_id"
+    )
+
+    def learned(table: pa.Table) -> pa.Table:
+        model = learn(table, rounds, handed, sure) or {}
+        values = pa.array([part.tolist() for part in model.values()], pa.list_(pa.float64()))
+        return pa.table({"part": pa.array(list(model), pa.string()), "numbers": values})
+
+    rows = (
+        _features(sample)
+        .groupBy(F.lit(0).alias("all"))
+        .applyInArrow(learned, "part string, numbers array<double>")
+        .collect()
+    )
+    return {row["part"]: np.array(row["numbers"]) for row in rows} or None
+
+
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with p_text, p_page, p_quality (probabilities of good) and kept.
 
@@ -227,8 +258,8 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFr
         return kept.withColumns(empty | {"kept": F.lit(True)})
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, page = model["evidence"]
-        (a, b), (c, d) = model["scale"]
+        text, page = model["text"], model["page"]
+        (a, b), (c, d) = model["text_scale"], model["page_scale"]
         u, v, w = model["combine"]
 
         def weigh(word: bytes) -> float:
