@@ -101,10 +101,9 @@ class Pieces:
         self.byte_ids = [model.piece_to_id(f"<0x{byte:02X}>") for byte in range(256)]
         bytes_ = {at: byte for byte, at in enumerate(self.byte_ids) if model.is_byte(at)}
         self.unknown = model.unk_id()
+        special = (model.is_control, model.is_unknown, model.is_unused)
         normal = [
-            at
-            for at in range(size)
-            if at not in bytes_ and not (model.is_control(at) or model.is_unknown(at) or model.is_unused(at))
+            at for at in range(size) if at not in bytes_ and not any(test(at) for test in special)
         ]
         if scores is None:
             scores = [model.get_score(at) for at in range(size)]
@@ -178,13 +177,13 @@ class Pieces:
             at = start
         return np.array(ids[::-1], "<i4").tobytes(), score[end], n_bytes
 
-    def best_of_run(self, run: bytes, known: Memo) -> tuple[bytes, float, int]:
-        """Like ``best`` for one of ``runs``; a word and the marks after it are looked up apart."""
+    def best_of_run(self, run: bytes, stems: Memo) -> tuple[bytes, float, int]:
+        """Like ``best`` for one of ``runs``, with a word and the marks after it looked up apart."""
         stem = run.rstrip(TAIL)
         if self.splits and len(stem) < len(run) and stem[-4:].decode(errors="ignore")[-1:].isalpha():
-            one, two = known[stem], known[run[len(stem) :]]
+            one, two = stems[stem], stems[run[len(stem) :]]
             return one[0] + two[0], one[1] + two[1], one[2] + two[2]
-        return self.best(run.replace(b" ", MARK))
+        return stems[run]
 
     def runs(self, text: bytes) -> list[bytes]:
         """Parts of a text that are segmented each for itself."""
@@ -204,15 +203,16 @@ def encode(
     model_file: str,
     scores: list[float] | None = None,
     with_decoded: bool = False,
-    most_known: int = 1 << 18,
+    most_known: int = 3 << 18,
 ) -> DataFrame:
     """``docs`` with ids (array<int>), n_pieces, n_byte_pieces and log_score of the whole text.
 
-    With ``with_decoded`` also the text that the ids stand for, made from them in the same pass. NULL
-    and empty texts have no pieces and score 0. Columns of the same names are replaced. The
-    text is taken as it is: a space becomes the marker, one marker goes in front. A character that is the marker
-    itself counts as a space. Words are segmented once per worker and looked up after that, ``most_known`` of them; the vocabulary travels with the tasks and
-    does not grow with the data.
+    With ``with_decoded`` also the text that the ids stand for, made from them in the same pass.
+    NULL and empty texts have no pieces and score 0. Columns of the same names are replaced. The
+    text is taken as it is: a space becomes the marker, one marker goes in front. A character that
+    is the marker itself counts as a space. Words are segmented once per worker and looked up after
+    that, ``most_known`` of them; the vocabulary travels with the tasks and does not grow with the
+    data.
     """
     names = ["ids", "n_pieces", "n_byte_pieces", "log_score"] + ["decoded"] * with_decoded
     kept = docs.drop(*names)
@@ -220,12 +220,16 @@ def encode(
     vocabulary = ("pieces", model_file, scores and tuple(scores))
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept_by_worker(vocabulary, lambda: Memo(None, most_known))
-        known.of = lambda run: pieces.best_of_run(run, known)
+        known, stems = kept_by_worker(
+            vocabulary, lambda: (Memo(None, most_known // 3), Memo(None, most_known))
+        )
+        known.of = lambda run: pieces.best_of_run(run, stems)
+        stems.of = lambda stem: pieces.best(stem.replace(b" ", MARK))
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
                 known.trim()
+                stems.trim()
                 ids, totals, n_bytes = [], [], []
                 for text in as_bytes(some.column("text")):
                     found = [known[run] for run in pieces.runs(text)]
