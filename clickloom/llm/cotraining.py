@@ -1,8 +1,8 @@
 """Quality classifier by co-training of two views.
 
-One classifier sees what a text says, the other only the page around it: language, source, size and layout.
-Each labels unlabelled documents that it is sure of for the other's training; after some rounds both are
-calibrated on labelled documents kept apart, and their calibrated odds are combined.
+One classifier sees what a text says, the other only the page around it: language, source, size and
+layout. Each labels unlabelled documents that it is sure of for the other's training; after some
+rounds both are calibrated on labelled documents kept apart, and their calibrated odds are combined.
 """
 
 from __future__ import annotations
@@ -199,13 +199,13 @@ def fit(
 ) -> dict[str, np.ndarray] | None:
     """The model, or None if the labelled documents do not hold both classes.
 
-    ``labels`` has doc_id and quality (1 good, 0 bad; other values do not count; of a doc_id that
-    is labelled more than once the better label). Learns from at most ``most_labelled`` labelled
+    ``labels`` has doc_id and quality (1 good, 0 bad; other values do not count; of a doc_id that is
+    labelled more than once the better label). Learns from at most ``most_labelled`` labelled
     documents and, for pseudo-labels, ``most_pool`` unlabelled ones, both chosen by a hash of
-    doc_id. These two bounds also bound the one task that learns; the driver gets the model, which is
-    of fixed size. A third of the labelled documents calibrates and is never trained on. In each
-    of ``rounds`` rounds each view hands the other its surest documents, up to the share
-    ``handed`` of the pool, and only those it gives a calibrated probability of ``sure``.
+    doc_id. These two bounds also bound the one task that learns; the driver gets the model, which
+    is of fixed size. A third of the labelled documents calibrates and is never trained on. In each
+    of ``rounds`` rounds each view hands the other its surest documents, up to the share ``handed``
+    of the pool, and only those it gives a calibrated probability of ``sure``.
     """
     chosen = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     known = (
@@ -247,9 +247,9 @@ def fit(
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with p_text, p_page, p_quality (probabilities of good) and kept.
 
-    Scores every whole document. Columns lang, source, n_chars and text may hold NULLs; a NULL is
-    a value of its own, and NULL text has no words. Without a model (too few labels) the three are NULL and everything is kept. Columns of
-    the same names are replaced. The model is of fixed size.
+    Scores every whole document. Columns lang, source, n_chars and text may hold NULLs; a NULL is a
+    value of its own, and NULL text has no words. Without a model (too few labels) the three are
+    NULL and everything is kept. Columns of the same names are replaced. The model is of fixed size.
     """
     results = ["p_text", "p_page", "p_quality"]
     kept = docs.drop(*results, "kept")
@@ -271,7 +271,8 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFr
             known.trim()
             columns = [batch.column(name).to_pylist() for name in ("lang", "source", "n_chars")]
             odds = []
-            for lang, source, n_chars, body in zip(*columns, as_bytes(batch.column("text")), strict=True):
+            texts = as_bytes(batch.column("text"))
+            for lang, source, n_chars, body in zip(*columns, texts, strict=True):
                 words = body.split()
                 evidence = sum(map(known.__getitem__, words)) / max(1, 2 * len(words))
                 facts = page_facts(lang, source, n_chars, body)

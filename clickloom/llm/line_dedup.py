@@ -122,15 +122,15 @@ def dedup_lines(
 ) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) plus n_lines, n_dropped and kept_text.
 
-    Texts split at newlines; a line's key is the line without white space at its ends and with
-    A-Z lower-cased. Keys of at least ``min_chars`` characters found in ``min_docs`` documents or
-    more lose all their lines except those in the largest doc_id that has them. Other lines
-    stay in order. NULL and empty texts are one empty line. A NULL doc_id counts as one document,
-    smaller than all others; rows that share a doc_id count as one document. Input columns named
-    like the results are replaced; names starting with ``_doc`` or ``_body`` are reserved.
-
-    Batches are ranges of doc_id, largest first, so that the first batch that has a key also has
-    its keeper. Keys are compared by 128 bits of hash. Counts are aggregated before each shuffle; the
+    Texts split at newlines; a line's key is the line without white space at its ends and with A-Z
+    lower-cased. Keys of at least ``min_chars`` characters found in ``min_docs`` documents or more
+    lose all their lines except those in the largest doc_id that has them. Other lines stay in
+    order. NULL and empty texts are one empty line. A NULL doc_id counts as one document, smaller
+    than all others; rows that share a doc_id count as one document. Input columns named like the
+    results are replaced; names starting with ``_doc`` or ``_body`` are reserved.
+
+    Batches are ranges of doc_id, largest first, so that the first batch that has a key also has its
+    keeper. Keys are compared by 128 bits of hash. Counts are aggregated before each shuffle; the
     join of lines with dropped keys may be split by Spark at a key that many lines share. Whole
     texts move once, to meet the numbers of their dropped lines. Runs have one bucket per
     ``bucket_lines`` lines of the corpus.

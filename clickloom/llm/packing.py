@@ -94,7 +94,8 @@ class Windows:
             while ids:
                 part = ids[: room * WIDTH]
                 row.append((doc_id, start, part, doc_tokens))
-                ids, start, room = ids[len(part) :], start + len(part) // WIDTH, room - len(part) // WIDTH
+                length = len(part) // WIDTH
+                ids, start, room = ids[len(part) :], start + length, room - length
                 if room == 0:
                     self.held[window := self._number()] = row
                     self._emit(window)
@@ -164,7 +165,7 @@ def word_encoder(tokenizer_file: str):
         split = [text.split() for text in texts]
         parts = {
             word: stem_and_tail(word)
-            for word in {word for words in split for word in words}.difference(known)
+            for word in set().union(*split).difference(known)
         }
         new = list({part for both in parts.values() for part in both}.difference(stems))
         for at in range(0, len(new), 10_000):

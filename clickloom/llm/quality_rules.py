@@ -1,9 +1,9 @@
 """Quality rules whose cutoffs carry a guarantee on labelled holdouts.
 
-Each rule rejects documents whose rate of something exceeds a cutoff. Cutoffs come from labelled good documents
-that nothing was fitted on: per stratum and rule, cutoffs are tested from loose to tight with an
-exact binomial test, and the last one that passes is used. With the chosen confidence, in every
-stratum at once, no more than the chosen share of good documents is rejected.
+Each rule rejects documents whose rate of something exceeds a cutoff. Cutoffs come from labelled
+good documents that nothing was fitted on: per stratum and rule, cutoffs are tested from loose to
+tight with an exact binomial test, and the last one that passes is used. With the chosen confidence,
+in every stratum at once, no more than the chosen share of good documents is rejected.
 """
 
 from __future__ import annotations

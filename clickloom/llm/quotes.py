@@ -1,8 +1,8 @@
 """Quotation linking in conversations.
 
-Messages are parsed into their own text and what they quote, by level. Quoted passages are hashed in a
-normal form and joined with the messages that said them first; the message that is quoted is the one
-replied to. Quotes are then left out, and messages put in the order of replies.
+Messages are parsed into their own text and what they quote, by level. Quoted passages are hashed in
+a normal form and joined with the messages that said them first; the message that is quoted is the
+one replied to. Quotes are then left out, and messages put in the order of replies.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from clickloom.llm.text import as_bytes, stored
 
 QUOTED = re.compile(rb"^((?:[ \t]{0,3}>)+)[ \t]?")
-ATTRIBUTION = re.compile(rb"^[^>].{0,200}\b(wrote|writes|schrieb|escribi\xc3\xb3|a \xc3\xa9crit) ?:[ \t\r]*$")
+WROTE = rb"(wrote|writes|schrieb|escribi\xc3\xb3|a \xc3\xa9crit)"
+ATTRIBUTION = re.compile(rb"^[^>].{0,200}\b" + WROTE + rb" ?:[ \t\r]*$")
 
 _PASSAGES = "array<struct<level:int,hash:binary,chars:int>>"
 
@@ -39,8 +40,8 @@ def parse(text: bytes) -> tuple[bytes, int, list[tuple[int, bytes]]]:
     """A message's own text, its deepest level, and its passages (level, normal form).
 
     A passage is a run of lines of one level without an empty line; a run of several lines counts
-    whole and line by line, so that partial quotes are found too. A line such as "... wrote:" right before a
-    quote belongs to the quote.
+    whole and line by line, so that partial quotes are found too. A line such as "... wrote:" right
+    before a quote belongs to the quote.
     """
     lines = [quote_level(line) for line in text.split(b"\n")]
     own = [
@@ -71,6 +72,11 @@ def parse(text: bytes) -> tuple[bytes, int, list[tuple[int, bytes]]]:
     return kept, deepest, list(passages)
 
 
+def _described(level: int, said: bytes) -> dict:
+    digest = hashlib.sha256(said).digest()[:16]
+    return {"level": level, "hash": digest, "chars": len(said.decode())}
+
+
 def _parsed(messages: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,19 +85,15 @@ def _parsed(messages: DataFrame) -> DataFrame:
                 kept, level, passages = parse(text)
                 own.append(kept.decode())
                 deepest.append(level)
-                found.append(
-                    [
-                        {"level": at, "hash": hashlib.sha256(said).digest()[:16], "chars": len(said.decode())}
-                        for at, said in passages
-                    ]
-                )
+                found.append([_described(at, said) for at, said in passages])
             kind = pa.list_(
                 pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("chars", pa.int32())])
             )
-            columns = [batch.column(c) for c in ("conv_id", "turn", "role", "message")]
+            names = ["conv_id", "turn", "role", "message"]
+            added = [pa.array(own, pa.string()), pa.array(deepest, pa.int32()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(own, pa.string()), pa.array(deepest, pa.int32()), pa.array(found, kind)],
-                ["conv_id", "turn", "role", "message", "own_text", "max_level", "passages"],
+                [*(batch.column(name) for name in names), *added],
+                [*names, "own_text", "max_level", "passages"],
             )
 
     kinds = {field.name: field.dataType for field in messages.schema}
@@ -106,17 +108,18 @@ def link_quotes(conversations: DataFrame, min_chars: int = 20) -> DataFrame:
     """One row per message: conv_id, turn, role, own_text, max_level, n_quoted, n_linked,
     parent_turn, parent_conv, thread.
 
-    ``conversations`` has conv_id, turn, role and text; other columns are not read. Passages of at least ``min_chars``
-    characters in normal form are linked. A quoted passage's original is the first message (by turn) of the same
-    conversation that says it itself, if that is earlier, else the first message of any other
-    conversation. n_quoted and n_linked count distinct quoted passages. The parent is the original of the
-    least deep, then longest, passage; parent_conv tells whether it is in another conversation. ``thread`` is the
-    path of turns from the message that started the exchange; sorted by conv_id and thread, each message follows
-    what it answers. Messages without a linked quote start a thread of their own.
-
-    NULL text is empty. A NULL conv_id is a conversation, a NULL turn comes first. Repeated rows are messages of
-    their own. Originals are aggregated per passage before anything is joined with them, so a passage that a third
-    of all messages share is one row per task.
+    ``conversations`` has conv_id, turn, role and text; other columns are not read. Passages of at
+    least ``min_chars`` characters in normal form are linked. A quoted passage's original is the
+    first message (by turn) of the same conversation that says it itself, if that is earlier, else
+    the first message of any other conversation. n_quoted and n_linked count distinct quoted
+    passages. The parent is the original of the least deep, then longest, passage; parent_conv tells
+    whether it is in another conversation. ``thread`` is the path of turns from the message that
+    started the exchange; sorted by conv_id and thread, each message follows what it answers.
+    Messages without a linked quote start a thread of their own.
+
+    NULL text is empty. A NULL conv_id is a conversation, a NULL turn comes first. Repeated rows are
+    messages of their own. Originals are aggregated per passage before anything is joined with them,
+    so a passage that a third of all messages share is one row per task.
     """
     numbered = conversations.select("conv_id", "turn", "role", "text").withColumn(
         "message", F.monotonically_increasing_id()
@@ -133,6 +136,8 @@ def link_quotes(conversations: DataFrame, min_chars: int = 20) -> DataFrame:
     )
     anywhere = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn", "message")).alias("there"))
     quoted = said.filter("level > 0")
+    elsewhere_is_here = F.col("there.conv_id").eqNullSafe(F.col("conv_id"))
+    rank = F.struct(F.col("here").isNull().alias("far"), "level", (-F.col("chars")).alias("chars"))
     found = (
         quoted.join(
             here,
@@ -141,11 +146,11 @@ def link_quotes(conversations: DataFrame, min_chars: int = 20) -> DataFrame:
         )
         .join(anywhere, "hash", "left")
         .withColumn("here", F.when(F.col("here") < place, F.col("here")))
-        .withColumn("there", F.when(~F.col("there.conv_id").eqNullSafe(F.col("conv_id")), F.col("there")))
+        .withColumn("there", F.when(~elsewhere_is_here, F.col("there")))
         .select(
             "message",
             "hash",
-            F.struct(F.col("here").isNull().alias("far"), "level", (-F.col("chars")).alias("rank")).alias("order"),
+            rank.alias("order"),
             F.struct(
                 F.coalesce("here.message", "there.message").alias("parent"),
                 F.coalesce("here.turn", "there.turn").alias("parent_turn"),
@@ -153,10 +158,11 @@ def link_quotes(conversations: DataFrame, min_chars: int = 20) -> DataFrame:
             ).alias("original"),
         )
     )
+    is_linked = F.col("original.parent").isNotNull()
     links = found.groupBy("message").agg(
         F.count_distinct("hash").alias("n_quoted"),
-        F.count_distinct(F.when(F.col("original.parent").isNotNull(), F.col("hash"))).alias("n_linked"),
-        F.min_by("original", F.when(F.col("original.parent").isNotNull(), F.col("order"))).alias("original"),
+        F.count_distinct(F.when(is_linked, F.col("hash"))).alias("n_linked"),
+        F.min_by("original", F.when(is_linked, F.col("order"))).alias("original"),
     )
     linked = stored(
         messages.drop("passages")

@@ -93,11 +93,11 @@ def member(content: bytes) -> bytes:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives in ``folder``; returns their manifest.
 
-    The payload is the html in UTF-8, NULL counting as empty. Of pages with equal payloads that
-    with the smallest page_id becomes a response, the others revisits of it. Pages with a NULL
-    page_id and rows that repeat the response's page_id become responses too. Other columns
-    are not read. Only page_id and a hash of the payload are shuffled to find equal payloads, aggregated
-    first, so a payload that very many pages share is one row per task.
+    The payload is the html in UTF-8, NULL counting as empty. Of pages with equal payloads that with
+    the smallest page_id becomes a response, the others revisits of it. Pages with a NULL page_id
+    and rows that repeat the response's page_id become responses too. Other columns are not read.
+    Only page_id and a hash of the payload are shuffled to find equal payloads, aggregated first, so
+    a payload that very many pages share is one row per task.
 
     Each task writes a file under a name of its own attempt; the manifest (path, n_bytes,
     n_records), stored in the shared folder, lists the files of the attempts that count.
