@@ -99,8 +99,12 @@ def _csv_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test events as other jobs leave them: Parquet, instants, prices as doubles, more columns."""
     folder = fresh_folder(spark, "parquet")
+    since = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', event_time)"
     events = read_fixture(spark, sf_dir).withColumns(
-        {"event_time": F.col("event_time").cast("timestamp"), "price": F.col("price").cast("double")}
+        {
+            "event_time": F.expr(f"timestamp_micros({since})"),  # UTC in any session's zone
+            "price": F.col("price").cast("double"),
+        }
     )
     events.write.parquet(folder)
     return clean(read_events(spark, folder, "parquet"))
