@@ -4,10 +4,14 @@ Similar documents form groups of bounded size; the matrix says which tokens (shi
 in which group. The overlap of a query with a group's token union bounds its overlap with every
 member, so only groups whose bound reaches the threshold are opened and compared exactly.
 
-The bound is used three times, from coarse to fine: a document whose tokens do not occur often
-enough in the union of all others has no link at all; a group is a candidate for a query only if
-they share one of the query's rarest tokens; and a candidate is opened only if its whole union
-covers enough of the query. Documents known to be connected are not compared again.
+The bound is used from coarse to fine: a document whose tokens do not occur often enough in the
+union of all others has no link at all; two groups are candidates for each other only if they share
+one of the rarest tokens of members; and a query is compared with a group's members only if the
+group's whole union covers enough of it.
+
+Only connections are wanted, so documents known to be connected need not be compared. Members of a
+group are compared first, then everybody with the most central document that shares a rare token
+with them, which connects clusters of copies of one text however large they are; then what is left.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.components import components
@@ -26,8 +31,15 @@ from clickloom.llm.text import Memo, as_bytes, stored, word_hashes
 LOWEST = -(2**63)  # stands for a NULL doc_id
 EMPTY = np.zeros(0, np.uint64)
 
+HALF = np.uint64(32)
+
 # Odd numbers with well mixed bits, to combine hashes.
-_MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
+_MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)]
+
+# What is known of a set's shared tokens: how many, sets that have them, and the most spread one.
+TALLY = np.dtype(
+    [("class", "<i8"), ("shared", "<i8"), ("spread", "<i8"), ("most", "<i8"), ("token", "<i8")]
+)
 
 EDGES = pa.schema([("node", pa.binary()), ("other", pa.binary())])
 _EDGES_DDL = "node binary, other binary"
@@ -107,8 +119,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 22) -> DataFrame:
-    """(class, shared): how many tokens of each set occur in some other set, if any.
+def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 21) -> DataFrame:
+    """(class, shared, spread, sketch): of each set with tokens that occur in other sets too, how
+    many these are, in how many sets they are in sum, and which token is in the most sets.
 
     Tokens go to tasks by range of their hash, packed in one binary per task and range: of each
     set, 4 bytes per token, which with the range tell tokens apart well enough that counts come
@@ -118,8 +131,8 @@ def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 22)
 
     def pack(keys: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        place = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        place = (((tokens >> HALF) * np.uint64(ranges)) >> HALF).astype(np.int32)
         order = np.argsort(place, kind="stable")
         tokens, owner, place = tokens[order].astype("<u4"), owner[order], place[order]
         names = np.array(keys, "<i8")
@@ -127,11 +140,13 @@ def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 22)
         for at in range(ranges):
             start, end = cuts[at], cuts[at + 1]
             if start < end:
-                owners, counts = np.unique(owner[start:end], return_counts=True)
+                firsts = np.flatnonzero(np.diff(owner[start:end], prepend=-1))
+                sizes = np.diff(np.append(firsts, end - start))
+                kind = "<u2" if sizes.max() < 1 << 16 else "<u4"
                 parts = (
-                    np.array([len(owners)], "<u4"),
-                    names[owners],
-                    counts.astype("<u4"),
+                    np.array([len(firsts), int(kind[-1])], "<u4"),
+                    names[owner[start:end][firsts]],
+                    sizes.astype(kind),
                     tokens[start:end],
                 )
                 blob = b"".join(part.tobytes() for part in parts)
@@ -154,95 +169,130 @@ def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 22)
         if sets:
             yield from pack(keys, sets)
 
-    def count(_key: tuple, blobs: pa.Table) -> pa.Table:
-        names, counts, tokens = [], [], []
+    def count(key: tuple, blobs: pa.Table) -> pa.Table:
+        parts = []
         for blob in blobs.column("blob").to_pylist():
-            sets = int(np.frombuffer(blob, "<u4", 1)[0])
-            names.append(np.frombuffer(blob, "<i8", sets, 4))
-            counts.append(np.frombuffer(blob, "<u4", sets, 4 + 8 * sets))
-            tokens.append(np.frombuffer(blob, "<u4", -1, 4 + 12 * sets))
-        names, owner = np.unique(np.concatenate(names), return_inverse=True)
-        owner = np.repeat(owner.astype(np.uint64), np.concatenate(counts))
-        pairs = np.unique((np.concatenate(tokens).astype(np.uint64) << np.uint64(32)) | owner)
-        token = pairs >> np.uint64(32)
-        same = token[1:] == token[:-1]
-        shared = np.append(same, False) | np.insert(same, 0, False)
-        owner = (pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        found = np.bincount(owner, minlength=len(names))
-        return pa.table(
-            {"class": names[found > 0].astype(np.int64), "shared": found[found > 0].astype(np.int64)}
-        )
+            sets, kind = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+            names = np.frombuffer(blob, "<i8", sets, 8)
+            sizes = np.frombuffer(blob, f"<u{kind}", sets, 8 + 8 * sets)
+            parts.append((names, sizes, np.frombuffer(blob, "<u4", -1, 8 + (8 + kind) * sets)))
+        names = np.unique(np.concatenate([part[0] for part in parts]))
+        pairs, at = np.empty(sum(len(part[2]) for part in parts), np.uint64), 0
+        for name, sizes, tokens in parts:
+            some = pairs[at : at + len(tokens)]
+            some[:] = tokens
+            some <<= HALF
+            some |= np.repeat(np.searchsorted(names, name).astype(np.uint64), sizes)
+            at += len(tokens)
+        pairs.sort()
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+        token = (pairs >> HALF).astype(np.uint32)
+        firsts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        times = np.diff(np.append(firsts, len(token)))
+        shared = np.repeat(times > 1, times)
+        times = times[times > 1]
+        rows = np.empty(len(shared.nonzero()[0]), TALLY)
+        rows["class"] = names[(pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        rows["shared"], rows["spread"] = 1, np.repeat(times, times)
+        rows["most"], rows["token"] = rows["spread"], token[shared]
+        rows["token"] += key[0].as_py() << 32
+        rows = added_up(rows)
+        place = rows["class"] % ranges
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+        some = [at for at in range(ranges) if cuts[at] < cuts[at + 1]]
+        packed = [rows[order[cuts[at] : cuts[at + 1]]].tobytes() for at in some]
+        return pa.table({"part": pa.array(some, pa.int64()), "blob": pa.array(packed, pa.binary())})
+
+    def total(blobs: pa.Table) -> pa.Table:
+        rows = added_up(np.frombuffer(b"".join(blobs.column("blob").to_pylist()), TALLY))
+        columns = {name: rows[name].astype(np.int64) for name in ("class", "shared", "spread")}
+        return pa.table(columns | {"sketch": rows["token"].astype(np.int64)})
+
+    return (
+        docs.select("text")
+        .mapInArrow(send, "range bigint, blob binary")
+        .groupBy("range")
+        .applyInArrow(count, "part bigint, blob binary")
+        .groupBy("part")
+        .applyInArrow(total, "class bigint, shared bigint, spread bigint, sketch bigint")
+    )
 
-    blobs = docs.select("text").mapInArrow(send, "range bigint, blob binary")
-    counts = blobs.groupBy("range").applyInArrow(count, "class bigint, shared bigint")
-    return counts.groupBy("class").agg(F.sum("shared").alias("shared"))
+
+def added_up(rows: np.ndarray) -> np.ndarray:
+    """One row per class: sums, and the token that is in the most sets."""
+    rows = rows[np.lexsort((rows["token"], rows["most"], rows["class"]))]
+    firsts = np.flatnonzero(np.append(True, rows["class"][1:] != rows["class"][:-1])[: len(rows)])
+    last = np.append(firsts[1:], len(rows))[: len(firsts)] - 1
+    result = rows[last].copy()
+    for name in ("shared", "spread"):
+        result[name] = np.add.reduceat(rows[name], firsts) if len(firsts) else 0
+    return result
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """(key, n, sketch, tokens) of the chosen (doc, key) documents.
+    """(key, n, spread, sketch, home, tokens) of the chosen documents (doc and all but tokens)."""
 
-    The sketch is a min-hash: similar sets mostly have the same.
-    """
+    narrow = ["key", "n", "spread", "sketch", "home"]
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, row, shingles in _sets(batches, width):
             key = batch.column("key")[row].as_py()
             if set_key(shingles) == key:  # else another text under the same doc_id
-                sketch = int(((shingles ^ (shingles >> np.uint64(31))) * _MIX[2]).min())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([key], pa.binary()),
-                        pa.array([len(shingles)], pa.int64()),
-                        pa.array([sketch - 2**63], pa.int64()),
+                        *(batch.column(name).slice(row, 1) for name in narrow),
                         pa.array([shingles.view(np.int64)], pa.list_(pa.int64())),
                     ],
-                    ["key", "n", "sketch", "tokens"],
+                    [*narrow, "tokens"],
                 )
 
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("doc")
-    texts = docs.select(doc, "text").join(chosen, "doc").select("key", "text")
-    return texts.mapInArrow(load, "key binary, n bigint, sketch bigint, tokens array<bigint>")
+    # Merged, since the chosen ones grow with the documents.
+    texts = docs.select(doc, "text").join(chosen.hint("merge"), "doc").select(*narrow, "text")
+    return texts.mapInArrow(
+        load, "key binary, n bigint, spread bigint, sketch bigint, home bigint, tokens array<bigint>"
+    )
 
 
-def _grouped(sets: DataFrame, most: int, most_tokens: int) -> DataFrame:
-    """Adds ``home``, the group: sets with one sketch, in parts of bounded size."""
-    sizes = sets.groupBy("sketch").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+def _homes(sets: DataFrame, by: list[str], most: int, most_tokens: int) -> DataFrame:
+    """``sets`` with home, the group: sets with equal ``by``, in parts of bounded size."""
+    sizes = sets.groupBy(*by).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
     parts = F.greatest(F.ceil(F.col("sets") / most), F.ceil(F.col("tokens") / most_tokens))
-    large = sizes.select("sketch", parts.alias("parts")).filter("parts > 1")
+    large = sizes.select(*by, parts.alias("parts")).filter("parts > 1")
     part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
-    return sets.join(large, "sketch", "left").select(
-        "key", "n", "tokens", F.xxhash64("sketch", part).alias("home")
-    )
+    # A left join keeps the rows of a NULL in ``by``, as parts of one.
+    return sets.join(large, by, "left").withColumn("home", F.xxhash64(*by, part)).drop("parts")
 
 
 class Group:
-    """The members of an open group and the tokens of their union."""
+    """The members of an open group: the tokens of their union, and who has each."""
 
     def __init__(self, table: pa.Table):
         table = table.sort_by("key")
         self.keys = table.column("key").to_pylist()
-        self.sets = [np.array(s, np.int64) for s in table.column("tokens").to_pylist()]
-        self.sizes = np.array([len(s) for s in self.sets])
-        self.union = np.unique(np.concatenate(self.sets))
-        self.has = np.zeros((len(self.union), len(self.sets)), np.float32)
-        for at, tokens in enumerate(self.sets):
-            self.has[np.searchsorted(self.union, tokens), at] = 1
-
-    def pairs(self, percent: int) -> np.ndarray:
-        """Whether each two members link."""
-        return self._links(self.has.T @ self.has, self.sizes[:, None], percent)
+        members = table.column("tokens").combine_chunks()
+        self.sizes = np.diff(members.offsets.to_numpy())
+        tokens = members.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.owner, tokens = owner[order], tokens[order]
+        self.starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
+        self.union = tokens[self.starts]
+        self.counts = np.diff(np.append(self.starts, len(tokens)))
 
     def links(self, tokens: np.ndarray, percent: int) -> np.ndarray:
         """The members that a query links with; none without a look if the bound excludes them."""
-        place = np.searchsorted(self.union, tokens)
-        place = place[np.append(self.union, 0)[place] == tokens] if len(place) else place
+        place = np.searchsorted(self.union, tokens).clip(max=len(self.union) - 1)
+        place = place[self.union[place] == tokens]
         if 100 * len(place) < percent * len(tokens):
             return np.zeros(0, np.int64)
-        both = self.has[place].sum(axis=0)
-        return np.flatnonzero(self._links(both, len(tokens), percent))
-
-    def _links(self, both, size, percent):
-        return 100 * both.astype(np.int64) >= percent * (size + self.sizes - both.astype(np.int64))
+        counts = self.counts[place]
+        # All owners of all shared tokens: the stretches that begin at starts.
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[place] - (ends - counts), counts)
+        both = np.bincount(self.owner[at], minlength=len(self.keys))
+        return np.flatnonzero(100 * both >= percent * (len(tokens) + self.sizes - both))
 
 
 def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
@@ -259,34 +309,37 @@ def _links_within(sets: DataFrame, percent: int) -> DataFrame:
         if table.num_rows < 2:
             return _edges([])
         group, found = Group(table), []
-        linked, left = group.pairs(percent), set(range(len(group.keys)))
+        sets = table.sort_by("key").column("tokens").combine_chunks()
+        linked = [group.links(sets[at].values.to_numpy(), percent) for at in range(len(sets))]
+        left = set(range(len(group.keys)))
         while left:
             frontier = [left.pop()]
             while frontier:
                 at = frontier.pop()
-                near = [other for other in np.flatnonzero(linked[at]).tolist() if other in left]
+                near = [other for other in linked[at].tolist() if other in left]
                 found += [(group.keys[at], group.keys[other]) for other in near]
                 left.difference_update(near)
                 frontier += near
         return _edges(found)
 
-    return sets.groupBy("home").applyInArrow(open_own, _EDGES_DDL)
+    return sets.select("home", "key", "tokens").groupBy("home").applyInArrow(open_own, _EDGES_DDL)
 
 
 def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, key, n, home): each set's prefix, as far as it occurs in other groups too.
+    """(token, key, n, spread): each set's prefix, as far as it occurs in other groups too.
 
     Tokens are ordered by the number of groups that have them, rarest first. Two sets that link
     share a token of the first n - ceil(percent n / 100) + 1 of both, whatever the order.
     """
-    matrix = sets.select("home", F.explode("tokens").alias("token")).distinct()
-    spread = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
+    # Dealt by group, so that only what is left of a group is shuffled by token.
+    matrix = sets.repartition("home").select("home", F.explode("tokens").alias("token")).distinct()
+    spread = F.count("*").over(Window.partitionBy("token"))
     shared = (
-        matrix.join(spread, "token")
+        matrix.withColumn("groups", spread)
+        .filter("groups > 1")
         .groupBy(F.col("home").alias("group"))
-        .agg(
-            F.collect_list("token").alias("shared"), F.collect_list("groups").alias("groups")
-        )
+        .agg(F.collect_list(F.struct("token", "groups")).alias("shared"))
+        .select("group", F.col("shared.token").alias("shared"), F.col("shared.groups").alias("groups"))
     )
 
     def prefixes(members: pa.Table, row: pa.Table) -> pa.Table:
@@ -296,8 +349,8 @@ def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
             groups = np.array(row.column("groups")[0].as_py(), np.int64)
             by_token = np.argsort(shared)
             shared, groups = shared[by_token], groups[by_token]
-            names = ["home", "key", "n", "tokens"]
-            for home, key, n, tokens in zip(
+            names = ["key", "n", "spread", "tokens"]
+            for key, n, spread, tokens in zip(
                 *(members.column(name).to_pylist() for name in names), strict=True
             ):
                 tokens = np.array(tokens, np.int64)
@@ -307,18 +360,18 @@ def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
                 length = n - -(-percent * n // 100) + 1 - (n - len(place))
                 if length > 0:
                     order = np.lexsort((shared[place], groups[place]))[:length]
-                    out += [(token, key, n, home) for token in shared[place][order].tolist()]
+                    out += [(token, key, n, spread) for token in shared[place][order].tolist()]
         columns = zip(*out, strict=True) if out else [[]] * 4
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
         return pa.table(
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["token", "key", "n", "home"],
+            names=["token", "key", "n", "spread"],
         )
 
     return (
         sets.groupBy("home")
         .cogroup(shared.groupBy("group"))
-        .applyInArrow(prefixes, "token bigint, key binary, n bigint, home bigint")
+        .applyInArrow(prefixes, "token bigint, key binary, n bigint, spread bigint")
     )
 
 
@@ -329,67 +382,109 @@ def _labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _links_across(
-    sets: DataFrame, rare: DataFrame, labels: DataFrame, percent: int, hubs: bool, chunk: int = 1024
-) -> DataFrame:
-    """Edges between sets of different groups that are not known to be connected.
-
-    With ``hubs``, only one set of each group and component is a query.
-    """
+def _mixed(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the tokens that sets of several components share."""
     rare = _labelled(rare, labels)
     mixed = rare.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    rare = rare.join(mixed.filter("a != b").select("token"), "token", "left_semi")
-    queries = rare.select("token", "key", "n", "home", "component")
-    if hubs:
-        least = rare.groupBy("home", "component").agg(F.min("key").alias("key"))
-        queries = queries.join(least.select("key"), "key", "left_semi")
-    groups = rare.groupBy("token", F.col("home").alias("group"), F.col("component").alias("other")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most")
-    )
-    candidates = stored(
-        queries.join(groups, "token")
-        .filter("home != group and component != other")
-        .filter(f"100 * n >= {percent} * least and 100 * most >= {percent} * n")
-        .select("key", "group")
-        .distinct(),
-        "candidates",
-    )
-    chunks = candidates.groupBy("group").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    asked = (
-        candidates.join(chunks, "group")
-        .withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
-        .join(_labelled(sets.select("key", "tokens"), labels), "key")
-        # Columns of their own, apart from those of the members below.
-        .select(*[F.col(c).alias(c) for c in ("group", "chunk", "key", "tokens", "component")])
-    )
-    opened = (
-        _labelled(sets, labels)
-        .join(chunks.withColumnRenamed("group", "home"), "home")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        .select(F.col("home").alias("group"), "chunk", "key", "tokens", "component")
-    )
+    return rare.join(mixed.filter("a != b").select("token"), "token", "left_semi")
+
+
+def _compared(cases: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges between the members and the queries of each case (case, asks, key, component).
 
-    def compare(members: pa.Table, queries: pa.Table) -> pa.Table:
+    A query gets an edge to one member of each component that it links with, its own excepted.
+    Only here do the sets themselves move.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks")
+        members, queries = table.filter(pc.invert(asks)), table.filter(asks)
         found = []
         if members.num_rows and queries.num_rows:
             members = members.sort_by("key")
             group, labels = Group(members), members.column("component").to_pylist()
-            names = ["key", "tokens", "component"]
-            for key, tokens, own in zip(
-                *(queries.column(name).to_pylist() for name in names), strict=True
-            ):
+            sets = queries.column("tokens").combine_chunks()
+            names = [queries.column(name).to_pylist() for name in ("key", "component")]
+            for at, (key, own) in enumerate(zip(*names, strict=True)):
                 reached = {own}
-                for at in group.links(np.array(tokens, np.int64), percent).tolist():
-                    if labels[at] not in reached:
-                        reached.add(labels[at])
-                        found.append((key, group.keys[at]))
+                if reached.issuperset(labels):
+                    continue
+                for other in group.links(sets[at].values.to_numpy(), percent).tolist():
+                    if labels[other] not in reached:
+                        reached.add(labels[other])
+                        found.append((key, group.keys[other]))
         return _edges(found)
 
-    return (
-        opened.groupBy("group", "chunk")
-        .cogroup(asked.groupBy("group", "chunk"))
-        .applyInArrow(compare, _EDGES_DDL)
+    full = cases.hint("merge").join(sets.select("key", "tokens"), "key")
+    return full.groupBy("case").applyInArrow(compare, _EDGES_DDL)
+
+
+def _links_to_hubs(
+    sets: DataFrame, rare: DataFrame, labels: DataFrame, percent: int, chunk: int = 512
+) -> DataFrame:
+    """Edges between sets and hubs: for each rare token, the set that has it and is most central.
+
+    Central is a set whose tokens are, on average, in the most sets: the text that others
+    are copies of. A set has at most as many hubs as rare tokens. A hub's queries are dealt out
+    over cases of some ``chunk``.
+    """
+    rare = _mixed(rare, labels)
+    central = (F.col("spread") / F.col("n")).alias("central")
+    hubs = rare.groupBy("token").agg(F.max(F.struct(central, "key", "n", "component")).alias("hub"))
+    pairs = stored(
+        rare.join(hubs, "token")
+        .filter("component != hub.component")
+        .filter(f"100 * n >= {percent} * hub.n and 100 * hub.n >= {percent} * n")
+        .select("key", "component", F.col("hub.key").alias("hub"), F.col("hub.component").alias("of"))
+        .distinct(),
+        "hub-pairs",
+    )
+    chunks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    part = F.pmod(F.xxhash64("key"), F.col("chunks"))
+    dealt = pairs.join(chunks, "hub").withColumn("case", F.xxhash64("hub", part))
+    asked = dealt.select("case", F.lit(True).alias("asks"), "key", "component")
+    opened = dealt.selectExpr("case", "false as asks", "hub as key", "of as component").distinct()
+    return _compared(asked.unionByName(opened), sets, percent)
+
+
+def _links_across(
+    sets: DataFrame, rare: DataFrame, labels: DataFrame, percent: int, most: int, most_tokens: int
+) -> DataFrame:
+    """Edges between all sets that share a rare token and are not known to be connected.
+
+    Sets are grouped anew: those of a large component stay among themselves, so that groups
+    within one component drop out as a whole.
+    """
+    large = labels.groupBy("component").count().filter("count >= 16").select("component")
+    named = _labelled(sets.select("key", "n", "sketch"), labels).join(
+        large.withColumn("large", F.col("component")), "component", "left"
+    )
+    homes = stored(
+        _homes(named, ["large", "sketch"], most, most_tokens).selectExpr(
+            "key", "component", "home as group"
+        ),
+        "homes",
     )
+    rows = _mixed(rare, labels).join(homes.select("key", "group"), "key")
+    matrix = rows.groupBy("token", "group").agg(
+        F.min("component").alias("a"),
+        F.max("component").alias("b"),
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+    )
+    other = matrix.toDF("token", "group2", "a2", "b2", "least2", "most2")
+    pairs = stored(
+        matrix.join(other, "token")
+        .filter("group < group2 and not (a = b and a2 = b2 and a = a2)")
+        .filter(f"100 * most >= {percent} * least2 and 100 * most2 >= {percent} * least")
+        .select("group", "group2")
+        .distinct()
+        .withColumn("case", F.monotonically_increasing_id()),
+        "group-pairs",
+    )
+    sides = pairs.selectExpr("case", "stack(2, true, group, false, group2) as (asks, group)")
+    cases = sides.join(homes, "group").select("case", "asks", "key", "component")
+    return _compared(cases, sets, percent)
 
 
 def near_duplicates(
@@ -398,21 +493,21 @@ def near_duplicates(
     percent: int = 80,
     group_size: int = 128,
     group_tokens: int = 200_000,
-    range_tokens: int = 4_000_000,
+    range_tokens: int = 3_000_000,
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     A document's set holds its distinct ``width``-word shingles, compared by 64-bit hashes. Two
     documents link when ``100 * intersection >= percent * union``; component_id is the smallest
-    doc_id reachable by links. Documents without words link with nothing and keep their own
-    doc_id. NULL text counts as empty; a NULL doc_id is smaller than all others. Repeated rows
-    get the same result. Other columns are not read.
-
-    Equal sets are joined first, by key, so copies cost one row each. All whole texts are read
-    three times: for keys, for token counts, and for the sets of documents that may have
-    links. Groups hold at most ``group_size`` sets of ``group_tokens`` tokens together (more only if
-    one set alone has more). A cluster of many near copies spans several groups; one set of each
-    is compared first, and when that has connected the groups, their members are not compared.
+    doc_id reachable by links. Documents without words link with nothing and keep their own doc_id.
+    NULL text counts as empty; a NULL doc_id is smaller than all others. Repeated rows get the same
+    result. Other columns are not read.
+
+    Equal sets are joined first, by key, so copies cost one row each. All whole texts are read three
+    times: for keys, for token counts, and for the sets of documents that may have links. Groups
+    hold at most ``group_size`` sets of ``group_tokens`` tokens together (more only if one set alone
+    has more). A cluster of many near copies spans several groups; all are compared with the most
+    central of them, and members that this has connected are not compared again.
     """
     signed = stored(signatures(docs, width), "signatures")
     doc = F.coalesce("doc_id", F.lit(LOWEST))
@@ -426,16 +521,18 @@ def near_duplicates(
     may_link = (
         classes.join(shared_counts(docs, width, ranges), "class")
         .filter(f"100 * shared >= {percent} * n_shingles")
-        .select("doc", "key")
+        .select("doc", "key", F.col("n_shingles").alias("n"), "spread", "sketch")
     )
-    sets = stored(_grouped(_full_sets(docs, may_link, width), group_size, group_tokens), "sets")
+    chosen = _homes(stored(may_link, "chosen"), ["sketch"], group_size, group_tokens)
+    sets = stored(_full_sets(docs, chosen, width), "sets")
     edges = stored(_links_within(sets, percent), "links")
     rare = stored(_rare_tokens(sets, percent), "rare-tokens")
-    for hubs in (True, False):
-        labels = components(edges)
-        more = stored(_links_across(sets, rare, labels, percent, hubs), "links")
-        edges = edges.unionByName(more)
-    linked = components(edges).withColumnRenamed("node", "key")
+    to_hubs = stored(_links_to_hubs(sets, rare, components(edges), percent), "links")
+    edges = edges.unionByName(to_hubs)
+    found = stored(
+        _links_across(sets, rare, components(edges), percent, group_size, group_tokens), "links"
+    )
+    linked = components(edges.unionByName(found)).withColumnRenamed("node", "key")
     smallest = (
         linked.join(classes, "key").groupBy("component").agg(F.min("doc").alias("smallest"))
     )
