@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 21) -> DataFrame:
+def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 20) -> DataFrame:
     """(class, shared, spread, sketch): of each set with tokens that occur in other sets too, how
     many these are, in how many sets they are in sum, and which token is in the most sets.
 

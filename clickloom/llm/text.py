@@ -62,18 +62,22 @@ class Memo(dict):
 
 
 def kept_by_worker(name: Hashable, make: Callable[[], object]):
-    """Made once per Python worker and used by all tasks that it runs.
+    """Made once per Python worker and used by all tasks of an operator that it runs.
 
-    Globals of this package would not do: tasks bring copies of their own.
+    A worker keeps one such thing: that of another operator goes when a new one is made, so that
+    memory does not add up over the stages of a job. Globals of this package would not do: tasks
+    bring copies of their own.
     """
     home = sys.modules.setdefault("_clickloom_worker", types.ModuleType("_clickloom_worker"))
-    if name not in home.__dict__:
-        home.__dict__[name] = make()
-    return home.__dict__[name]
+    kept = home.__dict__.setdefault("kept", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = make()
+    return kept[name]
 
 
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+    return kept_by_worker("word hashes", lambda: Memo(xxhash.xxh3_64_intdigest, 1 << 19))
 
 
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
