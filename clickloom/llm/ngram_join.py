@@ -453,29 +453,34 @@ def _links_across(
     """Edges between all sets that share a rare token and are not known to be connected.
 
     Sets are grouped anew: those of a large component stay among themselves, so that groups
-    within one component drop out as a whole.
+    within one component drop out as a whole. The others are grouped by sketch, and may now be with
+    sets that were in another part of that sketch, so a group is compared with itself too, unless
+    the sets that share the token come from one first group.
     """
     large = labels.groupBy("component").count().filter("count >= 16").select("component")
-    named = _labelled(sets.select("key", "n", "sketch"), labels).join(
+    first = sets.select("key", "n", "sketch", F.col("home").alias("first"))
+    named = _labelled(first, labels).join(
         large.withColumn("large", F.col("component")), "component", "left"
     )
     homes = stored(
         _homes(named, ["large", "sketch"], most, most_tokens).selectExpr(
-            "key", "component", "home as group"
+            "key", "component", "first", "home as group"
         ),
         "homes",
     )
-    rows = _mixed(rare, labels).join(homes.select("key", "group"), "key")
+    rows = _mixed(rare, labels).join(homes.select("key", "first", "group"), "key")
     matrix = rows.groupBy("token", "group").agg(
         F.min("component").alias("a"),
         F.max("component").alias("b"),
         F.min("n").alias("least"),
         F.max("n").alias("most"),
+        (F.min("first") != F.max("first")).alias("apart"),
     )
-    other = matrix.toDF("token", "group2", "a2", "b2", "least2", "most2")
+    other = matrix.drop("apart").toDF("token", "group2", "a2", "b2", "least2", "most2")
     pairs = stored(
         matrix.join(other, "token")
-        .filter("group < group2 and not (a = b and a2 = b2 and a = a2)")
+        .filter("group < group2 or (group = group2 and apart)")
+        .filter("not (a = b and a2 = b2 and a = a2)")
         .filter(f"100 * most >= {percent} * least2 and 100 * most2 >= {percent} * least")
         .select("group", "group2")
         .distinct()

@@ -83,6 +83,32 @@ def test_stars_chains_and_shared_passages(spark, sizes):
     assert collected(near_duplicates(docs, **sizes), *COLUMNS) == brute(rows)
 
 
+def couples(count):
+    """Pairs of near copies with one line that all texts share, and a third text that is the hub of
+    their rare shingles but like neither of them."""
+
+    def part(name, length):
+        return [f"{name}x{at}" for at in range(length)]
+
+    line, texts = ["one", "line", "that", "everybody", "has"], []
+    for i in range(count):
+        rare = part(f"r{i}", 40)
+        texts.append(part("p", 100) + line + rare)
+        texts.append(part("p", 100) + line + rare[:-1] + ["other"])
+        texts.append(part("q", 100) + line + rare)
+        texts += [part("q", 100) + line + part(f"u{i}x{j}", 40) for j in range(3)]
+    return [(at, " ".join(text)) for at, text in enumerate(texts)]
+
+
+def test_copies_in_different_parts_of_one_sketch(spark):
+    rows = couples(16)
+    expected = brute(rows)
+    assert sum(doc_id != component for doc_id, _, component in expected) == 16
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = near_duplicates(docs, group_size=8, group_tokens=10**6)
+    assert collected(found, *COLUMNS) == expected
+
+
 def test_threshold_is_exact(spark):
     """Sets of 9 and 10 with 8 and more in common: just at, below and above 80 percent."""
     base = [f"t{i}" for i in range(14)]
