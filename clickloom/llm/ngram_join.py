@@ -17,6 +17,8 @@ with them, which connects clusters of copies of one text however large they are;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -259,10 +261,13 @@ def _homes(sets: DataFrame, by: list[str], most: int, most_tokens: int) -> DataF
     """``sets`` with home, the group: sets with equal ``by``, in parts of bounded size."""
     sizes = sets.groupBy(*by).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
     parts = F.greatest(F.ceil(F.col("sets") / most), F.ceil(F.col("tokens") / most_tokens))
-    large = sizes.select(*by, parts.alias("parts")).filter("parts > 1")
+    of = {name: f"{name}_of" for name in by}
+    large = sizes.select(*by, parts.alias("parts")).filter("parts > 1").withColumnsRenamed(of)
     part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
-    # A left join keeps the rows of a NULL in ``by``, as parts of one.
-    return sets.join(large, by, "left").withColumn("home", F.xxhash64(*by, part)).drop("parts")
+    # A NULL in ``by`` equals other NULLs, and is parted like any value.
+    same = reduce(and_, (F.col(name).eqNullSafe(F.col(of[name])) for name in by))
+    homes = sets.join(large, same, "left").withColumn("home", F.xxhash64(*by, part))
+    return homes.drop("parts", *of.values())
 
 
 class Group:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from texts import collected, odd_documents, texts_of, words
 
 from clickloom.llm.components import components
-from clickloom.llm.ngram_join import near_duplicates
+from clickloom.llm.ngram_join import _homes, near_duplicates
 
 COLUMNS = ["doc_id", "n_shingles", "component_id"]
 
@@ -109,6 +109,17 @@ def test_copies_in_different_parts_of_one_sketch(spark):
     assert collected(found, *COLUMNS) == expected
 
 
+def test_groups_without_a_large_component_are_parted(spark):
+    """A NULL, which stands for all small components, is split like any other value."""
+    rows = [(None, 5, str(i).encode(), 10) for i in range(200)] + [(b"c", 5, b"x", 10), (None, 6, b"y", 10)]
+    sets = spark.createDataFrame(rows, "large binary, sketch bigint, key binary, n bigint")
+    for most, most_tokens in ((20, 10**6), (10**6, 200)):
+        homes = _homes(sets, ["large", "sketch"], most, most_tokens)
+        assert homes.columns == [*sets.columns, "home"] and homes.count() == len(rows)
+        parts = [row["count"] for row in homes.groupBy("home").count().collect()]
+        assert len(parts) == 12 and max(parts) < 45
+
+
 def test_threshold_is_exact(spark):
     """Sets of 9 and 10 with 8 and more in common: just at, below and above 80 percent."""
     base = [f"t{i}" for i in range(14)]
