@@ -127,8 +127,8 @@ def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 20)
 
     Tokens go to tasks by range of their hash, packed in one binary per task and range: of each
     set, 4 bytes per token, which with the range tell tokens apart well enough that counts come
-    out at most a little high. A set that a task meets twice is sent once, so copies
-    of a text are one set per task.
+    out at most a little high: two tokens of one set that look the same still count as two. A set
+    that a task meets twice is sent once, so copies of a text are one set per task.
     """
 
     def pack(keys: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +180,21 @@ def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 20)
             parts.append((names, sizes, np.frombuffer(blob, "<u4", -1, 8 + (8 + kind) * sets)))
         names = np.unique(np.concatenate([part[0] for part in parts]))
         pairs, at = np.empty(sum(len(part[2]) for part in parts), np.uint64), 0
+        sent = np.zeros(len(names), np.int64)
         for name, sizes, tokens in parts:
             some = pairs[at : at + len(tokens)]
             some[:] = tokens
             some <<= HALF
-            some |= np.repeat(np.searchsorted(names, name).astype(np.uint64), sizes)
+            place = np.searchsorted(names, name)
+            some |= np.repeat(place.astype(np.uint64), sizes)
+            sent[place] += 1
             at += len(tokens)
         pairs.sort()
-        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+        firsts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        repeats = np.diff(np.append(firsts, len(pairs)))
+        pairs = pairs[firsts]
+        # More often than the set was sent: several of its tokens.
+        several = np.maximum(1, repeats // sent[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
         token = (pairs >> HALF).astype(np.uint32)
         firsts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         times = np.diff(np.append(firsts, len(token)))
@@ -195,7 +202,7 @@ def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 20)
         times = times[times > 1]
         rows = np.empty(len(shared.nonzero()[0]), TALLY)
         rows["class"] = names[(pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        rows["shared"], rows["spread"] = 1, np.repeat(times, times)
+        rows["shared"], rows["spread"] = several[shared], np.repeat(times, times)
         rows["most"], rows["token"] = rows["spread"], token[shared]
         rows["token"] += key[0].as_py() << 32
         rows = added_up(rows)

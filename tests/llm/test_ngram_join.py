@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from texts import collected, odd_documents, texts_of, words
 
 from clickloom.llm.components import components
-from clickloom.llm.ngram_join import _homes, near_duplicates
+from clickloom.llm.ngram_join import _homes, near_duplicates, set_key, shared_counts, shingle_set, short
+from clickloom.llm.text import word_hashes
 
 COLUMNS = ["doc_id", "n_shingles", "component_id"]
 
@@ -120,6 +121,18 @@ def test_groups_without_a_large_component_are_parted(spark):
         assert len(parts) == 12 and max(parts) < 45
 
 
+def test_colliding_tokens_of_one_set_count_each(spark):
+    """Of so many shingles some have the same low 32 bits; a document wholly in others shares all."""
+    whole = " ".join(f"c{at}" for at in range(250_000))
+    docs = spark.createDataFrame([(1, whole), (2, f"{whole} end")], "doc_id bigint, text string")
+    own = shingle_set(whole.encode(), word_hashes(), 5)
+    assert len(np.unique(own.astype("<u4"))) < len(own)
+    # Once, and sent by two tasks.
+    for some in (docs.coalesce(1), docs.unionByName(docs)):
+        shared = {row["class"]: row["shared"] for row in shared_counts(some, 5, 1).collect()}
+        assert shared[short(set_key(own))] == len(own)
+
+
 def test_threshold_is_exact(spark):
     """Sets of 9 and 10 with 8 and more in common: just at, below and above 80 percent."""
     base = [f"t{i}" for i in range(14)]
