@@ -108,11 +108,11 @@ def link_quotes(conversations: DataFrame, min_chars: int = 20) -> DataFrame:
     """One row per message: conv_id, turn, role, own_text, max_level, n_quoted, n_linked,
     parent_turn, parent_conv, thread.
 
-    ``conversations`` has conv_id, turn, role and text; other columns are not read. Passages of at
-    least ``min_chars`` characters in normal form are linked. A quoted passage's original is the
-    first message (by turn) of the same conversation that says it itself, if that is earlier, else
-    the first message of any other conversation. n_quoted and n_linked count distinct quoted
-    passages. The parent is the original of the least deep, then longest, passage; parent_conv tells
+    ``conversations`` has conv_id, turn, role and text; other columns are not read. A quoted
+    passage's original is the first message (by turn) of the same conversation that says it itself,
+    if that is earlier, else, for passages of at least ``min_chars`` characters in normal form, the
+    first message of any other conversation. n_quoted and n_linked count distinct quoted passages
+    of any length. The parent is the original of the least deep, then longest, passage; parent_conv tells
     whether it is in another conversation. ``thread`` is the path of turns from the message that
     started the exchange; sorted by conv_id and thread, each message follows what it answers.
     Messages without a linked quote start a thread of their own.
@@ -128,13 +128,17 @@ def link_quotes(conversations: DataFrame, min_chars: int = 20) -> DataFrame:
     said = messages.select(
         "conv_id", "turn", "message", F.explode("passages").alias("passage")
     ).select("conv_id", "turn", "message", "passage.*")
-    said = said.filter(F.col("chars") >= min_chars)
     place = F.struct("turn", "message")
     own = said.filter("level = 0")
     here = own.groupBy(F.col("conv_id").alias("at_conv"), F.col("hash").alias("own_hash")).agg(
         F.min(place).alias("here")
     )
-    anywhere = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn", "message")).alias("there"))
+    # A few words alone do not tell that another conversation is quoted.
+    anywhere = (
+        own.filter(F.col("chars") >= min_chars)
+        .groupBy("hash")
+        .agg(F.min(F.struct("conv_id", "turn", "message")).alias("there"))
+    )
     quoted = said.filter("level > 0")
     elsewhere_is_here = F.col("there.conv_id").eqNullSafe(F.col("conv_id"))
     rank = F.struct(F.col("here").isNull().alias("far"), "level", (-F.col("chars")).alias("chars"))

@@ -60,6 +60,22 @@ def test_links_and_threads(spark):
     assert ">" not in "".join(row["own_text"] for row in by.values())
 
 
+def test_short_quotes(spark):
+    """Found in their own conversation, counted everywhere, not taken for another conversation's."""
+    by = found(rows(
+        spark,
+        (1, 0, "u", "Shall we meet?"),
+        (1, 1, "a", "> Shall we meet?\nYes, on Tuesday."),
+        (1, 2, "u", "> Yes, on Tuesday.\nGood."),
+        (2, 0, "u", "> Yes, on Tuesday.\nWho said so?"),
+    ))
+    assert {place: row["thread"] for place, row in by.items()} == {
+        (1, 0): [0], (1, 1): [0, 1], (1, 2): [0, 1, 2], (2, 0): [0],
+    }
+    assert (by[1, 2]["n_quoted"], by[1, 2]["n_linked"], by[1, 2]["parent_turn"]) == (1, 1, 1)
+    assert (by[2, 0]["n_quoted"], by[2, 0]["n_linked"], by[2, 0]["parent_conv"]) == (1, 0, None)
+
+
 def test_long_chains(spark):
     said = [f"This is what was said in message number {i}, at some length." for i in range(40)]
     messages = [(7, i, "u", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(40)]
