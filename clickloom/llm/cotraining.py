@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.text import Memo, as_bytes
+from clickloom.llm.text import Memo, as_bytes, stored
 
 TEXT_SIZE = 1 << 13  # buckets for words and for their shapes
 PAGE_SIZE = 1 << 11  # buckets for facts about the page
 SMOOTHING = 0.5
+ONE = 1 << 32  # a document's mass
+TIES = 1 << 16
 
 _RUNS = [
     (re.compile(rb"[A-Z]+"), b"A"),
@@ -62,67 +64,98 @@ def page_facts(lang, source, n_chars, text: bytes) -> list[int]:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, words, counts, page) for the few documents that classifiers learn from."""
+    """(doc_id, label, tie, words, page): buckets of each document, packed.
+
+    words has 2 bytes for each bucket, then 1 for each count (a larger one is several entries);
+    page has 2 for each fact; tie is a hash that orders documents of equal certainty.
+    """
+
+    def packed(buckets: list[tuple[int, int]]) -> bytes:
+        words, counts = np.unique(np.array(buckets, np.int64), return_counts=True)
+        entries = -(-counts // 255)
+        words, split = np.repeat(words, entries), np.full(entries.sum(), 255, np.uint8)
+        split[np.cumsum(entries) - 1] = counts - 255 * (entries - 1)
+        return words.astype("<u2").tobytes() + split.tobytes()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memo(text_buckets)
         for batch in batches:
             known.trim()
             rows = []
-            names = ("doc_id", "label", "lang", "source", "n_chars")
+            names = ("doc_id", "lang", "source", "n_chars")
             columns = [batch.column(name).to_pylist() for name in names]
-            for doc_id, label, lang, source, n_chars, text in zip(
+            for doc_id, lang, source, n_chars, text in zip(
                 *columns, as_bytes(batch.column("text")), strict=True
             ):
-                buckets = [known[word] for word in text.split()]
-                words, counts = np.unique(np.array(buckets, np.int64), return_counts=True)
-                page = page_facts(lang, source, n_chars, text)
-                rows.append((doc_id, label, words.tolist(), counts.tolist(), page))
+                words = packed([known[word] for word in text.split()])
+                page = np.array(page_facts(lang, source, n_chars, text), "<u2").tobytes()
+                tie = xxhash.xxh3_64_intdigest(words + page, (doc_id or 0) % 2**64) % TIES
+                rows.append((tie, words, page))
+            ties, words, page = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row[at] for row in rows], kind)
-                    for at, kind in enumerate(
-                        (pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3)
-                    )
+                    batch.column("doc_id"),
+                    batch.column("label"),
+                    pa.array(ties, pa.int32()),
+                    pa.array(words, pa.binary()),
+                    pa.array(page, pa.binary()),
                 ],
-                ["doc_id", "label", "words", "counts", "page"],
+                ["doc_id", "label", "tie", "words", "page"],
             )
 
-    return docs.mapInArrow(
-        features, "doc_id bigint, label bigint, words array<int>, counts array<int>, page array<int>"
+    columns = [F.col(name).cast("bigint").alias(name) for name in ("doc_id", "label")]
+    return docs.select(*columns, "lang", "source", "n_chars", "text").mapInArrow(
+        features, "doc_id bigint, label bigint, tie int, words binary, page binary"
     )
 
 
 class View:
     """Naive Bayes over the buckets of one view; its margin is the mean evidence per token."""
 
-    def __init__(self, size: int, buckets: pa.ListArray, counts: pa.ListArray | None):
+    def __init__(self, size: int, packed: list[bytes], counted: bool):
         self.size = size
-        lengths = np.diff(buckets.offsets.to_numpy())
+        each = 3 if counted else 2
+        lengths = np.array([len(one) // each for one in packed], np.int64)
         self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self.bucket = buckets.flatten().to_numpy()
+        cuts = [2 * (len(one) // each) for one in packed]
+        buckets = b"".join(one[:cut] for one, cut in zip(packed, cuts, strict=True))
+        counts = b"".join(one[cut:] for one, cut in zip(packed, cuts, strict=True))
+        self.bucket = np.frombuffer(buckets, "<u2").astype(np.int32)
         self.count = (
-            np.ones(len(self.bucket), np.float32)
-            if counts is None
-            else counts.flatten().to_numpy().astype(np.float32)
+            np.frombuffer(counts, np.uint8).astype(float) if counted else np.ones(len(self.bucket))
         )
         self.total = np.bincount(self.row, self.count, len(lengths)).clip(1)
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """Log likelihood ratio of each bucket, good to bad, every document weighing the same."""
-        weights = np.zeros((2, len(self.total)))
-        weights[labels, rows] = 1 / self.total[rows]
-        logs = []
-        for weight in weights:
-            mass = np.bincount(self.bucket, self.count * weight[self.row], self.size)
-            mass = mass + SMOOTHING * max(mass.sum(), 1) / self.size / 50
-            logs.append(np.log(mass / mass.sum()))
-        return logs[1] - logs[0]
+    def mass(self, labels: np.ndarray) -> np.ndarray:
+        """Per class, each bucket's share of documents, in units of 1 / ONE: exact in any order."""
+        share = np.rint(self.count / self.total[self.row] * ONE)
+        return np.stack(
+            [
+                np.bincount(self.bucket, share * (labels == value)[self.row], self.size)
+                for value in (0, 1)
+            ]
+        ).astype(np.int64)
 
     def margins(self, evidence: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.count * evidence[self.bucket], len(self.total)) / self.total
 
 
+def views_of(table: pa.Table | pa.RecordBatch) -> list[View]:
+    return [
+        View(TEXT_SIZE, table.column("words").to_pylist(), True),
+        View(PAGE_SIZE, table.column("page").to_pylist(), False),
+    ]
+
+
+def evidence_of(mass: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of each bucket, good to bad, every document weighing the same."""
+    logs = []
+    for one in mass / ONE:
+        one = one + SMOOTHING * max(one.sum(), 1) / len(one) / 50
+        logs.append(np.log(one / one.sum()))
+    return logs[1] - logs[0]
+
+
 def logistic(inputs: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
     """Weights of a logistic regression with intercept, by Newton's method."""
     inputs = np.column_stack([inputs, np.ones(len(labels))])
@@ -138,61 +171,129 @@ def logistic(inputs: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> n
     return weights
 
 
-def learn(table: pa.Table, rounds: int, handed: float, sure: float) -> dict[str, np.ndarray] | None:
-    """Co-train on (doc_id, label, words, counts, page); NULL labels are the pool."""
-    table = table.sort_by("doc_id").combine_chunks()
-    column = {name: table.column(name).combine_chunks() for name in table.column_names}
-    label = column["label"].fill_null(-1).to_numpy(zero_copy_only=False)
-    views = [
-        View(TEXT_SIZE, column["words"], column["counts"]),
-        View(PAGE_SIZE, column["page"], None),
-    ]
+def taught(table: pa.Table, pseudo: list[np.ndarray]) -> dict[str, np.ndarray] | None:
+    """The model of the labelled documents and the masses of those with pseudo-labels."""
+    table = table.sort_by("doc_id")
+    label = table.column("label").to_numpy()
+    views = views_of(table)
     apart = np.array(
-        [xxhash.xxh3_64_intdigest(str(doc_id)) % 3 == 0 for doc_id in column["doc_id"].to_pylist()],
+        [xxhash.xxh3_64_intdigest(str(doc_id)) % 3 == 0 for doc_id in table.column("doc_id").to_pylist()],
         bool,
     )
-    hold = np.flatnonzero(apart & (label >= 0))
-    train = np.flatnonzero(~apart & (label >= 0))
-    free = np.flatnonzero(label < 0)
-    if len(set(label[hold])) < 2 or len(set(label[train])) < 2:
+    if len(set(label[apart])) < 2 or len(set(label[~apart])) < 2:
         return None
-    given = [dict(zip(train.tolist(), label[train].tolist(), strict=True)) for _ in views]
-
-    def taught(view: View, known: dict[int, int]):
-        evidence = view.fit(np.array(list(known)), np.array(list(known.values())))
-        margins = view.margins(evidence)
-        return evidence, margins, logistic(margins[hold], label[hold])
-
-    for _ in range(rounds):
-        pseudo = []
-        for view, known in zip(views, given, strict=True):
-            _, margins, scale = taught(view, known)
-            p = 1 / (1 + np.exp(-np.clip(margins[free] * scale[0] + scale[1], -30, 30)))
-            new: dict[int, int] = {}
-            for value, certainty in ((1, p), (0, 1 - p)):
-                most = int(handed * (label[hold] == value).mean() * len(free))
-                surest = np.argsort(-certainty, kind="stable")[:most]
-                new |= {int(free[at]): value for at in surest if certainty[at] >= sure}
-            pseudo.append(new)
-        for at, known in enumerate(given):
-            known |= pseudo[1 - at]
-    learned = [taught(view, known) for view, known in zip(views, given, strict=True)]
-    odds = np.column_stack([margins * scale[0] + scale[1] for _, margins, scale in learned])
+    train = np.where(apart, -1, label)
+    evidence = [
+        evidence_of(view.mass(train) + more) for view, more in zip(views, pseudo, strict=True)
+    ]
+    margins = [view.margins(one)[apart] for view, one in zip(views, evidence, strict=True)]
+    scales = [logistic(one, label[apart]) for one in margins]
+    odds = np.column_stack([m * a + b for m, (a, b) in zip(margins, scales, strict=True)])
     return {
-        "text": learned[0][0],
-        "page": learned[1][0],
-        "text_scale": learned[0][2],
-        "page_scale": learned[1][2],
-        "combine": logistic(odds[hold], label[hold]),
-        "pseudo": np.array([len(known) - len(train) for known in given], float),
+        "text": evidence[0],
+        "page": evidence[1],
+        "text_scale": scales[0],
+        "page_scale": scales[1],
+        "combine": logistic(odds, label[apart]),
+        "good": np.array([(label[apart] == 1).mean()]),
     }
 
 
+def certainty(views: list[View], model: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(view, class, step of certainty) of each document; steps grow with the odds of the class.
+
+    A step is the upper bits of a float, so steps are a 2,048th of the odds wide; 0 is not sure.
+    """
+    for at, (view, name) in enumerate(zip(views, ("text", "page"), strict=True)):
+        slope, start = model[f"{name}_scale"]
+        odds = view.margins(model[name]) * slope + start
+        for value, sign in ((1, 1), (0, -1)):
+            steps = (sign * odds).clip(0).astype("<f4").view("<u4") >> 12
+            yield at, value, np.where(sign * odds >= model["sure"], steps, 0).astype(np.int64)
+
+
+def _summed(pool: DataFrame, partial, schema: str) -> list:
+    """Rows of ``partial``, which gets all batches of a task, added up by all columns but n."""
+    names = [field.name for field in T._parse_datatype_string(schema).fields]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = zip(*partial(batches), strict=True)
+        arrays = [pa.array(np.concatenate(column), pa.int64()) for column in columns]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+    frame = pool.select("tie", "words", "page").mapInArrow(add, schema)
+    return frame.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).collect()
+
+
+def _cuts(pool: DataFrame, model: dict, handed: float) -> dict[tuple[int, int], tuple[int, int]]:
+    """Per view and class the step from which documents are handed on, and up to which tie there.
+
+    A quantile over the whole pool, from counts per step.
+    """
+
+    def count(batches):
+        rows, n = [(np.array([-1]), np.array([0]), np.array([0]), np.array([0]))], 0
+        for batch in batches:
+            n += batch.num_rows
+            for at, value, steps in certainty(views_of(batch), model):
+                found, times = np.unique(steps[steps > 0], return_counts=True)
+                rows.append((np.full(len(found), at), np.full(len(found), value), found, times))
+        return [*rows, (np.array([-1]), np.array([0]), np.array([0]), np.array([n]))]
+
+    total, steps = 0, {}
+    for at, value, step, n in _summed(pool, count, "view bigint, class bigint, step bigint, n bigint"):
+        if at < 0:
+            total += n
+        else:
+            steps.setdefault((at, value), []).append((step, n))
+    cuts = {}
+    good = model["good"][0]
+    for (at, value), counts in steps.items():
+        left = int(handed * (good if value else 1 - good) * total)
+        for step, n in sorted(counts, reverse=True):
+            # The last step is shared out by tie, so that many equal documents are not all lost.
+            cuts[at, value] = (step, TIES if n <= left else TIES * left // n)
+            left -= n
+            if left <= 0:
+                break
+    return cuts
+
+
+def _masses(pool: DataFrame, history: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per view the masses of the documents that the other has labelled so far, and their number."""
+
+    sizes = (TEXT_SIZE, PAGE_SIZE)
+
+    def add(batches):
+        sums = [np.zeros((2, size + 1), np.int64) for size in sizes]
+        for batch in batches:
+            views, ties = views_of(batch), batch.column("tie").to_numpy()
+            labels = [np.full(batch.num_rows, -1) for _ in views]
+            for model, cuts in history:
+                for at, value, steps in certainty(views, model):
+                    step, tie = cuts.get((at, value), (0, 0))
+                    chosen = (steps > step) | ((steps == step) & (ties < tie) & (steps > 0))
+                    labels[1 - at][chosen & (step > 0)] = value
+            for view, one, total in zip(views, labels, sums, strict=True):
+                total[:, :-1] += view.mass(one)
+                total[:, -1] += [(one == 0).sum(), (one == 1).sum()]
+        rows = []
+        for at, total in enumerate(sums):
+            values, buckets = total.nonzero()
+            rows.append((np.full(len(values), at), values, buckets, total[values, buckets]))
+        return rows
+
+    result = [np.zeros((2, size + 1), np.int64) for size in sizes]
+    for at, value, bucket, n in _summed(pool, add, "view bigint, class bigint, bucket bigint, n bigint"):
+        result[at][value, bucket] = n
+    return [one[:, :-1] for one in result], np.array([one[:, -1].sum() for one in result], float)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     most_labelled: int = 8000,
-    most_pool: int = 8000,
+    most_pool: int | None = None,
     rounds: int = 4,
     handed: float = 0.05,
     sure: float = 0.95,
@@ -201,47 +302,58 @@ def fit(
 
     ``labels`` has doc_id and quality (1 good, 0 bad; other values do not count; of a doc_id that is
     labelled more than once the better label). Learns from at most ``most_labelled`` labelled
-    documents and, for pseudo-labels, ``most_pool`` unlabelled ones, both chosen by a hash of
-    doc_id. These two bounds also bound the one task that learns; the driver gets the model, which
-    is of fixed size. A third of the labelled documents calibrates and is never trained on. In each
-    of ``rounds`` rounds each view hands the other its surest documents, up to the share ``handed``
-    of the pool, and only those it gives a calibrated probability of ``sure``.
+    documents, chosen by a hash of doc_id, in one task, and from all documents without a label
+    (of which ``most_pool`` takes a sample, if given). A third of the labelled documents calibrates
+    and is never trained on. In each of ``rounds`` rounds each view hands the other its surest
+    documents, up to the share ``handed`` of the whole pool, and only those it gives a calibrated
+    probability of ``sure``. Buckets of all documents are stored once; a round reads them twice, for
+    counts per step of certainty and for sums per bucket. The driver gets these and the model, which
+    are of fixed size.
     """
     chosen = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     known = (
         labels.filter("quality in (0, 1)")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
         .agg(F.max("quality").cast("bigint").alias("label"))
     )
-    ids = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-        .filter("doc_id is not null")
-        .distinct()
+    docs = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source", "n_chars", "text"
     )
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
+    # At most most_labelled rows of two numbers.
     labelled = known.join(ids, "doc_id", "left_semi").orderBy(chosen, "doc_id").limit(most_labelled)
-    pool = (
-        ids.join(known, "doc_id", "left_anti")
-        .orderBy(chosen, "doc_id")
-        .limit(most_pool)
-        .withColumn("label", F.lit(None).cast("bigint"))
-    )
-    # At most most_labelled + most_pool rows of two numbers.
-    sample = docs.select("doc_id", "lang", "source", "n_chars", "text").join(
-        F.broadcast(labelled.unionByName(pool)), "doc_id"
-    )
-
-    def learned(table: pa.Table) -> pa.Table:
-        model = learn(table, rounds, handed, sure) or {}
-        values = pa.array([part.tolist() for part in model.values()], pa.list_(pa.float64()))
-        return pa.table({"part": pa.array(list(model), pa.string()), "numbers": values})
+    sample = stored(_features(docs.join(F.broadcast(labelled), "doc_id")), "labelled")
+
+    def learn(pseudo: list[np.ndarray]) -> dict[str, np.ndarray]:
+        def learned(table: pa.Table) -> pa.Table:
+            model = taught(table, pseudo) or {}
+            values = pa.array([part.tolist() for part in model.values()], pa.list_(pa.float64()))
+            return pa.table({"part": pa.array(list(model), pa.string()), "numbers": values})
+
+        rows = (
+            sample.groupBy(F.lit(0).alias("all"))
+            .applyInArrow(learned, "part string, numbers array<double>")
+            .collect()
+        )
+        return {row["part"]: np.array(row["numbers"]) for row in rows}
 
-    rows = (
-        _features(sample)
-        .groupBy(F.lit(0).alias("all"))
-        .applyInArrow(learned, "part string, numbers array<double>")
-        .collect()
-    )
-    return {row["part"]: np.array(row["numbers"]) for row in rows} or None
+    pseudo = [np.zeros((2, size), np.int64) for size in (TEXT_SIZE, PAGE_SIZE)]
+    model, number, history = learn(pseudo), np.zeros(2), []
+    if not model:
+        return None
+    # Packed before the join, so that texts are not shuffled. A NULL doc_id has no label.
+    unlabelled = F.lit(None).cast("bigint")
+    pool = _features(docs.withColumn("label", unlabelled)).join(known, "doc_id", "left_anti")
+    if most_pool is not None:
+        pool = pool.orderBy(chosen, "doc_id").limit(most_pool)
+    pool = stored(pool.select("tie", "words", "page"), "pool")
+    for _ in range(rounds):
+        model["sure"] = math.log(sure / (1 - sure))
+        history.append((model, _cuts(pool, model, handed)))
+        pseudo, number = _masses(pool, history)
+        model = learn(pseudo)
+    del model["good"]
+    return model | {"pseudo": number}
 
 
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:

@@ -39,6 +39,20 @@ def test_the_sample_is_bounded_and_the_model_repeatable(spark, tables):
     assert scored[0] == scored[1] and len(scored[0]) == documents.count()
 
 
+def test_the_whole_pool_is_learned_from(spark, tables):
+    """More than 8,000 documents without a label: the views exchange up to 5 % of all in each round."""
+    documents, labels = tables
+    copies = documents.join(labels.filter("quality in (0, 1)"), "doc_id", "left_anti").crossJoin(
+        spark.range(30).withColumnRenamed("id", "copy")
+    )
+    copies = copies.withColumn("doc_id", F.expr("doc_id + 1000000 * (copy + 1)")).drop("copy")
+    pool = documents.unionByName(copies)
+    assert copies.count() > 16_000
+    whole = cotraining.fit(pool, labels)
+    sample = cotraining.fit(pool, labels, most_pool=8000)
+    assert min(whole["pseudo"]) > 1.5 * max(400, *sample["pseudo"])
+
+
 def test_odd_documents(spark, tables):
     model = cotraining.fit(*tables)
     docs = odd_documents(spark)
