@@ -36,12 +36,28 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
-    kept = radix_groups(docs).filter("kept").select(F.col("doc_id").alias("id"), "text_sha256")
+    """Of equal texts, the document with the largest doc_id; one row, also if rows repeat doc_id
+    and text or all ids are NULL (which row's other columns stay is then open)."""
+    kept = stored(
+        radix_groups(docs)
+        .filter("kept")
+        .groupBy(F.col("doc_id").alias("id"), "text_sha256")
+        .agg(F.count("*").alias("times")),
+        "kept",
+    )
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (
         F.sha2(whole_text(), 256) == F.col("text_sha256")
     )
-    return docs.join(kept, same, "left_semi")
+    once = docs.join(kept.filter("times = 1"), same, "left_semi")
+    repeated = kept.filter("times > 1")
+    if repeated.isEmpty():
+        return once
+    # Only these rows are grouped, so that other texts are not shuffled for it.
+    one = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+    rows = docs.join(repeated, same, "left_semi").select(
+        F.col("doc_id").alias("id"), F.sha2(whole_text(), 256).alias("sha"), one
+    )
+    return once.unionByName(rows.groupBy("id", "sha").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,18 @@ def test_exact_stage(stages):
     assert after.columns == CLEAN
 
 
+def test_exact_stage_keeps_one_row(spark):
+    """Of rows that repeat id and text, and of equal texts whose ids are all NULL or partly."""
+    rows = [(1, "a"), (1, "a"), (2, "a"), (2, "a"), (None, "b"), (None, "b"), (3, "c"), (None, "c")]
+    rows += [(2, "d"), (4, None), (4, ""), (5, "e"), (None, "f")]
+    docs = spark.createDataFrame([(*row, "x") for row in rows], "doc_id bigint, text string, kept string")
+    after = corpus_pipeline.exact_dedup(spark, docs.repartition(3), SF_DIR)
+    assert after.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"] or "") for r in after.collect()), key=repr)
+    expected = [(2, "a"), (None, "b"), (3, "c"), (2, "d"), (4, ""), (5, "e"), (None, "f")]
+    assert found == sorted(expected, key=repr)
+
+
 def test_near_stage(stages):
     from test_ngram_join import brute
 
