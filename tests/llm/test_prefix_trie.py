@@ -1,0 +1,143 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from texts import collected
+
+from clickloom.llm.prefix_trie import prefix_trie, roll_up, shard_nodes, skeleton_of, splitters
+
+COLUMNS = [
+    "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256",
+]
+DDL = "conv_id bigint, turn bigint, role string, text string, path string, shard string, ends string"
+SIZES = [{}, {"shard_rows": 3, "sample": 1000}, {"skeleton_bytes": 2000, "sample": 1000}, {"skeleton_bytes": 0}]
+
+
+def brute(rows):
+    """Plain trie of (conv_id, turn, role, text); turns of one conversation must differ."""
+    own = defaultdict(list)
+    for conv_id, turn, role, text in rows:
+        if conv_id is not None:
+            own[conv_id].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [turn[2:] for turn in sorted(turns)] for c, turns in own.items()}
+    members = defaultdict(list)
+    ends = defaultdict(list)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        first = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+        path = tuple(own.get(first, [])[:h] + turns[h:])
+        ends[path].append(c)
+        for depth in range(len(path) + 1):
+            members[path[:depth]].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    result = []
+    for node, inside in members.items():
+        below = [other for other in members if other[: len(node)] == node]
+        saved = sum((len(members[b]) - 1) * len(b[-1][1]) for b in below if b)
+        leaves = sum(1 for b in below if b not in children)
+        digest = hashlib.sha256(",".join(map(str, sorted(ends[node]))).encode()).hexdigest()
+        parent = min(members[node[:-1]]) if node else None
+        result.append((min(inside), len(node), parent, len(inside), len(children[node]), leaves, saved, digest))
+    return sorted(result, key=repr)
+
+
+def odd_conversations():
+    chance = random.Random(4)
+    texts = ["", None, "hello", "é" * 30, "a longer answer " * 9, "x"]
+    rows = []
+    for c in [*range(0, 12), *range(100, 130), *range(-30, 3), 10**15]:
+        rows += [
+            (c, None if turn == 0 and c % 4 == 0 else turn, chance.choice(["user", "bot", None]), chance.choice(texts))
+            for turn in range(chance.randrange(1, 7))
+        ]
+    rows += [(None, 0, "user", "of no conversation"), (300, 5, "ab", "c"), (301, 5, "a", "bc")]
+    rows += [(500 + i, t, "user", "x") for i in range(3) for t in range(40 * i)]
+    # a third of all conversations are one
+    rows += [(1000 + 100 * i, turn, "user", "the same opening") for i in range(30) for turn in range(3)]
+    return list(dict.fromkeys(rows))
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*row, "x", "x", "x") for row in rows], DDL).repartition(5)
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_odd_conversations(spark, sizes):
+    rows = odd_conversations()
+    rows = list({(c, t): (c, t, r, x) for c, t, r, x in rows}.values())
+    assert collected(prefix_trie(table(spark, rows), **sizes), *COLUMNS) == brute(rows)
+
+
+def test_repeated_rows_are_turns_of_their_own(spark):
+    found = prefix_trie(table(spark, [(100, 1, "user", "again")] * 3))
+    assert sorted(row.depth for row in found.collect()) == [0, 1, 2, 3]
+
+
+def test_turnless_conversation_ends_at_the_root(spark):
+    gone = next(c for c in range(1, 99) if zlib.crc32(str(c).encode()) % 6 > 0)
+    rows = [(gone, 0, "user", "its family's turns come first, and there is no family")]
+    (root,) = prefix_trie(table(spark, rows)).collect()
+    assert tuple(root) == (gone, 0, None, 1, 0, 1, 0, hashlib.sha256(str(gone).encode()).hexdigest())
+
+
+def test_empty_table(spark):
+    assert prefix_trie(table(spark, [])).collect() == []
+
+
+SUMS = {"n_convs": 3, "n_children": 4, "n_leaves": 5, "saved_tokens": 6}
+
+
+def reduced(found):
+    parts = {}
+    for row in (row for row in found if row[9]):
+        part = parts.setdefault(row[8], {"skeleton": row[8], "conv_id": row[0], "ends_sha256": None})
+        part["conv_id"] = min(part["conv_id"], row[0])
+        part |= {name: part.get(name, 0) + row[place] for name, place in SUMS.items()}
+    return list(parts.values())
+
+
+def test_shards_and_skeleton_agree_with_one_shard():
+    """Nodes cut by splitters at any place add up to those of a single shard."""
+    chance = random.Random(2)
+
+    def digest(turn):
+        return bytes([turn]) * 16
+
+    drawn = [[chance.randrange(2) for _ in range(chance.randrange(5))] for _ in range(80)]
+    paths = sorted(
+        (b"".join(map(digest, turns)), c, [1 + turn for turn in turns]) for c, turns in enumerate(drawn)
+    )
+    whole, nodes = skeleton_of([])
+    expected = list(shard_nodes(iter(paths), whole))
+    for step in (1, 7, 30):
+        cuts = paths[step::step]
+        child, nodes = skeleton_of(cuts)
+        found = []
+        for start, end in zip([0, *range(step, 80, step)], [*range(step, 80, step), 80], strict=True):
+            found += shard_nodes(iter(paths[start:end]), child)
+        up = roll_up(reduced(found), nodes)
+        known = {row[8]: row[0] for row in up}
+        local = [
+            [*row[:2], known[row[8]] if row[8] is not None else row[2], *row[3:7]] for row in found if not row[9]
+        ]
+        one = roll_up(reduced(expected), skeleton_of([])[1])
+        alone = [
+            [*row[:2], one[0][0] if row[8] is not None else row[2], *row[3:7]] for row in expected if not row[9]
+        ]
+        cut, uncut = local + [row[:7] for row in up], alone + [row[:7] for row in one]
+        assert sorted(map(repr, cut)) == sorted(map(repr, uncut))
+
+
+def test_collected_splitters_are_bounded(spark):
+    paths = spark.createDataFrame(
+        [(bytes([i]) * 160, i, [1] * 10) for i in range(200)], "path binary, conv_id bigint, sizes array<int>"
+    )
+    assert len(splitters(paths, 200, 10, 100, 1 << 20)) == 9
+    some = splitters(paths, 200, 10, 100, 5000)
+    assert len(some) <= 9 and sum(len(path) for path, _, _ in some) <= 5000
+    assert splitters(paths, 200, 10, 100, 0) == []
