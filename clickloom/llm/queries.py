@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clickloom.llm import cotraining, language_model, pieces, quality_rules
+from clickloom.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from clickloom.llm.line_dedup import LINES_SQL, dedup_lines
 from clickloom.llm.ngram_join import near_duplicates
 from clickloom.llm.packing import PACKED, pack
+from clickloom.llm.passages import dedup_passages
+from clickloom.llm.prefix_trie import PREFIX_TRIE_SQL, prefix_trie
 from clickloom.llm.quotes import link_quotes
 from clickloom.llm.radix_dedup import RADIX_SQL, radix_groups
 from clickloom.llm.text import stored, tokenizer_file
@@ -102,6 +105,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -114,9 +133,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_language_model": op9_language_model,
         "op10_warc": op10_warc,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_substring_dedup": op12_substring_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op3_exact_dedup": RADIX_SQL, "op10_warc": WARC_SQL}
+    return {
+        "op1_line_dedup": LINES_SQL,
+        "op3_exact_dedup": RADIX_SQL,
+        "op10_warc": WARC_SQL,
+        "op11_prefix_trie": PREFIX_TRIE_SQL,
+        "op13_hard_negatives": HARD_NEGATIVES_SQL,
+    }

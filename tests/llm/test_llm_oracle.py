@@ -22,6 +22,6 @@ def test_query_matches_sql(spark, name):
 
 def test_all_are_registered():
     numbers = {int(name[2:].split("_")[0]) for name in queries.queries() if name.startswith("op")}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert "pipeline" in queries.queries()
     assert set(queries.queries()) <= set(driver.queries())
