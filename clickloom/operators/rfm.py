@@ -69,8 +69,8 @@ def rfm_segments(
 ) -> DataFrame:
     """Scores 1 to 5 per measure and the customer's segment. Ties are settled by user_id.
 
-    ``as_of`` and ``days`` as in ``rfm_base``. Calling this runs jobs: customers are stored and
-    sorted in ``folder`` (see ``rank_tiles``), and the result reads them there. The last purchase
+    ``as_of`` and ``days`` as in ``rfm_base``. Calling this runs jobs: customers are stored in
+    ``folder`` and counted (see ``rank_tiles``), and the result reads them there. The last purchase
     day orders customers just as recency does, so scoring does not wait for the reference date; that is
     taken from the stored customers, and events are read once. Customers without a known
     purchase day, or without any price, score lowest on that measure.

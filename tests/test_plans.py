@@ -103,12 +103,14 @@ def test_rows_are_combined_before_every_shuffle(spark, name):
 
 
 def test_customers_are_never_in_one_task(spark):
-    """Single-partition steps of the result see partial aggregates only."""
-    lines = plan(driver.queries()["rfm_segments"](spark, SF_DIR)).split("\n")
+    """Single-partition steps of the result see partial aggregates only, and nothing is sorted."""
+    text = plan(driver.queries()["rfm_segments"](spark, SF_DIR))
+    lines = text.split("\n")
     single = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
     below = [lines[i + 1] for i in single]
-    assert len(single) == 2
+    assert len(single) == 1
     assert all("functions=[partial_max" in line for line in below)
+    assert "rangepartitioning" not in text and "Sort" not in text
 
 
 def test_top_brands_sorts_only_what_it_keeps(spark):

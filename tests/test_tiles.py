@@ -3,6 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickloom import rank_tiles
+from clickloom.operators.tiles import tile_starts
 
 
 def plain(rows, measures, tiles):
@@ -39,7 +40,7 @@ def test_same_as_plain_ntile(spark, rows, tiles):
 
 
 def test_one_value_for_all(spark):
-    """However many rows tie, the sort splits them."""
+    """However many rows tie, the search goes on among their keys."""
     frame = spark.range(20_000).selectExpr("id", "1L as m", "if(id % 3 = 0, 5, id) as third")
     check(frame, ["m", "third"])
 
@@ -47,3 +48,34 @@ def test_one_value_for_all(spark):
 def test_null_key_is_a_row_like_others(spark):
     frame = spark.createDataFrame([(None, 1), (1, 1), (2, None), (3, 0)], "id bigint, m bigint")
     check(frame, ["m"], 4)
+
+
+def test_extreme_values_and_keys(spark):
+    ends = [-(2**63), -(2**63) + 1, -1, 0, 1, 2**63 - 2, 2**63 - 1]
+    rows = [(key, value) for key, value in zip(ends, reversed(ends), strict=True)]
+    frame = spark.createDataFrame([*rows, (5, None), (6, None), (None, 7)], "id bigint, m bigint")
+    for tiles in (2, 5, 10):
+        check(frame, ["m"], tiles)
+
+
+def test_all_values_null(spark):
+    check(spark.range(40).selectExpr("id", "cast(null as bigint) as m"), ["m"])
+
+
+def test_ties_are_split_at_the_same_place_by_few_buckets(spark):
+    """A third of all rows on one value; two buckets a pass need many passes and find the same."""
+    frame = spark.range(3000).selectExpr("id * 7 as id", "if(id % 3 = 0, 5, hash(id)) as m").cache()
+    found = tile_starts(frame, "id", ["m"], 7, buckets=2)
+    assert found == tile_starts(frame, "id", ["m"], 7)
+    assert sorted(found["m"]) == list(range(7))
+
+
+def test_nothing_is_sorted(spark):
+    frame = spark.range(100).selectExpr("id", "id % 7 as m")
+    plan = rank_tiles(frame, "id", ["m"])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "Window" not in plan
+
+
+def test_keys_are_integers(spark):
+    with pytest.raises(ValueError, match="no integer"):
+        rank_tiles(spark.range(3).selectExpr("string(id) as id", "1 as m"), "id", ["m"])
