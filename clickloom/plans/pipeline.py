@@ -8,7 +8,7 @@ import logging
 import traceback
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor, as_completed
+from concurrent.futures import ThreadPoolExecutor, as_completed, wait
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -42,7 +42,7 @@ from clickloom.schema import (
 )
 from clickloom.session import delete_folder, fresh_folder
 from clickloom.sources.events import stage_events
-from clickloom.sources.sinks import Sink
+from clickloom.sources.sinks import JdbcSink, Sink
 
 log = logging.getLogger(__name__)
 
@@ -125,8 +125,9 @@ def run_pipeline(
     one do not leave the cluster idle.
 
     The sink is touched only after every result has been computed and stored, and every table
-    is counted after loading. Each table's outcome is appended to the run log, a failure with
-    its traceback.
+    is counted after loading. A ``ParquetSink`` then makes all tables and the run log current at
+    once, so a run that fails at any point leaves the tables of the run before. Each table's outcome is
+    appended to the run log, a failure with its traceback.
     """
     if stage is None:
         stage = "table" if BAD_LINE in source.columns else "none"
@@ -142,8 +143,8 @@ def run_pipeline(
         now = datetime.datetime.now(datetime.timezone.utc)
         entries.append((run_id, table, status, rows, error, now))
 
-    def write_log() -> None:
-        sink.write(spark.createDataFrame(entries, RUN_LOG_SCHEMA), RUN_LOG, "append")
+    def outcome() -> DataFrame:
+        return spark.createDataFrame(entries, RUN_LOG_SCHEMA)
 
     def each(pool: ThreadPoolExecutor, work: Callable[[str], object], tables: list[str]) -> dict:
         """Do one step for all tables. When one fails, those not yet started are left out."""
@@ -157,6 +158,7 @@ def run_pipeline(
         finally:
             for step in running:
                 step.cancel()
+            wait(running)  # nothing may be written after the load has been taken back
         return done
 
     try:
@@ -174,23 +176,27 @@ def run_pipeline(
                 return _store(spark, analyses[table](), f"{results}/{table}")
 
             stored = each(pool, compute, list(analyses))
-
-            def load(table: str) -> None:
-                frame, rows = stored[table]
-                sink.write(frame, table)
-                loaded = sink.count(spark, table)
-                if loaded != rows:
-                    raise RuntimeError(f"{table}: {rows} rows computed, {loaded} loaded")
-                note(table, "loaded", rows)
-
-            each(pool, load, list(analyses))
-        current = RUN_LOG
-        write_log()
+            with sink.load(spark) as load:
+
+                def bring(table: str) -> DataFrame:
+                    frame, rows = stored[table]
+                    load.write(frame, table)
+                    loaded = load.count(table)
+                    if loaded != rows:
+                        raise RuntimeError(f"{table}: {rows} rows computed, {loaded} loaded")
+                    note(table, "loaded", rows)
+                    return load.read(table)
+
+                tables = each(pool, bring, list(analyses))
+                current = RUN_LOG
+                load.write(outcome(), RUN_LOG, "append")
     except Exception:
+        # What was loaded is in the log of a database only: a Parquet load takes all tables back.
+        entries[:] = entries if isinstance(sink, JdbcSink) else []
         note(current, "failed", None, traceback.format_exc())
         # Neither a failing log nor a failing clean-up may hide what went wrong.
         with _warning("the run log was not written"):
-            write_log()
+            sink.write(outcome(), RUN_LOG, "append")
         raise
     finally:
         if cached is not None:
@@ -198,7 +204,7 @@ def run_pipeline(
         for folder in folders:
             with _warning(f"{folder} was not deleted"):
                 delete_folder(spark, folder)
-    return {table: sink.read(spark, table) for table in analyses}
+    return {table: tables[table] for table in analyses}
 
 
 def in_order(table: str, frame: DataFrame) -> DataFrame:

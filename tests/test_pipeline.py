@@ -20,6 +20,7 @@ from clickloom.schema import (
 )
 from clickloom.session import shared_folder
 from clickloom.sources.fixture import read_fixture
+from clickloom.sources.sinks import ParquetLoad
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = {AUDIT, FUNNEL, RFM, SEGMENTS, BRANDS, PRICES, HOURS, WEEKDAYS, REVENUE}
@@ -109,13 +110,51 @@ def test_failing_source_is_what_gets_raised(spark, tmp_path):
     assert ParquetSink(str(tmp_path)).read(spark, RUN_LOG).filter("status='failed'").count() == 3
 
 
-def test_lost_rows_are_noticed(spark, tmp_path):
-    class Lossy(ParquetSink):
-        def write(self, frame, table, mode="overwrite"):
-            super().write(frame.limit(1) if table == HOURS else frame, table, mode)
+def test_lost_rows_are_noticed(spark, tmp_path, monkeypatch):
+    write = ParquetLoad.write
 
+    def lossy(self, frame, table, mode="overwrite"):
+        write(self, frame.limit(1) if table == HOURS else frame, table, mode)
+
+    monkeypatch.setattr(ParquetLoad, "write", lossy)
     with pytest.raises(RuntimeError, match="rows computed, 1 loaded"):
-        run_pipeline(spark, read_fixture(spark, SF_DIR), Lossy(str(tmp_path)))
+        run_pipeline(spark, read_fixture(spark, SF_DIR), ParquetSink(str(tmp_path)))
+
+
+@pytest.mark.parametrize("broken", [BRANDS, RUN_LOG])
+def test_failing_load_leaves_all_old_tables(spark, tmp_path, expected, monkeypatch, broken):
+    """Whichever table fails while loading, old tables and old log stay, and no new file does."""
+    sink, source = ParquetSink(str(tmp_path)), read_fixture(spark, SF_DIR)
+    run_pipeline(spark, source, sink)
+    held = {name: frame for name, frame in sink.snapshot(spark).items() if name != RUN_LOG}
+    write = ParquetLoad.write
+
+    def failing(self, frame, table, mode="overwrite"):
+        if table == broken and "failed" not in str(frame.collect()):
+            raise OSError("the disk is full")
+        write(self, frame, table, mode)
+
+    before = {path.name for path in (tmp_path / "data").iterdir()}
+    monkeypatch.setattr(ParquetLoad, "write", failing)
+    with pytest.raises(OSError, match="the disk is full"):
+        run_pipeline(spark, source.limit(10), sink, parallel=1)
+    found = sink.snapshot(spark)
+    assert contents({name: found[name] for name in TABLES}) == contents(held) == expected
+    log = found[RUN_LOG].groupBy("status").count().collect()
+    assert {row["status"]: row["count"] for row in log} == {"loaded": len(TABLES), "failed": 1}
+    assert len({path.name for path in (tmp_path / "data").iterdir()} - before) == 1  # the log's
+
+
+def test_readers_of_the_version_before_go_on(spark, tmp_path, expected):
+    sink, source = ParquetSink(str(tmp_path)), read_fixture(spark, SF_DIR)
+    first = run_pipeline(spark, source, sink)
+    run_pipeline(spark, source.limit(10), sink)
+    assert contents(first) == expected
+    run_pipeline(spark, source.limit(10), sink)  # now the first is too old
+    assert contents(sink.snapshot(spark, [HOURS])) != {HOURS: expected[HOURS]}
+    with pytest.raises(Exception, match="(?i)not.*(found|exist)"):
+        first[HOURS].collect()
+    assert len(list((tmp_path / "manifests").glob("*.json"))) == 2
 
 
 def test_nothing_is_left_behind(spark, tmp_path):
@@ -149,8 +188,14 @@ def test_events_are_scanned_five_times(spark, tmp_path, monkeypatch):
     read_fixture(spark, SF_DIR).write.parquet(path)
     store = pipeline._store
 
+    def scanned(plan):
+        """Scans of the events, by their root path: the plan's text cuts long ones."""
+        roots = plan.relation().location().rootPaths().mkString() if plan.nodeName().startswith("Scan") else ""
+        children = plan.children()
+        return roots.endswith(path) + sum(scanned(children.apply(i)) for i in range(children.size()))
+
     def counting(spark, frame, folder):
-        scans.append(frame._jdf.queryExecution().executedPlan().toString().count(f"{path}]"))
+        scans.append(scanned(frame._jdf.queryExecution().sparkPlan()))
         return store(spark, frame, folder)
 
     monkeypatch.setattr(pipeline, "_store", counting)
