@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from clickloom.functions.clickstream import wall_clock  # noqa: E402
 from clickloom.operators import activity, funnel, merchandise, rfm  # noqa: E402
 from clickloom.operators.clean import clean, null_audit, row_counts  # noqa: E402
+from clickloom.plans.increments import run_increment  # noqa: E402
 from clickloom.plans.pipeline import run_pipeline  # noqa: E402
 from clickloom.schema import (  # noqa: E402
     AUDIT,
@@ -157,6 +158,28 @@ def _pipeline(stage: str | None, table: str | None = None):
     return run
 
 
+def _increments(table: str, on_top: bool):
+    """Runs on the events of three periods, the first without its late events, which come at the end.
+
+    They come as a batch of their own, or the first period is brought again with them.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = ParquetSink(fresh_folder(spark, "increments"))
+        events = read_fixture(spark, sf_dir)
+        date, late = F.to_date("event_time"), F.col("event_id") % 7 == 0
+        first, second = F.lit(ONE_DAY), F.lit(ONE_DAY + datetime.timedelta(days=7))
+        early = date < first
+        run_increment(spark, events.filter(early & ~late), store)
+        run_increment(spark, events.filter((date >= first) & (date < second)), store)
+        run_increment(spark, events.filter((date >= second) | date.isNull()), store)
+        if on_top:
+            return run_increment(spark, events.filter(early & late), store, batch="late")[table]
+        return run_increment(spark, events.filter(early), store)[table]
+
+    return run
+
+
 def _with_folder(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         set_folder_if_unset(spark)
@@ -209,6 +232,10 @@ def _analyses() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline_brands": _pipeline("memory", BRANDS),
         "pipeline_prices": _pipeline("table", PRICES),
         "pipeline_revenue": _pipeline("none", REVENUE),
+        "increment_rfm": _increments(RFM, on_top=True),
+        "increment_hours": _increments(HOURS, on_top=True),
+        "increment_brands": _increments(BRANDS, on_top=False),
+        "increment_funnel": _increments(FUNNEL, on_top=False),
     }
 
 
@@ -506,4 +533,8 @@ def _analyses_sql() -> dict[str, str]:
         "pipeline_brands": f"{_EVENTS}{_BRANDS} select * from brands",
         "pipeline_prices": f"{_EVENTS}{_BRACKETS}{_BY_BRACKET}",
         "pipeline_revenue": f"{_EVENTS}{_REVENUE} select * from revenue",
+        "increment_rfm": f"{_EVENTS}{_CUSTOMERS}{_SCORED} select * from segments",
+        "increment_hours": f"{_EVENTS}{_BY_HOUR}",
+        "increment_brands": f"{_EVENTS}{_BRANDS} select * from brands",
+        "increment_funnel": f"{_EVENTS}{_FLAGS}{_FUNNEL}",
     }

@@ -11,6 +11,7 @@ from clickloom.operators.merchandise import (
 )
 from clickloom.operators.rfm import rfm_base, rfm_segment_distribution, rfm_segments
 from clickloom.operators.tiles import rank_tiles
+from clickloom.plans.increments import run_increment
 from clickloom.plans.pipeline import in_order, preview, run_pipeline
 from clickloom.session import create_session
 from clickloom.sources.events import read_events
@@ -36,6 +37,7 @@ __all__ = [
     "rfm_segment_distribution",
     "rfm_segments",
     "row_counts",
+    "run_increment",
     "run_pipeline",
     "session_flags",
     "top_brands",

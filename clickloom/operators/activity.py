@@ -16,19 +16,24 @@ NO_WEEKDAY = 0
 MEASURES = ("total_events", "views", "carts", "purchases")
 
 
-def activity_grid(events: DataFrame, audited: tuple[str, ...] = ()) -> DataFrame:
-    """Event counts per hour and weekday: 25 x 8 rows at most, in one pass.
-
-    Adds the NULLs of ``audited`` columns and bad lines, so that the audit needs no pass of its own.
-    """
+def activity_counts(events: DataFrame, audited: tuple[str, ...] = ()) -> list[Column]:
+    """Aggregates: events by kind and, for ``audited`` columns, NULLs and bad lines."""
     audit = [*null_counts(audited), bad_lines(events)] if audited else []
-    return events.groupBy("hour", "day_of_week").agg(
+    return [
         F.count("*").alias("total_events"),
         count_events(VIEW).alias("views"),
         count_events(CART).alias("carts"),
         count_events(PURCHASE).alias("purchases"),
         *audit,
-    )
+    ]
+
+
+def activity_grid(events: DataFrame, audited: tuple[str, ...] = ()) -> DataFrame:
+    """Event counts per hour and weekday: 25 x 8 rows at most, in one pass.
+
+    Adds the NULLs of ``audited`` columns and bad lines, so that the audit needs no pass of its own.
+    """
+    return events.groupBy("hour", "day_of_week").agg(*activity_counts(events, audited))
 
 
 def _totals(grid: DataFrame, slot: str, missing: int) -> DataFrame:
@@ -41,17 +46,23 @@ def _hours() -> Column:
     return seen_slots(F.coalesce(F.col("hour"), F.lit(NO_HOUR)))
 
 
+def _bought() -> Column:
+    return F.coalesce(is_event(PURCHASE), F.lit(False))
+
+
 def user_days(events: DataFrame) -> DataFrame:
     """What users did: one row per user for all other events, and one per day with purchases.
 
     Hourly users, customers and daily revenue can all start from it, so that events are scanned
     and shuffled by user once for the three. Purchases without a time have a NULL date.
     """
+    return user_sums(events, F.when(_bought(), F.col("date")))
+
+
+def user_sums(events: DataFrame, date: Column) -> DataFrame:
+    """What users did, by whether they bought and by ``date``: hours seen, events, money."""
     paid = F.col("price_read") > 0
-    bought = F.coalesce(is_event(PURCHASE), F.lit(False))
-    return events.groupBy(
-        "user_id", bought.alias("bought"), F.when(bought, F.col("date")).alias("date")
-    ).agg(
+    return events.groupBy("user_id", _bought().alias("bought"), date.alias("date")).agg(
         _hours().alias("hours"),
         F.count("*").alias("events"),
         F.sum("price_micros").alias("micros"),

@@ -18,18 +18,20 @@ def _step_bits() -> Column:
     return F.coalesce(F.bit_or(step), F.lit(0))
 
 
-def session_masks(events: DataFrame) -> DataFrame:
-    """One row per session: steps and weekdays seen, as bits. ``sessions`` is always 1.
+def session_bits() -> list[Column]:
+    """Aggregates: steps and weekdays seen, as bits. Weekday slot 0 stands for events without a time."""
+    return [
+        _step_bits().alias("steps"),
+        seen_slots(F.coalesce(F.col("day_of_week"), F.lit(0))).alias("weekdays"),
+    ]
 
-    Weekday slot 0 stands for events without a time.
-    """
+
+def session_masks(events: DataFrame) -> DataFrame:
+    """One row per session: steps and weekdays seen, as bits. ``sessions`` is always 1."""
     return (
         events.filter(F.col("user_session").isNotNull())
         .groupBy("user_session")
-        .agg(
-            _step_bits().alias("steps"),
-            seen_slots(F.coalesce(F.col("day_of_week"), F.lit(0))).alias("weekdays"),
-        )
+        .agg(*session_bits())
         .withColumn("sessions", F.lit(1).cast("bigint"))
     )
 

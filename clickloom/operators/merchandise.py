@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.clickstream import (
@@ -21,37 +21,57 @@ def _catalogued(events: DataFrame) -> DataFrame:
     return events.filter(F.col("brand").isNotNull() & F.col("category_code").isNotNull())
 
 
-def brand_category_insight(events: DataFrame) -> DataFrame:
+BRAND_SUMS = ("total_views", "total_carts", "total_purchases", "sold_micros", "micros", "priced")
+
+
+def _brand_sums() -> list[Column]:
+    micros = F.col("price_micros")
+    return [
+        count_events(VIEW).alias("total_views"),
+        count_events(CART).alias("total_carts"),
+        count_events(PURCHASE).alias("total_purchases"),
+        F.sum(F.when(is_event(PURCHASE), micros).otherwise(0)).alias("sold_micros"),
+        F.sum(micros).alias("micros"),
+        F.count(micros).alias("priced"),
+    ]
+
+
+def brand_users(events: DataFrame, *by: str) -> DataFrame:
+    """Sums per brand, main category and user, and further columns: rows that add up."""
+    return _catalogued(events).groupBy(*by, "brand", "category_main", "user_id").agg(*_brand_sums())
+
+
+def brand_category_insight(events: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Events, revenue and users per brand and main category.
 
     ``avg_price`` is over all events of the group, views included; revenue over purchases only.
+    ``users`` takes ready ``brand_users``, any number of rows per brand, category and user.
     """
-    micros = F.col("price_micros")
-    return (
-        _catalogued(events)
-        .groupBy("brand", "category_main")
-        .agg(
-            count_events(VIEW).alias("total_views"),
-            count_events(CART).alias("total_carts"),
-            count_events(PURCHASE).alias("total_purchases"),
-            F.sum(F.when(is_event(PURCHASE), micros).otherwise(0)).alias("sold_micros"),
-            F.sum(micros).alias("micros"),
-            F.count(micros).alias("priced"),
-            F.countDistinct("user_id").alias("unique_users"),
+    group = ["brand", "category_main"]
+    if users is None:
+        totals = _catalogued(events).groupBy(*group).agg(
+            *_brand_sums(), F.countDistinct("user_id").alias("unique_users")
         )
-        .select(
-            "brand",
-            "category_main",
-            "total_views",
-            "total_carts",
-            "total_purchases",
-            money(F.col("sold_micros")).alias("total_revenue"),
-            mean_money(F.col("micros"), F.col("priced")).alias("avg_price"),
-            "unique_users",
-            percent_or_zero(F.col("total_purchases"), F.col("total_views")).alias(
-                "view_to_purchase_rate"
-            ),
+    else:
+        sums = [F.sum(name).alias(name) for name in BRAND_SUMS]
+        totals = (
+            users.groupBy(*group, "user_id")
+            .agg(*sums)
+            .groupBy(*group)
+            .agg(*sums, F.count("user_id").alias("unique_users"))
         )
+    return totals.select(
+        "brand",
+        "category_main",
+        "total_views",
+        "total_carts",
+        "total_purchases",
+        money(F.col("sold_micros")).alias("total_revenue"),
+        mean_money(F.col("micros"), F.col("priced")).alias("avg_price"),
+        "unique_users",
+        percent_or_zero(F.col("total_purchases"), F.col("total_views")).alias(
+            "view_to_purchase_rate"
+        ),
     )
 
 
@@ -72,28 +92,47 @@ def price_bracketed(events: DataFrame) -> DataFrame:
     )
 
 
-def price_sensitivity(events: DataFrame) -> DataFrame:
+PRICE_SUMS = ("total_events", "views", "purchases", "micros")
+
+
+def _price_sums() -> list[Column]:
+    return [
+        F.count("*").alias("total_events"),
+        count_events(VIEW).alias("views"),
+        count_events(PURCHASE).alias("purchases"),
+        F.sum("price_micros").alias("micros"),
+    ]
+
+
+def price_products(events: DataFrame, *by: str) -> DataFrame:
+    """Sums per bracket's number and product, and further columns: rows that add up."""
+    return price_bracketed(events).groupBy(*by, "bracket", "product_id").agg(*_price_sums())
+
+
+def price_sensitivity(events: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Events, products and purchase rate per price bracket.
 
-    Groups by the bracket's number: the label is added to the finished rows.
+    Groups by the bracket's number: the label is added to the finished rows. ``products`` takes
+    ready ``price_products``, any number of rows per bracket and product.
     """
-    return (
-        price_bracketed(events)
-        .groupBy("bracket")
-        .agg(
-            F.count("*").alias("total_events"),
-            count_events(VIEW).alias("views"),
-            count_events(PURCHASE).alias("purchases"),
-            F.sum("price_micros").alias("micros"),
-            F.countDistinct("product_id").alias("distinct_products"),
+    if products is None:
+        totals = price_bracketed(events).groupBy("bracket").agg(
+            *_price_sums(), F.countDistinct("product_id").alias("distinct_products")
         )
-        .select(
-            price_bracket_label(F.col("bracket")).alias("price_bracket"),
-            "total_events",
-            "views",
-            "purchases",
-            mean_money(F.col("micros"), F.col("total_events")).alias("avg_price"),
-            "distinct_products",
-            percent_or_zero(F.col("purchases"), F.col("views")).alias("purchase_rate_pct"),
+    else:
+        sums = [F.sum(name).alias(name) for name in PRICE_SUMS]
+        totals = (
+            products.groupBy("bracket", "product_id")
+            .agg(*sums)
+            .groupBy("bracket")
+            .agg(*sums, F.count("product_id").alias("distinct_products"))
         )
+    return totals.select(
+        price_bracket_label(F.col("bracket")).alias("price_bracket"),
+        "total_events",
+        "views",
+        "purchases",
+        mean_money(F.col("micros"), F.col("total_events")).alias("avg_price"),
+        "distinct_products",
+        percent_or_zero(F.col("purchases"), F.col("views")).alias("purchase_rate_pct"),
     )

@@ -49,7 +49,7 @@ log = logging.getLogger(__name__)
 STAGES = ("none", "table", "memory")
 
 
-def _audit(grid: DataFrame) -> DataFrame:
+def audit_of(grid: DataFrame) -> DataFrame:
     """Rows, NULLs and bad lines of the whole input, added up from the activity grid."""
     counted = {"row_count": MEASURES[0]} | {f"null_{name}": f"null_{name}" for name in AUDITED}
     counted["bad_lines"] = "bad_lines"
@@ -85,7 +85,7 @@ def _analyses(
         WEEKDAYS: lambda: weekday_activity(events, grid.result(), sessions.result()),
         FUNNEL: lambda: funnel_summary(events, sessions.result()),
         SEGMENTS: lambda: rfm_segment_distribution(segments.result()),
-        AUDIT: lambda: _audit(grid.result()),
+        AUDIT: lambda: audit_of(grid.result()),
     }
 
 

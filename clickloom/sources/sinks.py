@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +64,8 @@ class ParquetSink:
         missing = [table for table in tables or [] if table not in known]
         if missing:
             raise ValueError(f"{self.folder} has no table {', '.join(missing)}")
-        return {table: resolved(spark, self.folder, known[table]) for table in tables or known}
+        names = tables or [table for table in known if "/" not in table]  # states have one
+        return {table: resolved(spark, self.folder, known[table]) for table in names}
 
     def count(self, spark: SparkSession, table: str) -> int:
         return self.read(spark, table).count()
@@ -107,12 +108,14 @@ class ParquetLoad:
     def __init__(self, spark: SparkSession, sink: ParquetSink, folder: str):
         self.spark, self.sink, self.folder = spark, sink, folder
         self.written: dict[str, tuple[str, dict]] = {}
+        self.checks: list[Callable[[dict], None]] = []
 
-    def _place(self, name: str) -> str:
+    def place(self, name: str) -> str:
+        """Where files of this load are, below the sink's folder."""
         return f"{self.folder.removeprefix(f'{self.sink.folder}/')}/{name}"
 
     def write(self, frame: DataFrame, table: str, mode: str = "overwrite") -> None:
-        place = self._place(table)
+        place = self.place(table)
         frame.write.parquet(f"{self.sink.folder}/{place}")
         self.put(table, [place], frame.schema, mode)
 
@@ -120,6 +123,13 @@ class ParquetLoad:
         """Name files, below the sink's folder, that ``table`` consists of, or gains."""
         self.written[table] = (mode, {"paths": paths, "schema": schema.jsonValue()})
 
+    def drop(self, table: str) -> None:
+        self.written[table] = ("drop", {})
+
+    def check(self, still: Callable[[dict], None]) -> None:
+        """Have ``still`` look at the current entries when this load is committed, and raise if need be."""
+        self.checks.append(still)
+
     def read(self, table: str) -> DataFrame:
         return resolved(self.spark, self.sink.folder, self.written[table][1])
 
@@ -128,7 +138,12 @@ class ParquetLoad:
 
     def commit(self) -> None:
         def change(tables: dict) -> dict:
+            for still in self.checks:
+                still(tables)
             for table, (mode, entry) in self.written.items():
+                if mode == "drop":
+                    tables.pop(table, None)
+                    continue
                 if mode == "append" and table in tables:
                     entry = entry | {"paths": [*tables[table]["paths"], *entry["paths"]]}
                 tables[table] = entry
