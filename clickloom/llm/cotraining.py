@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.text import Memo, as_bytes, stored
+from clickloom.llm.text import Memo, as_bytes, sliced, stored
 
 TEXT_SIZE = 1 << 13  # buckets for words and for their shapes
 PAGE_SIZE = 1 << 11  # buckets for facts about the page
 SMOOTHING = 0.5
 ONE = 1 << 32  # a document's mass
 TIES = 1 << 16
+MOST_WORDS = 1 << 18  # words that a task remembers
+POOL_ROWS = 1000  # documents of the pool that a task unpacks at a time
 
 _RUNS = [
     (re.compile(rb"[A-Z]+"), b"A"),
@@ -37,7 +39,7 @@ def shape(word: bytes) -> bytes:
     """The word with runs of capitals, other letters and digits as one character each."""
     for run, sign in _RUNS:
         word = run.sub(sign, word)
-    return word[:8]
+    return word
 
 
 def text_buckets(word: bytes) -> tuple[int, int]:
@@ -70,16 +72,21 @@ def _features(docs: DataFrame) -> DataFrame:
     page has 2 for each fact; tie is a hash that orders documents of equal certainty.
     """
 
-    def packed(buckets: list[tuple[int, int]]) -> bytes:
-        words, counts = np.unique(np.array(buckets, np.int64), return_counts=True)
+    def both(word: bytes) -> int:
+        one, two = text_buckets(word)
+        return one | two << 16
+
+    def packed(codes: np.ndarray) -> bytes:
+        buckets = np.concatenate([codes & 0xFFFF, codes >> 16])
+        words, counts = np.unique(buckets, return_counts=True)
         entries = -(-counts // 255)
         words, split = np.repeat(words, entries), np.full(entries.sum(), 255, np.uint8)
         split[np.cumsum(entries) - 1] = counts - 255 * (entries - 1)
         return words.astype("<u2").tobytes() + split.tobytes()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(text_buckets)
-        for batch in batches:
+        known = Memo(both, MOST_WORDS)
+        for batch in sliced(batches, 500):
             known.trim()
             rows = []
             names = ("doc_id", "lang", "source", "n_chars")
@@ -87,7 +94,8 @@ def _features(docs: DataFrame) -> DataFrame:
             for doc_id, lang, source, n_chars, text in zip(
                 *columns, as_bytes(batch.column("text")), strict=True
             ):
-                words = packed([known[word] for word in text.split()])
+                own = text.split()
+                words = packed(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
                 page = np.array(page_facts(lang, source, n_chars, text), "<u2").tobytes()
                 tie = xxhash.xxh3_64_intdigest(words + page, (doc_id or 0) % 2**64) % TIES
                 rows.append((tie, words, page))
@@ -233,7 +241,7 @@ def _cuts(pool: DataFrame, model: dict, handed: float) -> dict[tuple[int, int],
 
     def count(batches):
         rows, n = [(np.array([-1]), np.array([0]), np.array([0]), np.array([0]))], 0
-        for batch in batches:
+        for batch in sliced(batches, POOL_ROWS):
             n += batch.num_rows
             for at, value, steps in certainty(views_of(batch), model):
                 found, times = np.unique(steps[steps > 0], return_counts=True)
@@ -266,7 +274,7 @@ def _masses(pool: DataFrame, history: list) -> tuple[list[np.ndarray], np.ndarra
 
     def add(batches):
         sums = [np.zeros((2, size + 1), np.int64) for size in sizes]
-        for batch in batches:
+        for batch in sliced(batches, POOL_ROWS):
             views, ties = views_of(batch), batch.column("tie").to_numpy()
             labels = [np.full(batch.num_rows, -1) for _ in views]
             for model, cuts in history:
@@ -378,8 +386,8 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFr
             one, two = text_buckets(word)
             return float(text[one] + text[two])
 
-        known = Memo(weigh)
-        for batch in batches:
+        known = Memo(weigh, MOST_WORDS)
+        for batch in sliced(batches, 500):
             known.trim()
             columns = [batch.column(name).to_pylist() for name in ("lang", "source", "n_chars")]
             odds = []

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.text import SPACES, as_bytes
+from clickloom.llm.text import SPACES, as_bytes, sliced, stored
 
 COUNTS = [
     "n_words",
@@ -91,7 +91,7 @@ def measure(docs: DataFrame) -> DataFrame:
     kept = docs.drop(*COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             rows = [count_text(text) for text in as_bytes(batch.column("text"))]
             counts = np.array(rows, np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays(
@@ -142,7 +142,8 @@ def fit_cutoffs(
 
     ``measured`` needs doc_id, the stratum column and ``COUNTS``; ``labels`` doc_id and quality
     (1: good; other values, NULLs and doc_ids that are not in ``measured`` do not count; a
-    doc_id that is labelled good more than once counts once). Good documents that pass the base
+    doc_id that is labelled good more than once counts once, and so do rows that repeat a doc_id in
+    one stratum, by what is worst in them). Good documents that pass the base
     rules are the holdout. In each stratum every rule may reject ``false_rejection`` / rules of
     them, so that all together reject at most ``false_rejection``. A cutoff passes if the exact
     binomial probability of so few rejections, were the true rate at that limit, is at most
@@ -161,7 +162,9 @@ def fit_cutoffs(
     holdout = (
         measured.filter(~base_failed())
         .join(good, "doc_id", "left_semi")
-        .select(F.col(stratum).alias("stratum"), *steps)
+        .select("doc_id", F.col(stratum).alias("stratum"), *steps)
+        .groupBy("doc_id", "stratum")
+        .agg(*[F.max(rule).alias(rule) for rule in RULES])
     )
     each = F.explode(F.create_map(*[x for rule in RULES for x in (F.lit(rule), F.col(rule))]))
     counts = (
@@ -190,23 +193,25 @@ def fit_cutoffs(
         ))
 
     schema = f"stratum {kind}, " + ", ".join(f"{rule} double" for rule in RULES)
-    return counts.groupBy("stratum").applyInArrow(choose, schema)
+    # Stored, so that Spark knows how small it is: judging then moves no documents.
+    return stored(counts.groupBy("stratum").applyInArrow(choose, schema), "cutoffs")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """``measured`` with base_failed and kept; the stratum NULL has cutoffs of its own.
 
-    Which side of the join is broadcast, or whether any is, is left to Spark, which knows its size;
-    a hot stratum is then split.
+    Whether the cutoffs are broadcast is left to Spark, which knows the size of their table. So few
+    that it does (10 MB unless set otherwise, some 100,000 strata), and documents stay where they are.
     """
-    named = cutoffs.withColumnsRenamed({rule: f"_{rule}" for rule in RULES} | {"stratum": "_stratum"})
-    joined = measured.join(named, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    exceeded = [
-        F.coalesce(_rate(rule) > F.col(f"_{rule}"), F.lit(False)).alias(rule) for rule in RULES
-    ]
+    prefix = "_"
+    while any(name.startswith(prefix) for name in measured.columns):
+        prefix += "_"
+    named = cutoffs.withColumnsRenamed({name: f"{prefix}{name}" for name in ("stratum", *RULES)})
+    joined = measured.join(named, F.col(stratum).eqNullSafe(F.col(f"{prefix}stratum")), "left")
+    exceeded = [F.coalesce(_rate(rule) > F.col(f"{prefix}{rule}"), F.lit(False)) for rule in RULES]
     rejected = exceeded[0]
     for other in exceeded[1:]:
         rejected = rejected | other
     return joined.withColumns(
         {"base_failed": base_failed(), "kept": ~base_failed() & ~rejected}
-    ).drop("_stratum", *named.columns)
+    ).drop(*named.columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import string
 import sys
 import types
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,13 @@ def as_bytes(column) -> list[bytes]:
     return [value or b"" for value in column.cast("binary").to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows``, so that a task holds little at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Memo(dict):
     """Results of a pure function of a word, kept within a task.
 

@@ -90,7 +90,27 @@ def test_odd_documents_pass_every_stage(spark, empty):
     folder = fresh_folder(spark, "labels-of")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     columns = docs.columns
+    given = {tuple(row) for row in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, folder), name)
-        assert name == "packing" or docs.columns == columns
+        if name != "packing":
+            assert docs.columns == columns
+            # Rows come back as they were, columns that operators use names of included.
+            assert {tuple(row) for row in docs.collect()} <= given
     assert docs.isEmpty() == empty
+
+
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES[:4]])
+def test_stages_alone_give_rows_back_as_they_were(spark, stage):
+    docs = odd_documents(spark)
+    after = stage(spark, docs, SF_DIR)
+    assert after.columns == docs.columns
+    assert {tuple(row) for row in after.collect()} <= {tuple(row) for row in docs.collect()}
+
+
+def test_near_stage_compares_rows_that_repeat_an_id(spark):
+    first, second = (" ".join(f"{name}{i}" for i in range(80)) for name in "ab")
+    rows = [(1, first), (1, second), (0, second + " more"), (None, first + " more"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    after = corpus_pipeline.near_dedup(spark, docs, SF_DIR)
+    assert sorted(map(tuple, after.collect()), key=repr) == sorted([rows[2], rows[3], rows[4]], key=repr)

@@ -3,6 +3,8 @@
 import random
 
 CLASHING = ["kept", "key", "n_words", "group_size", "line", "tokens", "component", "ids", "block"]
+CLASHING += ["id", "text_sha256", "stratum", "_stratum", "_symbols", "_dup_lines", "p_text", "row"]
+CLASHING += ["number", "given 0", "label", "class", "chunk", "n_shingles", "base_failed", "symbols"]
 
 
 def words(count, seed, vocabulary=200):
@@ -46,9 +48,9 @@ def odd_documents(spark, repeat=True):
     rows.append((None, "a document without an id", None, None, None))
     if repeat:
         rows += rows[3:6] + [(rows[8][0], "another text under a known id", "en", "s1", 30)]
-    named = ", ".join(f"{name} string" for name in CLASHING)
+    named = ", ".join(f"`{name}` string" for name in CLASHING)
     return spark.createDataFrame(
-        [(*row, *["x"] * len(CLASHING)) for row in rows],
+        [(*row, *[f"{name} {i}" for name in CLASHING]) for i, row in enumerate(rows)],
         f"doc_id bigint, text string, lang string, source string, n_chars bigint, {named}",
     ).repartition(3)
 
