@@ -2,6 +2,11 @@
 
 Each stage takes what the one before has kept, as a stored table, and reads no other state but the
 labels.
+
+What holds for all stages: documents have doc_id, text, lang, source and n_chars, and may have any
+other columns, which filtering stages give back as they were, whatever their names. NULL text counts
+as empty and a NULL doc_id as an id smaller than all others. Rows that repeat a doc_id are judged
+each by its own text. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,23 +26,43 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Documents whose other columns have names that no operator uses, and the way back."""
+    own = {name: f"given {i}" for i, name in enumerate(docs.columns) if name not in USED}
+    return docs.withColumnsRenamed(own), {given: name for name, given in own.items()}
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, with cutoffs learned from the labels among them."""
+    """Documents that pass the quality rules, with cutoffs learned from the labels among them.
+
+    Documents without words fail; a NULL lang is a stratum of its own. Without labels the base rules
+    decide alone.
+    """
+    docs, names = _apart(docs)
     narrow = quality_rules.measure(docs.select("doc_id", "lang", "text")).drop("text")
     cutoffs = quality_rules.fit_cutoffs(stored(narrow, "measured"), _labels(spark, sf_dir))
     judged = quality_rules.judge(quality_rules.measure(docs), cutoffs)
-    return judged.filter("kept").select(docs.columns)
+    return judged.filter("kept").select(docs.columns).withColumnsRenamed(names)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier takes for good."""
+    """Documents that the co-trained classifier takes for good; all, if labels lack a class.
+
+    NULLs in lang, source and n_chars are values of their own.
+    """
+    docs, names = _apart(docs)
     model = cotraining.fit(docs, _labels(spark, sf_dir))
-    return cotraining.score(docs, model).filter("kept").select(docs.columns)
+    kept = cotraining.score(docs, model).filter("kept")
+    return kept.select(docs.columns).withColumnsRenamed(names)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id; one row, also if rows repeat doc_id
     and text or all ids are NULL (which row's other columns stay is then open)."""
+    docs, names = _apart(docs)
     kept = stored(
         radix_groups(docs)
         .filter("kept")
@@ -51,24 +76,35 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = docs.join(kept.filter("times = 1"), same, "left_semi")
     repeated = kept.filter("times > 1")
     if repeated.isEmpty():
-        return once
+        return once.withColumnsRenamed(names)
     # Only these rows are grouped, so that other texts are not shuffled for it.
-    one = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+    one = F.struct("*").alias("row")
     rows = docs.join(repeated, same, "left_semi").select(
         F.col("doc_id").alias("id"), F.sha2(whole_text(), 256).alias("sha"), one
     )
-    return once.unionByName(rows.groupBy("id", "sha").agg(F.first("row").alias("row")).select("row.*"))
+    first = rows.groupBy("id", "sha").agg(F.first("row").alias("row")).select("row.*")
+    return once.unionByName(first).withColumnsRenamed(names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by similarity, the one with the smallest doc_id."""
-    found = near_duplicates(docs)
+    """Of documents connected by similarity, the one with the smallest doc_id.
+
+    Where rows repeat a doc_id, or more than one has none, they are numbered in order of doc_id (NULL
+    first) and text, and compared under these numbers, so that each row is a document of its own.
+    """
+    docs, names = _apart(docs)
+    numbered = docs.withColumn("number", F.col("doc_id").cast("bigint"))
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        ordered = docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+        numbered = stored(ordered.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"))
     first = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("id"))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    kept = numbered.join(first, F.col("number").eqNullSafe(F.col("id")), "left_semi")
+    return kept.select(docs.columns).withColumnsRenamed(names)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, of all rows; other columns are left out."""
     return pack(docs, tokenizer_file("word_bpe_49k.json")).select(PACKED)
 
 
