@@ -1,9 +1,10 @@
 """Quality rules whose cutoffs carry a guarantee on labelled holdouts.
 
-Each rule rejects documents whose rate of something exceeds a cutoff. Cutoffs come from labelled
-good documents that nothing was fitted on: per stratum and rule, cutoffs are tested from loose to
-tight with an exact binomial test, and the last one that passes is used. With the chosen confidence,
-in every stratum at once, no more than the chosen share of good documents is rejected.
+Each rule rejects documents whose rate of something exceeds a cutoff. Cutoffs are tested on labelled
+good documents that nothing was fitted on: per stratum, a fixed sequence of policies (a cutoff for
+every rule) goes from loose to tight with an exact binomial test of all rules together, and the last
+one that passes is used. With the chosen confidence, in every stratum at once, no more than the chosen
+share of good documents is rejected.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ RULES = {
     "bangs": ("n_bangs", "n_words"),
 }
 
-# Cutoffs to test, loose to tight, the same for all rules and whatever the data.
-LADDER = [round(2.0 * 0.8**step, 6) for step in range(28)]
+# Shares of a stratum's other documents that a cutoff lets a rule reject, loose to tight.
+SHARES = (0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.07, 0.1)
+NEVER = 1 << 30  # the number of no policy
 
 FEW_WORDS = 50
 MUCH_REPEATED = 50  # percent
@@ -131,70 +133,90 @@ def binomial_tail(rejected: int, good: int, share: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(value - top) for value in logs))
 
 
+def safe_policy(rejected_first: dict[int, int], limit: float, level: float) -> int:
+    """The last policy of a fixed sequence that is sure to reject few good documents; -1: not even one.
+
+    ``rejected_first`` counts the holdout by the first policy that rejects a document (``NEVER``: none
+    does). A policy rejects all that those in front of it do. Each is tested with the exact
+    binomial probability of so few rejections, were the true rate at ``limit``; testing stops at
+    the first that exceeds ``level``, and a sequence that is fixed in advance needs no correction.
+    """
+    good, rejected = sum(rejected_first.values()), 0
+    for policy in range(len(SHARES) * len(RULES)):
+        rejected += rejected_first.get(policy, 0)
+        if binomial_tail(rejected, good, limit) > level:
+            return policy - 1
+    return len(SHARES) * len(RULES) - 1
+
+
 def fit_cutoffs(
     measured: DataFrame,
     labels: DataFrame,
     stratum: str = "lang",
-    false_rejection: float = 0.05,
+    false_rejection: float = 0.03,
     error: float = 0.05,
 ) -> DataFrame:
-    """One row per stratum: ``stratum`` and a cutoff per rule, NULL where none is safe.
+    """One row per stratum with labelled good documents: ``stratum`` and a cutoff per rule, NULL
+    where none is safe.
 
     ``measured`` needs doc_id, the stratum column and ``COUNTS``; ``labels`` doc_id and quality
     (1: good; other values, NULLs and doc_ids that are not in ``measured`` do not count; a
     doc_id that is labelled good more than once counts once, and so do rows that repeat a doc_id in
-    one stratum, by what is worst in them). Good documents that pass the base
-    rules are the holdout. In each stratum every rule may reject ``false_rejection`` / rules of
-    them, so that all together reject at most ``false_rejection``. A cutoff passes if the exact
-    binomial probability of so few rejections, were the true rate at that limit, is at most
-    ``error`` / (strata x rules). Bonferroni over strata and rules; along the ladder the
-    sequence is fixed in advance and stops at the first failure, which needs no
-    correction. Strata with too few labels get no cutoff and reject nothing.
-
-    Documents are reduced to counts per stratum, rule and step of the ladder before anything is
-    brought together; strata are handled by separate tasks.
+    one stratum, by what is worst in them). Good documents that pass the base rules are the holdout.
+
+    All rules are tightened together, so the limit holds for all of them at once and is not
+    divided: in each stratum a sequence of policies goes through ``SHARES``, and at each share through
+    the rules, setting the rule's cutoff to what that share of the stratum's other documents (those that
+    are not labelled good) exceeds. Tests along the sequence are those of ``safe_policy``, at
+    ``error`` / strata (Bonferroni). So with probability 1 - ``error`` no stratum rejects more than
+    ``false_rejection`` of its good documents. Strata with too few labels reject nothing.
+
+    A holdout document is reduced to the number of the first policy that rejects it, and those are
+    counted before anything is brought together. Calling this runs jobs.
     """
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    steps = [
-        sum([(_rate(rule) > cutoff).cast("int") for cutoff in LADDER], F.lit(0)).alias(rule)
-        for rule in RULES
-    ]
+    rates = [_rate(rule).alias(rule) for rule in RULES]
+    base = measured.filter(~base_failed()).select("doc_id", F.col(stratum).alias("stratum"), *rates)
+    levels = F.array(*[F.lit(1 - share) for share in SHARES])
+    # One row per stratum; stored, so that Spark knows how small it is and moves no documents.
+    ladders = stored(
+        base.join(good, "doc_id", "left_anti")
+        .groupBy(F.col("stratum").alias("of"))
+        .agg(*[F.percentile_approx(rule, levels, 10_000).alias(f"{rule}_ladder") for rule in RULES]),
+        "ladders",
+    )
+    firsts = []
+    for place, rule in enumerate(RULES):
+        # Cutoffs fall along the ladder: who exceeds n of them exceeds the last n.
+        exceeded = F.expr(f"size(filter({rule}_ladder, cutoff -> {rule} > cutoff))")
+        first = (F.lit(len(SHARES)) - exceeded) * len(RULES) + place
+        firsts.append(F.when(exceeded > 0, first).otherwise(NEVER))
     holdout = (
-        measured.filter(~base_failed())
-        .join(good, "doc_id", "left_semi")
-        .select("doc_id", F.col(stratum).alias("stratum"), *steps)
+        base.join(good, "doc_id", "left_semi")
         .groupBy("doc_id", "stratum")
         .agg(*[F.max(rule).alias(rule) for rule in RULES])
+        .join(ladders, F.col("stratum").eqNullSafe(F.col("of")))
     )
-    each = F.explode(F.create_map(*[x for rule in RULES for x in (F.lit(rule), F.col(rule))]))
-    counts = (
-        holdout.select("stratum", each.alias("rule", "step")).groupBy("stratum", "rule", "step").count()
-    )
-    tests = counts.select("stratum").distinct().count() * len(RULES)
-    limit, level = false_rejection / len(RULES), error / max(tests, 1)
-    kind = measured.schema[stratum].dataType.simpleString()
+    counts = holdout.groupBy("stratum", F.least(*firsts).alias("first")).count()
+    counts = stored(counts, "holdout")
+    level = error / max(counts.select("stratum").distinct().count(), 1)
 
     def choose(table: pa.Table) -> pa.Table:
-        row = {"stratum": table.column("stratum")[0].as_py()} | dict.fromkeys(RULES)
-        names = ("rule", "step", "count")
-        for rule in RULES:
-            found = np.zeros(len(LADDER) + 1, np.int64)
-            for name, step, count in zip(*(table.column(n).to_pylist() for n in names), strict=True):
-                if name == rule:
-                    found[step] += count
-            # A document on step s exceeds the last s cutoffs, which are the tightest.
-            for place, cutoff in enumerate(LADDER):
-                rejected = int(found[len(LADDER) - place :].sum())
-                if binomial_tail(rejected, int(found.sum()), limit) > level:
-                    break
-                row[rule] = cutoff
-        return pa.Table.from_pylist([row], pa.schema(
-            [("stratum", table.schema.field("stratum").type), *((rule, pa.float64()) for rule in RULES)]
-        ))
-
-    schema = f"stratum {kind}, " + ", ".join(f"{rule} double" for rule in RULES)
-    # Stored, so that Spark knows how small it is: judging then moves no documents.
-    return stored(counts.groupBy("stratum").applyInArrow(choose, schema), "cutoffs")
+        found = dict(zip(*(table.column(name).to_pylist() for name in ("first", "count")), strict=True))
+        policy = safe_policy(found, false_rejection, level)
+        return pa.table([table.column("stratum").slice(0, 1), pa.array([policy])], ["stratum", "policy"])
+
+    kind = measured.schema[stratum].dataType.simpleString()
+    policies = counts.groupBy("stratum").applyInArrow(choose, f"stratum {kind}, policy bigint")
+    cutoffs = [
+        F.when(
+            F.col("policy") >= place,
+            F.get(f"{rule}_ladder", F.floor((F.col("policy") - place) / len(RULES)).cast("int")),
+        ).alias(rule)
+        for place, rule in enumerate(RULES)
+    ]
+    chosen = policies.join(ladders, F.col("stratum").eqNullSafe(F.col("of")))
+    return stored(chosen.select("stratum", *cutoffs), "cutoffs")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
