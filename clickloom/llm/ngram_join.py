@@ -257,13 +257,38 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                 )
 
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("doc")
-    # Merged, since the chosen ones grow with the documents.
-    texts = docs.select(doc, "text").join(chosen.hint("merge"), "doc").select(*narrow, "text")
+    # Merged, since the chosen ones grow with the documents; most others are not even shuffled.
+    near = _perhaps_among(docs.select(doc, "text"), chosen, "doc")
+    texts = near.join(chosen.hint("merge"), "doc").select(*narrow, "text")
     return texts.mapInArrow(
         load, "key binary, n bigint, spread bigint, sketch bigint, home bigint, tokens array<bigint>"
     )
 
 
+def _perhaps_among(
+    rows: DataFrame, chosen: DataFrame, key: str, bits_each: int = 16, most_bits: int = 1 << 29
+) -> DataFrame:
+    """The rows whose key is in ``chosen``, and a few others, without a shuffle of rows.
+
+    Hashes of the chosen keys are marked in a bitmap, which is broadcast: ``bits_each`` bits a key, 64 MB
+    at most. Beyond that more of the others get through, and nothing else changes.
+    """
+    bits = 1 << 15
+    wanted = min(most_bits, bits_each * chosen.count())
+    while bits < wanted:
+        bits *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    page, bit = F.shiftright(place, 15), place % (1 << 15)
+    marked = stored(
+        chosen.groupBy(page.alias("bitmap_page")).agg(F.bitmap_construct_agg(bit).alias("bitmap_marks")),
+        "marks",
+    )
+    byte = F.substring("bitmap_marks", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    seen = F.getbit(value, (bit % 8).cast("int")) == 1
+    return rows.join(F.broadcast(marked), page == F.col("bitmap_page")).filter(seen).select(rows.columns)
+
+
 def _homes(sets: DataFrame, by: list[str], most: int, most_tokens: int) -> DataFrame:
     """``sets`` with home, the group: sets with equal ``by``, in parts of bounded size."""
     sizes = sets.groupBy(*by).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))

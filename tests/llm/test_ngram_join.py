@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 from texts import collected, odd_documents, texts_of, words
 
 from clickloom.llm.components import components
-from clickloom.llm.ngram_join import _homes, near_duplicates, set_key, shared_counts, shingle_set, short
+from clickloom.llm.ngram_join import (
+    _homes,
+    _perhaps_among,
+    near_duplicates,
+    set_key,
+    shared_counts,
+    shingle_set,
+    short,
+)
 from clickloom.llm.text import word_hashes
 
 COLUMNS = ["doc_id", "n_shingles", "component_id"]
@@ -169,3 +177,16 @@ def test_components(spark):
     lonely = {a for a, b in pairs if near[a] == {a}}
     assert found == {node: least for node, least in expected.items() if node not in lonely}
     assert components(spark.createDataFrame([], "node bigint, other bigint")).filter(F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("most_bits", [1 << 29, 1 << 15])
+def test_bitmap_lets_all_chosen_through(spark, most_bits):
+    """Every chosen key passes, however full the bitmap; with bits enough few others do."""
+    rows = spark.range(-100_000, 100_000).selectExpr("id as doc", "string(id) as text", "1 as page")
+    chosen = rows.filter("doc % 20 = 0").select("doc")
+    found = _perhaps_among(rows, chosen, "doc", most_bits=most_bits)
+    assert found.columns == rows.columns
+    assert found.filter("doc % 20 = 0").count() == 10_000
+    others = found.filter("doc % 20 != 0").count()
+    assert others < (0.1 if most_bits > 1 << 15 else 0.4) * 190_000
+    assert _perhaps_among(rows, chosen.limit(0), "doc").count() == 0
