@@ -10,8 +10,9 @@ occurrence of every passage.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -74,6 +75,28 @@ def chunks(docs: DataFrame, chunk_bytes: int, chunk_docs: int) -> DataFrame:
     ).mapInArrow(gather, _CHUNK)
 
 
+def _window_hashes(single: np.ndarray, width: int, step: np.uint64) -> np.ndarray:
+    """Hashes of all windows of ``width``, put together from those of 1, 2, 4, ... words."""
+    n = max(0, len(single) - width + 1)
+    whole, done, power, size = np.zeros(n, np.uint64), 0, single, 1
+    while done < width:
+        if width & size:
+            whole = _mixed(whole, power[done : done + n], step)
+            done += size
+        if done < width:
+            power, size = _mixed(power[:-size], power[size:], step), 2 * size
+    return whole
+
+
+def _mixed(left: np.ndarray, right: np.ndarray, step: np.uint64) -> np.ndarray:
+    both = left * step
+    both ^= both >> np.uint64(29)
+    both += right
+    both *= _MIX
+    both ^= both >> np.uint64(32)
+    return both
+
+
 class Words:
     """The words of a chunk's documents, in order of doc_id (NULL first), as numbers.
 
@@ -87,12 +110,9 @@ class Words:
         self.ids = [ids[i] for i in self.order]
         self.words = [texts[i].split() for i in self.order]
         self.starts = np.cumsum([0, *map(len, self.words)])
-        number: dict[bytes, int] = {}
-        self.numbers = np.fromiter(
-            (number.setdefault(word, len(number)) for words in self.words for word in words),
-            np.int64,
-            self.starts[-1],
-        )
+        number = defaultdict(itertools.count().__next__)  # a new word gets the next number
+        every = itertools.chain.from_iterable(self.words)
+        self.numbers = np.fromiter(map(number.__getitem__, every), np.int64, self.starts[-1])
         memo = word_hashes()
         memo.trim()
         single = np.fromiter(map(memo.__getitem__, number), np.uint64, len(number))
@@ -106,19 +126,14 @@ class Words:
             inside[max(0, end - self.width + 1) : end] = False  # these reach over a document's end
         if len(self.starts) > 1:
             inside[max(0, self.starts[-1] - self.width + 1) :] = False
-        mixed = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
-        for shift in range(self.width if n else 0):
-            for some, step in zip(mixed, _STEP, strict=True):
-                some *= step
-                some ^= some >> np.uint64(31)
-                some += single[shift : shift + n]
-        for some in mixed:
-            some *= _MIX
-            some ^= some >> np.uint64(32)
         self.place = np.flatnonzero(inside)
-        hashes, self.spread = (some[self.place] for some in mixed)
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        self.first = first[back]  # np.unique gives the first place of each value
+        hashes, self.spread = (_window_hashes(single, self.width, step)[self.place] for step in _STEP)
+        order = np.argsort(hashes)
+        starts = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0)[: len(order)])
+        self.first = np.empty(len(order), np.int64)
+        if len(order):
+            sizes = np.diff(np.append(starts, len(order)))
+            self.first[order] = np.repeat(np.minimum.reduceat(order, starts), sizes)
         self.distinct = np.flatnonzero(self.first == np.arange(len(hashes)))
         self.hashes = hashes[self.distinct]
 
