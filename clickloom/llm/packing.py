@@ -156,7 +156,7 @@ def word_encoder(tokenizer_file: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
     tokenizer, known, stems = kept_by_worker(
         ("tokenizer", tokenizer_file),
-        lambda: (Tokenizer.from_file(tokenizer_file), Memo(None), Memo(None)),
+        lambda: (Tokenizer.from_file(tokenizer_file), Memo(None, 1 << 19), Memo(None, 1 << 19)),
     )
 
     def encode(texts: list[bytes]) -> list[bytes]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 import sys
 import types
@@ -80,10 +82,19 @@ def kept_by_worker(name: Hashable, make: Callable[[], object]):
     kept = home.__dict__.setdefault("kept", {})
     if name not in kept:
         kept.clear()
+        _give_back()
         kept[name] = make()
     return kept[name]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker outlives its stage."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def word_hashes() -> Memo:
     return kept_by_worker("word hashes", lambda: Memo(xxhash.xxh3_64_intdigest, 1 << 19))
 
