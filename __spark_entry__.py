@@ -232,6 +232,7 @@ def _analyses() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline_brands": _pipeline("memory", BRANDS),
         "pipeline_prices": _pipeline("table", PRICES),
         "pipeline_revenue": _pipeline("none", REVENUE),
+        "brand_category_rollup": _on(merchandise.brand_category_rollup),
         "increment_rfm": _increments(RFM, on_top=True),
         "increment_hours": _increments(HOURS, on_top=True),
         "increment_brands": _increments(BRANDS, on_top=False),
@@ -397,6 +398,20 @@ brands as (
 )
 """
 
+_ROLLUP = f"""
+select case when grouping(brand) = 0 and grouping(category_main) = 0 then 'brand and category'
+            when grouping(brand) = 0 then 'brand'
+            when grouping(category_main) = 0 then 'category' else 'all' end as level,
+    brand, category_main, {_events("view")} as total_views,
+    {_events("cart")} as total_carts, {_events("purchase")} as total_purchases,
+    {_money("sum(case when event_type = 'purchase' then micros else 0 end)")} as total_revenue,
+    {_mean("sum(micros)", "count(micros)")} as avg_price,
+    count(distinct user_id) as unique_users,
+    coalesce({_percent(_events("purchase"), _events("view"))}, 0) as view_to_purchase_rate
+from clean where brand is not null and category_code is not null
+group by grouping sets ((brand, category_main), (brand), (category_main), ())
+"""
+
 _BRACKETS = """,
 priced as (
   select *, case when price < 50 then 'Budget (<$50)'
@@ -533,6 +548,7 @@ def _analyses_sql() -> dict[str, str]:
         "pipeline_brands": f"{_EVENTS}{_BRANDS} select * from brands",
         "pipeline_prices": f"{_EVENTS}{_BRACKETS}{_BY_BRACKET}",
         "pipeline_revenue": f"{_EVENTS}{_REVENUE} select * from revenue",
+        "brand_category_rollup": f"{_EVENTS}{_ROLLUP}",
         "increment_rfm": f"{_EVENTS}{_CUSTOMERS}{_SCORED} select * from segments",
         "increment_hours": f"{_EVENTS}{_BY_HOUR}",
         "increment_brands": f"{_EVENTS}{_BRANDS} select * from brands",

@@ -5,6 +5,7 @@ from clickloom.operators.clean import clean, null_audit, row_counts
 from clickloom.operators.funnel import funnel_summary, session_flags
 from clickloom.operators.merchandise import (
     brand_category_insight,
+    brand_category_rollup,
     price_bracketed,
     price_sensitivity,
     top_brands,
@@ -21,6 +22,7 @@ __all__ = [
     "JdbcSink",
     "ParquetSink",
     "brand_category_insight",
+    "brand_category_rollup",
     "clean",
     "create_session",
     "daily_revenue",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.clickstream import CART, PURCHASE, VIEW, count_events, is_event, weekday_name
 from clickloom.functions.exact import mean_money, money
 from clickloom.operators.clean import bad_lines, null_counts
+from clickloom.operators.distinct import count_of, sketch_of
 from clickloom.operators.funnel import session_masks
 from clickloom.operators.masks import members_per_slot, seen_slots
 
@@ -72,13 +73,22 @@ def user_sums(events: DataFrame, date: Column) -> DataFrame:
 
 
 def hourly_activity(
-    events: DataFrame, grid: DataFrame | None = None, days: DataFrame | None = None
+    events: DataFrame,
+    grid: DataFrame | None = None,
+    days: DataFrame | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
     """Events and distinct users per hour of day; events without a time form a NULL hour.
 
     Distinct within an hour, so hours do not add up to the number of users. ``grid`` and ``days``
-    take a ready ``activity_grid`` and ``user_days``.
+    take a ready ``activity_grid`` and ``user_days``. With ``approximate`` users are estimated by
+    sketches, in the pass that counts events.
     """
+    if approximate:
+        sketched = events.groupBy("hour").agg(
+            *activity_counts(events), sketch_of("user_id").alias("users")
+        )
+        return sketched.select("hour", *MEASURES, count_of(F.col("users")).alias("unique_users"))
     if grid is None:
         grid = activity_grid(events)
     seen = events if days is None else days
