@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from clickloom.schema import BAD_LINE, EVENT_SCHEMA, TIME_PATTERN
 from clickloom.session import fresh_folder
+from clickloom.sources.headers import files_by_header
 
 
-def _checked(names: list[str], path: str) -> None:
+def _checked(names: Sequence[str], path: str) -> None:
     missing = [name for name in EVENT_SCHEMA.names if names.count(name) != 1]
     if missing:
         raise ValueError(f"{path}: no single column for each of {', '.join(missing)}")
@@ -18,10 +22,10 @@ def _checked(names: list[str], path: str) -> None:
 def read_events(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
     """Events at any path Spark can reach: the nine columns, found by name.
 
-    CSV columns are bound by the header, whatever their order; columns besides the nine are left
-    out. One line is read to find the header, and each file is checked against it while
-    reading, so a folder of files with differing headers fails. Lines that do not parse are kept:
-    the bad values are NULL and the line's text is in ``_corrupt_record``.
+    CSV columns are bound by each file's header, whatever their order; columns besides the nine are
+    left out. Files of one header are read together, and a file that lacks one of the nine is named
+    in the error. Lines that do not parse are kept: the bad values are NULL and the line's text is in
+    ``_corrupt_record``.
 
     Parquet keeps the types that its files have; ``clean`` accepts text, numbers and all kinds of time.
     """
@@ -31,10 +35,23 @@ def read_events(spark: SparkSession, path: str, file_format: str = "csv") -> Dat
         return found.select(EVENT_SCHEMA.names)
     if file_format != "csv":
         raise ValueError(f"no such event format: {file_format}")
-    header = spark.read.option("header", "true").csv(path).columns
-    _checked(header, path)
+    groups = files_by_header(spark, path)
+    for header, files in groups.items():
+        _checked(header, ", ".join(files[:3]))
+    if not groups:
+        raise ValueError(f"{path}: no header in any file")
+    return reduce(
+        DataFrame.unionByName, [_read_csv(spark, header, files) for header, files in groups.items()]
+    )
+
+
+def _read_csv(spark: SparkSession, header: tuple[str, ...], files: list[str]) -> DataFrame:
+    """Files of one header; Spark compares it with every file's again."""
     declared = {field.name: field for field in EVENT_SCHEMA}
-    columns = [declared.get(name, T.StructField(name, T.StringType())) for name in header]
+    columns = [
+        declared.get(name, T.StructField(f"{name or 'unnamed'} {place}", T.StringType()))
+        for place, name in enumerate(header)
+    ]
     return (
         spark.read.schema(T.StructType([*columns, T.StructField(BAD_LINE, T.StringType())]))
         .option("header", "true")
@@ -42,7 +59,7 @@ def read_events(spark: SparkSession, path: str, file_format: str = "csv") -> Dat
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_LINE)
         .option("timestampFormat", TIME_PATTERN)
-        .csv(path)
+        .csv(files)
         .select(*EVENT_SCHEMA.names, BAD_LINE)
     )
 
