@@ -145,18 +145,19 @@ def stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
     return (stem, word[len(stem) :]) if last.isalpha() else (word, b"")
 
 
-def word_encoder(tokenizer_file: str):
+def word_encoder(tokenizer_file: str, most_words: int = 1 << 20):
     """A function from texts (bytes) to their ids, 4 bytes each.
 
     For lower-casing tokenizers that split at white space and between letters and punctuation.
-    Words are encoded once per worker and looked up after that, special tokens are not added.
+    Words are encoded once per worker and looked up after that, special tokens are not added. A worker
+    remembers about ``most_words`` words and as many stems, some 200 MB for each million.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
     tokenizer, known, stems = kept_by_worker(
-        ("tokenizer", tokenizer_file),
-        lambda: (Tokenizer.from_file(tokenizer_file), Memo(None, 1 << 19), Memo(None, 1 << 19)),
+        ("tokenizer", tokenizer_file, most_words),
+        lambda: (Tokenizer.from_file(tokenizer_file), Memo(None, most_words), Memo(None, most_words)),
     )
 
     def encode(texts: list[bytes]) -> list[bytes]:
@@ -190,6 +191,7 @@ def pack(
     open_windows: int = 64,
     merged_tasks: int = 32,
     with_ids: bool = False,
+    most_words: int = 1 << 20,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
 
@@ -199,7 +201,7 @@ def pack(
     are NULL unless ``with_ids``. Columns other than doc_id and text are not read. An empty table
     gives no pieces.
 
-    A task holds ``open_windows`` windows, whatever the input. Windows left open by
+    A task holds ``open_windows`` windows and ``most_words`` encoded words, whatever the input. Windows left open by
     ``merged_tasks`` tasks are packed again by one task, longest pieces first, in as many rounds
     as it takes; the last one cuts pieces to fill its windows, so that one sequence of the whole
     corpus is short. Each round is stored in the shared folder, so that sequences stay as they
@@ -207,7 +209,7 @@ def pack(
     """
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_file)
+        encode = word_encoder(tokenizer_file, most_words)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         windows = Windows(window, open_windows, 0, part, with_ids)
