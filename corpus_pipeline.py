@@ -105,7 +105,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, of all rows; other columns are left out."""
-    return pack(docs, tokenizer_file("word_bpe_49k.json")).select(PACKED)
+    # Workers still hold what earlier stages left, so they remember fewer words than op6's do.
+    return pack(docs, tokenizer_file("word_bpe_49k.json"), most_words=1 << 19).select(PACKED)
 
 
 STAGES = [
