@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from clickloom.llm.elias_fano import (
     Successors,
+    Words,
     encode,
     mapped,
     pack_parts,
@@ -34,6 +35,7 @@ from clickloom.llm.elias_fano import (
 from clickloom.llm.text import Memo, as_bytes, stored, whole_text, word_hashes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word contains a newline
+SCALE = 1e15  # level 1 holds shares of this many tokens, since a shard does not know of all
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 
@@ -206,17 +208,18 @@ def _answer_words(discount: float, most_hot: int):
             asked.setdefault(block, []).append(keys[-1])
         words, total = _merge(keys, counts)
         known = total > 0
-        # Up to the number of training tokens, which no shard knows: a common factor.
-        weight = (total[known] - discount) / 1e15
-        level = pack_parts(encode(words[known]), quantise(weight).tobytes())
+        level = Words.build(words[known], quantise((total[known] - discount) / SCALE))
         rows = [(1, shard, None, level, int(total.sum()), int(known.sum()))]
         # All that can have their share of all tokens, since they have it of this shard's.
         for at in np.flatnonzero(total * most_hot >= max(total.sum(), 1)):
             rows.append((0, shard, int(words[at].view(np.int64)), None, int(total[at]), None))
+        counts, trie = np.append(total[known], np.uint64(0)), Words(mapped(level))
+        del keys, words, total
         for block, parts in asked.items():
             own = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            found = total[np.searchsorted(words, own)]
-            rows.append((1, shard, block, _small(found), None, None))
+            place, codes = trie.find(own)
+            blob = pack_parts(_small(counts[place]), codes.tobytes())
+            rows.append((1, shard, block, blob, None, None))
         return _answers(rows)
 
     return answer
@@ -281,13 +284,13 @@ def _answer_pairs(discount: float, hot: np.ndarray, hot_counts: np.ndarray):
         by_block: dict[int, list] = {}
         for (block, *_), own in zip(asked, pairs, strict=True):
             by_block.setdefault(block, []).append(own)
-        with mapped(level) as view:
-            trie = Successors(view)
-            for block, parts in by_block.items():
-                own = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-                contexts = np.unique(own >> HALF)
-                codes, rest = trie.find(own >> HALF, own & LOW), trie.find_rest(contexts)
-                rows.append((2, shard, block, pack_parts(codes.tobytes(), rest.tobytes()), None, None))
+        del asked, pairs, values, total, number, word
+        trie = Successors(mapped(level))
+        for block, parts in by_block.items():
+            own = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            contexts = np.unique(own >> HALF)
+            codes, rest = trie.find(own >> HALF, own & LOW), trie.find_rest(contexts)
+            rows.append((2, shard, block, pack_parts(codes.tobytes(), rest.tobytes()), None, None))
         return _answers(rows)
 
     return answer
@@ -355,9 +358,11 @@ def score(
         ):
             by_level[level].append(blob)
         order, _ = _by_shard(_shard(own.words, shards), shards)
-        count = np.zeros(len(own.words))
-        count[order] = np.concatenate([_counts(blob) for blob in by_level[1]])
-        p1 = probability(quantise((count - discount).clip(0) / max(n, 1)))
+        count, p1 = np.zeros(len(own.words)), np.zeros(len(own.words))
+        answered = [unpack_parts(blob) for blob in by_level[1]]
+        count[order] = np.concatenate([_counts(a) for a, _ in answered])
+        p1[order] = probability(np.concatenate([np.frombuffer(b, "<u2") for _, b in answered]))
+        p1 *= SCALE / max(n, 1)
         p1[count == 0] = discount * v / max(n, 1)
 
         context, word, pair, _ = own.pairs()

@@ -103,7 +103,13 @@ def test_elias_fano(top, count):
     chance = np.random.default_rng(count)
     values = np.sort(chance.integers(0, top, count, np.uint64, endpoint=True))
     data = elias_fano.encode(values)
-    assert (elias_fano.decode(memoryview(data)) == values).all()
+    coded = elias_fano.Sequence(elias_fano.mapped(data))
+    assert (coded.get(np.arange(count)) == values).all()
+    near = np.concatenate([values, values[values > 0] - np.uint64(1), values + np.uint64(1)])
+    near = np.append(near, chance.integers(0, 2**64 - 1, 1000, np.uint64, endpoint=True))
+    place, found = coded.find(near)
+    assert (place == np.searchsorted(values, near)).all()
+    assert (found == np.isin(near, values)).all()
     if count == 70_000 and top == 2**40:
         assert len(data) < 4 * count  # 26 bits each instead of 64
 
@@ -114,8 +120,8 @@ def test_successors():
     codes = chance.integers(1, 60_000, len(pairs))
     contexts = np.unique(pairs[:, 0])
     rest = chance.integers(1, 60_000, len(contexts))
-    with elias_fano.mapped(elias_fano.Successors.build(pairs[:, 0], pairs[:, 1], codes, rest)) as view:
-        level = elias_fano.Successors(view)
+    built = elias_fano.Successors.build(pairs[:, 0], pairs[:, 1], codes, rest)
+    level = elias_fano.Successors(elias_fano.mapped(built))
     known = {tuple(pair): code for pair, code in zip(pairs.tolist(), codes.tolist(), strict=True)}
     every = np.array([(a, b) for a in range(305) for b in range(0, 305, 3)], np.uint64)
     found = level.find(every[:, 0], every[:, 1])
@@ -124,6 +130,23 @@ def test_successors():
     assert level.find_rest(np.array([10**6], np.uint64)).tolist() == [0]
 
 
+def test_words():
+    words = np.array([3, 8, 2**63, 2**64 - 1], np.uint64)
+    level = elias_fano.Words(elias_fano.mapped(elias_fano.Words.build(words, np.arange(1, 5))))
+    place, codes = level.find(np.array([0, 3, 9, 2**63, 2**64 - 1], np.uint64))
+    assert place.tolist() == [-1, 0, -1, 2, 3] and codes.tolist() == [0, 1, 0, 3, 4]
+
+
+def test_levels_are_read_in_place():
+    """No array as long as a level is made when it is opened: the codes are the mapped bytes."""
+    words = np.sort(np.random.default_rng(2).integers(0, 2**64 - 1, 200_000, np.uint64))
+    data = elias_fano.mapped(elias_fano.Words.build(words, np.ones(len(words))))
+    level = elias_fano.Words(data)
+    views = (level.codes, level.words.upper, level.words.lower)
+    assert all(np.shares_memory(view, np.frombuffer(data, np.uint8)) for view in views)
+    assert level.words.ones.nbytes + level.words.zeros.nbytes < len(words)
+
+
 def test_quantised_probabilities_are_rounded_down():
     p = 10.0 ** -np.linspace(0, 15, 1001)
     back = elias_fano.probability(elias_fano.quantise(p))
