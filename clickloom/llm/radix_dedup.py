@@ -19,7 +19,7 @@ DIGIT = ["inside", "n_bytes", "digit"]
 
 
 def radix_groups(
-    docs: DataFrame, first: int = 64, growth: int = 32, widest: int = 1 << 16
+    docs: DataFrame, first: int = 64, growth: int = 32, widest: int = 1 << 26
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -28,8 +28,9 @@ def radix_groups(
     share one result. Other columns are not read, whatever their names. An empty table gives an
     empty result.
 
-    The first digit has ``first`` bytes, each further one ``growth`` times as many, ``widest`` at
-    most. Sizes are aggregated before they are shuffled, so a group that holds a third of all
+    The first digit has ``first`` bytes, each further one ``growth`` times as many, so rounds grow
+    with the logarithm of the longest repeated text; ``widest`` bounds what a digit holds of a row
+    beside the rest of its text. Sizes are aggregated before they are shuffled, so a group that holds a third of all
     rows is one row per task. Texts of open groups move once per digit, on a join that Spark
     may split at a hot group, since nothing above it needs the group together. The tables
     between the rounds are stored in the shared folder; the text itself is dropped as it is used.
