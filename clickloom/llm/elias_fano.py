@@ -89,6 +89,7 @@ class Sequence:
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the first value is that is not below each wanted one, and whether it equals it."""
         place, found = np.full(len(wanted), self.count), np.zeros(len(wanted), bool)
+        wanted = wanted.astype(np.uint64, copy=False)
         high = wanted >> np.uint64(self.low)
         inside = np.flatnonzero(high <= np.uint64(self.top)) if self.count else np.empty(0, np.int64)
         for at in range(0, len(inside), CHUNK):

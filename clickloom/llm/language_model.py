@@ -191,34 +191,41 @@ def _send_words(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]):
-    """Distinct keys in order, with the sum of their counts."""
+    """Distinct keys in order, the sum of their counts, and where each of the keys is among them."""
     values, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return values, np.bincount(inverse, np.concatenate(counts), len(values)).astype(np.uint64)
+    total = np.bincount(inverse, np.concatenate(counts), len(values)).astype(np.uint64)
+    return values, total, np.split(inverse, np.cumsum([len(part) for part in keys])[:-1])
+
+
+def _by_block(blocks: list, places: list[np.ndarray]):
+    """(block, places in order) for each block, which may have sent more than once."""
+    by_block: dict[int, list] = {}
+    for block, part in zip(blocks, places, strict=True):
+        by_block.setdefault(block, []).append(part)
+    for block, parts in by_block.items():
+        yield block, parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
 def _answer_words(discount: float, most_hot: int):
     def answer(key: tuple, sent: pa.Table) -> pa.Table:
-        shard, asked = key[0].as_py(), {}
-        blocks = sent.column("block").to_pylist()
+        shard, blocks = key[0].as_py(), sent.column("block").to_pylist()
         keys, counts = [], []
-        for block, blob in zip(blocks, sent.column("blob").to_pylist(), strict=True):
+        for blob in sent.column("blob").to_pylist():
             hashes, said = unpack_parts(blob)
             keys.append(np.frombuffer(hashes, "<u8"))
             counts.append(_counts(said))
-            asked.setdefault(block, []).append(keys[-1])
-        words, total = _merge(keys, counts)
+        words, total, places = _merge(keys, counts)
         known = total > 0
         level = Words.build(words[known], quantise((total[known] - discount) / SCALE))
         rows = [(1, shard, None, level, int(total.sum()), int(known.sum()))]
         # All that can have their share of all tokens, since they have it of this shard's.
         for at in np.flatnonzero(total * most_hot >= max(total.sum(), 1)):
             rows.append((0, shard, int(words[at].view(np.int64)), None, int(total[at]), None))
-        counts, trie = np.append(total[known], np.uint64(0)), Words(mapped(level))
-        del keys, words, total
-        for block, parts in asked.items():
-            own = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            place, codes = trie.find(own)
-            blob = pack_parts(_small(counts[place]), codes.tobytes())
+        # A word that many blocks ask for is searched once.
+        place, codes = Words(mapped(level)).find(words)
+        counts = np.append(total[known], np.uint64(0))[place]
+        for block, own in _by_block(blocks, places):
+            blob = pack_parts(_small(counts[own]), codes[own].tobytes())
             rows.append((1, shard, block, blob, None, None))
         return _answers(rows)
 
@@ -260,8 +267,9 @@ def _answer_pairs(discount: float, hot: np.ndarray, hot_counts: np.ndarray):
             (np.repeat(np.searchsorted(names, contexts), sizes).astype(np.uint64) << HALF) | words
             for _, contexts, sizes, words, _ in asked
         ]
-        values, total = _merge(pairs, [a[4] for a in asked])
-        values, total = values[total > 0], total[total > 0]
+        every, total, places = _merge(pairs, [a[4] for a in asked])
+        del asked, pairs
+        values, total = every[total > 0], total[total > 0]
         number, word = (values >> HALF).astype(np.int64), values & LOW
         uses = np.bincount(number, total, len(names))
         successors = np.bincount(number, minlength=len(names))
@@ -281,16 +289,15 @@ def _answer_pairs(discount: float, hot: np.ndarray, hot_counts: np.ndarray):
             # How many successors a hot context has is added up over all shards.
             name, some = int(names[at].view(np.int64)), int(successors[at])
             rows.append((3, shard, name, None, None, some))
-        by_block: dict[int, list] = {}
-        for (block, *_), own in zip(asked, pairs, strict=True):
-            by_block.setdefault(block, []).append(own)
-        del asked, pairs, values, total, number, word
+        del values, total, number, word
+        # A pair that many blocks ask for is searched once.
         trie = Successors(mapped(level))
-        for block, parts in by_block.items():
-            own = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            contexts = np.unique(own >> HALF)
-            codes, rest = trie.find(own >> HALF, own & LOW), trie.find_rest(contexts)
-            rows.append((2, shard, block, pack_parts(codes.tobytes(), rest.tobytes()), None, None))
+        codes, rest = trie.find(every >> HALF, every & LOW), trie.find_rest(np.arange(len(names)))
+        context = (every >> HALF).astype(np.int64)
+        for block, own in _by_block(blocks, places):
+            used = context[own]
+            used = used[np.append(True, used[1:] != used[:-1])]
+            rows.append((2, shard, block, pack_parts(codes[own].tobytes(), rest[used].tobytes()), None, None))
         return _answers(rows)
 
     return answer
