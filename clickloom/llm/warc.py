@@ -1,6 +1,6 @@
-"""Web archives (WARC 1.1): written by many tasks, read back by byte ranges.
+"""Web archives (WARC): written by many tasks (1.1), read by byte ranges, own ones and others'.
 
-Archives are gzip files with one member per record. Readers are given byte ranges. A reader
+Archives are gzip files with one member per record, as crawlers write them. Readers are given byte ranges. A reader
 scans its range for the gzip magic, takes a match for a record only if what it decodes to
 starts like one, and owns the records that start inside the range, reading past its end to
 finish the last.
@@ -18,7 +18,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm.text import as_bytes, shuffle_width, stored
@@ -165,7 +165,7 @@ class RangeReader:
                 at += len(packed)
         except zlib.error:
             return False
-        return head.startswith(b"WARC/1.")
+        return head.startswith(b"WARC/")
 
     def _member(self, at: int) -> tuple[bytes, int]:
         """The content of the member at ``at`` and where it ends."""
@@ -190,32 +190,88 @@ class RangeReader:
                 at = self.data.find(MAGIC, at + 1)
 
 
+def fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; the first of a name counts, folded lines are joined."""
+    found: dict[str, str] = {}
+    lines = re.sub(rb"\r?\n[ \t]+", b" ", head).decode(errors="replace").splitlines()
+    for line in lines[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            found.setdefault(name.strip().lower(), value.strip())
+    return found
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch("[0-9]+", text) else None
+
+
+def _same_digest(said: str, payload: bytes) -> bool:
+    """Digests are base32, by some writers hexadecimal."""
+    return said.upper() == digest(payload) or said.lower() == hashlib.sha1(payload).hexdigest()
+
+
 def parse(content: bytes) -> dict:
-    """Headers and payload of one record; the payload's digest is checked."""
+    """Headers and payload of one record of any type.
+
+    The payload is what follows the HTTP headers where the block has such, else the block; a
+    revisit has none, and its length is that in the HTTP headers, NULL without. Absent fields are
+    NULL. ``payload_digest`` is the payload's SHA-1 in base32, for a revisit what the record says,
+    with the name of the algorithm if it is another. A SHA-1 that the record gives is checked unless
+    the record is truncated or its payload is transfer-encoded, of which writers take the digest
+    before or after decoding; so is the length of the block.
+    """
     head, _, rest = content.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(headers["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
-    said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    is_response = headers["WARC-Type"] == "response"
-    if is_response and (len(payload) != length or digest(payload) != said):
-        raise ValueError(f"{headers['WARC-Record-ID']}: the payload is not what was written")
-    return {
-        "record_type": headers["WARC-Type"],
-        "record_id": headers["WARC-Record-ID"],
-        "refers_to": headers.get("WARC-Refers-To"),
-        "target_uri": headers["WARC-Target-URI"],
-        "payload_bytes": length,
-        "payload_digest": said,
-        "payload": payload if is_response else None,
+    headers = fields(head)
+    name, kind = headers.get("warc-record-id"), headers.get("warc-type", "").lower() or None
+    length = _number(headers.get("content-length"))
+    block = rest[:length]
+    if length is not None and len(block) < length:
+        raise ValueError(f"{name}: the block is cut off")
+    if length is not None and rest[length:].lstrip(b"\r\n").startswith(b"WARC/"):
+        raise ValueError(f"{name}: another record follows in the same gzip member")
+    http, payload = {}, block
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        top, _, payload = block.partition(b"\r\n\r\n")
+        http = fields(top)
+    label, colon, said = headers.get("warc-payload-digest", "").partition(":")
+    is_sha1 = bool(colon) and label.lower() == "sha1"
+    row = {
+        "record_type": kind,
+        "record_id": name,
+        "refers_to": headers.get("warc-refers-to"),
+        "target_uri": headers.get("warc-target-uri"),
     }
+    if kind == "revisit":
+        stated = said if is_sha1 else headers.get("warc-payload-digest")
+        size = _number(http.get("content-length"))
+        return row | {"payload_bytes": size, "payload_digest": stated, "payload": None}
+    as_written = "warc-truncated" not in headers and "transfer-encoding" not in http
+    if is_sha1 and as_written and not _same_digest(said, payload):
+        raise ValueError(f"{name}: the payload is not what was written")
+    return row | {
+        "payload_bytes": len(payload),
+        "payload_digest": digest(payload),
+        "payload": payload,
+    }
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest (path, n_bytes) of archives that others have written: a folder, file or pattern.
+
+    Only the file listing is read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.col("length").alias("n_bytes")).filter("n_bytes > 0")
 
 
 def read_archives(
     manifest: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = True
 ) -> DataFrame:
-    """The records of all archives in ``manifest`` (path, n_bytes), one row each.
+    """The records of all archives in ``manifest`` (path, n_bytes), one row each, of every type.
+
+    ``manifest`` comes from ``write_archives`` or ``archives``; ``parse`` says what is read of a
+    record. Archives that are not compressed, or as one member, are not read: the first give no
+    record, the second an error.
 
     Files are cut into ranges of ``split_bytes``, which are dealt out over tasks; a record belongs
     to the range that it starts in. A task holds one range and one record at a time. Without

@@ -91,6 +91,55 @@ def test_damage_is_noticed(spark, tmp_path):
             warc.read_archives(manifest).collect()
 
 
+def foreign(kind, block, **headers):
+    lines = [f"{name.replace('_', '-')}: {value}" for name, value in headers.items()]
+    head = "\r\n".join(["WARC/1.0", f"warc-type:{kind}", *lines, f"CONTENT-LENGTH:  {len(block)}"])
+    return warc.member(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    """All record types; names in any case, absent digests, folded lines, no HTTP length."""
+    page, http = b"<p>page</p>", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    sha, hexa = warc.digest(page), hashlib.sha1(page).hexdigest()
+    is_http = {"Content_Type": "application/http; msgtype=response"}
+    chunked = b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n" + b"b\r\n" + page + b"\r\n0\r\n\r\n"
+    records = [
+        foreign("warcinfo", b"software: x\r\n", WARC_Record_ID="<info>", WARC_Filename="a\r\n  b"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", WARC_Record_ID="<q>", Content_Type="application/http"),
+        foreign("response", http + page, WARC_Record_ID="<none>", **is_http),
+        foreign("response", http + page, warc_record_id="<b32>", warc_payload_digest=f"sha1:{sha}", **is_http),
+        foreign("response", http + page, WARC_Record_ID="<hex>", WARC_Payload_Digest=f"SHA1:{hexa}", **is_http),
+        foreign("response", http + page, WARC_Record_ID="<md5>", WARC_Payload_Digest="md5:00", **is_http),
+        foreign("response", chunked, WARC_Record_ID="<chunked>", WARC_Payload_Digest=f"sha1:{sha}", **is_http),
+        foreign("response", http + page[:4], WARC_Record_ID="<cut>", WARC_Truncated="length",
+                WARC_Payload_Digest=f"sha1:{sha}", **is_http),
+        foreign("resource", page, WARC_Record_ID="<res>", WARC_Target_URI="http://a", Content_Type="text/html"),
+        foreign("revisit", http, WARC_Record_ID="<again>", WARC_Payload_Digest=f"sha1:{sha}", WARC_Refers_To="<b32>", **is_http),
+        foreign("revisit", b"", WARC_Record_ID="<bare>", WARC_Payload_Digest="sha256:ab"),
+        foreign("metadata", b"", WARC_Record_ID="<meta>"),
+    ]
+    (tmp_path / "crawl.warc.gz").write_bytes(b"".join(records))
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    for split in (40, 1000, 1 << 20):
+        found = warc.read_archives(warc.archives(spark, str(tmp_path)), split_bytes=split)
+        rows = {r["record_id"]: r for r in found.collect()}
+        assert len(rows) == found.count() == len(records)
+    assert all(bytes(rows[f"<{name}>"]["payload"]) == page for name in ("none", "b32", "hex", "md5", "res"))
+    assert all(rows[f"<{name}>"]["payload_digest"] == sha for name in ("none", "b32", "hex", "md5", "res", "again"))
+    assert [rows[f"<{n}>"]["payload_bytes"] for n in ("info", "q", "cut", "res", "again", "bare", "meta")] == [
+        13, 0, 4, len(page), None, None, 0]
+    assert rows["<again>"]["refers_to"] == "<b32>" and rows["<bare>"]["payload_digest"] == "sha256:ab"
+    assert rows["<info>"]["target_uri"] is None and rows["<res>"]["target_uri"] == "http://a"
+    assert [r["record_type"] for r in rows.values()].count("response") == 6
+
+
+def test_one_member_for_all_records_is_an_error(spark, tmp_path):
+    both = b"".join(warc.record(i, "http://x", b"page", None) for i in range(2))
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(both))
+    with pytest.raises(Exception, match="same gzip member"):
+        warc.read_archives(warc.archives(spark, str(tmp_path))).collect()
+
+
 def test_empty_table(spark):
     manifest = warc.write_archives(pages(spark, []), fresh_folder(spark, "archives"))
     assert warc.read_archives(manifest).collect() == []
