@@ -10,6 +10,7 @@ batch meets a logarithmic number of runs.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +22,27 @@ from clickloom.session import fresh_folder
 HASH = ["h1", "h2"]
 ROW = ["_doc", "_body"]  # with the text's hash, so that rows repeating a doc_id stay apart
 LOWEST = -(2**63)  # stands for a NULL doc_id
+# Lets a join use the order of a bucket that is a single file, as those of all runs are.
+SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    before = spark.conf.get(SORTED_BUCKETS)
+    spark.conf.set(SORTED_BUCKETS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SORTED_BUCKETS, before)
 
 
 class LineRuns:
     """The runs of one corpus: tables (h1, h2, n_docs, arrived, keeper) by level.
 
-    Equal hashes share a bucket, so neither the join of a batch with a run nor a merge of runs
-    shuffles a run. The files are in the shared folder and outlive executors.
+    Each bucket of a run is one file sorted by hash. A batch is dealt out into the same buckets and
+    sorted once, and then merged with run after run as they lie: neither the joins nor a merge of
+    runs moves a run, and the joins do not sort one. The files are in the shared folder and
+    outlive executors.
     """
 
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 4, min_docs: int = 3):
@@ -49,13 +64,25 @@ class LineRuns:
             .agg(F.count("*").alias("n_docs"), F.max("_doc").alias("keeper"))
             .withColumn("arrived", F.lit(self.batches))
         )
-        for run in self.runs():
-            settled = run.filter(F.col("n_docs") >= self.min_docs).select(*HASH)
-            keys = keys.join(settled, HASH, "left_anti")
+        with sorted_buckets(self.spark):
+            self._write(self.unsettled(keys), 0)
         self.batches += 1
-        self._write(keys, 0)
         self._compact(0)
 
+    def unsettled(self, keys: DataFrame) -> DataFrame:
+        """The keys of a batch that no run has settled, in the buckets of the runs.
+
+        Keys are one row per hash here, so no bucket is hot. The anti-join is written as an outer
+        one, since Spark would move a left_anti below the repartition and the aggregate.
+        """
+        keys = keys.repartition(self.buckets, *HASH)
+        for run in self.runs():
+            settled = run.filter(F.col("n_docs") >= self.min_docs)
+            settled = settled.select(*HASH, F.lit(True).alias("settled"))
+            keys = keys.join(settled.hint("merge"), HASH, "left")
+            keys = keys.filter(F.col("settled").isNull()).drop("settled")
+        return keys
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 from texts import collected, odd_documents, texts_of
 
-from clickloom.llm.line_dedup import HASH, LineRuns, dedup_lines
+from clickloom.llm.line_dedup import HASH, LineRuns, dedup_lines, sorted_buckets
 
 
 def brute(rows, min_chars=20, min_docs=3):
@@ -72,6 +72,26 @@ def test_runs_are_compacted_and_settled_keys_not_added(spark):
     runs.forget()
 
 
+def test_runs_are_neither_moved_nor_sorted(spark):
+    """The batch is dealt out and sorted; runs are merged with it as they lie."""
+    runs = LineRuns(spark, 3, fanout=4)
+    lines = spark.range(1000).select(
+        F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("_doc")
+    )
+    for batch in range(3):
+        runs.add(lines.filter(F.col("h2") % 3 == batch))
+    keys = lines.groupBy(*HASH).agg(F.count("*").alias("n_docs"))
+    with sorted_buckets(spark):
+        plan = runs.unsettled(keys)._jdf.queryExecution().executedPlan().toString()
+    assert runs.unsettled(keys).count() == 0
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "line_run_" in line]
+    assert len(scans) == 3 and all("Bucketed: true" in line for line in scans)
+    assert plan.count("SortMergeJoin") == 3 and "HashAggregate" in plan[plan.rindex("SortMergeJoin") :]
+    # Those of the batch; its aggregate needs none here, since a range is parted by id.
+    assert (plan.count("Exchange "), plan.count("Sort [")) == (1, 1)
+    runs.forget()
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc_id bigint, text string")
     plan = dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
