@@ -24,6 +24,7 @@ from clickloom.schema import (  # noqa: E402
     FUNNEL,
     HOURS,
     PRICES,
+    REJECTS,
     REVENUE,
     RFM,
     RUN_LOG,
@@ -31,7 +32,7 @@ from clickloom.schema import (  # noqa: E402
     WEEKDAYS,
 )
 from clickloom.session import fresh_folder, set_folder_if_unset  # noqa: E402
-from clickloom.sources.events import read_events  # noqa: E402
+from clickloom.sources.events import read_events, stage_events  # noqa: E402
 from clickloom.sources.fixture import FINE_PRICE, PRICE, read_fixture  # noqa: E402
 from clickloom.sources.sinks import ParquetSink  # noqa: E402
 
@@ -79,22 +80,35 @@ def _as_text(events: DataFrame) -> DataFrame:
     return events.withColumns({"event_time": written, "_index": F.col("event_id")})
 
 
-def _exported(spark: SparkSession, events: DataFrame) -> DataFrame:
+def _exported(spark: SparkSession, events: DataFrame, rejects: bool = False) -> DataFrame:
     """Events written as CSV, columns in another order and one more, and read back."""
     folder = fresh_folder(spark, "csv")
     events.select("_index", *sorted(EVENT_SCHEMA.names)).write.option("header", "true").csv(folder)
-    return read_events(spark, folder)
+    return read_events(spark, folder, rejects=rejects)
 
 
-def _csv_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of a CSV file in which some times, prices and users are not what they should be."""
+def _with_bad_lines(spark: SparkSession, sf_dir: str, rejects: bool = False) -> DataFrame:
+    """A CSV file in which some times, prices and users are not what they should be."""
     events = _as_text(read_fixture(spark, sf_dir))
     planted = {
         "event_time": F.expr("if(event_id % 13 = 0, 'soon', event_time)"),
         "price": F.expr("if(event_id % 17 = 0, 'oops', cast(price as string))"),
         "user_id": F.expr("if(event_id % 19 = 0, concat('u', user_id), cast(user_id as string))"),
     }
-    return null_audit(clean(_exported(spark, events.withColumns(planted))))
+    return _exported(spark, events.withColumns(planted), rejects)
+
+
+def _csv_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return null_audit(clean(_with_bad_lines(spark, sf_dir)))
+
+
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's table of bad lines, next to the number of them that its audit has."""
+    sink = ParquetSink(fresh_folder(spark, "tables"))
+    tables = run_pipeline(spark, _with_bad_lines(spark, sf_dir, rejects=True), sink)
+    event = F.split("line", ",")[0].cast("bigint").alias("event_id")
+    lines = tables[REJECTS].select(event, "failed_columns", (F.col("file") != "").alias("named"))
+    return lines.filter("named").drop("named").join(tables[AUDIT].select("bad_lines"))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +136,16 @@ def _revenue_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.daily_revenue(events.filter(F.col("date") == F.lit(ONE_DAY)))
 
 
+def _laid(analysis: Callable[[DataFrame], DataFrame]):
+    """A query on events staged by date; filters on dates choose files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        staged, _ = stage_events(read_fixture(spark, sf_dir), "UTC")
+        return analysis(clean(staged))
+
+    return run
+
+
 def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the test events as CSV, read them back by their header and clean them.
 
@@ -222,6 +246,11 @@ def _analyses() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_bad_lines": _csv_bad_lines,
         "parquet_scan": _parquet_scan,
         "revenue_of_day": _revenue_of_day,
+        "revenue_of_laid_day": _laid(
+            lambda e: activity.daily_revenue(e.filter(F.col("date") == F.lit(ONE_DAY)))
+        ),
+        "rfm_as_of_laid": _laid(lambda e: rfm.rfm_segments(e, ONE_DAY)),
+        "csv_rejects": _csv_rejects,
         "run_log": _pipeline(None),
         "pipeline_weekdays": _pipeline("table", WEEKDAYS),
         "pipeline_hours": _pipeline("memory", HOURS),
@@ -488,6 +517,15 @@ def _analyses_sql() -> dict[str, str]:
         "parquet_scan": f"""{_EVENTS}{_CUSTOMERS}
             select user_id, recency_days, frequency, {_money("micros")} as monetary from base""",
         "revenue_of_day": f"{_EVENTS}{_REVENUE} select * from revenue where date = date '{ONE_DAY}'",
+        "revenue_of_laid_day": f"""{_EVENTS}{_REVENUE}
+            select * from revenue where date = date '{ONE_DAY}'""",
+        "rfm_as_of_laid": f"{_EVENTS}{_CUSTOMERS_AS_OF}{_SCORED} select * from segments",
+        "csv_rejects": f"""{_EVENTS}
+            select event_id, concat_ws(',',
+                if(event_id % 13 = 0, 'event_time', null), if(event_id % 17 = 0, 'price', null),
+                if(event_id % 19 = 0, 'user_id', null)) as failed_columns,
+              count(*) over () as bad_lines
+            from clean where event_id % 13 = 0 or event_id % 17 = 0 or event_id % 19 = 0""",
         "csv_bad_lines": f"""{_EVENTS},
             planted as (
               select * replace (

@@ -29,6 +29,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--stage", choices=STAGES, help="default: table for csv, none for other input")
     parser.add_argument("--zone", default="UTC", help="time zone of hours and dates")
     parser.add_argument("--input-bytes", type=int, help="size of the input, to size shuffles; else from the listing")
+    parser.add_argument("--resume", metavar="RUN", help="load what this failed run has stored, compute the rest")
     parser.add_argument("--preview", action="store_true", help="print the tables")
     return parser.parse_args(argv)
 
@@ -50,10 +51,11 @@ def main(argv: list[str] | None = None) -> dict[str, DataFrame]:
     size_shuffles(spark, args.input_bytes or input_size(spark, args.input))
     tables = run_pipeline(
         spark,
-        read_events(spark, args.input, args.format),
+        read_events(spark, args.input, args.format, rejects=True),
         _sink(args),
         stage=args.stage,
         zone=args.zone,
+        resume=args.resume,
     )
     if args.preview:
         preview(tables)

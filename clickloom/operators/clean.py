@@ -14,7 +14,7 @@ from clickloom.functions.clickstream import (
     weekday_name,
 )
 from clickloom.functions.exact import number, to_micros
-from clickloom.schema import BAD_LINE, EVENT_SCHEMA
+from clickloom.schema import BAD_LINE, EVENT_SCHEMA, REJECT, REJECTED, day_column
 
 AUDITED = tuple(EVENT_SCHEMA.names)
 KEYS = ("product_id", "category_id", "user_id")
@@ -27,6 +27,8 @@ def clean(events: DataFrame, zone: str = "UTC") -> DataFrame:
     Values that do not parse become NULL. ``price_read`` is the price as it was read, which
     filters and brackets use, ``price_micros`` what sums use, ``price`` a double for display.
     Times may be text, instants or clock readings, prices text or numbers, keys text or integers.
+    Of events laid by date in this zone, ``date`` is what they are laid by, so that filters on it
+    choose files.
     """
     kinds = {field.name: field.dataType for field in events.schema}
     keys = [name for name in KEYS if kinds[name] != T.LongType()]
@@ -48,7 +50,7 @@ def clean(events: DataFrame, zone: str = "UTC") -> DataFrame:
             "month": F.month(clock),
             "day_of_week": F.dayofweek(clock),
             "hour": F.hour(clock),
-            "date": F.to_date(clock),
+            "date": F.col(f"`{day}`") if (day := day_column(zone)) in kinds else F.to_date(clock),
             "day_name": weekday_name(F.dayofweek(clock)),
             "category_main": main_category(F.col("category_code")),
             "category_sub": sub_category(F.col("category_code")),
@@ -56,6 +58,29 @@ def clean(events: DataFrame, zone: str = "UTC") -> DataFrame:
     )
 
 
+def event_date(events: DataFrame, zone: str) -> Column:
+    """The date that ``clean`` gives to raw events."""
+    time = parsed_time(F.col("event_time"), events.schema["event_time"].dataType)
+    kind = events.select(time.alias("time")).schema["time"].dataType
+    session_zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    return F.to_date(wall_clock(time, kind, zone, session_zone))
+
+
+def rejects(events: DataFrame) -> DataFrame:
+    """Lines that did not parse in full, of events read with ``rejects``: file, line, failed_columns.
+
+    failed_columns names those whose value is there but is none of its type, in file order, and is empty
+    if the line only has more or fewer fields than its header. Of staged events only the files of
+    bad lines are read.
+    """
+    is_bad = F.col(REJECTED) if REJECTED in events.columns else F.col(REJECT).isNotNull()
+    return events.filter(is_bad).select(
+        F.col(f"{REJECT}.file").alias("file"),
+        F.col(BAD_LINE).alias("line"),
+        F.col(f"{REJECT}.failed_columns").alias("failed_columns"),
+    )
+
+
 def null_counts(columns: tuple[str, ...]) -> list:
     return [F.count_if(F.col(name).isNull()).alias(f"null_{name}") for name in columns]
 

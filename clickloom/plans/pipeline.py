@@ -22,7 +22,7 @@ from clickloom.operators.activity import (
     user_days,
     weekday_activity,
 )
-from clickloom.operators.clean import AUDITED, clean
+from clickloom.operators.clean import AUDITED, clean, rejects
 from clickloom.operators.funnel import funnel_summary, session_profile
 from clickloom.operators.merchandise import brand_category_insight, price_sensitivity
 from clickloom.operators.rfm import rfm_segment_distribution, rfm_segments
@@ -33,6 +33,8 @@ from clickloom.schema import (
     FUNNEL,
     HOURS,
     PRICES,
+    REJECT,
+    REJECTS,
     REVENUE,
     RFM,
     RUN_LOG,
@@ -40,13 +42,16 @@ from clickloom.schema import (
     SEGMENTS,
     WEEKDAYS,
 )
+from clickloom.plans.stored_run import StoredRun
 from clickloom.session import delete_folder, fresh_folder
 from clickloom.sources.events import stage_events
 from clickloom.sources.sinks import JdbcSink, Sink
 
 log = logging.getLogger(__name__)
 
-STAGES = ("none", "table", "memory")
+STAGES = ("none", "table", "dates", "memory")
+
+RESULTS = (RFM, BRANDS, PRICES, REVENUE, HOURS, WEEKDAYS, FUNNEL, SEGMENTS, AUDIT)
 
 
 def audit_of(grid: DataFrame) -> DataFrame:
@@ -86,6 +91,7 @@ def _analyses(
         FUNNEL: lambda: funnel_summary(events, sessions.result()),
         SEGMENTS: lambda: rfm_segment_distribution(segments.result()),
         AUDIT: lambda: audit_of(grid.result()),
+        REJECTS: lambda: rejects(events),
     }
 
 
@@ -111,6 +117,7 @@ def run_pipeline(
     stage: str | None = None,
     zone: str = "UTC",
     parallel: int = 4,
+    resume: str | None = None,
 ) -> dict[str, DataFrame]:
     """Run all analyses on raw events and load their tables; returns the tables by name.
 
@@ -119,6 +126,7 @@ def run_pipeline(
     * ``none``: each reads the columns it needs from the source; the default, for Parquet.
     * ``table``: events are written once as Parquet to the shared folder; the default for events
       that ``read_events`` has read from CSV.
+    * ``dates``: the same, laid by date, see ``stage_events``.
     * ``memory``: they are cached; only for input that fits the executors.
 
     Up to ``parallel`` tables are computed, then loaded, side by side, so that the last tasks of
@@ -128,12 +136,27 @@ def run_pipeline(
     is counted after loading. A ``ParquetSink`` then makes all tables and the run log current at
     once, so a run that fails at any point leaves the tables of the run before. Each table's outcome is
     appended to the run log, a failure with its traceback.
+
+    Events read with ``rejects`` give one more table, the lines that did not parse; staged, it reads only
+    the files of these.
+
+    The results of a failed run stay in the shared folder, also if the driver is lost, until the run is
+    resumed or discarded (see ``StoredRun``). ``resume`` names such a run by its id, which is logged at
+    the start, is in the run log, and noted on the error: what is stored is loaded as it is, and ``source``
+    is only read for what is not. It must hold the same events. The log then has both attempts.
     """
     if stage is None:
         stage = "table" if BAD_LINE in source.columns else "none"
     if stage not in STAGES:
         raise ValueError(f"stage is one of {STAGES}")
-    run_id = uuid.uuid4().hex
+    run = StoredRun(spark, resume or uuid.uuid4().hex, zone)
+    run_id, attempt = run.run_id, uuid.uuid4().hex
+    done = run.tables()
+    if resume and not done:
+        raise ValueError(f"run {resume} has no stored results")
+    wanted = [*RESULTS, *([REJECTS] if REJECT in source.columns else [])]
+    left = [table for table in wanted if table not in done]
+    log.info("run %s: %d tables to compute, %d stored", run_id, len(left), len(done))
     entries: list[tuple] = []
     folders: list[str] = []
     cached = None
@@ -162,20 +185,23 @@ def run_pipeline(
         return done
 
     try:
-        if stage == "table":
-            source, folder = stage_events(source)
+        if left and stage in ("table", "dates"):
+            source, folder = stage_events(source, zone if stage == "dates" else None)
             folders.append(folder)
-        elif stage == "memory":
+        elif left and stage == "memory":
             source = cached = source.persist(StorageLevel.MEMORY_AND_DISK)
-        results = fresh_folder(spark, "results")
-        folders.append(results)
+        shared = fresh_folder(spark, "shared")
+        folders.append(shared)
         with ThreadPoolExecutor(parallel) as pool:
-            analyses = _analyses(clean(source, zone), pool, f"{results}/shared")
+            analyses = _analyses(clean(source, zone), pool, shared) if left else {}
 
             def compute(table: str) -> tuple[DataFrame, int]:
-                return _store(spark, analyses[table](), f"{results}/{table}")
+                place = f"{attempt}/{table}"
+                frame, rows = _store(spark, analyses[table](), f"{run.folder}/{place}")
+                run.add(table, place, frame.schema, rows)
+                return frame, rows
 
-            stored = each(pool, compute, list(analyses))
+            stored = run.read() | each(pool, compute, left)
             with sink.load(spark) as load:
 
                 def bring(table: str) -> DataFrame:
@@ -187,16 +213,22 @@ def run_pipeline(
                     note(table, "loaded", rows)
                     return load.read(table)
 
-                tables = each(pool, bring, list(analyses))
+                tables = each(pool, bring, wanted)
                 current = RUN_LOG
                 load.write(outcome(), RUN_LOG, "append")
-    except Exception:
+        folders.append(run.folder)
+    except Exception as error:
         # What was loaded is in the log of a database only: a Parquet load takes all tables back.
         entries[:] = entries if isinstance(sink, JdbcSink) else []
         note(current, "failed", None, traceback.format_exc())
         # Neither a failing log nor a failing clean-up may hide what went wrong.
         with _warning("the run log was not written"):
             sink.write(outcome(), RUN_LOG, "append")
+        with _warning(f"cannot tell what run {run_id} has stored"):
+            if kept := run.tables():
+                error.add_note(f"run {run_id} can be resumed, {len(kept)} tables are stored")
+            else:
+                folders.append(run.folder)
         raise
     finally:
         if cached is not None:
@@ -204,7 +236,7 @@ def run_pipeline(
         for folder in folders:
             with _warning(f"{folder} was not deleted"):
                 delete_folder(spark, folder)
-    return {table: tables[table] for table in analyses}
+    return {table: tables[table] for table in wanted}
 
 
 def in_order(table: str, frame: DataFrame) -> DataFrame:

@@ -20,6 +20,19 @@ EVENT_SCHEMA = T.StructType(
 # Where the CSV reader keeps the text of a line it could not parse in full.
 BAD_LINE = "_corrupt_record"
 
+# Of a bad line, on request: struct<file, failed_columns>. NULL for all others.
+REJECT = "_reject"
+REJECT_TYPE = "struct<file:string,failed_columns:string>"
+
+# Whether a staged event comes from a bad line; bad lines have files of their own.
+REJECTED = "_rejected"
+
+
+def day_column(zone: str) -> str:
+    """The column by which staged events are laid, their date in ``zone``."""
+    return f"_date {zone}"
+
+
 # Fixed value: how event times are written in the CSV files.
 TIME_PATTERN = "yyyy-MM-dd HH:mm:ss z"
 
@@ -35,6 +48,7 @@ REVENUE = "tbl_daily_revenue"
 
 # Tables that describe a run.
 AUDIT = "tbl_event_audit"
+REJECTS = "tbl_event_rejects"
 RUN_LOG = "tbl_run_log"
 
 RUN_LOG_SCHEMA = T.StructType(

@@ -88,6 +88,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def runs_folder(spark: SparkSession) -> str:
+    """Where runs keep results for being resumed.
+
+    Spark makes a folder per application below the configured one; this one is next to it, so that
+    other applications find it.
+    """
+    return f"{shared_folder(spark).rsplit('/', 1)[0]}/clickloom-runs"
+
+
 def set_folder_if_unset(spark: SparkSession) -> None:
     """For tests and trial runs in one process: a temporary folder where none is configured.
 
