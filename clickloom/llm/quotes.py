@@ -20,7 +20,7 @@ from clickloom.llm.text import as_bytes, stored
 
 QUOTED = re.compile(rb"^((?:[ \t]{0,3}>)+)[ \t]?")
 WROTE = rb"(wrote|writes|schrieb|escribi\xc3\xb3|a \xc3\xa9crit)"
-ATTRIBUTION = re.compile(rb"^[^>].{0,200}\b" + WROTE + rb" ?:[ \t\r]*$")
+ATTRIBUTION = re.compile(rb"^[^>].*\b" + WROTE + rb" ?:[ \t\r]*$")
 
 _PASSAGES = "array<struct<level:int,hash:binary,chars:int>>"
 
@@ -106,16 +106,18 @@ def _parsed(messages: DataFrame) -> DataFrame:
 
 def link_quotes(conversations: DataFrame, min_chars: int = 20) -> DataFrame:
     """One row per message: conv_id, turn, role, own_text, max_level, n_quoted, n_linked,
-    parent_turn, parent_conv, thread.
+    parent_turn, parent_conv, thread, thread_turn, depth.
 
     ``conversations`` has conv_id, turn, role and text; other columns are not read. A quoted
     passage's original is the first message (by turn) of the same conversation that says it itself,
     if that is earlier, else, for passages of at least ``min_chars`` characters in normal form, the
     first message of any other conversation. n_quoted and n_linked count distinct quoted passages
     of any length. The parent is the original of the least deep, then longest, passage; parent_conv tells
-    whether it is in another conversation. ``thread`` is the path of turns from the message that
-    started the exchange; sorted by conv_id and thread, each message follows what it answers.
-    Messages without a linked quote start a thread of their own.
+    whether it is in another conversation. Messages without a parent in their own conversation start a
+    thread; ``thread`` is its number, unique but not the same in every run, ``thread_turn`` the turn of
+    the message that starts it, ``depth`` the number of replies between that one and this. Sorted by conv_id,
+    thread_turn, thread, depth and turn, each message follows what it answers. A row's size does not depend on
+    its depth.
 
     NULL text is empty. A NULL conv_id is a conversation, a NULL turn comes first. Repeated rows are
     messages of their own. Originals are aggregated per passage before anything is joined with them,
@@ -183,16 +185,24 @@ def link_quotes(conversations: DataFrame, min_chars: int = 20) -> DataFrame:
 
 
 def _threads(linked: DataFrame) -> DataFrame:
-    """(message, thread), by doubling: each round joins paths that have been found so far.
+    """(message, thread, thread_turn, depth), by doubling: each round joins the ways up found so far.
 
-    Links inside a conversation lead to earlier messages, so paths end.
+    Links inside a conversation lead to earlier messages, so ways end. ``above`` is the message that
+    a way has got to, ``steps`` how far that is; at its end a way has no ``above``, and knows its thread.
     """
-    inside = F.when(F.col("parent_conv").isNull(), F.col("parent"))
-    paths = linked.select("message", inside.alias("above"), F.array("turn").alias("thread"))
-    while not (open_ := paths.filter("above is not null")).isEmpty():
-        upper = paths.selectExpr("message as above", "above as next", "thread as start")
-        longer = open_.join(upper, "above").select(
-            "message", F.col("next").alias("above"), F.concat("start", "thread").alias("thread")
+    has_parent = F.col("parent").isNotNull() & F.col("parent_conv").isNull()
+    ways = linked.select(
+        "message",
+        F.when(has_parent, F.col("parent")).alias("above"),
+        F.when(has_parent, 1).otherwise(0).cast("bigint").alias("steps"),
+        F.when(~has_parent, F.struct(F.col("message").alias("thread"), "turn")).alias("start"),
+    )
+    while not (open_ := ways.filter("above is not null")).isEmpty():
+        upper = ways.selectExpr("message as above", "above as next", "steps as more", "start")
+        longer = open_.drop("start").join(upper, "above").selectExpr(
+            "message", "next as above", "steps + more as steps", "start"
         )
-        paths = stored(paths.filter("above is null").unionByName(longer), "threads")
-    return paths.select("message", "thread")
+        ways = stored(ways.filter("above is null").unionByName(longer), "threads")
+    return ways.selectExpr(
+        "message", "start.thread as thread", "start.turn as thread_turn", "steps as depth"
+    )

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ def rows(spark, *messages, extra=""):
     return spark.createDataFrame(list(messages), f"conv_id long, turn long, role string, text string{extra}")
 
 
+def threaded(row):
+    return row["thread_turn"], row["depth"]
+
+
 def found(frame):
     return {(r["conv_id"], r["turn"]): r.asDict() for r in link_quotes(frame).collect()}
 
@@ -33,6 +39,8 @@ def test_passages():
     assert {(1, b"one two"), (1, b"one"), (1, b"two"), (2, b"three"), (0, b"four")} <= said
     assert parse(b"") == (b"", 0, [])
     assert parse(b" no quotes \n")[0] == b" no quotes \n"
+    long = b"On " + b"Monday, " * 1000 + b"X wrote:\n> One\nFour"
+    assert parse(long)[0] == b"Four"
 
 
 def test_links_and_threads(spark):
@@ -49,12 +57,12 @@ def test_links_and_threads(spark):
         (3, 1, "u", REPLY),
     )
     by = found(frame)
-    assert {place: row["thread"] for place, row in by.items() if place[0] == 1} == {
-        (1, 0): [0], (1, 1): [0, 1], (1, 2): [2], (1, 3): [0, 1, 3], (1, 4): [0, 1, 4],
+    assert {place: threaded(row) for place, row in by.items() if place[0] == 1} == {
+        (1, 0): (0, 0), (1, 1): (0, 1), (1, 2): (2, 0), (1, 3): (0, 2), (1, 4): (0, 2),
     }
     assert by[1, 1]["own_text"] == REPLY
     assert (by[1, 3]["parent_turn"], by[1, 3]["n_quoted"], by[1, 3]["n_linked"]) == (1, 2, 2)
-    assert (by[2, 0]["parent_conv"], by[2, 0]["parent_turn"], by[2, 0]["thread"]) == (1, 0, [0])
+    assert (by[2, 0]["parent_conv"], by[2, 0]["parent_turn"], threaded(by[2, 0])) == (1, 0, (0, 0))
     assert (by[2, 1]["n_quoted"], by[2, 1]["n_linked"], by[2, 1]["parent_turn"]) == (1, 0, None)
     assert (by[3, 0]["parent_conv"], by[3, 0]["parent_turn"]) == (1, 1)  # said later here, earlier there
     assert ">" not in "".join(row["own_text"] for row in by.values())
@@ -69,19 +77,21 @@ def test_short_quotes(spark):
         (1, 2, "u", "> Yes, on Tuesday.\nGood."),
         (2, 0, "u", "> Yes, on Tuesday.\nWho said so?"),
     ))
-    assert {place: row["thread"] for place, row in by.items()} == {
-        (1, 0): [0], (1, 1): [0, 1], (1, 2): [0, 1, 2], (2, 0): [0],
+    assert {place: threaded(row) for place, row in by.items()} == {
+        (1, 0): (0, 0), (1, 1): (0, 1), (1, 2): (0, 2), (2, 0): (0, 0),
     }
     assert (by[1, 2]["n_quoted"], by[1, 2]["n_linked"], by[1, 2]["parent_turn"]) == (1, 1, 1)
     assert (by[2, 0]["n_quoted"], by[2, 0]["n_linked"], by[2, 0]["parent_conv"]) == (1, 0, None)
 
 
 def test_long_chains(spark):
-    said = [f"This is what was said in message number {i}, at some length." for i in range(40)]
-    messages = [(7, i, "u", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(40)]
+    """A thousand replies in a row are a thousand rows of one size."""
+    said = [f"This is what was said in message number {i}, at some length." for i in range(1000)]
+    messages = [(7, i, "u", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(1000)]
     by = found(rows(spark, *messages).repartition(5))
-    assert by[7, 39]["thread"] == list(range(40))
-    assert all(by[7, i]["own_text"] == said[i] for i in range(40))
+    assert all(threaded(by[7, i]) == (0, i) for i in range(1000))
+    assert len({row["thread"] for row in by.values()}) == 1
+    assert all(by[7, i]["own_text"] == said[i] for i in range(1000))
 
 
 def test_a_passage_that_everybody_quotes(spark):
@@ -89,7 +99,7 @@ def test_a_passage_that_everybody_quotes(spark):
     messages = [(c, 0, "u", said) for c in range(50)] + [(c, 1, "a", f"> {said}\nreply {c}") for c in range(50)]
     by = found(rows(spark, *messages).repartition(4))
     assert len(by) == 100
-    assert all(by[c, 1]["thread"] == [0, 1] and by[c, 1]["parent_conv"] is None for c in range(50))
+    assert all(threaded(by[c, 1]) == (0, 1) and by[c, 1]["parent_conv"] is None for c in range(50))
 
 
 def test_odd_messages(spark):
@@ -105,6 +115,87 @@ def test_odd_messages(spark):
     assert result.agg(F.max("max_level")).first()[0] == 3000
 
 
+def brute(messages, min_chars):
+    """Originals by looking at all pairs, threads by walking up."""
+    parsed = [parse((text or "").encode())[2] for *_, text in messages]
+    said = [{passage for level, passage in one if level == 0} for one in parsed]
+    place = [((turn is not None, turn or 0), at) for at, (_, turn, *_) in enumerate(messages)]
+
+    def original(at, passage):
+        """(is elsewhere, message) of the first to say it, or None."""
+        others = [o for o in range(len(messages)) if passage in said[o]]
+        here = [o for o in others if messages[o][0] == messages[at][0]]
+        first = min(here, key=lambda o: place[o], default=None)
+        if first is not None and place[first] < place[at]:
+            return False, first
+        order = lambda o: ((messages[o][0] is not None, messages[o][0] or 0), place[o])
+        first = min(others, key=order, default=None)
+        if first is None or len(passage.decode()) < min_chars or messages[first][0] == messages[at][0]:
+            return None
+        return True, first
+
+    parents, result = {}, {}
+    for at, passages in enumerate(parsed):
+        quoted = [(level, passage) for level, passage in passages if level > 0]
+        linked = {(level, passage): found for level, passage in quoted if (found := original(at, passage))}
+        best = min(linked, key=lambda one: (linked[one][0], one[0], -len(one[1].decode())), default=None)
+        ties = [linked[one] for one in linked if best and
+                (linked[one][0], one[0], len(one[1])) == (linked[best][0], best[0], len(best[1]))]
+        assert len(set(ties)) <= 1  # the planted messages leave no choice
+        parents[at] = linked[best][1] if best and not linked[best][0] else None
+        parent = linked[best][1] if best else None
+        result[at] = (
+            len({p for _, p in quoted}), len({p for _, p in linked}),
+            None if parent is None else messages[parent][1],
+            messages[parent][0] if best and linked[best][0] else None,
+        )
+    for at in result:
+        top, depth = at, 0
+        while parents[top] is not None:
+            top, depth = parents[top], depth + 1
+        result[at] += (messages[top][1], depth, top)
+    return result
+
+
+@pytest.mark.parametrize("min_chars", [0, 20])
+def test_planted_quotes_against_brute_force(spark, min_chars):
+    """Messages of the given conversations that quote others, of their own or another conversation."""
+    given = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    listed = sorted(tuple(row) for row in given.select("conv_id", "turn", "role", "text").collect())[:300]
+    rng, messages = random.Random(7), []
+    for conv, turn, role, text in listed:
+        earlier = [m for m in messages if m[0] == conv] if rng.random() < 0.7 else messages
+        if earlier and rng.random() < 0.8:
+            own = parse(rng.choice(earlier)[3].encode())[0].decode()
+            line = rng.choice([line for line in own.split("\n") if line.strip()] or ["?"])
+            some = rng.choice([own, line, line.upper(), f"Yes, {len(messages) % 5}.", line[: len(line) // 2]])
+            level = rng.choice([">", "> >", ">>> "])
+            text = f"On some day X wrote:\n{chr(10).join(f'{level} {one}' for one in some.split(chr(10)))}\n{text}"
+        if rng.random() < 0.2:
+            text += f"\n\nYes, {rng.randrange(5)}."
+        messages.append((conv, None if rng.random() < 0.02 else turn, role, text))
+    frame = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").coalesce(1)
+    rows_found = link_quotes(frame, min_chars).collect()
+    expected = brute(messages, min_chars)
+
+    def key(*values):
+        return tuple(map(str, values))
+
+    as_found = sorted(key(
+        r["conv_id"], r["turn"], r["own_text"], r["n_quoted"], r["n_linked"], r["parent_turn"],
+        r["parent_conv"], r["thread_turn"], r["depth"],
+    ) for r in rows_found)
+    assert as_found == sorted(
+        key(*messages[at][:2], parse(messages[at][3].encode())[0].decode(), *row[:6])
+        for at, row in expected.items()
+    )
+    assert len({r["thread"] for r in rows_found}) == len({row[6] for row in expected.values()})
+    assert sum(row[1] > 0 for row in expected.values()) > 100
+    assert max(row[5] for row in expected.values()) >= 2
+    assert any(row[3] is not None for row in expected.values())
+    assert any(row[1] < row[0] for row in expected.values()) or not min_chars
+
+
 def test_empty_table(spark):
     assert link_quotes(rows(spark)).collect() == []
 
