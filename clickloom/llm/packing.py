@@ -10,9 +10,9 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate, chain, compress, repeat
+from itertools import compress, repeat
 from operator import is_
 
 import numpy as np
@@ -130,8 +130,6 @@ class Windows:
             offset += length
 
 
-TOGETHER = 200  # words that are encoded as one text
-
 # Never part of one token with a letter or digit before them, by the pattern that splits words.
 TAIL = b".,!?;:|*$%&#"
 
@@ -169,28 +167,6 @@ def word_encoder(tokenizer_file: str, most_words: int = 1 << 20):
         lambda: (Tokenizer.from_file(tokenizer_file), Memo(None, most_words), Memo(None, most_words)),
     )
 
-    def cut(parts: list[bytes], ids: Iterable[int], lengths: Iterable[int]) -> dict[bytes, bytes]:
-        flat = np.fromiter(ids, "<u4").tobytes()
-        ends = list(accumulate(WIDTH * length for length in lengths))
-        return {part: flat[a:b] for part, a, b in zip(parts, [0, *ends], ends, strict=False)}
-
-    def one_by_one(parts: list[bytes]) -> dict[bytes, bytes]:
-        encoded = tokenizer.encode_batch_fast(
-            [part.decode() for part in parts], add_special_tokens=False
-        )
-        ids = [encoding.ids for encoding in encoded]
-        return cut(parts, chain.from_iterable(ids), map(len, ids))
-
-    def together(parts: list[bytes]) -> dict[bytes, bytes]:
-        """Words of letters as one text, which is faster; nothing if they do not stay apart."""
-        encoding = tokenizer.encode_batch_fast(
-            [b" ".join(parts).decode()], add_special_tokens=False
-        )[0]
-        words = encoding.word_ids
-        if None in words or len(set(words)) != len(parts):
-            return {}
-        return cut(parts, encoding.ids, np.bincount(words, minlength=len(parts)).tolist())
-
     def encode(texts: list[bytes]) -> list[bytes]:
         known.trim()
         stems.trim()
@@ -200,13 +176,14 @@ def word_encoder(tokenizer_file: str, most_words: int = 1 << 20):
         for words, ids in zip(split, found, strict=True):
             missing.update(compress(words, map(is_, ids, repeat(None))))
         parts = {word: stem_and_tail(word) for word in missing}
-        new = {part for both in parts.values() for part in both}.difference(stems)
-        plain = [part for part in new if part.isalpha()]  # of bytes: A-Z and a-z
-        for at in range(0, len(plain), TOGETHER):
-            stems.update(together(plain[at : at + TOGETHER]))
-        rest = [part for part in new if part not in stems]
-        for at in range(0, len(rest), 10_000):
-            stems.update(one_by_one(rest[at : at + 10_000]))
+        new = list({part for both in parts.values() for part in both}.difference(stems))
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            encoded = tokenizer.encode_batch_fast(
+                [part.decode() for part in some], add_special_tokens=False
+            )
+            for part, encoding in zip(some, encoded, strict=True):
+                stems[part] = np.array(encoding.ids, "<u4").tobytes()
         for word, (stem, tail) in parts.items():
             known[word] = stems[stem] + stems[tail] if tail else stems[stem]
         for words, ids in zip(split, found, strict=True):
