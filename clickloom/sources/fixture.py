@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.session import input_size
+
 # Declared, so that reading needs no look into the files first.
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
@@ -12,14 +14,19 @@ EVENTS = (
 )
 PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int"
 
+# Size of the part files up to which parts may be broadcast. Spark goes by the files as well, where rows
+# take some 20 times less than in memory, and would send hundreds of MB through the driver.
+MOST_BROADCAST = 1 << 20
+
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts.
 
     The grouping tells Spark that keys are unique, so that it drops the join from queries that
-    use no product column.
+    use no product column. Many parts are joined by a merge, so that the driver never gets them.
     """
-    part = spark.read.schema(PART).parquet(f"{sf_dir}/part.parquet")
+    path = f"{sf_dir}/part.parquet"
+    part = spark.read.schema(PART).parquet(path)
     named = part.selectExpr(
         "p_partkey as product_id",
         "cast(p_size as bigint) as category_id",
@@ -27,7 +34,8 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lower(p_type) as kind",
         "get(split(p_name, ' '), 1) as word",
     )
-    return named.dropDuplicates(["product_id"])
+    unique = named.dropDuplicates(["product_id"])
+    return unique.hint("merge") if input_size(spark, path) > MOST_BROADCAST else unique
 
 
 # Fixed value: how the test events' prices are made.

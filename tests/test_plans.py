@@ -15,7 +15,9 @@ from clickloom import (
     rfm_base,
 )
 from clickloom.operators.activity import activity_grid
+from clickloom.plans.increments import _states
 from clickloom.schema import EVENT_SCHEMA
+from clickloom.session import input_size
 from clickloom.sources.fixture import read_fixture
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -113,5 +115,26 @@ def test_customers_are_never_in_one_task(spark):
     assert "rangepartitioning" not in text and "Sort" not in text
 
 
+def test_many_parts_are_not_sent_to_the_driver(spark, tmp_path):
+    """1.3 MB of files, which Spark alone would broadcast, each time that brands are needed."""
+    parts = spark.range(200_000).selectExpr(
+        "id as p_partkey",
+        "concat('large ', hash(id)) as p_name",
+        "concat('Brand#', id % 25) as p_brand",
+        "'LARGE' as p_type",
+        "cast(id % 50 as int) as p_size",
+    )
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    (tmp_path / "events.parquet").symlink_to(f"{SF_DIR}/events.parquet")
+    assert 1 << 20 < input_size(spark, str(tmp_path / "part.parquet")) < 10 << 20
+    many = clean(read_fixture(spark, str(tmp_path)))
+    few = clean(read_fixture(spark, SF_DIR))
+    for state in _states():
+        text = plan(state.of(many))
+        assert "Broadcast" not in text
+        assert ("SortMergeJoin" in text) == ("BroadcastHashJoin" in plan(state.of(few)))
+    assert "Join" not in plan(funnel_summary(many))
+
+
 def test_top_brands_sorts_only_what_it_keeps(spark):
     assert "TakeOrderedAndProject" in plan(driver.queries()["top_brands"](spark, SF_DIR))
