@@ -8,6 +8,7 @@ when tasks end is merged in the same way, many tasks at a time, until one is lef
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -152,20 +153,58 @@ def stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
     return (stem, tail) if last.isalpha() else (word, b"")
 
 
+# Letters of which none changes, or joins another, when text is normalised.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+
+
+def plain_letters(tokenizer) -> dict[int, str]:
+    """Of ``_LETTERS``, those that the tokenizer leaves as they are, and how its model writes each."""
+    found = {}
+    for letter in _LETTERS:
+        pieces = tokenizer.pre_tokenizer.pre_tokenize_str(letter)
+        if tokenizer.normalizer.normalize_str(letter) == letter and len(pieces) == 1:
+            found[ord(letter)] = pieces[0][0]
+    return found
+
+
 def word_encoder(tokenizer_file: str, most_words: int = 1 << 20):
     """A function from texts (bytes) to their ids, 4 bytes each.
 
     For lower-casing tokenizers that split at white space and between letters and punctuation.
-    Words are encoded once per worker and looked up after that, special tokens are not added. A worker
-    remembers about ``most_words`` words and as many stems, some 200 MB for each million.
+    Words are encoded once per worker and looked up after that, special tokens are not added. Those of
+    plain letters are one piece, which normalising and splitting leave alone, so the tokenizer's model
+    gets them at once. A worker remembers about ``most_words`` words and as many stems, some 200 MB for
+    each million.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
-    tokenizer, known, stems = kept_by_worker(
-        ("tokenizer", tokenizer_file, most_words),
-        lambda: (Tokenizer.from_file(tokenizer_file), Memo(None, most_words), Memo(None, most_words)),
-    )
+
+    def made() -> tuple:
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        return tokenizer, plain_letters(tokenizer), Memo(None, most_words), Memo(None, most_words)
+
+    tokenizer, written, known, stems = kept_by_worker(("tokenizer", tokenizer_file, most_words), made)
+    model, letters = tokenizer.model, frozenset(map(chr, written))
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def add_stems(new: list[bytes]) -> None:
+        others = []
+        for part in new:
+            text = part.decode()
+            if text and letters.issuperset(text):
+                stems[part] = packed([token.id for token in model.tokenize(text.translate(written))])
+            else:
+                others.append(part)
+        for at in range(0, len(others), 10_000):
+            some = others[at : at + 10_000]
+            encoded = tokenizer.encode_batch_fast(
+                [part.decode() for part in some], add_special_tokens=False
+            )
+            for part, encoding in zip(some, encoded, strict=True):
+                stems[part] = packed(encoding.ids)
 
     def encode(texts: list[bytes]) -> list[bytes]:
         known.trim()
@@ -176,14 +215,7 @@ def word_encoder(tokenizer_file: str, most_words: int = 1 << 20):
         for words, ids in zip(split, found, strict=True):
             missing.update(compress(words, map(is_, ids, repeat(None))))
         parts = {word: stem_and_tail(word) for word in missing}
-        new = list({part for both in parts.values() for part in both}.difference(stems))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            encoded = tokenizer.encode_batch_fast(
-                [part.decode() for part in some], add_special_tokens=False
-            )
-            for part, encoding in zip(some, encoded, strict=True):
-                stems[part] = np.array(encoding.ids, "<u4").tobytes()
+        add_stems(list({part for both in parts.values() for part in both}.difference(stems)))
         for word, (stem, tail) in parts.items():
             known[word] = stems[stem] + stems[tail] if tail else stems[stem]
         for words, ids in zip(split, found, strict=True):

@@ -79,6 +79,28 @@ def test_encoder_is_the_tokenizer(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == expected_ids, text
 
 
+def test_plain_words_go_to_the_model(tokenizer, monkeypatch):
+    """Words of plain letters take a fraction of the time; the rest still goes the whole way."""
+    whole = []
+
+    class Noting:
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            whole.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(Tokenizer, "from_file", staticmethod(lambda _: Noting()))
+    words = "understanding Straße, Über ÿþð naïve façade's ñandú a\u0308b ıß 3x... ﬁn don't ΟΔΟΣ ªº ǆ".split()
+    words += [f"q{chr(code)}{chr(code)}z" for code in range(0xA1, 0x250)]
+    found = word_encoder(FILE, 1 << 10)([word.encode() for word in words])
+    for word, ids in zip(words, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids, word
+    assert {"a\u0308b", "don't", "ªº"} <= set(whole)
+    assert not {"understanding", "straße", "naïve", "ñandú", "qÿÿz"} & set(whole)
+
+
 def test_best_fit_in_bounded_space():
     windows = Windows(10, 2, 0, 0, True)
 
