@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from texts import collected, odd_documents
@@ -53,6 +54,28 @@ def test_the_whole_pool_is_learned_from(spark, tables):
     assert min(whole["pseudo"]) > 1.5 * max(400, *sample["pseudo"])
 
 
+def test_packed_words(spark, tables):
+    """The buckets and counts of every document, in few bytes."""
+    documents = tables[0].withColumn("label", F.lit(None).cast("bigint"))
+    text = {row["doc_id"]: (row["text"] or "").encode() for row in documents.collect()}
+    rows = cotraining._features(documents).collect()
+    view = cotraining.View(cotraining.TEXT_SIZE, [bytes(row["words"]) for row in rows], True)
+    for at in range(0, len(rows), 7):
+        buckets = [one for word in text[rows[at]["doc_id"]].split() for one in cotraining.text_buckets(word)]
+        found = np.bincount(view.bucket[view.row == at], view.count[view.row == at], cotraining.TEXT_SIZE)
+        assert (found == np.bincount(buckets, minlength=cotraining.TEXT_SIZE)).all()
+    assert sum(len(row["words"]) for row in rows) < 2.5 * len(view.bucket)
+    # In any steps: the first and last bucket, wide gaps, counts of several entries, no entry.
+    odd = [[], [0], [255, 256], [0, 0, 510, 511], [8191], [1, 1000, 8191]]
+    buckets = [np.array(one, "<u2") for one in odd]
+    counts = [np.arange(1, len(one) + 1, dtype=np.uint8) for one in odd]
+    row, bucket, count = cotraining.from_steps([*map(cotraining.in_steps, buckets, counts)])
+    assert row.tolist() == [at for at, one in enumerate(odd) for _ in one]
+    assert bucket.tolist() == [value for one in odd for value in one]
+    assert count.tolist() == [value for one in counts for value in one]
+    assert all(len(one) == 0 for one in cotraining.from_steps([]))
+
+
 def test_odd_documents(spark, tables):
     model = cotraining.fit(*tables)
     docs = odd_documents(spark)
