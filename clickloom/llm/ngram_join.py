@@ -6,8 +6,9 @@ member, so only groups whose bound reaches the threshold are opened and compared
 
 The bound is used from coarse to fine: a document whose tokens do not occur often enough in the
 union of all others has no link at all; two groups are candidates for each other only if they share
-one of the rarest tokens of members; and a query is compared with a group's members only if the
-group's whole union covers enough of it.
+one of the rarest tokens of members; of these, only sets whose marks (a bit per token) are near each
+other's are sent; and a query is compared with a group's members only if the group's whole union
+covers enough of it.
 
 Only connections are wanted, so documents known to be connected need not be compared. Members of a
 group are compared first, then everybody with the most central document that shares a rare token
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.components import components
@@ -121,7 +122,31 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 20) -> DataFrame:
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on as one binary, each as narrow as its largest number allows."""
+    widths = [
+        next(w for w in (1, 2, 4, 8) if w == 8 or not len(column) or int(column.max()) >> 8 * w == 0)
+        for column in columns
+    ]
+    head = [len(columns), *(x for w, column in zip(widths, columns, strict=True) for x in (w, len(column)))]
+    parts = [np.array(head, "<u4")]
+    parts += [column.astype(f"<u{w}") for w, column in zip(widths, columns, strict=True)]
+    return b"".join(part.tobytes() for part in parts)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    count = int(np.frombuffer(blob, "<u4", 1)[0])
+    head = np.frombuffer(blob, "<u4", 2 * count, 4).tolist()
+    at, columns = 4 + 8 * count, []
+    for width, length in zip(head[::2], head[1::2], strict=True):
+        columns.append(np.frombuffer(blob, f"<u{width}", length, at))
+        at += width * length
+    return columns
+
+
+def shared_counts(
+    docs: DataFrame, width: int, ranges: int, held: int = 1 << 20, copied: DataFrame | None = None
+) -> DataFrame:
     """(class, shared, spread, sketch): of each set with tokens that occur in other sets too, how
     many these are, in how many sets they are in sum, and which token is in the most sets.
 
@@ -129,98 +154,149 @@ def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 20)
     set, 4 bytes per token, which with the range tell tokens apart well enough that counts come
     out at most a little high: two tokens of one set that look the same still count as two. A set
     that a task meets twice is sent once, so copies of a text are one set per task.
+
+    ``copied`` lists at least the documents (doc) whose set others have too; without it, all may be.
+    Only their sets are sent with their names, so that copies are known as one set wherever they come
+    from. Others go by their place in the binary's pack, and what is found is sent back to the pack,
+    so that a token costs 6 bytes at most however many ranges there are.
     """
 
-    def pack(keys: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    def pack(sets: list[tuple[int, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sets = sorted(sets, key=lambda one: not one[1])
+        names = np.array([key for key, _, _ in sets], "<i8").view("<u8")
+        known = sum(named for _, named, _ in sets)
+        others = len(sets) - known
+        own = int(names[known]) if others else 0
+        tokens = np.concatenate([shingles for _, _, shingles in sets])
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(one[2]) for one in sets])
         place = (((tokens >> HALF) * np.uint64(ranges)) >> HALF).astype(np.int32)
         order = np.argsort(place, kind="stable")
         tokens, owner, place = tokens[order].astype("<u4"), owner[order], place[order]
-        names = np.array(keys, "<i8")
         cuts = np.searchsorted(place, np.arange(ranges + 1))
-        for at in range(ranges):
+        to, blobs = [], []
+        for at in np.flatnonzero(np.diff(cuts)).tolist():
             start, end = cuts[at], cuts[at + 1]
-            if start < end:
-                firsts = np.flatnonzero(np.diff(owner[start:end], prepend=-1))
-                sizes = np.diff(np.append(firsts, end - start))
-                kind = "<u2" if sizes.max() < 1 << 16 else "<u4"
-                parts = (
-                    np.array([len(firsts), int(kind[-1])], "<u4"),
-                    names[owner[start:end][firsts]],
-                    sizes.astype(kind),
-                    tokens[start:end],
-                )
-                blob = b"".join(part.tobytes() for part in parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at], pa.int64()), pa.array([blob], pa.binary())], ["range", "blob"]
-                )
+            middle = start + np.searchsorted(owner[start:end], known)
+            firsts = np.flatnonzero(np.diff(owner[start:middle], prepend=-1))
+            sizes = np.diff(np.append(firsts, middle - start))
+            # Who has the other tokens: each one's owner, or how many each set has, if that is less.
+            owners = owner[middle:end] - known
+            each = 2 if others <= 1 << 16 else 4
+            counted = others < each * len(owners)
+            if counted:
+                owners = np.bincount(owners, minlength=others)
+            head = np.array([own, others, counted], np.uint64)
+            to.append(at)
+            blobs.append(
+                packed(head, names[owner[start:middle][firsts]], sizes, owners, tokens[start:end])
+            )
+        if others:
+            to.append(-1 - own % ranges)
+            blobs.append(packed(np.array([0, own, 0], np.uint64), names[known:]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["range", "blob"]
+        )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys, sets, size = set(), [], [], 0
-        for _, _, shingles in _sets(batches, width):
+        seen, sets, size = set(), [], 0
+        for batch, row, shingles in _sets(batches, width):
             key = short(set_key(shingles))
             if len(shingles) and key not in seen:
                 seen.add(key)
-                keys.append(key)
-                sets.append(shingles)
+                sets.append((key, batch.column("perhaps")[row].as_py(), shingles))
                 size += len(shingles)
                 if size >= held:
-                    yield from pack(keys, sets)
-                    keys, sets, size = [], [], 0
+                    yield from pack(sets)
+                    sets, size = [], 0
         if sets:
-            yield from pack(keys, sets)
+            yield from pack(sets)
 
     def count(key: tuple, blobs: pa.Table) -> pa.Table:
-        parts = []
-        for blob in blobs.column("blob").to_pylist():
-            sets, kind = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-            names = np.frombuffer(blob, "<i8", sets, 8)
-            sizes = np.frombuffer(blob, f"<u{kind}", sets, 8 + 8 * sets)
-            parts.append((names, sizes, np.frombuffer(blob, "<u4", -1, 8 + (8 + kind) * sets)))
-        names = np.unique(np.concatenate([part[0] for part in parts]))
-        pairs, at = np.empty(sum(len(part[2]) for part in parts), np.uint64), 0
-        sent = np.zeros(len(names), np.int64)
-        for name, sizes, tokens in parts:
-            some = pairs[at : at + len(tokens)]
+        at, blobs = key[0].as_py(), blobs.column("blob").to_pylist()
+        if at < 0:  # the names of packs, on their way to what is sent back to these
+            return _parts([-1 - at] * len(blobs), blobs)
+        sent = [unpacked(blob) for blob in blobs]
+        del blobs
+        names = np.unique(np.concatenate([one[1].astype(np.uint64) for one in sent]))
+        # Sets with names come first, then those of each pack.
+        bases = np.cumsum([len(names), *(int(one[0][1]) for one in sent)])
+        times = np.ones(bases[-1], np.int64)
+        times[: len(names)] = 0
+        pairs, end = np.empty(sum(len(one[4]) for one in sent), np.uint64), 0
+        for (head, known, sizes, owners, tokens), base in zip(sent, bases, strict=False):
+            some = pairs[end : end + len(tokens)]
+            end += len(tokens)
             some[:] = tokens
             some <<= HALF
-            place = np.searchsorted(names, name)
-            some |= np.repeat(place.astype(np.uint64), sizes)
-            sent[place] += 1
-            at += len(tokens)
+            place = np.searchsorted(names, known)
+            times[place] += 1
+            middle = int(sizes.sum(dtype=np.int64))
+            some[:middle] |= np.repeat(place.astype(np.uint64), sizes)
+            if head[2]:
+                owners = np.repeat(np.arange(len(owners), dtype=np.uint32), owners)
+            some[middle:] |= owners.astype(np.uint64) + np.uint64(base)
+        packs = [one[0][0] for one in sent]
+        del sent
         pairs.sort()
         firsts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
         repeats = np.diff(np.append(firsts, len(pairs)))
         pairs = pairs[firsts]
-        # More often than the set was sent: several of its tokens.
-        several = np.maximum(1, repeats // sent[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
         token = (pairs >> HALF).astype(np.uint32)
         firsts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        times = np.diff(np.append(firsts, len(token)))
-        shared = np.repeat(times > 1, times)
-        times = times[times > 1]
-        rows = np.empty(len(shared.nonzero()[0]), TALLY)
-        rows["class"] = names[(pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        rows["shared"], rows["spread"] = several[shared], np.repeat(times, times)
-        rows["most"], rows["token"] = rows["spread"], token[shared]
-        rows["token"] += key[0].as_py() << 32
+        spread = np.diff(np.append(firsts, len(token)))
+        shared = np.repeat(spread > 1, spread)
+        spread = spread[spread > 1]
+        owner = (pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        rows = np.empty(len(owner), TALLY)
+        rows["class"], rows["token"] = owner, token[shared]
+        # More often than the set was sent: several of its tokens.
+        rows["shared"] = np.maximum(1, repeats[shared] // times[owner])
+        rows["spread"] = rows["most"] = np.repeat(spread, spread)
+        del pairs, token, firsts, repeats, shared, owner
         rows = added_up(rows)
-        place = rows["class"] % ranges
-        order = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[order], np.arange(ranges + 1))
-        some = [at for at in range(ranges) if cuts[at] < cuts[at + 1]]
-        packed = [rows[order[cuts[at] : cuts[at + 1]]].tobytes() for at in some]
-        return pa.table({"part": pa.array(some, pa.int64()), "blob": pa.array(packed, pa.binary())})
+        to, back = [], []
+        cuts = np.searchsorted(rows["class"], bases)
+        for start, end, base, own in zip(cuts, cuts[1:], bases, packs, strict=False):
+            if start < end:
+                some = rows[start:end]
+                gaps = np.diff(some["class"] - base, prepend=0)
+                to.append(int(own) % ranges)
+                back.append(packed(np.array([1, own, at], np.uint64), gaps, *_tallies(some)))
+        some, place = rows[: cuts[0]], names[rows["class"][: cuts[0]]]
+        part = place % np.uint64(ranges)
+        order = np.argsort(part, kind="stable")
+        some, place, part = some[order], place[order], part[order]
+        firsts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+        for start, end in zip(firsts, np.append(firsts[1:], len(part)), strict=False):
+            to.append(int(part[start]))
+            head = np.array([2, 0, at], np.uint64)
+            back.append(packed(head, place[start:end], *_tallies(some[start:end])))
+        return _parts(to, back)
 
     def total(blobs: pa.Table) -> pa.Table:
-        rows = added_up(np.frombuffer(b"".join(blobs.column("blob").to_pylist()), TALLY))
+        sent = [unpacked(blob) for blob in blobs.column("blob").to_pylist()]
+        names = {int(head[1]): rest[0].astype(np.uint64) for head, *rest in sent if head[0] == 0}
+        sent = [one for one in sent if one[0][0] > 0]
+        rows, end = np.empty(sum(len(one[1]) for one in sent), TALLY), 0
+        for head, which, shared, more, most, token in sent:
+            some = rows[end : end + len(which)]
+            end += len(which)
+            if head[0] == 1:
+                which = names[int(head[1])][np.cumsum(which, dtype=np.int64)]
+            some["class"] = which.astype(np.uint64).view(np.int64)
+            some["shared"], some["most"] = shared, most
+            some["spread"] = some["most"] + more.astype(np.int64)
+            some["token"] = token.astype(np.int64) + (int(head[2]) << 32)
+        rows = added_up(rows)
         columns = {name: rows[name].astype(np.int64) for name in ("class", "shared", "spread")}
         return pa.table(columns | {"sketch": rows["token"].astype(np.int64)})
 
+    if copied is None:
+        rows = docs.select("text", F.lit(True).alias("perhaps"))
+    else:
+        rows = with_perhaps(docs.select(_doc(), "text"), copied, "doc").select("text", "perhaps")
     return (
-        docs.select("text")
-        .mapInArrow(send, "range bigint, blob binary")
+        rows.mapInArrow(send, "range bigint, blob binary")
         .groupBy("range")
         .applyInArrow(count, "part bigint, blob binary")
         .groupBy("part")
@@ -228,6 +304,14 @@ def shared_counts(docs: DataFrame, width: int, ranges: int, held: int = 1 << 20)
     )
 
 
+def _parts(parts: list[int], blobs: list[bytes]) -> pa.Table:
+    return pa.table({"part": pa.array(parts, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _tallies(rows: np.ndarray) -> list[np.ndarray]:
+    return [rows["shared"], rows["spread"] - rows["most"], rows["most"], rows["token"]]
+
+
 def added_up(rows: np.ndarray) -> np.ndarray:
     """One row per class: sums, and the token that is in the most sets."""
     rows = rows[np.lexsort((rows["token"], rows["most"], rows["class"]))]
@@ -240,7 +324,7 @@ def added_up(rows: np.ndarray) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """(key, n, spread, sketch, home, tokens) of the chosen documents (doc and all but tokens)."""
+    """(key, n, spread, sketch, home, marks, tokens) of the chosen documents (doc, key to home)."""
 
     narrow = ["key", "n", "spread", "sketch", "home"]
 
@@ -251,24 +335,34 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(name).slice(row, 1) for name in narrow),
+                        pa.array([marks(shingles).tobytes()], pa.binary()),
                         pa.array([shingles.view(np.int64)], pa.list_(pa.int64())),
                     ],
-                    [*narrow, "tokens"],
+                    [*narrow, "marks", "tokens"],
                 )
 
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("doc")
     # Merged, since the chosen ones grow with the documents; most others are not even shuffled.
-    near = _perhaps_among(docs.select(doc, "text"), chosen, "doc")
+    near = _perhaps_among(docs.select(_doc(), "text"), chosen, "doc")
     texts = near.join(chosen.hint("merge"), "doc").select(*narrow, "text")
     return texts.mapInArrow(
-        load, "key binary, n bigint, spread bigint, sketch bigint, home bigint, tokens array<bigint>"
+        load,
+        "key binary, n bigint, spread bigint, sketch bigint, home bigint, marks binary, tokens array<bigint>",
     )
 
 
-def _perhaps_among(
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("doc")
+
+
+def _perhaps_among(rows: DataFrame, chosen: DataFrame, key: str, **sizes: int) -> DataFrame:
+    """The rows whose key is in ``chosen``, and a few others, without a shuffle of rows."""
+    return with_perhaps(rows, chosen, key, **sizes).filter("perhaps").select(rows.columns)
+
+
+def with_perhaps(
     rows: DataFrame, chosen: DataFrame, key: str, bits_each: int = 16, most_bits: int = 1 << 29
 ) -> DataFrame:
-    """The rows whose key is in ``chosen``, and a few others, without a shuffle of rows.
+    """``rows`` with perhaps: true if the key is in ``chosen``, and for a few others.
 
     Hashes of the chosen keys are marked in a bitmap, which is broadcast: ``bits_each`` bits a key, 64 MB
     at most. Beyond that more of the others get through, and nothing else changes.
@@ -285,8 +379,58 @@ def _perhaps_among(
     )
     byte = F.substring("bitmap_marks", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
     value = F.conv(F.hex(byte), 16, 10).cast("int")
-    seen = F.getbit(value, (bit % 8).cast("int")) == 1
-    return rows.join(F.broadcast(marked), page == F.col("bitmap_page")).filter(seen).select(rows.columns)
+    seen = F.coalesce(F.getbit(value, (bit % 8).cast("int")) == 1, F.lit(False))
+    paged = rows.join(F.broadcast(marked), page == F.col("bitmap_page"), "left")
+    return paged.select(*rows.columns, seen.alias("perhaps"))
+
+
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """One bit per shingle and more, each the parity of the shingles that it stands for.
+
+    A shingle that only one of two sets has changes one bit, so marks of two sets differ in at most
+    as many bits as there are such shingles.
+    """
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    place, counts = np.unique(shingles & np.uint64(bits - 1), return_counts=True)
+    odd = np.zeros(bits, np.uint8)
+    odd[place.astype(np.int64)] = counts & 1
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def _folded(marks: np.ndarray, length: int) -> np.ndarray:
+    """Marks (in the last axis) as they are with fewer bits."""
+    while marks.shape[-1] > length:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] ^ marks[..., half:]
+    return marks
+
+
+class Marks:
+    """The marks of some sets, and the most that each can have in common with another set."""
+
+    def __init__(self, sizes: np.ndarray, marks: list[bytes]):
+        self.sizes, self.rows, self.tables = sizes, {}, {}
+        lengths = np.array([len(one) // 8 for one in marks])
+        for length in np.unique(lengths).tolist():
+            self.rows[length] = np.flatnonzero(lengths == length)
+            some = b"".join(marks[row] for row in self.rows[length])
+            self.tables[length, length] = np.frombuffer(some, "<u8").reshape(-1, length)
+
+    def may_link(self, size: int, own: bytes, percent: int) -> np.ndarray:
+        """The rows of sets that a set may link with by size and marks."""
+        found, own = [np.zeros(0, np.int64)], np.frombuffer(own, "<u8")
+        for length, rows in self.rows.items():
+            less = min(length, len(own))
+            if (length, less) not in self.tables:
+                self.tables[length, less] = _folded(self.tables[length, length], less)
+            apart = np.bitwise_count(self.tables[length, less] ^ _folded(own, less))
+            sizes = self.sizes[rows]
+            both = (size + sizes - apart.sum(axis=1, dtype=np.int64)) // 2
+            both = np.minimum(both, np.minimum(size, sizes))
+            found.append(rows[100 * both >= percent * (size + sizes - both)])
+        return np.concatenate(found)
 
 
 def _homes(sets: DataFrame, by: list[str], most: int, most_tokens: int) -> DataFrame:
@@ -363,10 +507,11 @@ def _links_within(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, key, n, spread): each set's prefix, as far as it occurs in other groups too.
+    """(token, key, n, spread, rest): each set's prefix, as far as it occurs in other groups too.
 
-    Tokens are ordered by the number of groups that have them, rarest first. Two sets that link
-    share a token of the first n - ceil(percent n / 100) + 1 of both, whatever the order.
+    Tokens are ordered by the number of groups that have them, rarest first; rest tells how many
+    tokens of the set there are from this one on. Two sets that link share a token of the first
+    n - ceil(percent n / 100) + 1 of both, whatever the order.
     """
     # Dealt by group, so that only what is left of a group is shuffled by token.
     matrix = sets.repartition("home").select("home", F.explode("tokens").alias("token")).distinct()
@@ -397,18 +542,19 @@ def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
                 length = n - -(-percent * n // 100) + 1 - (n - len(place))
                 if length > 0:
                     order = np.lexsort((shared[place], groups[place]))[:length]
-                    out += [(token, key, n, spread) for token in shared[place][order].tolist()]
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                    first = shared[place][order].tolist()
+                    out += [(token, key, n, spread, len(place) - at) for at, token in enumerate(first)]
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         return pa.table(
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["token", "key", "n", "spread"],
+            names=["token", "key", "n", "spread", "rest"],
         )
 
     return (
         sets.groupBy("home")
         .cogroup(shared.groupBy("group"))
-        .applyInArrow(prefixes, "token bigint, key binary, n bigint, spread bigint")
+        .applyInArrow(prefixes, "token bigint, key binary, n bigint, spread bigint, rest bigint")
     )
 
 
@@ -426,12 +572,44 @@ def _mixed(rare: DataFrame, labels: DataFrame) -> DataFrame:
     return rare.join(mixed.filter("a != b").select("token"), "token", "left_semi")
 
 
+def _promising(cases: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of each case (case, asks, key, component) that may link with one on its other side.
+
+    Sets are compared by their marks, an eighth of a byte to a fourth per token.
+    """
+    names = ["case", "asks", "key", "component"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        component = table.column("component").combine_chunks().dictionary_encode()
+        label = component.indices.to_numpy()
+        kept = np.zeros(len(asks), bool)
+        members, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+        if len(members) and len(queries) and len(component.dictionary) > 1:
+            sizes, own = table.column("n").to_numpy(), table.column("marks").to_pylist()
+            group = Marks(sizes[members], [own[row] for row in members])
+            for row in queries.tolist():
+                near = members[group.may_link(int(sizes[row]), own[row], percent)]
+                near = near[label[near] != label[row]]
+                kept[near] = True
+                kept[row] |= len(near) > 0
+        return table.select(names).filter(pa.array(kept))
+
+    full = cases.hint("merge").join(sets.select("key", "n", "marks"), "key")
+    return (
+        full.select(*names, "n", "marks")
+        .groupBy("case")
+        .applyInArrow(compare, "case bigint, asks boolean, key binary, component binary")
+    )
+
+
 def _compared(cases: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges between the members and the queries of each case (case, asks, key, component).
 
     A query gets an edge to one member of each component that it links with, its own excepted.
-    Only here do the sets themselves move.
+    Only here do the sets themselves move, and only those that may link by their marks.
     """
+    cases = stored(_promising(cases, sets, percent), "cases")
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks")
@@ -452,7 +630,8 @@ def _compared(cases: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((key, group.keys[other]))
         return _edges(found)
 
-    full = cases.hint("merge").join(sets.select("key", "tokens"), "key")
+    near = _perhaps_among(sets.select("key", "tokens"), cases, "key")
+    full = cases.hint("merge").join(near, "key")
     return full.groupBy("case").applyInArrow(compare, _EDGES_DDL)
 
 
@@ -511,14 +690,18 @@ def _links_across(
         F.max("component").alias("b"),
         F.min("n").alias("least"),
         F.max("n").alias("most"),
+        F.max("rest").alias("rest"),
         (F.min("first") != F.max("first")).alias("apart"),
     )
-    other = matrix.drop("apart").toDF("token", "group2", "a2", "b2", "least2", "most2")
+    other = matrix.drop("apart").toDF("token", "group2", "a2", "b2", "least2", "most2", "rest2")
+    # Of two sets that link, the first token they share has all others after it.
+    after = F.least("rest", "rest2") * (100 + percent) >= percent * (F.col("least") + F.col("least2"))
     pairs = stored(
         matrix.join(other, "token")
         .filter("group < group2 or (group = group2 and apart)")
         .filter("not (a = b and a2 = b2 and a = a2)")
         .filter(f"100 * most >= {percent} * least2 and 100 * most2 >= {percent} * least")
+        .filter(after)
         .select("group", "group2")
         .distinct()
         .withColumn("case", F.monotonically_increasing_id()),
@@ -560,8 +743,10 @@ def near_duplicates(
     )
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(1, -(-total // range_tokens))
+    several = signed.groupBy("class").count().filter("count > 1")
+    copied = stored(signed.join(several, "class", "left_semi").select(doc.alias("doc")), "copied")
     may_link = (
-        classes.join(shared_counts(docs, width, ranges), "class")
+        classes.join(shared_counts(docs, width, ranges, copied=copied), "class")
         .filter(f"100 * shared >= {percent} * n_shingles")
         .select("doc", "key", F.col("n_shingles").alias("n"), "spread", "sketch")
     )

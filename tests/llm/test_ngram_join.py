@@ -4,12 +4,16 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from texts import collected, odd_documents, texts_of, words
+from texts import collected, moved_bytes, odd_documents, texts_of, words
 
 from clickloom.llm.components import components
 from clickloom.llm.ngram_join import (
+    Marks,
+    _compared,
+    _full_sets,
     _homes,
     _perhaps_among,
+    marks,
     near_duplicates,
     set_key,
     shared_counts,
@@ -190,3 +194,90 @@ def test_bitmap_lets_all_chosen_through(spark, most_bits):
     others = found.filter("doc % 20 != 0").count()
     assert others < (0.1 if most_bits > 1 << 15 else 0.4) * 190_000
     assert _perhaps_among(rows, chosen.limit(0), "doc").count() == 0
+
+
+def counts(rows):
+    """Per set: tokens that other sets have too, and the number of sets that have these in sum."""
+    sets = {short(set_key(own)): own for own in rows if len(own)}
+    have = defaultdict(int)
+    for own in sets.values():
+        for token in own.tolist():
+            have[token] += 1
+    shared = {key: [have[t] for t in own.tolist() if have[t] > 1] for key, own in sets.items()}
+    return {key: (len(x), sum(x), max(x)) for key, x in shared.items() if x}, have
+
+
+@pytest.mark.parametrize("ranges, held", [(1, 1 << 20), (7, 500), (3000, 1 << 20), (3000, 2000)])
+def test_shared_counts_of_named_and_other_sets(spark, ranges, held):
+    chance = random.Random(ranges)
+    texts = [text for seed in range(6) for text in cluster(seed, 6, 3, 30 + 60 * seed)] + ["a b", "", None]
+    texts += [" ".join(words(40, 500 + i, 12)) for i in range(40)] + ["word " * 400]
+    texts += chance.sample(texts, 20)
+    chance.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    sets = [shingle_set((text or "").encode(), word_hashes(), 5) for text in texts]
+    times = defaultdict(int)
+    for own in sets:
+        times[set_key(own)] += 1
+    several = [(at, ) for at, own in enumerate(sets) if times[set_key(own)] > 1 or at % 9 == 0]
+    expected, have = counts(sets)
+    for copied in (spark.createDataFrame(several, "doc bigint"), None):
+        found = {row["class"]: row for row in shared_counts(docs, 5, ranges, held, copied).collect()}
+        assert {key: (row.shared, row.spread) for key, row in found.items()} == {
+            key: (shared, spread) for key, (shared, spread, _) in expected.items()
+        }
+        by_sketch = {(((t >> 32) * ranges) >> 32 << 32) + t % (1 << 32): n for t, n in have.items()}
+        assert {key: by_sketch[row.sketch] for key, row in found.items()} == {
+            key: most for key, (_, _, most) in expected.items()
+        }
+
+
+def test_a_token_costs_as_much_in_many_ranges(spark):
+    """With more ranges than a set has tokens, each token has a range of its own and no name with it."""
+    texts = [(i, " ".join(words(200, i, 10**6))) for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    tokens = sum(len(shingle_set(text.encode(), word_hashes(), 5)) for _, text in texts)
+    none = spark.createDataFrame([], "doc bigint")
+    assert moved_bytes(shared_counts(docs, 5, 1000, copied=none)) < 8 * tokens
+
+
+def test_marks_exclude_no_set_that_links():
+    chance = np.random.default_rng(1)
+    excluded = 0
+    for _ in range(300):
+        size = int(chance.integers(1, 700))
+        base = np.unique(chance.integers(0, 2**64, size, np.uint64))
+        others = []
+        for share in (0.0, 0.3, 0.6, 0.75, 0.85, 0.95, 1.0):
+            kept = base[chance.random(len(base)) < share]
+            new = chance.integers(0, 2**64, int(len(base) * (1 - share) * chance.random()), np.uint64)
+            others.append(np.unique(np.concatenate([kept, new, base[:1]])))
+        both = np.array([len(np.intersect1d(base, other)) for other in others])
+        sizes = np.array([len(other) for other in others])
+        group = Marks(sizes, [marks(other).tobytes() for other in others])
+        near = set(group.may_link(len(base), marks(base).tobytes(), 80).tolist())
+        linked = np.flatnonzero(100 * both >= 80 * (len(base) + sizes - both)).tolist()
+        assert near.issuperset(linked) and len(others) - 1 in near
+        excluded += 2 - len(near & {0, 1})
+    assert excluded > 550
+
+
+def test_sets_that_cannot_link_do_not_move(spark):
+    """One case of sets that are unlike but for two of them: these move, and get their edge."""
+    texts = [(i, " ".join(words(400, i, 10**6))) for i in range(60)]
+    texts[41] = (41, texts[7][1] + " end")
+    keys = [set_key(shingle_set(text.encode(), word_hashes(), 5)) for _, text in texts]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = [(i, keys[i], 396 + (i == 41), 0, 0, 0) for i in range(60)]
+    chosen = spark.createDataFrame(rows, "doc bigint, key binary, n bigint, spread bigint, sketch bigint, home bigint")
+    sets = _full_sets(docs, chosen, 5).cache()
+    assert sets.count() == 60
+    sides = [(1, i % 2 == 1, keys[i], keys[i]) for i in range(60)]
+    cases = spark.createDataFrame(sides, "case bigint, asks boolean, key binary, component binary")
+    edges = _compared(cases, sets, 80)
+    assert [tuple(map(bytes, row)) for row in edges.collect()] == []
+    sides[7] = (1, False, keys[7], keys[7])
+    edges = _compared(spark.createDataFrame(sides, cases.schema), sets, 80)
+    assert [tuple(map(bytes, row)) for row in edges.collect()] == [(keys[41], keys[7])]
+    assert moved_bytes(edges) < 0.3 * 60 * 396 * 8
+    sets.unpersist()

@@ -61,3 +61,20 @@ def collected(frame, *names):
 
 def texts_of(docs):
     return [tuple(row) for row in docs.select("doc_id", "text").collect()]
+
+
+def moved_bytes(frame):
+    """Bytes that all exchanges of a query have written, without what it stored on the way."""
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(plan.plan())
+        own = plan.metrics().get("dataSize").get().value() if name == "Exchange" else 0
+        children = plan.children()
+        return own + sum(walk(children.apply(at)) for at in range(children.size()))
+
+    frame.collect()
+    return walk(frame._jdf.queryExecution().executedPlan())
