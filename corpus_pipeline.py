@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import cotraining, quality_rules
-from clickloom.llm.ngram_join import near_duplicates
+from clickloom.llm.ngram_join import near_duplicates, with_perhaps
 from clickloom.llm.packing import PACKED, pack
 from clickloom.llm.radix_dedup import radix_groups
 from clickloom.llm.text import stored, tokenizer_file, whole_text
@@ -91,6 +91,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where rows repeat a doc_id, or more than one has none, they are numbered in order of doc_id (NULL
     first) and text, and compared under these numbers, so that each row is a document of its own.
+    Texts of most documents that stay are not shuffled: only the others are looked up.
     """
     docs, names = _apart(docs)
     numbered = docs.withColumn("number", F.col("doc_id").cast("bigint"))
@@ -98,8 +99,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ordered = docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
         numbered = stored(ordered.withColumn("number", F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"))
-    first = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("id"))
-    kept = numbered.join(first, F.col("number").eqNullSafe(F.col("id")), "left_semi")
+    others = found.filter("not doc_id <=> component_id").select(F.col("doc_id").alias("number"))
+    others = stored(others, "near-copies")
+    looked = with_perhaps(numbered, others, "number")
+    rest = looked.filter("perhaps").join(others, "number", "left_anti")
+    kept = looked.filter("not perhaps").unionByName(rest)
     return kept.select(docs.columns).withColumnsRenamed(names)
 
 

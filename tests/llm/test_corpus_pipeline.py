@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from texts import odd_documents
+from texts import moved_bytes, odd_documents, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -114,3 +114,18 @@ def test_near_stage_compares_rows_that_repeat_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     after = corpus_pipeline.near_dedup(spark, docs, SF_DIR)
     assert sorted(map(tuple, after.collect()), key=repr) == sorted([rows[2], rows[3], rows[4]], key=repr)
+
+
+def test_near_stage_leaves_texts_that_stay_where_they_are(spark):
+    texts = [" ".join(words(400, i, 10**6)) for i in range(200)]
+    texts += [f"{text} more" for text in texts[::20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        after = corpus_pipeline.near_dedup(spark, stored(docs, "documents"), SF_DIR)
+        assert ids(after) == set(range(200)) and after.count() == 200
+        assert moved_bytes(after) < 0.3 * sum(map(len, texts))
+    finally:
+        spark.conf.set(conf, before)
